@@ -11,7 +11,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wallscan.llm.common import batch_of, blocks, lists, stored, text_or_empty, utf8
@@ -102,11 +102,64 @@ def _confirm(k: int, percent: int):
     return run
 
 
+def _with_texts(pairs: DataFrame, texts: DataFrame) -> DataFrame:
+    first = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
+    return first.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+
+
 def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """Of pairs(a, b) those whose full shingle sets meet the threshold: a, b, shared, total."""
-    first = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    both = first.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
-    return both.mapInArrow(_confirm(k, percent), "a long, b long, shared long, total long")
+    return _with_texts(pairs, texts).mapInArrow(_confirm(k, percent), "a long, b long, shared long, total long")
+
+
+def _deltas(k: int):
+    schema = pa.schema([("hub", pa.int64()), ("x", pa.int64()), ("n_hub", pa.int64()), ("n", pa.int64()), ("delta", pa.list_(pa.int64()))])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in blocks(whole, "ta"):
+                values, at = shingle_sets(batch.column("ta"), k)
+                own, own_at = shingle_sets(batch.column("tb"), k)
+                delta = [np.setxor1d(values[at[i] : at[i + 1]], own[own_at[i] : own_at[i + 1]], assume_unique=True).view(np.int64) for i in range(batch.num_rows)]
+                yield batch_of(schema, batch.column("a"), batch.column("b"), np.diff(at), np.diff(own_at), pa.array(delta, schema.types[4]))
+
+    return run
+
+
+def _links_beyond_hub(apart: DataFrame, links: DataFrame, docs: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between members x of a hub that are still in different components: apart(hub, x, part).
+
+    Members of a hub mostly look like it, so they are compared by what sets them apart from it: D = x xor
+    hub. x and y are linked when |D_x xor D_y| = |x xor y| <= c (|x| + |y|), c = (100 - percent) / (100 +
+    percent). If y isn't linked with the hub, |D_y| > c (|y| + |hub|), so D_x and D_y of a linked pair share
+    more than (|D_x| + c (|hub| - |x|)) / 2 values, at least one. Two sets that share t values meet among
+    the |D| - t + 1 rarest of each: members meet on those only, and not in all pairs. Nothing is missed.
+    """
+    more, less = 100 + percent, 100 - percent
+    deltas = _with_texts(apart.select(F.col("hub").alias("a"), F.col("x").alias("b")), docs).mapInArrow(_deltas(k), "hub long, x long, n_hub long, n long, delta array<long>")
+    direct = links.select(F.col("a").alias("hub"), F.col("b").alias("x")).unionByName(links.select(F.col("b").alias("hub"), F.col("a").alias("x"))).withColumn("linked", F.lit(True))
+    d = deltas.join(apart, ["hub", "x"]).join(direct, ["hub", "x"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))).withColumn("s", F.size("delta"))
+    d = stored(d, "deltas")
+    share = F.greatest(F.lit(1), F.expr(f"({more} * s + {less} * (n_hub - n)) div {2 * more} + 1"))
+    far = F.greatest(F.lit(1), F.expr(f"s - floor({less} * (n + 100 * least(n, n_hub) / {percent}) / {more} + 1e-9)"))
+    values = d.select("hub", "x", "part", "n", "s", "linked", (F.col("s") - share + 1).alias("own"), (F.col("s") - far + 1).alias("wide"), F.explode("delta").alias("value"))
+    seen = values.groupBy("hub", "value").agg(F.count("*").alias("df")).where("df > 1")
+    alone = values.groupBy("hub", "x").agg(F.count("*").alias("all"))
+    shared = values.join(seen, ["hub", "value"]).withColumn("r", F.row_number().over(Window.partitionBy("hub", "x").orderBy(F.col("df").desc(), "value")))
+    # A value of one member is the rarest; counted from the most frequent end, the first all - own values are not among the `own` rarest.
+    ranked = stored(shared.join(alone, ["hub", "x"]).withColumn("place", F.col("all") - F.col("r") + 1), "ranked")
+    side = lambda df, p: df.select("hub", "value", *(F.col(c).alias(f"{p}_{c}") for c in ("x", "part", "n", "s")))
+    left, rest = ranked.where("place <= own"), ranked.where("not linked")
+    fits = f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) and {more} * abs(a_s - b_s) <= {less} * (a_n + b_n) and a_part != b_part"
+    first = side(left.where("not linked"), "a").join(side(rest.where("place <= own"), "b"), ["hub", "value"]).where(f"a_x < b_x and {fits}")
+    second = side(left.where("linked"), "a").join(side(rest.where("place <= wide"), "b"), ["hub", "value"]).where(fits)
+    met = first.unionByName(second).select("hub", "a_x", "b_x").distinct()
+    one = lambda p: d.select("hub", F.col("x").alias(f"{p}_x"), F.col("n").alias(f"{p}_n"), F.col("delta").alias(f"{p}_d"))
+    both = met.join(one("a"), ["hub", "a_x"]).join(one("b"), ["hub", "b_x"])
+    apart_by = F.size("a_d") + F.size("b_d") - 2 * F.size(F.array_intersect("a_d", "b_d"))
+    both = both.withColumn("apart_by", apart_by).where(f"{more} * apart_by <= {less} * (a_n + b_n)")
+    found = both.select(F.least("a_x", "b_x").alias("a"), F.greatest("a_x", "b_x").alias("b"), F.expr("(a_n + b_n - apart_by) div 2").alias("shared"), F.expr("(a_n + b_n + apart_by) div 2").alias("total")).distinct()
+    return stored(found, "more-links")
 
 
 def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, permutations: int = 48, rows: int = 4) -> DataFrame:
@@ -117,9 +170,10 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, permuta
     (least doc_id reachable) and kept (doc_id = component_id). Other columns are ignored.
 
     Null and empty texts have no shingles and are linked with nothing. Copies are one class and never
-    meet in pairs. In each bucket every class meets the one with the most bucket mates, which joins
-    large groups in linear work; then classes of one bucket that are still in different components
-    meet each other, so no link that could join two components is left unchecked. Rows with the same
+    meet in pairs. In each bucket every class meets its hub, the class with the most bucket mates, which
+    joins large groups in linear work. Classes of one hub that are still in different components are
+    then joined on what sets them apart from the hub, so no link that could join two components is
+    left unchecked, and no bucket is expanded into all pairs. Rows with the same
     doc_id form one document; a null doc_id gets a null component and is kept.
     A pair at the threshold of 0.8 shares a band with probability 1 - (1 - 0.8**4)**24 > 0.99999.
     """
@@ -128,26 +182,24 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, permuta
     signed = stored(docs.mapInArrow(_sign(k, permutations, rows), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "signatures")
     key = ["n_shingles", "s1", "s2"]
     classes = signed.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id"))
-    lead = signed.join(classes, key).where("doc_id = class_id").dropDuplicates(["class_id"]).select("class_id", "n_shingles", F.explode("bands").alias("bucket"))
+    lead = signed.join(classes, key).where("doc_id = class_id").dropDuplicates(["class_id"]).select("class_id", F.explode("bands").alias("bucket"))
     lead = stored(lead, "buckets")
     size = lead.groupBy("bucket").agg(F.count("*").alias("mates")).where("mates > 1")
     member = stored(lead.join(size, "bucket"), "mates")
     mass = member.groupBy("class_id").agg(F.sum("mates").alias("mass"))
-    member = stored(member.join(mass, "class_id").select("bucket", "class_id", "n_shingles", "mass"), "members")
-    hub = member.groupBy("bucket").agg(F.max(F.struct("mass", F.negative("class_id").alias("id"), "n_shingles")).alias("hub")).select("bucket", F.negative("hub.id").alias("hub"), F.col("hub.n_shingles").alias("hub_n"))
-    near = f"100 * least(n_shingles, hub_n) >= {percent} * greatest(n_shingles, hub_n)"
-    pairs = member.join(hub, "bucket").where(f"class_id != hub and {near}").select(F.least("class_id", "hub").alias("a"), F.greatest("class_id", "hub").alias("b")).distinct()
+    member = stored(member.join(mass, "class_id").select("bucket", "class_id", "mass"), "members")
+    hub = member.groupBy("bucket").agg(F.max(F.struct("mass", F.negative("class_id").alias("id"))).alias("hub")).select("bucket", F.negative("hub.id").alias("hub"))
+    pairs = member.join(hub, "bucket").where("class_id != hub").select(F.least("class_id", "hub").alias("a"), F.greatest("class_id", "hub").alias("b")).distinct()
     pairs = stored(pairs, "hub-pairs")
     links = stored(confirmed(pairs, docs, k, percent), "links")
     joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
-    placed = member.join(joined, member.class_id == joined.node, "left").select("bucket", "class_id", "n_shingles", F.coalesce("component", "class_id").alias("part"))
+    part = joined.select(F.col("node").alias("x"), F.col("component").alias("part"))
+    placed = member.select("bucket", F.col("class_id").alias("x")).join(part, "x", "left").withColumn("part", F.coalesce("part", "x"))
     mixed = placed.groupBy("bucket").agg(F.min("part").alias("p"), F.max("part").alias("q")).where("p < q").select("bucket")
-    placed = stored(placed.join(mixed, "bucket"), "mixed")
-    other = placed.select("bucket", F.col("class_id").alias("hub"), F.col("n_shingles").alias("hub_n"), F.col("part").alias("hub_part"))
-    rest = placed.join(other, "bucket").where(f"class_id < hub and part != hub_part and {near}").select(F.col("class_id").alias("a"), F.col("hub").alias("b")).distinct()
-    rest = stored(rest.join(pairs, ["a", "b"], "left_anti"), "rest-pairs")
-    if not rest.isEmpty():
-        links = links.unionByName(stored(confirmed(rest, docs, k, percent), "more-links"))
+    apart = placed.join(mixed, "bucket").join(hub, "bucket").where("x != hub").select("hub", "x", "part").distinct()
+    more = _links_beyond_hub(stored(apart, "apart"), links, docs, k, percent)
+    if not more.isEmpty():
+        links = links.unionByName(more)
         joined = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     degree = links.select(F.explode(F.array("a", "b")).alias("class_id")).groupBy("class_id").agg(F.count("*").alias("n_links"))
     found = classes.join(joined.withColumnRenamed("node", "class_id"), "class_id", "left").join(degree, "class_id", "left")

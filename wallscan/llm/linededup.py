@@ -100,6 +100,43 @@ def segment_keys(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray]:
     return indexed, np.stack(probes, 1)
 
 
+def fine_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys of four of six segments of each line, and the keys of its substrings that could be those of a line as long or up to two shorter.
+
+    Two edits touch at most two of six segments. Before the first of them a segment stands at its own
+    place, after the second it is moved by the difference in length, and between them by what the edits
+    in the first may move it."""
+    sums, starts = _points(lines)
+    size, begin, inverse = np.diff(starts), starts[:-1], _inverse(len(sums) - 1)
+
+    def piece(length: np.ndarray, s: int, shift: int) -> np.ndarray:
+        short, longer = length // 6, length % 6
+        at = s * short + np.maximum(0, s - (6 - longer)) + shift
+        width = short + (s >= 6 - longer)
+        inside = (at >= 0) & (width > 0) & (at + width <= size)
+        a = np.where(inside, begin + at, 0)
+        b = np.where(inside, a + width, 0)
+        return np.where(inside, mix((sums[b] - sums[a]) * inverse[a] + np.uint64(s + 1)), np.uint64(0))
+
+    def key(pieces: list[np.ndarray], length: np.ndarray, i: int, j: int) -> np.ndarray:
+        out = mix(length.astype(np.uint64) * np.uint64(64) + np.uint64(6 * i + j))
+        for p in pieces:
+            out = mix(out * np.uint64(0x9E3779B97F4A7C15) + p)
+        return np.where(np.logical_and.reduce([p != 0 for p in pieces]), out, np.uint64(0))
+
+    gaps = [(i, j) for i in range(6) for j in range(i + 1, 6)]
+    own = [piece(size, s, 0) for s in range(6)]
+    indexed = np.stack([key([own[s] for s in range(6) if s not in gap], size, *gap) for gap in gaps], 1)
+    probes = []
+    for less, between in ((0, (-1, 0, 1)), (1, (0, 1)), (2, (0, 1, 2))):
+        length = size - less
+        moved = {(s, t): piece(length, s, t) for s in range(6) for t in {0, less, *between}}
+        for i, j in gaps:
+            for t in between if j > i + 1 else (0,):
+                probes.append(key([moved[s, 0 if s < i else t if s < j else less] for s in range(6) if s not in (i, j)], length, i, j))
+    return indexed, np.stack(probes, 1)
+
+
 _inverses = np.ones(1, np.uint64)
 
 
@@ -159,6 +196,14 @@ def _keys(edits: int, min_chars: int):
     return run
 
 
+def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for batch in blocks(whole, "said", 1 << 18):
+            lines = batch.column("said").to_pylist()
+            indexed, probes = fine_keys(lines)
+            yield batch_of(_KEYS, batch.column("h1"), *(lists(k.ravel().view(np.int64), np.arange(len(lines) + 1) * k.shape[1], pa.int64()) for k in (indexed, probes)))
+
+
 def _wanted(bits: dict[int, int]):
     """The lines whose hash is in the filter."""
     filled = np.zeros(1 << FILTER_BITS - 6, np.uint64)
@@ -178,34 +223,44 @@ def _wanted(bits: dict[int, int]):
     return run
 
 
-def _verify(edits: int):
+def _verify(edits: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = [(a, b, d) for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")), strict=True) if (d := edit_distance(x, y, edits)) <= edits]
+            rows = [(a, b, d) for a, b, x, y in zip(*(batch.column(c).to_pylist() for c in ("a", "b", "ta", "tb")), strict=True) if max(len(x), len(y)) >= min_chars and (d := edit_distance(x, y, edits)) <= edits]
             yield batch_of(_LINKS, *(zip(*rows, strict=True) if rows else [[]] * 3))
 
     return run
 
 
-def near_lines(documents: DataFrame, edits: int = 2, min_chars: int = 20) -> DataFrame:
+def near_lines(documents: DataFrame, edits: int = 2, min_chars: int = 20, most: int = 16) -> DataFrame:
     """Pairs of different lines within `edits` edits, the longer of at least min_chars: a, b (line hashes), distance.
 
     Lines are stripped; their length and edits are in code points. Each distinct line is joined once,
-    however often it stands in the corpus. The texts of candidates are fetched through a filter of
+    however often it stands in the corpus. Lines that share a segment with more than `most` others are
+    joined on four of six segments instead, which two edits leave whole, so long lines that are alike in
+    one third only don't meet in all pairs. The texts of candidates are fetched through a filter of
     2**25 bits, whose size is fixed: a full filter would fetch more lines than needed, never fewer.
     """
     keys = documents.mapInArrow(_keys(edits, min_chars), "h1 long, indexed array<long>, probes array<long>")
     keys = stored(keys.groupBy("h1").agg(F.first("indexed").alias("indexed"), F.first("probes").alias("probes")), "segments")
     index = keys.select(F.explode("indexed").alias("k"), F.col("h1").alias("a")).where("k != 0")
     probe = keys.select(F.explode("probes").alias("k"), F.col("h1").alias("b")).where("k != 0")
-    pairs = index.join(probe, "k").where("a != b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    pairs = stored(pairs, "line-pairs")
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct().withColumn("at", F.col("h1").bitwiseAND((1 << FILTER_BITS) - 1))
+    if edits != 2:
+        most = 1 << 62  # the finer segments are laid out for two edits
+    busy = stored(index.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > most), "busy-segments").select("k")
+    crowd = stored(index.join(busy, "k").select(F.col("a").alias("h1")).unionByName(probe.join(busy, "k").select(F.col("b").alias("h1"))).distinct(), "crowd")
+    pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
+    pairs = stored(index.join(busy, "k", "left_anti").join(probe, "k").where("a != b").select(*pair).distinct(), "line-pairs")
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("h1")).unionByName(crowd).distinct().withColumn("at", F.col("h1").bitwiseAND((1 << FILTER_BITS) - 1))
     bits = wanted.groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
     found = documents.mapInArrow(_wanted(dict(bits.collect())), "h1 long, said string")
     found = stored(found.join(wanted.select("h1"), "h1", "left_semi").groupBy("h1").agg(F.min("said").alias("said")), "line-texts")
+    if edits == 2 and not crowd.isEmpty():
+        fine = stored(found.join(crowd, "h1", "left_semi").mapInArrow(_fine, "h1 long, indexed array<long>, probes array<long>"), "fine-segments")
+        near = fine.select(F.explode("indexed").alias("k"), F.col("h1").alias("a")).where("k != 0").join(fine.select(F.explode("probes").alias("k"), F.col("h1").alias("b")).where("k != 0"), "k")
+        pairs = pairs.unionByName(near.where("a != b").select(*pair)).distinct()
     both = pairs.join(found.select(F.col("h1").alias("a"), F.col("said").alias("ta")), "a").join(found.select(F.col("h1").alias("b"), F.col("said").alias("tb")), "b")
-    return stored(both.mapInArrow(_verify(edits), "a long, b long, distance int"), "line-links")
+    return stored(both.mapInArrow(_verify(edits, min_chars), "a long, b long, distance int"), "line-links")
 
 
 def _clean(copy_share: float | None):

@@ -545,7 +545,7 @@ def test_machine_learns_pairs():
         a, b = rng.integers(0, 2, 2)
         rows.append(np.unique(np.concatenate([rng.integers(10, 60, 6), [1] if a else [2], [3] if b else [4]])))
         toxic.append(float(a == b))
-    keys, w, v, bias = toxicity.fit_machine(rows[:2000], np.array(toxic[:2000]), passes=40)
+    keys, w, v, bias = toxicity.fit_machine(rows[:2000], np.array(toxic[:2000]), steps=2000)
     at = {k: i for i, k in enumerate(keys.tolist())}
 
     def score(row):

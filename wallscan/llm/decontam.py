@@ -6,8 +6,9 @@ document as long as an item that agree with the item on all places of some walk
 and the exact edit distance to the item decides.
 
 Walking every window of every document would cost hundreds of operations a word. An item of n words
-with e edits keeps at least n - 1 - 2e of its pairs of neighbouring words, so windows with fewer
-pairs known from any item can't match; a bit map of fixed size holds the pairs.
+with e edits keeps at least n - 1 - 2e of its pairs and n - 2 - 3e of its triples of neighbouring
+words, so windows with fewer of those known from any item can't match; bit maps of fixed size hold
+them, and the walk keys of all items. A fuller map lets more windows through and never fewer.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from wallscan.llm.common import batch_of, blocks, lists, stored, text_or_empty,
 from wallscan.llm.hashing import mix, runs, words
 
 MAP_BITS = 22
-_ITEM = pa.schema([("item_id", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64())), ("pairs", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64()))])
+_ITEM = pa.schema([("item_id", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64())), ("pairs", pa.list_(pa.int32())), ("triples", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64()))])
 _WINDOW = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("region", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 _HIT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int32()), ("stop_word", pa.int32()), ("edits", pa.int32()), ("n_item_words", pa.int32())])
 
@@ -76,71 +77,100 @@ def _items(share: float, walks: int, places: int, min_words: int):
             sizes = np.diff(offsets)
             some = np.flatnonzero(sizes >= min_words)
             keys = walk_keys(tokens, offsets[some], sizes[some], walks, places).T
-            pairs = (mix(runs(tokens, 2)) & np.uint64((1 << MAP_BITS) - 1)).astype(np.int32)
+            pairs, triples = ((mix(runs(tokens, k)) & np.uint64((1 << MAP_BITS) - 1)).astype(np.int32) for k in (2, 3))
             ids = batch.column("item_id").to_numpy(zero_copy_only=False)
             yield batch_of(
                 _ITEM, ids[some], sizes[some].astype(np.int32),
                 pa.array([tokens[offsets[i] : offsets[i + 1]].view(np.int64) for i in some], _ITEM.types[2]), pa.array([pairs[offsets[i] : offsets[i + 1] - 1] for i in some], _ITEM.types[3]),
-                lists(keys.ravel().view(np.int64), np.arange(len(some) + 1) * walks, pa.int64()),
+                pa.array([triples[offsets[i] : offsets[i + 1] - 2] for i in some], _ITEM.types[4]), lists(keys.ravel().view(np.int64), np.arange(len(some) + 1) * walks, pa.int64()),
             )
 
     return run
 
 
-def _windows(bits: dict[int, int], lengths: list[int], share: float, walks: int, places: int):
+def _filled(bits: dict[int, int]) -> np.ndarray:
     packed = np.zeros(1 << MAP_BITS - 6, np.uint64)
     for word, value in bits.items():
         packed[word] = value & (1 << 64) - 1
-    need = {n: max(1, n - 1 - 2 * int(share * n)) for n in lengths}
-    short = min(lengths) - 1
-    coarse = min(max(1, -(-(need[n] - (n - 1) % short) // ((n - 1) // short))) for n in lengths)
+    return packed
+
+
+def _dense_starts(hits: np.ndarray, n: int, need: int, inner: int) -> np.ndarray:
+    """Starts of windows of n words that hold at least `need` of the places in hits, a place being the start of `inner` words."""
+    if len(hits) < need:
+        return np.empty(0, np.int64)
+    first, last = hits[: len(hits) - need + 1], hits[need - 1 :]
+    lo = np.maximum(last - (n - inner), 0)
+    ok = lo <= first
+    first, lo = first[ok], lo[ok]
+    size = first - lo + 1
+    return np.unique(np.repeat(lo - np.append(0, size.cumsum()[:-1]), size) + np.arange(size.sum())) if len(size) else first
+
+
+def _thinned(start: np.ndarray, doc: np.ndarray, value: np.ndarray, reach: int) -> np.ndarray:
+    """Of windows close to each other the ones with the greatest value; of equal ones, one for each `reach` places and the last."""
+    best = value.copy()
+    for d in range(1, min(reach, len(start) - 1) + 1):
+        near = (start[d:] - start[:-d] <= reach) & (doc[d:] == doc[:-d])
+        best[:-d] = np.maximum(best[:-d], np.where(near, value[d:], -1))
+        best[d:] = np.maximum(best[d:], np.where(near, value[:-d], -1))
+    top = np.flatnonzero(value == best)
+    s, d = start[top], doc[top]
+    new = np.ones(len(top), bool)
+    new[1:] = (np.diff(s) > reach) | (d[1:] != d[:-1])
+    run = s[np.flatnonzero(new)][np.cumsum(new) - 1]
+    last = np.append(new[1:], True)
+    return top[((s - run) % reach == 0) | last]
+
+
+def _windows(pair_bits: dict[int, int], triple_bits: dict[int, int], key_bits: dict[int, int], lengths: list[int], share: float, walks: int, places: int):
+    packed = [_filled(b) for b in (pair_bits, triple_bits, key_bits)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = np.unpackbits(packed.view(np.uint8), bitorder="little").view(bool)
+        pairs, triples, keyed = (np.unpackbits(p.view(np.uint8), bitorder="little").view(bool) for p in packed)
+        low = np.uint64((1 << MAP_BITS) - 1)
         for whole in batches:
             for batch in blocks(whole, limit=1 << 21):
                 tokens, offsets = words(*utf8(batch.column("text")), lower=True, letters=True)
-                if len(tokens) <= short:
+                if len(tokens) < 3:
                     continue
-                pair = known[mix(runs(tokens, 2)) & np.uint64((1 << MAP_BITS) - 1)]
-                pair[offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(tokens))] - 1] = False  # pairs of two texts
-                total = np.append(0, np.cumsum(pair))
-                dense = np.flatnonzero(total[short:] - total[:-short] >= coarse)
-                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-                docs = np.unique(np.searchsorted(offsets, dense, "right") - 1)
+                pair, triple = pairs[mix(runs(tokens, 2)) & low], triples[mix(runs(tokens, 3)) & low]
+                inner = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(tokens))]
+                pair[inner - 1] = False  # words of two texts
+                triple[inner[inner <= len(triple)] - 1] = False
+                triple[inner[inner > 1] - 2] = False
+                total, hits = np.append(0, np.cumsum(pair)), np.flatnonzero(triple)
                 found = []
-                for d in docs.tolist():
-                    lo, hi = int(offsets[d]), int(offsets[d + 1])
-                    for n in lengths:
-                        if hi - lo < n - int(share * n):
-                            continue
-                        start = np.arange(lo, max(lo, hi - n) + 1)
-                        count = total[np.minimum(start + n - 1, hi - 1)] - total[start]
-                        picked = np.flatnonzero(count >= need[n])
-                        if len(picked):  # of a run of windows, those with the most pairs of their neighbourhood
-                            reach = max(1, int(share * n) // 2)
-                            value = count[picked]
-                            near = np.searchsorted(picked, picked - reach), np.searchsorted(picked, picked + reach, "right")
-                            best = np.array([value[a:b].max() for a, b in zip(*near)])
-                            picked = picked[value == best]
-                            keep, last = [], -reach
-                            for x in picked.tolist():
-                                if x - last >= reach or not keep:
-                                    keep.append(x)
-                                    last = x
-                            if picked[-1] != keep[-1]:
-                                keep.append(int(picked[-1]))
-                            found += [(d, lo + x, n) for x in keep]
+                for n in lengths:
+                    edits = int(share * n)
+                    need = n - 2 - 3 * edits
+                    start = _dense_starts(hits, n, need, 3) if need > 0 else np.flatnonzero(total[np.minimum(np.arange(len(tokens)) + n - 1, len(pair))] > total[: len(tokens)])
+                    if not len(start):
+                        continue
+                    doc = np.searchsorted(offsets, start, "right") - 1
+                    end = offsets[doc + 1]
+                    value = total[np.minimum(start + n - 1, np.maximum(end - 1, start))] - total[start]
+                    ok = (value >= max(1, n - 1 - 2 * edits)) & (end - start >= n - edits)
+                    start, doc, value = start[ok], doc[ok], value[ok]
+                    if len(start):
+                        keep = _thinned(start, doc, value, max(1, edits // 2))
+                        found.append((doc[keep], start[keep], np.full(len(keep), n)))
                 if not found:
                     continue
-                doc, start, n = np.array(found, np.int64).T
-                end = offsets[doc + 1]
-                keys = walk_keys(np.append(tokens, np.zeros(max(lengths), np.uint64)), start, n, walks, places).T
+                doc, start, n = (np.concatenate(x).astype(np.int64) for x in zip(*found))
+                padded = np.append(tokens, np.zeros(max(lengths), np.uint64))
+                keys = walk_keys(padded, start, n, walks, places)
+                hit = keyed[keys & low]
+                some = np.flatnonzero(hit.any(0))
+                if not len(some):
+                    continue
+                doc, start, n, keys, hit = doc[some], start[some], n[some], keys[:, some], hit[:, some]
+                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
                 slack = (share * n).astype(np.int64)
-                a, b = np.maximum(offsets[doc], start - slack), np.minimum(end, start + n + slack)
+                a, b = np.maximum(offsets[doc], start - slack), np.minimum(offsets[doc + 1], start + n + slack)
                 yield batch_of(
                     _WINDOW, ids[doc], (start - offsets[doc]).astype(np.int32), (a - offsets[doc]).astype(np.int32), n.astype(np.int32),
-                    pa.array([tokens[x:y].view(np.int64) for x, y in zip(a, b)], _WINDOW.types[4]), lists(keys.ravel().view(np.int64), np.arange(len(doc) + 1) * walks, pa.int64()),
+                    pa.array([tokens[x:y].view(np.int64) for x, y in zip(a, b)], _WINDOW.types[4]), lists(keys.T[hit.T].view(np.int64), np.append(0, hit.sum(0).cumsum()), pa.int64()),
                 )
 
     return run
@@ -170,17 +200,16 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, share: float = 0.2,
     Items of fewer than min_words words are too short to be evidence and match nothing. Null and
     empty texts match nothing; a null doc_id or item_id is reported like others; repeated rows give
     one place. Candidates are joined by walk key, so neither the table of items nor that of windows
-    has to fit anywhere; what tasks get is a bit map of 2**22 bits and the distinct item lengths.
+    has to fit anywhere; what tasks get is three bit maps of 2**22 bits and the distinct item lengths.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
-    items = stored(rows.mapInArrow(_items(share, walks, places, min_words), "item_id long, n int, tokens array<long>, pairs array<int>, keys array<long>"), "items")
+    items = stored(rows.mapInArrow(_items(share, walks, places, min_words), "item_id long, n int, tokens array<long>, pairs array<int>, triples array<int>, keys array<long>"), "items")
     lengths = sorted(r.n for r in items.select("n").distinct().collect())
     if not lengths:
         return docs.limit(0).mapInArrow(_verify(share), "doc_id long, item_id long, start_word int, stop_word int, edits int, n_item_words int")
-    pairs = items.select(F.explode("pairs").alias("at"))
-    bits = pairs.groupBy(F.shiftright("at", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, at & 63)")).alias("bits"))
-    windows = docs.mapInArrow(_windows(dict(bits.collect()), lengths, share, walks, places), "doc_id long, start int, first int, n int, region array<long>, keys array<long>")
+    bits = lambda c: dict(items.select(F.explode(c).alias("at")).select(F.col("at").cast("long").bitwiseAND((1 << MAP_BITS) - 1).alias("at")).groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).collect())
+    windows = docs.mapInArrow(_windows(bits("pairs"), bits("triples"), bits("keys"), lengths, share, walks, places), "doc_id long, start int, first int, n int, region array<long>, keys array<long>")
     windows = stored(windows.withColumn("window", F.monotonically_increasing_id()), "windows")
     met = windows.select("window", F.explode("keys").alias("k")).join(items.select("item_id", F.explode("keys").alias("k")), "k").select("window", "item_id").distinct()
     both = met.join(windows.drop("keys", "start", "n"), "window").join(items.select(F.col("item_id").alias("i"), "tokens"), F.expr("item_id <=> i")).select("doc_id", "first", "item_id", "region", "tokens")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from wallscan.llm.common import batch_of, stored, text_or_empty
 
 STEM = 4
-_MODEL = "term long, weight double, factors array<double>"
+_MODEL = "is_bias boolean, term long, weight double, factors array<double>"
 _SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -29,10 +29,11 @@ def terms(text: str = "text"):
     return F.concat(F.transform(found, lambda w: F.xxhash64(w)), F.transform(stems, lambda w: F.xxhash64(w, F.lit(STEM))))
 
 
-def fit_machine(rows: list[np.ndarray], toxic: np.ndarray, rank: int = 4, passes: int = 12, batch: int = 512, rate: float = 0.3, l1: float = 3e-4, least_rows: int = 3, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def fit_machine(rows: list[np.ndarray], toxic: np.ndarray, rank: int = 4, steps: int = 600, rate: float = 0.3, l1: float = 3e-4, least_rows: int = 3, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Terms, weights, factors and bias by proximal AdaGrad on the log loss; the penalty sets the weights of noise to zero.
 
-    Terms of fewer than least_rows rows are left out."""
+    Terms of fewer than least_rows rows are left out. Batches hold a fortieth of the rows (32 to 512), and
+    there are at least `steps` of them and twelve passes."""
     lengths = np.array([len(r) for r in rows], np.int64)
     flat = np.concatenate(rows) if len(rows) else np.empty(0, np.int64)
     keys, index, seen = np.unique(flat, return_inverse=True, return_counts=True)
@@ -47,7 +48,8 @@ def fit_machine(rows: list[np.ndarray], toxic: np.ndarray, rank: int = 4, passes
     gw, gv, gb = np.full(len(keys), 1e-2), np.full((len(keys), rank), 1e-2), 1e-2
     if not len(keys) or len(set(toxic.tolist())) < 2:
         return keys[:0], w[:0], v[:0], 0.0
-    for _ in range(passes):
+    batch = int(np.clip(len(rows) // 40, 32, 512))
+    for _ in range(max(12, -(-steps * batch // len(rows)))):
         order = rng.permutation(len(rows))
         for lo in range(0, len(order), batch):
             some = order[lo : lo + batch]
@@ -97,13 +99,13 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 6_000, most_
         toxic = data["toxic"].to_numpy(np.float64)
         keys, w, v, bias = fit_machine(list(data["terms"]), toxic, rank)
         order = np.argsort(-(np.abs(w) + (v**2).sum(1)), kind="stable")[:most_terms]
-        yield pd.DataFrame({"term": keys[order], "weight": w[order], "factors": list(v[order])})
-        yield pd.DataFrame({"term": [None], "weight": [bias + np.log(max((toxic == 0).sum(), 1) / max((toxic == 1).sum(), 1))], "factors": [[0.0] * rank]}).astype({"term": "Int64"})
+        yield pd.DataFrame({"is_bias": False, "term": keys[order], "weight": w[order], "factors": list(v[order])})
+        yield pd.DataFrame({"is_bias": [True], "term": [0], "weight": [bias + np.log(max((toxic == 0).sum(), 1) / max((toxic == 1).sum(), 1))], "factors": [[0.0] * rank]})
 
     model = stored(rows.repartition(1).mapInPandas(fit, _MODEL), "machine").toPandas()
     prior = np.log(max(counts.get(1, 0), 1) / max(counts.get(0, 0), 1))
-    known = model[model["term"].notna()].astype({"term": "int64"}).sort_values("term")
-    bias = float(model[model["term"].isna()]["weight"].sum()) + prior
+    known = model[~model["is_bias"]].sort_values("term")
+    bias = float(model[model["is_bias"]]["weight"].sum()) + prior
     factors = np.stack(known["factors"].to_list()) if len(known) else np.zeros((0, rank))
     return known["term"].to_numpy(), known["weight"].to_numpy(), factors, bias
 

@@ -124,9 +124,9 @@ query("o21_scanline_layout", _layout, with_ctes("arc vertices", f"SELECT 'radial
 
 
 def _arith():
-    return F.pmod(F.col("point_id") * 7919 + 13, F.lit(1_000_003))
+    return F.pmod(F.col("point_id") % 1_000_003 * 7919 + 13, F.lit(1_000_003))
 
 
-query("t6_sample_points", lambda f: clouds.sample_points(f.points, n=500, key=_arith()), with_ctes("points", "SELECT * FROM points ORDER BY (point_id * 7919 + 13) % 1000003, point_id LIMIT 500"))
-query("t6_sample_fraction", lambda f: clouds.sample_points(f.points, fraction=0.1, key=_arith()), with_ctes("points", "SELECT point_id, x, y, z FROM (SELECT *, row_number() OVER (ORDER BY (point_id * 7919 + 13) % 1000003, point_id) AS r FROM points) WHERE r <= floor((SELECT count(*) FROM points) * 0.1e0)"))
+query("t6_sample_points", lambda f: clouds.sample_points(f.points, n=500, key=_arith()), with_ctes("points", "SELECT * FROM points ORDER BY ((point_id % 1000003) * 7919 + 13) % 1000003, point_id LIMIT 500"))
+query("t6_sample_fraction", lambda f: clouds.sample_points(f.points, fraction=0.1, key=_arith()), with_ctes("points", "SELECT point_id, x, y, z FROM (SELECT *, row_number() OVER (ORDER BY ((point_id % 1000003) * 7919 + 13) % 1000003, point_id) AS r FROM points) WHERE r <= floor((SELECT count(*) FROM points) * 0.1e0)"))
 query("s11_quantise_points", lambda f: clouds.quantise(f.points), with_ctes("points", "SELECT point_id, " + ", ".join(f"round_even(({d} - {d}_off) / 0.001e0, 0)::INT AS q{d}, {d}_off" for d in "xyz") + " FROM points, (SELECT " + ", ".join(f"min({d}) AS {d}_off" for d in "xyz") + " FROM points)"))

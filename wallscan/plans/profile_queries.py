@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wallscan.functions.geometry import r6
-from wallscan.operators import planes, profiles as pr
-from wallscan.plans.fixtures import EVERY, START, STEP, Fixtures, r6 as sql6, with_ctes
+from wallscan.operators import profiles as pr
+from wallscan.operators.neighbours import checkpointed
+from wallscan.plans.fixtures import EVERY, Fixtures, r6 as sql6, with_ctes
 from wallscan.plans.registry import query
 from wallscan.sources import store
 
@@ -23,11 +24,7 @@ def red(f: Fixtures):
     return pr.overhangs(pr.path_edges(nodes(f)))
 
 
-def with_space(f: Fixtures, groups):
-    return groups
-
-
-# Components, ordered nodes and overhangs of the broken wall, as SQL. A profile there is a chain that falls all the way, so the way
+# Components, ordered nodes, overhangs and groups of the broken wall, as SQL. A profile there is a chain that falls all the way, so the way
 # from its highest to its lowest node is the chain itself.
 REC = {
     "ends": "(SELECT k, aax AS x, aay AS y, aaz AS z, x1 AS px, y1 AS py, z1 AS pz, u1 AS u, v1 AS v, bbx AS ox, bby AS oy, bbz AS oz FROM keyed_g UNION ALL SELECT k, bbx, bby, bbz, x2, y2, z2, u2, v2, aax, aay, aaz FROM keyed_g)",
@@ -35,7 +32,6 @@ REC = {
     "rooted": "(SELECT k, x, y, z, min(struct_pack(a := rx, b := ry, c := rz)) AS root FROM reach GROUP BY 1, 2, 3, 4)",
     "placed": "(SELECT k, x, y, z, (dense_rank() OVER (PARTITION BY k ORDER BY root) - 1)::INT AS path_id FROM rooted)",
     "node": "(SELECT e.k, p.path_id, e.x AS kx, e.y AS ky, e.z AS kz, min(px) AS x, min(py) AS y, min(pz) AS z, min(u) AS u, min(v) AS v, count(*) AS degree FROM ends e JOIN placed p ON p.k = e.k AND p.x = e.x AND p.y = e.y AND p.z = e.z GROUP BY 1, 2, 3, 4, 5)",
-    "ordered": "(SELECT *, (row_number() OVER (PARTITION BY k, path_id ORDER BY kz DESC, hops) - 1)::INT AS ord FROM (SELECT *, 0 AS hops FROM node))",
 }
 WALK = {
     **{n: REC[n] for n in ("ends", "reach", "rooted", "placed", "node")},
@@ -83,7 +79,8 @@ query("a6_degree_histogram", lambda f: pr.degree_histogram(f.segments()), with_c
 query("a7_unique_nodes", lambda f: pr.unique_nodes(f.segments()), with_ctes("keyed", "SELECT k, x AS kx, y AS ky, z AS kz FROM deg", {"deg": _DEG}))
 query("o1_components", lambda f: paths(f).select("k", "face_id", "path_id"), walk("SELECT s.k, s.face_id, p.path_id FROM keyed_g s JOIN placed p ON p.k = s.k AND p.x = s.aax AND p.y = s.aay AND p.z = s.aaz"))
 query("a8_path_kinds", lambda f: pr.path_kinds(paths(f)), walk("SELECT k, path_id, (sum(degree) // 2)::BIGINT AS n_segments, count(*) AS n_nodes, count(*) FILTER (degree = 1) AS loose, count(*) FILTER (degree = 1) = 0 AS closed, max(degree) <= 2 AND count(*) FILTER (degree = 1) IN (0, 2) AS simple FROM node GROUP BY 1, 2"))
-query("o2_section_paths", lambda f: pr.section_paths(paths(f)).groupBy("k", "path_id").agg(F.count("*").alias("n_nodes"), F.min_by("kz", "ord").alias("z_first"), F.max_by("kz", "ord").alias("z_last")), walk("SELECT k, path_id, count(*) AS n_nodes, min(struct_pack(a := kx, b := ky, c := kz)) FILTER (degree = 1).c AS z_first, max(struct_pack(a := kx, b := ky, c := kz)) FILTER (degree = 1).c AS z_last FROM node GROUP BY 1, 2").replace("FILTER (degree = 1).c", "FILTER (degree = 1)['c']").replace("min(struct_pack(a := kx, b := ky, c := kz)) FILTER (degree = 1)['c']", "(min(struct_pack(a := kx, b := ky, c := kz)) FILTER (degree = 1))['c']").replace("max(struct_pack(a := kx, b := ky, c := kz)) FILTER (degree = 1)['c']", "(max(struct_pack(a := kx, b := ky, c := kz)) FILTER (degree = 1))['c']"))
+_END = "({0}(struct_pack(a := kx, b := ky, c := kz)) FILTER (degree = 1))['c']"
+query("o2_section_paths", lambda f: pr.section_paths(paths(f)).groupBy("k", "path_id").agg(F.count("*").alias("n_nodes"), F.min_by("kz", "ord").alias("z_first"), F.max_by("kz", "ord").alias("z_last")), walk(f"SELECT k, path_id, count(*) AS n_nodes, {_END.format('min')} AS z_first, {_END.format('max')} AS z_last FROM node GROUP BY 1, 2"))
 query("o3_order_path", lambda f: nodes(f).select("k", "path_id", "ord", "kx", "ky", "kz"), walk("SELECT k, path_id, ord, kx, ky, kz FROM ordered"))
 query("o4_order_whole_slice", lambda f: pr.order_whole_slice(f.segments(gaps=True)).groupBy("k").agg(F.count("*").alias("n_nodes")), walk("SELECT k, count(*) AS n_nodes FROM node GROUP BY k HAVING max(path_id) = 0"))
 query("w1_path_edges", lambda f: pr.path_edges(nodes(f)).select("k", "path_id", "ord", *(r6(c).alias(c) for c in ("u1", "v1", "u2", "v2"))), walk(f"SELECT k, path_id, ord, {', '.join(f'{sql6(c)} AS {c}' for c in ('u1', 'v1', 'u2', 'v2'))} FROM pair"))
@@ -167,7 +164,7 @@ def _stored_slices(f: Fixtures):
 def _stored_results(f: Fixtures):
     """Groups written in three batches, one of them twice, and read back."""
     path = _scratch(f, "results")
-    groups = pr.group_centroids(span(f)).select("k", "path_id", "group_id", "n_nodes").checkpoint() if f.spark.sparkContext.getCheckpointDir() else pr.group_centroids(span(f)).select("k", "path_id", "group_id", "n_nodes")
+    groups = checkpointed(pr.group_centroids(span(f)).select("k", "path_id", "group_id", "n_nodes"))
     for batch in (0, 1, 2, 1):
         store.append_results(groups.where(F.col("k") % 3 == batch), path, batch)
     return store.read_results(f.spark, path).drop("batch")

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 BAND = 64
+#: Up to so many keys are sent to every task.
+MOST_KEYS = 1_000_000
 
 
 def arc_of(config: DataFrame) -> DataFrame:
@@ -31,7 +33,9 @@ def write_slices(segments: DataFrame, path: str) -> None:
 def read_slices(spark: SparkSession, path: str, keys: DataFrame) -> DataFrame:
     """Slices whose k is in keys(k)."""
     wanted = keys.select("k", F.floor(F.col("k") / BAND).cast("int").alias("band")).distinct()
-    return spark.read.parquet(path).join(F.broadcast(wanted), ["band", "k"], "left_semi").drop("band") if wanted.count() <= 1_000_000 else spark.read.parquet(path).join(wanted, ["band", "k"], "left_semi").drop("band")
+    if wanted.limit(MOST_KEYS + 1).count() <= MOST_KEYS:
+        wanted = F.broadcast(wanted)
+    return spark.read.parquet(path).join(wanted, ["band", "k"], "left_semi").drop("band")
 
 
 def append_results(results: DataFrame, path: str, batch: int) -> None:

@@ -545,7 +545,7 @@ def test_machine_learns_pairs():
         a, b = rng.integers(0, 2, 2)
         rows.append(np.unique(np.concatenate([rng.integers(10, 60, 6), [1] if a else [2], [3] if b else [4]])))
         toxic.append(float(a == b))
-    keys, w, v, bias = toxicity.fit_machine(rows[:2000], np.array(toxic[:2000]), steps=2000)
+    keys, w, v, bias = toxicity.fit_machine(np.concatenate(rows[:2000]), np.array([len(r) for r in rows[:2000]]), np.array(toxic[:2000]), steps=2000)
     at = {k: i for i, k in enumerate(keys.tolist())}
 
     def score(row):
@@ -578,3 +578,31 @@ def test_toxicity(spark, odd, none):
     assert len(scores) == odd.count() and len({r.score for r in scores if r.doc_id in (0, 1)}) == 1
     assert toxicity.toxicity(none, table).count() == 0 and toxicity.toxicity(odd, table.limit(0)).count() == odd.count()
     assert toxicity.drop_toxic(docs, table).columns == docs.columns
+
+
+def test_oracles(spark):
+    from tests.oracle import connection, differences
+    from wallscan.llm.queries import ORACLES, QUERIES
+
+    sf_dir = "/root/testdata/sf0.001"
+    con = connection(sf_dir)
+    for name, sql in ORACLES.items():
+        assert not differences(QUERIES[name](spark, sf_dir), con, sql), name
+
+
+def test_pipeline(spark):
+    """Every stage keeps the columns of documents, and the last packs what is left; no near-duplicates or leaks are."""
+    import corpus_pipeline
+    from wallscan.llm.common import stored, table
+
+    sf_dir = "/root/testdata/sf0.001"
+    docs = table(spark, sf_dir, "documents")
+    columns, kept = docs.columns, docs.count()
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir), "stage")
+        assert docs.columns == columns and 0.5 * kept < docs.count() <= kept
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    order = sorted(texts)
+    assert all(c == i for i, (_, c) in brute_components([texts[i] for i in order], 5, 80).items())
+    assert decontam.contaminated(docs, table(spark, sf_dir, "benchmark")).count() == 0
+    assert {r.doc_id for r in corpus_pipeline.run(spark, sf_dir).collect()} == set(texts)

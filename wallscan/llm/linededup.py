@@ -23,6 +23,7 @@ from wallscan.llm.hashing import mix, span_hashes
 
 _LINES = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("chars", pa.int32()), ("h1", pa.int64()), ("h2", pa.int32())])
 _KEYS = pa.schema([("h1", pa.int64()), ("indexed", pa.list_(pa.int64())), ("probes", pa.list_(pa.int64()))])
+_FINE = pa.schema([("h1", pa.int64()), ("parities", pa.int64()), ("indexed", pa.list_(pa.int64())), ("probes", pa.list_(pa.int64()))])
 _TEXTS = pa.schema([("h1", pa.int64()), ("said", pa.string())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.int32())])
 _CLEAN = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.int32())), ("text", pa.string()), ("kept_sha256", pa.string())])
@@ -100,6 +101,13 @@ def segment_keys(lines: list[str], edits: int) -> tuple[np.ndarray, np.ndarray]:
     return indexed, np.stack(probes, 1)
 
 
+def letter_parities(lines: list[str]) -> np.ndarray:
+    """64 bits for each line: whether the characters of each of 64 classes are odd in number. An edit changes two bits at most."""
+    points = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
+    starts = np.append(0, np.cumsum([len(x) for x in lines]))[:-1]
+    return np.bitwise_xor.reduceat(np.uint64(1) << (mix(points + np.uint64(99)) & np.uint64(63)), starts).view(np.int64) if len(points) else np.zeros(len(lines), np.int64)
+
+
 def fine_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of four of six segments of each line, and the keys of its substrings that could be those of a line as long or up to two shorter.
 
@@ -201,7 +209,7 @@ def _fine(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in blocks(whole, "said", 1 << 18):
             lines = batch.column("said").to_pylist()
             indexed, probes = fine_keys(lines)
-            yield batch_of(_KEYS, batch.column("h1"), *(lists(k.ravel().view(np.int64), np.arange(len(lines) + 1) * k.shape[1], pa.int64()) for k in (indexed, probes)))
+            yield batch_of(_FINE, batch.column("h1"), letter_parities(lines), *(lists(k.ravel().view(np.int64), np.arange(len(lines) + 1) * k.shape[1], pa.int64()) for k in (indexed, probes)))
 
 
 def _wanted(bits: dict[int, int]):
@@ -256,9 +264,10 @@ def near_lines(documents: DataFrame, edits: int = 2, min_chars: int = 20, most:
     found = documents.mapInArrow(_wanted(dict(bits.collect())), "h1 long, said string")
     found = stored(found.join(wanted.select("h1"), "h1", "left_semi").groupBy("h1").agg(F.min("said").alias("said")), "line-texts")
     if edits == 2 and not crowd.isEmpty():
-        fine = stored(found.join(crowd, "h1", "left_semi").mapInArrow(_fine, "h1 long, indexed array<long>, probes array<long>"), "fine-segments")
-        near = fine.select(F.explode("indexed").alias("k"), F.col("h1").alias("a")).where("k != 0").join(fine.select(F.explode("probes").alias("k"), F.col("h1").alias("b")).where("k != 0"), "k")
-        pairs = pairs.unionByName(near.where("a != b").select(*pair)).distinct()
+        fine = stored(found.join(crowd, "h1", "left_semi").mapInArrow(_fine, "h1 long, parities long, indexed array<long>, probes array<long>"), "fine-segments")
+        side = lambda keys, line, bits: fine.select(F.explode(keys).alias("k"), F.col("h1").alias(line), F.col("parities").alias(bits)).where("k != 0")
+        near = side("indexed", "a", "p").join(side("probes", "b", "q"), "k").where(f"a != b and bit_count(p ^ q) <= {2 * edits}")
+        pairs = pairs.unionByName(near.select(*pair)).distinct()
     both = pairs.join(found.select(F.col("h1").alias("a"), F.col("said").alias("ta")), "a").join(found.select(F.col("h1").alias("b"), F.col("said").alias("tb")), "b")
     return stored(both.mapInArrow(_verify(edits, min_chars), "a long, b long, distance int"), "line-links")
 

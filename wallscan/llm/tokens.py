@@ -8,7 +8,7 @@ from array import array
 
 import numpy as np
 
-_BESIDE_SPACE = re.compile(r" \s|\s ")
+_BESIDE_SPACE = re.compile(r" (?:(?=\s)|(?<=\s ))")
 _PLAIN = re.compile("([A-Za-zÀ-ÖØ-öø-ÿ]+)([,.;:!?]?)")
 
 
@@ -25,7 +25,7 @@ class Encoder:
     alone is looked up word by word; other texts are encoded whole. At most `cached` words are kept.
     """
 
-    def __init__(self, path: str, cached: int = 300_000):
+    def __init__(self, path: str, cached: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)

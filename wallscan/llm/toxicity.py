@@ -10,7 +10,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +18,7 @@ from wallscan.llm.common import batch_of, stored, text_or_empty
 
 STEM = 4
 _MODEL = "is_bias boolean, term long, weight double, factors array<double>"
+_FITTED = pa.schema([("is_bias", pa.bool_()), ("term", pa.int64()), ("weight", pa.float64()), ("factors", pa.list_(pa.float64()))])
 _SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -29,28 +29,30 @@ def terms(text: str = "text"):
     return F.concat(F.transform(found, lambda w: F.xxhash64(w)), F.transform(stems, lambda w: F.xxhash64(w, F.lit(STEM))))
 
 
-def fit_machine(rows: list[np.ndarray], toxic: np.ndarray, rank: int = 4, steps: int = 600, rate: float = 0.3, l1: float = 3e-4, least_rows: int = 3, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+def fit_machine(flat: np.ndarray, lengths: np.ndarray, toxic: np.ndarray, rank: int = 4, steps: int = 600, rate: float = 0.3, l1: float = 3e-4, least_rows: int = 3, seed: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
     """Terms, weights, factors and bias by proximal AdaGrad on the log loss; the penalty sets the weights of noise to zero.
 
-    Terms of fewer than least_rows rows are left out. Batches hold a fortieth of the rows (32 to 512), and
-    there are at least `steps` of them and twelve passes."""
-    lengths = np.array([len(r) for r in rows], np.int64)
-    flat = np.concatenate(rows) if len(rows) else np.empty(0, np.int64)
-    keys, index, seen = np.unique(flat, return_inverse=True, return_counts=True)
-    keep = seen >= least_rows
-    number = np.cumsum(keep) - 1
-    row = np.repeat(np.arange(len(rows)), lengths)
-    used = keep[index]
-    index, row, keys = number[index[used]], row[used], keys[keep]
-    offsets = np.searchsorted(row, np.arange(len(rows) + 1))
+    flat holds the terms of all rows, lengths how many each row has. Terms of fewer than least_rows rows
+    are left out. Batches hold a fortieth of the rows (32 to 512), and there are at least `steps` of them
+    and twelve passes."""
+    n_rows = len(lengths)
+    order = np.sort(flat)
+    first = np.flatnonzero(np.append(True, order[1:] != order[:-1])) if len(order) else np.empty(0, np.int64)
+    keys = order[first][np.diff(np.append(first, len(order))) >= least_rows]
+    del order
+    index = np.minimum(np.searchsorted(keys, flat), max(len(keys) - 1, 0)).astype(np.int32)
+    used = keys[index] == flat if len(keys) else np.zeros(len(flat), bool)
+    index, row = index[used], np.repeat(np.arange(n_rows, dtype=np.int32), lengths)[used]
+    del used
+    offsets = np.searchsorted(row, np.arange(n_rows + 1))
     rng = np.random.default_rng(seed)
     w, v, bias = np.zeros(len(keys)), rng.normal(0, 0.02, (len(keys), rank)), 0.0
     gw, gv, gb = np.full(len(keys), 1e-2), np.full((len(keys), rank), 1e-2), 1e-2
     if not len(keys) or len(set(toxic.tolist())) < 2:
         return keys[:0], w[:0], v[:0], 0.0
-    batch = int(np.clip(len(rows) // 40, 32, 512))
-    for _ in range(max(12, -(-steps * batch // len(rows)))):
-        order = rng.permutation(len(rows))
+    batch = int(np.clip(n_rows // 40, 32, 512))
+    for _ in range(max(12, -(-steps * batch // n_rows))):
+        order = rng.permutation(n_rows)
         for lo in range(0, len(order), batch):
             some = order[lo : lo + batch]
             size = offsets[some + 1] - offsets[some]
@@ -91,18 +93,19 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 6_000, most_
     chosen = F.broadcast(sides[0].unionByName(sides[1]))  # at most 2 * per_class rows of two numbers
     rows = documents.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(chosen, "doc_id").select("toxic", "doc_id", terms().alias("terms"))
 
-    def fit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        got = [b for b in batches if len(b)]
+    def fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [b for b in batches if b.num_rows]
         if not got:
             return
-        data = pd.concat(got).sort_values("doc_id", kind="stable")
-        toxic = data["toxic"].to_numpy(np.float64)
-        keys, w, v, bias = fit_machine(list(data["terms"]), toxic, rank)
-        order = np.argsort(-(np.abs(w) + (v**2).sum(1)), kind="stable")[:most_terms]
-        yield pd.DataFrame({"is_bias": False, "term": keys[order], "weight": w[order], "factors": list(v[order])})
-        yield pd.DataFrame({"is_bias": [True], "term": [0], "weight": [bias + np.log(max((toxic == 0).sum(), 1) / max((toxic == 1).sum(), 1))], "factors": [[0.0] * rank]})
-
-    model = stored(rows.repartition(1).mapInPandas(fit, _MODEL), "machine").toPandas()
+        got = pa.Table.from_batches(got).sort_by("doc_id")
+        toxic, found = got["toxic"].to_numpy().astype(np.float64), got["terms"].combine_chunks()
+        keys, w, v, bias = fit_machine(found.flatten().to_numpy(), found.value_lengths().to_numpy().astype(np.int64), toxic, rank)
+        top = np.argsort(-(np.abs(w) + (v**2).sum(1)), kind="stable")[:most_terms]
+        share = np.log(max((toxic == 0).sum(), 1) / max((toxic == 1).sum(), 1))
+        yield batch_of(_FITTED, [False] * len(top), keys[top], w[top], list(v[top]))
+        yield batch_of(_FITTED, [True], [0], [bias + share], [[0.0] * rank])
+
+    model = stored(rows.repartition(1).mapInArrow(fit, _MODEL), "machine").toPandas()
     prior = np.log(max(counts.get(1, 0), 1) / max(counts.get(0, 0), 1))
     known = model[~model["is_bias"]].sort_values("term")
     bias = float(model[model["is_bias"]]["weight"].sum()) + prior
@@ -115,18 +118,18 @@ def score(documents: DataFrame, model: tuple) -> DataFrame:
     keys, w, v, bias = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found = batch.column("terms")
-            lengths = found.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-            flat = found.flatten().to_numpy(zero_copy_only=False)
-            at = np.minimum(np.searchsorted(keys, flat), max(len(keys) - 1, 0))
-            hit = np.flatnonzero(keys[at] == flat) if len(keys) else np.empty(0, np.int64)
-            row = np.repeat(np.arange(len(lengths)), lengths)[hit]
-            at = at[hit] if len(keys) else hit
-            n = len(lengths)
-            sums = np.stack([np.bincount(row, v[at, f], n) for f in range(v.shape[1])], 1)
-            z = bias + np.bincount(row, w[at], n) + 0.5 * ((sums**2).sum(1) - np.bincount(row, (v[at] ** 2).sum(1), n))
-            yield batch_of(_SCORES, batch.column("doc_id"), 1 / (1 + np.exp(-np.clip(z, -30, 30))))
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 500):  # few rows at a time: a long text has many terms
+                batch = whole.slice(lo, 500)
+                found = batch.column("terms")
+                lengths = found.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+                flat = found.flatten().to_numpy(zero_copy_only=False)
+                at = np.minimum(np.searchsorted(keys, flat), max(len(keys) - 1, 0))
+                hit = np.flatnonzero(keys[at] == flat) if len(keys) else np.empty(0, np.int64)
+                row, at, n = np.repeat(np.arange(len(lengths)), lengths)[hit], at[hit], len(lengths)
+                sums = np.stack([np.bincount(row, v[at, f], n) for f in range(v.shape[1])], 1)
+                z = bias + np.bincount(row, w[at], n) + 0.5 * ((sums**2).sum(1) - np.bincount(row, (v[at] ** 2).sum(1), n))
+                yield batch_of(_SCORES, batch.column("doc_id"), 1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), terms().alias("terms")).mapInArrow(run, "doc_id long, score double")
 

@@ -289,6 +289,22 @@ def test_contaminated(spark):
     assert len(want) >= 150 and len(set(got) & set(want)) >= 0.97 * len(want)
 
 
+def test_contaminated_beside_richer_places(spark):
+    """An item at its limit of edits is found also where other items or parts of them follow or precede it."""
+    rng = random.Random(21)
+    items = [(i, " ".join(f"w{rng.randrange(5000)}" for _ in range(40))) for i in range(60)]
+    texts = []
+    for i in range(60):
+        w, other, third = (words(items[(i + d) % 60][1]) for d in (0, 1, 2))
+        for k in range(8):
+            w[2 + 5 * k] = f"q{k}"
+        texts.append(" ".join([[*w, *other], [*w, *other[:20]], [*third[20:], *w], [*other, *w, *third]][i % 4]))
+    rows = decontam.contaminated(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id) for r in rows}
+    for kind in range(4):
+        assert sum((i, i) in got for i in range(kind, 60, 4)) >= 12, kind
+
+
 def test_infix_distance():
     rng = random.Random(12)
     for _ in range(500):

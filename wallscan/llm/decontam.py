@@ -7,8 +7,9 @@ and the exact edit distance to the item decides.
 
 Walking every window of every document would cost hundreds of operations a word. An item of n words
 with e edits keeps at least n - 1 - 2e of its pairs and n - 2 - 3e of its triples of neighbouring
-words, so windows with fewer of those known from any item can't match; bit maps of fixed size hold
-them, and the walk keys of all items. A fuller map lets more windows through and never fewer.
+words, so windows of n words with fewer of those known from items of n words can't match. Maps of
+fixed size hold the pairs and triples with the lengths (modulo 64) of their items, and the walk keys of
+all items. A fuller map lets more windows through and never fewer; every window let through is walked.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from wallscan.llm.common import batch_of, blocks, lists, stored, text_or_empty, utf8
 from wallscan.llm.hashing import mix, runs, words
 
-MAP_BITS = 22
+SLOT_BITS, KEY_BITS = 18, 25
 _ITEM = pa.schema([("item_id", pa.int64()), ("n", pa.int32()), ("tokens", pa.list_(pa.int64())), ("pairs", pa.list_(pa.int32())), ("triples", pa.list_(pa.int32())), ("keys", pa.list_(pa.int64()))])
 _WINDOW = pa.schema([("doc_id", pa.int64()), ("start", pa.int32()), ("first", pa.int32()), ("n", pa.int32()), ("region", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 _HIT = pa.schema([("doc_id", pa.int64()), ("item_id", pa.int64()), ("start_word", pa.int32()), ("stop_word", pa.int32()), ("edits", pa.int32()), ("n_item_words", pa.int32())])
@@ -77,7 +78,7 @@ def _items(share: float, walks: int, places: int, min_words: int):
             sizes = np.diff(offsets)
             some = np.flatnonzero(sizes >= min_words)
             keys = walk_keys(tokens, offsets[some], sizes[some], walks, places).T
-            pairs, triples = ((mix(runs(tokens, k)) & np.uint64((1 << MAP_BITS) - 1)).astype(np.int32) for k in (2, 3))
+            pairs, triples = ((mix(runs(tokens, k)) & np.uint64((1 << SLOT_BITS) - 1)).astype(np.int32) for k in (2, 3))
             ids = batch.column("item_id").to_numpy(zero_copy_only=False)
             yield batch_of(
                 _ITEM, ids[some], sizes[some].astype(np.int32),
@@ -88,11 +89,11 @@ def _items(share: float, walks: int, places: int, min_words: int):
     return run
 
 
-def _filled(bits: dict[int, int]) -> np.ndarray:
-    packed = np.zeros(1 << MAP_BITS - 6, np.uint64)
-    for word, value in bits.items():
-        packed[word] = value & (1 << 64) - 1
-    return packed
+def _filled(values: dict[int, int], size: int) -> np.ndarray:
+    filled = np.zeros(size, np.uint64)
+    for at, value in values.items():
+        filled[at] = value & (1 << 64) - 1
+    return filled
 
 
 def _dense_starts(hits: np.ndarray, n: int, need: int, inner: int) -> np.ndarray:
@@ -107,71 +108,57 @@ def _dense_starts(hits: np.ndarray, n: int, need: int, inner: int) -> np.ndarray
     return np.unique(np.repeat(lo - np.append(0, size.cumsum()[:-1]), size) + np.arange(size.sum())) if len(size) else first
 
 
-def _thinned(start: np.ndarray, doc: np.ndarray, value: np.ndarray, reach: int) -> np.ndarray:
-    """Of windows close to each other the ones with the greatest value; of equal ones, one for each `reach` places and the last."""
-    best = value.copy()
-    for d in range(1, min(reach, len(start) - 1) + 1):
-        near = (start[d:] - start[:-d] <= reach) & (doc[d:] == doc[:-d])
-        best[:-d] = np.maximum(best[:-d], np.where(near, value[d:], -1))
-        best[d:] = np.maximum(best[d:], np.where(near, value[:-d], -1))
-    top = np.flatnonzero(value == best)
-    s, d = start[top], doc[top]
-    new = np.ones(len(top), bool)
-    new[1:] = (np.diff(s) > reach) | (d[1:] != d[:-1])
-    run = s[np.flatnonzero(new)][np.cumsum(new) - 1]
-    last = np.append(new[1:], True)
-    return top[((s - run) % reach == 0) | last]
-
-
-def _windows(pair_bits: dict[int, int], triple_bits: dict[int, int], key_bits: dict[int, int], lengths: list[int], share: float, walks: int, places: int):
-    packed = [_filled(b) for b in (pair_bits, triple_bits, key_bits)]
+def _windows(pairs: dict[int, int], triples: dict[int, int], keyed: dict[int, int], lengths: list[int], share: float, walks: int, places: int):
+    filled = [_filled(pairs, 1 << SLOT_BITS), _filled(triples, 1 << SLOT_BITS), _filled(keyed, 1 << KEY_BITS - 6)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs, triples, keyed = (np.unpackbits(p.view(np.uint8), bitorder="little").view(bool) for p in packed)
-        low = np.uint64((1 << MAP_BITS) - 1)
+        pairs, triples, keyed = filled
+        slot, low = np.uint64((1 << SLOT_BITS) - 1), np.uint64((1 << KEY_BITS) - 1)
         for whole in batches:
             for batch in blocks(whole, limit=1 << 21):
                 tokens, offsets = words(*utf8(batch.column("text")), lower=True, letters=True)
                 if len(tokens) < 3:
                     continue
-                pair, triple = pairs[mix(runs(tokens, 2)) & low], triples[mix(runs(tokens, 3)) & low]
+                pair, triple = pairs[mix(runs(tokens, 2)) & slot], triples[mix(runs(tokens, 3)) & slot]
                 inner = offsets[1:-1][(offsets[1:-1] > 0) & (offsets[1:-1] < len(tokens))]
-                pair[inner - 1] = False  # words of two texts
-                triple[inner[inner <= len(triple)] - 1] = False
-                triple[inner[inner > 1] - 2] = False
-                total, hits = np.append(0, np.cumsum(pair)), np.flatnonzero(triple)
+                pair[inner - 1] = 0  # words of two texts
+                triple[inner[inner <= len(triple)] - 1] = 0
+                triple[inner[inner > 1] - 2] = 0
+                pair_at, triple_at = np.flatnonzero(pair), np.flatnonzero(triple)
+                pair, triple = pair[pair_at], triple[triple_at]
                 found = []
                 for n in lengths:
-                    edits = int(share * n)
+                    edits, bit = int(share * n), np.uint64(n % 64)
                     need = n - 2 - 3 * edits
-                    start = _dense_starts(hits, n, need, 3) if need > 0 else np.flatnonzero(total[np.minimum(np.arange(len(tokens)) + n - 1, len(pair))] > total[: len(tokens)])
+                    hits = pair_at[(pair >> bit & np.uint64(1)).astype(bool)]
+                    start = _dense_starts(triple_at[(triple >> bit & np.uint64(1)).astype(bool)], n, need, 3) if need > 0 else _dense_starts(hits, n, 1, 2)
                     if not len(start):
                         continue
                     doc = np.searchsorted(offsets, start, "right") - 1
                     end = offsets[doc + 1]
-                    value = total[np.minimum(start + n - 1, np.maximum(end - 1, start))] - total[start]
+                    value = np.searchsorted(hits, np.minimum(start + n, end) - 1) - np.searchsorted(hits, start)
                     ok = (value >= max(1, n - 1 - 2 * edits)) & (end - start >= n - edits)
-                    start, doc, value = start[ok], doc[ok], value[ok]
-                    if len(start):
-                        keep = _thinned(start, doc, value, max(1, edits // 2))
-                        found.append((doc[keep], start[keep], np.full(len(keep), n)))
+                    found.append((doc[ok], start[ok], np.full(ok.sum(), n)))
                 if not found:
                     continue
-                doc, start, n = (np.concatenate(x).astype(np.int64) for x in zip(*found))
-                padded = np.append(tokens, np.zeros(max(lengths), np.uint64))
-                keys = walk_keys(padded, start, n, walks, places)
-                hit = keyed[keys & low]
-                some = np.flatnonzero(hit.any(0))
-                if not len(some):
-                    continue
-                doc, start, n, keys, hit = doc[some], start[some], n[some], keys[:, some], hit[:, some]
                 ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-                slack = (share * n).astype(np.int64)
-                a, b = np.maximum(offsets[doc], start - slack), np.minimum(offsets[doc + 1], start + n + slack)
-                yield batch_of(
-                    _WINDOW, ids[doc], (start - offsets[doc]).astype(np.int32), (a - offsets[doc]).astype(np.int32), n.astype(np.int32),
-                    pa.array([tokens[x:y].view(np.int64) for x, y in zip(a, b)], _WINDOW.types[4]), lists(keys.T[hit.T].view(np.int64), np.append(0, hit.sum(0).cumsum()), pa.int64()),
-                )
+                padded = np.append(tokens, np.zeros(max(lengths), np.uint64))
+                every = [np.concatenate(x).astype(np.int64) for x in zip(*found)]
+                step = max(1, (1 << 20) // walks)
+                for lo in range(0, len(every[0]), step):
+                    doc, start, n = (x[lo : lo + step] for x in every)
+                    keys = walk_keys(padded, start, n, walks, places)
+                    hit = (keyed[(keys & low) >> np.uint64(6)] >> (keys & np.uint64(63)) & np.uint64(1)).astype(bool)
+                    some = np.flatnonzero(hit.any(0))
+                    if not len(some):
+                        continue
+                    doc, start, n, keys, hit = doc[some], start[some], n[some], keys[:, some], hit[:, some]
+                    slack = (share * n).astype(np.int64)
+                    a, b = np.maximum(offsets[doc], start - slack), np.minimum(offsets[doc + 1], start + n + slack)
+                    yield batch_of(
+                        _WINDOW, ids[doc], (start - offsets[doc]).astype(np.int32), (a - offsets[doc]).astype(np.int32), n.astype(np.int32),
+                        pa.array([tokens[x:y].view(np.int64) for x, y in zip(a, b)], _WINDOW.types[4]), lists(keys.T[hit.T].view(np.int64), np.append(0, hit.sum(0).cumsum()), pa.int64()),
+                    )
 
     return run
 
@@ -200,7 +187,8 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, share: float = 0.2,
     Items of fewer than min_words words are too short to be evidence and match nothing. Null and
     empty texts match nothing; a null doc_id or item_id is reported like others; repeated rows give
     one place. Candidates are joined by walk key, so neither the table of items nor that of windows
-    has to fit anywhere; what tasks get is three bit maps of 2**22 bits and the distinct item lengths.
+    has to fit anywhere; what tasks get is two maps of 2**18
+    words of 64 bits, a bit map of 2**25 bits and the distinct item lengths.
     """
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     rows = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_or_empty().alias("text"))
@@ -208,8 +196,10 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, share: float = 0.2,
     lengths = sorted(r.n for r in items.select("n").distinct().collect())
     if not lengths:
         return docs.limit(0).mapInArrow(_verify(share), "doc_id long, item_id long, start_word int, stop_word int, edits int, n_item_words int")
-    bits = lambda c: dict(items.select(F.explode(c).alias("at")).select(F.col("at").cast("long").bitwiseAND((1 << MAP_BITS) - 1).alias("at")).groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).collect())
-    windows = docs.mapInArrow(_windows(bits("pairs"), bits("triples"), bits("keys"), lengths, share, walks, places), "doc_id long, start int, first int, n int, region array<long>, keys array<long>")
+    known = lambda c: dict(items.select(F.explode(c).alias("at"), "n").groupBy("at").agg(F.bit_or(F.expr("shiftleft(1L, n % 64)")).alias("lengths")).collect())
+    at = items.select(F.explode("keys").alias("at")).select(F.col("at").bitwiseAND((1 << KEY_BITS) - 1).alias("at"))
+    keyed = dict(at.groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits")).collect())
+    windows = docs.mapInArrow(_windows(known("pairs"), known("triples"), keyed, lengths, share, walks, places), "doc_id long, start int, first int, n int, region array<long>, keys array<long>")
     windows = stored(windows.withColumn("window", F.monotonically_increasing_id()), "windows")
     met = windows.select("window", F.explode("keys").alias("k")).join(items.select("item_id", F.explode("keys").alias("k")), "k").select("window", "item_id").distinct()
     both = met.join(windows.drop("keys", "start", "n"), "window").join(items.select(F.col("item_id").alias("i"), "tokens"), F.expr("item_id <=> i")).select("doc_id", "first", "item_id", "region", "tokens")

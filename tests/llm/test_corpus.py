@@ -303,6 +303,26 @@ def test_contaminated_beside_richer_places(spark):
     got = {(r.doc_id, r.item_id) for r in rows}
     for kind in range(4):
         assert sum((i, i) in got for i in range(kind, 60, 4)) >= 12, kind
+    assert len(rows) == len(got)
+
+
+def test_contaminated_at_the_limit(spark):
+    """Recall for items of 20 to 300 words with exactly the allowed number of edits."""
+    rng = random.Random(33)
+    items, texts = [], []
+    for i in range(180):
+        n = (20, 40, 60, 100, 200, 300)[i % 6]
+        w = [f"w{rng.randrange(9000)}" for _ in range(n)]
+        items.append((i, " ".join(w)))
+        for k in range(n // 5):
+            at, kind = rng.randrange(len(w)), rng.randrange(3)
+            w[at : at + (kind != 1)] = [f"q{k}"] * (kind != 2)
+        texts.append(prose(rng, 30) + " " + " ".join(w) + " " + prose(rng, 30))
+    rows = decontam.contaminated(frame(spark, texts), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id) for r in rows}
+    for kind in range(6):
+        assert sum((i, i) in got for i in range(kind, 180, 6)) >= 28, kind
+    assert sum((i, i) in got for i in range(180)) >= 0.97 * 180
 
 
 def test_infix_distance():

@@ -18,8 +18,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedupe_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines seen before go from the texts. A document that is mostly a copy of others keeps its lines for the next stage to judge."""
-    return linededup.clean_documents(docs, copy_share=0.5)
+    """Lines seen before go from all texts, by the rule of op5. A document in which no line is new goes."""
+    return linededup.clean_documents(docs, drop_emptied=True)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -626,6 +626,18 @@ def test_oracles(spark):
         assert not differences(QUERIES[name](spark, sf_dir), con, sql), name
 
 
+def test_pipeline_removes_lines_of_mixed_copies(spark):
+    """A document that is mostly lines of several others loses them all; one with no line of its own goes."""
+    import corpus_pipeline
+
+    rng = random.Random(12)
+    lines = [prose(rng, 12) for _ in range(12)]
+    texts = ["\n".join(lines[4 * i : 4 * i + 4]) for i in range(3)]
+    texts += ["\n".join([lines[0], lines[5], "a line of its own that is new", lines[10]]), "\n".join([lines[1], "", lines[6]]), "", None]
+    got = {r.doc_id: r.text for r in corpus_pipeline.dedupe_lines(spark, frame(spark, texts), "").collect()}
+    assert got == {**{i: t for i, t in enumerate(texts) if i < 3}, 3: "a line of its own that is new", 5: "", 6: None}
+
+
 def test_pipeline(spark):
     """Every stage keeps the columns of documents, and the last packs what is left; no near-duplicates or leaks are."""
     import corpus_pipeline

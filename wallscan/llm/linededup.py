@@ -323,8 +323,11 @@ def dedupe_lines(documents: DataFrame, edits: int = 2, min_chars: int = 20, copy
     return cleaned.unionByName(unknown.mapInArrow(_clean(copy_share), _CLEAN_SQL))
 
 
-def clean_documents(documents: DataFrame, edits: int = 2, min_chars: int = 20, copy_share: float | None = None) -> DataFrame:
-    """documents with the lines that dedupe_lines keeps; rows and columns stay, and a column n_chars is counted anew."""
+def clean_documents(documents: DataFrame, edits: int = 2, min_chars: int = 20, copy_share: float | None = None, drop_emptied: bool = False) -> DataFrame:
+    """documents with the lines that dedupe_lines keeps; rows and columns stay, and a column n_chars is counted anew.
+
+    With drop_emptied, a document goes if the removal of lines leaves it blank.
+    """
     docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     gone = repeated_lines(docs, edits, min_chars).select(F.col("doc_id").alias("_id"), F.col("seen").alias("_seen"))
     out = documents.join(gone, documents.doc_id == gone._id, "left").withColumn("_lines", F.split("text", "\n", -1))
@@ -334,6 +337,8 @@ def clean_documents(documents: DataFrame, edits: int = 2, min_chars: int = 20, c
     out = out.withColumn("_gone", F.transform(F.when(copy, F.filter("_seen", lambda s: ~s.other)).otherwise(F.col("_seen")), lambda s: s.line))
     left = F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i)), "\n")
     out = out.withColumn("text", F.when(F.size("_gone") > 0, left).otherwise(F.col("text")))
+    if drop_emptied:
+        out = out.where(~F.coalesce((F.size("_gone") > 0) & ~F.col("text").rlike("\\S"), F.lit(False)))
     if "n_chars" in documents.columns:
         out = out.withColumn("n_chars", F.char_length("text").cast("long"))
     return out.select(documents.columns)

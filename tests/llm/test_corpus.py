@@ -375,6 +375,24 @@ def test_template_that_rewrites_history(spark):
     assert all(not r.loss_spans for r in rows if r.rewrites_history)
 
 
+def test_templates_that_rewrite_long_histories():
+    """Templates that forget or change early turns after many turns are reported; one that doesn't is located whole."""
+
+    def sliding(turns):
+        return chat.chatml(turns[-64:])
+
+    def remarked(turns):
+        return ("long\n" if len(turns) > 100 else "short\n") + chat.chatml(turns)
+
+    turns = [("assistant" if i % 2 else "user", f"turn {i}") for i in range(130)]
+    for template in (sliding, remarked):
+        assert chat.located(template, turns) == (template(turns), [], [], True)
+        assert not chat.located(template, turns[:60])[3]
+    text, ends, spans, rewrites = chat.located(chat.chatml, turns)
+    assert text == chat.chatml(turns) and not rewrites and ends[-1] == len(text)
+    assert [text[a:b] for a, b in spans] == [t for _, t in turns]
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer

@@ -50,30 +50,23 @@ def parsed(formatted: str) -> list[tuple[str, str]]:
     return turns
 
 
-def located(template: Template, turns: list[tuple[str, str]], full: int = 48, context: int = 4) -> tuple[str, list[int], list[tuple[int, int]], bool]:
+def located(template: Template, turns: list[tuple[str, str]]) -> tuple[str, list[int], list[tuple[int, int]], bool]:
     """Output, end of each turn's span, span of each turn's text, and whether the template rewrites history.
 
-    The first `full` prefixes are rendered whole. Later turns are rendered after the `context` turns
-    before them, so work grows with the length of a conversation and not with its square; the last
-    of the whole prefixes checks that this gives the same addition, and if not, whole prefixes go on.
+    Every prefix is rendered whole, as a template may look at any earlier turn; work grows with the
+    square of a conversation's length.
     """
-    done, ends, spans, short = "", [], [], False
-    for i, (role, text) in enumerate(turns):
-        lo = i - context if short else 0
-        before = template(turns[lo:i]) if short else done
-        now = template(turns[lo : i + 1])
-        if not now.startswith(before):
+    done, ends, spans = "", [], []
+    for i, (role, _) in enumerate(turns):
+        now = template(turns[: i + 1])
+        if not now.startswith(done):
             return template(turns), [], [], True
-        added = now[len(before) :]
-        one, two = (template([*turns[lo:i], (role, x)])[len(before) :] for x in ("X", "YY"))
+        one, two = (template([*turns[:i], (role, x)])[len(done) :] for x in ("X", "YY"))
         head = len(os.path.commonprefix([one, two]))
         tail = len(one) - head - 1
-        ends.append(len(done) + len(added))
-        spans.append((len(done) + head, len(done) + len(added) - tail))
-        if not short and i + 1 >= full and context < i:
-            last = template(turns[i - context : i])
-            short = template(turns[i - context : i + 1])[len(last) :] == added
-        done += added
+        ends.append(len(now))
+        spans.append((len(done) + head, len(now) - tail))
+        done = now
     return done, ends, spans, False
 
 

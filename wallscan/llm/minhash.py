@@ -112,8 +112,20 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataF
     return _with_texts(pairs, texts).mapInArrow(_confirm(k, percent), "a long, b long, shared long, total long")
 
 
+PARITY = 8  # longs of a parity map
+
+
+def parity_maps(values: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """For each set 64 * PARITY bits: whether the values of each of so many classes are odd in number. A value that two sets don't share changes one bit."""
+    n, bits = len(offsets) - 1, 64 * PARITY
+    at = np.repeat(np.arange(n), np.diff(offsets)) * bits + (mix(values.view(np.uint64) + np.uint64(77)) % np.uint64(bits)).astype(np.int64)
+    odd = (np.bincount(at, minlength=n * bits) & 1).astype(np.uint8)
+    return np.packbits(odd, bitorder="little").view("<i8").reshape(n, PARITY)
+
+
 def _deltas(k: int):
-    schema = pa.schema([("hub", pa.int64()), ("x", pa.int64()), ("n_hub", pa.int64()), ("n", pa.int64()), ("delta", pa.list_(pa.int64()))])
+    names = ["hub", "x", "n_hub", "n", *(f"p{i}" for i in range(PARITY))]
+    schema = pa.schema([*((n, pa.int64()) for n in names), ("delta", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -121,7 +133,8 @@ def _deltas(k: int):
                 values, at = shingle_sets(batch.column("ta"), k)
                 own, own_at = shingle_sets(batch.column("tb"), k)
                 delta = [np.setxor1d(values[at[i] : at[i + 1]], own[own_at[i] : own_at[i + 1]], assume_unique=True).view(np.int64) for i in range(batch.num_rows)]
-                yield batch_of(schema, batch.column("a"), batch.column("b"), np.diff(at), np.diff(own_at), pa.array(delta, schema.types[4]))
+                flat, ends = np.concatenate([np.empty(0, np.int64), *delta]), np.append(0, np.cumsum([len(d) for d in delta], dtype=np.int64))
+                yield batch_of(schema, batch.column("a"), batch.column("b"), np.diff(at), np.diff(own_at), *parity_maps(flat, ends).T, lists(flat, ends, pa.int64()))
 
     return run
 
@@ -133,24 +146,32 @@ def _links_beyond_hub(apart: DataFrame, links: DataFrame, docs: DataFrame, k: in
     hub. x and y are linked when |D_x xor D_y| = |x xor y| <= c (|x| + |y|), c = (100 - percent) / (100 +
     percent). If y isn't linked with the hub, |D_y| > c (|y| + |hub|), so D_x and D_y of a linked pair share
     more than (|D_x| + c (|hub| - |x|)) / 2 values, at least one. Two sets that share t values meet among
-    the |D| - t + 1 rarest of each: members meet on those only, and not in all pairs. Nothing is missed.
+    the |D| - t + 1 rarest of each: members meet on those only, and not in all pairs.
+
+    Two bounds keep a crowd that is alike in little from meeting in pairs, and neither can drop a linked
+    pair. Of the rarest value that a pair shares, the places in both sets leave room for at most 1 + min(|D_x|
+    - place_x, |D_y| - place_y) shared values. And the parity maps of D_x and D_y differ in at most |D_x xor
+    D_y| bits.
     """
     more, less = 100 + percent, 100 - percent
-    deltas = _with_texts(apart.select(F.col("hub").alias("a"), F.col("x").alias("b")), docs).mapInArrow(_deltas(k), "hub long, x long, n_hub long, n long, delta array<long>")
+    parity = [f"p{i}" for i in range(PARITY)]
+    schema = f"hub long, x long, n_hub long, n long, {', '.join(f'{p} long' for p in parity)}, delta array<long>"
+    deltas = _with_texts(apart.select(F.col("hub").alias("a"), F.col("x").alias("b")), docs).mapInArrow(_deltas(k), schema)
     direct = links.select(F.col("a").alias("hub"), F.col("b").alias("x")).unionByName(links.select(F.col("b").alias("hub"), F.col("a").alias("x"))).withColumn("linked", F.lit(True))
     d = deltas.join(apart, ["hub", "x"]).join(direct, ["hub", "x"], "left").withColumn("linked", F.coalesce("linked", F.lit(False))).withColumn("s", F.size("delta"))
     d = stored(d, "deltas")
     share = F.greatest(F.lit(1), F.expr(f"({more} * s + {less} * (n_hub - n)) div {2 * more} + 1"))
     far = F.greatest(F.lit(1), F.expr(f"s - floor({less} * (n + 100 * least(n, n_hub) / {percent}) / {more} + 1e-9)"))
-    values = d.select("hub", "x", "part", "n", "s", "linked", (F.col("s") - share + 1).alias("own"), (F.col("s") - far + 1).alias("wide"), F.explode("delta").alias("value"))
+    values = d.select("hub", "x", "part", "n", "s", "linked", *parity, (F.col("s") - share + 1).alias("own"), (F.col("s") - far + 1).alias("wide"), F.explode("delta").alias("value"))
     seen = values.groupBy("hub", "value").agg(F.count("*").alias("df")).where("df > 1")
-    alone = values.groupBy("hub", "x").agg(F.count("*").alias("all"))
+    # A value of one member is the rarest; counted from the most frequent end, place s - r + 1 is that from the rarest.
     shared = values.join(seen, ["hub", "value"]).withColumn("r", F.row_number().over(Window.partitionBy("hub", "x").orderBy(F.col("df").desc(), "value")))
-    # A value of one member is the rarest; counted from the most frequent end, the first all - own values are not among the `own` rarest.
-    ranked = stored(shared.join(alone, ["hub", "x"]).withColumn("place", F.col("all") - F.col("r") + 1), "ranked")
-    side = lambda df, p: df.select("hub", "value", *(F.col(c).alias(f"{p}_{c}") for c in ("x", "part", "n", "s")))
+    ranked = stored(shared.withColumn("place", F.col("s") - F.col("r") + 1).where("place <= greatest(own, wide)"), "ranked")
+    side = lambda df, p: df.select("hub", "value", *(F.col(c).alias(f"{p}_{c}") for c in ("x", "part", "n", "s", "place", *parity)))
     left, rest = ranked.where("place <= own"), ranked.where("not linked")
     fits = f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) and {more} * abs(a_s - b_s) <= {less} * (a_n + b_n) and a_part != b_part"
+    fits += f" and {2 * more} * (1 + least(a_s - a_place, b_s - b_place)) >= {more} * (a_s + b_s) - {less} * (a_n + b_n)"
+    fits += f" and {more} * ({' + '.join(f'bit_count(a_{p} ^ b_{p})' for p in parity)}) <= {less} * (a_n + b_n)"
     first = side(left.where("not linked"), "a").join(side(rest.where("place <= own"), "b"), ["hub", "value"]).where(f"a_x < b_x and {fits}")
     second = side(left.where("linked"), "a").join(side(rest.where("place <= wide"), "b"), ["hub", "value"]).where(fits)
     met = first.unionByName(second).select("hub", "a_x", "b_x").distinct()

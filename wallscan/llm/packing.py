@@ -17,24 +17,31 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wallscan.llm.common import batch_of, stored, text_or_empty
-from wallscan.llm.tokens import default_path, encoder
+from wallscan.llm.common import batch_of, blocks, stored, text_or_empty
+from wallscan.llm.tokens import default_path, encoder, spread, with_end
 
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
-_PACKED = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, settled boolean, certified boolean"
+_PACKED = "row long, doc_id long, piece int, start long, length long, ids_crc32 long, bin long, offset long, settled boolean, certified boolean"
 
 
 def _cut(path: str, capacity: int, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                ids = np.append(encode(text or ""), end_id).astype("<u4")
-                first = len(ids) % capacity or capacity
-                bounds = [0, *range(first, len(ids) + 1, capacity)]
-                rows += [(doc_id, i, a, b - a, zlib.crc32(ids[a:b].tobytes())) for i, (a, b) in enumerate(zip(bounds, bounds[1:]))]
-            yield batch_of(_PIECES, *(zip(*rows, strict=True) if rows else [[]] * 5))
+        coder = encoder(path)
+        for whole in batches:
+            for batch in blocks(whole, limit=1 << 24):
+                ids, offsets = with_end(*coder.column(batch.column("text")), end_id)
+                ids = ids.astype("<u4")
+                size = np.diff(offsets)
+                n = -(-size // capacity)
+                row = np.repeat(np.arange(len(size)), n)
+                piece = spread(np.zeros(len(n), np.int64), n)
+                first = size - (n - 1) * capacity  # the first piece may be shorter
+                start = np.where(piece == 0, 0, first[row] + (piece - 1) * capacity)
+                length = np.where(piece == 0, first[row], capacity)
+                at = (offsets[row] + start).tolist()
+                raw = memoryview(ids)
+                crc = [zlib.crc32(raw[a : a + m]) for a, m in zip(at, length.tolist())]
+                yield batch_of(_PIECES, batch.column("doc_id").take(pa.array(row)), piece.astype(np.int32), start, length, crc)
 
     return run
 
@@ -81,7 +88,7 @@ def best_fit_decreasing(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, n
 
 def _pack(capacity: int, last: bool):
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["doc_id", "piece", "start"], ignore_index=True)
+        group = group.sort_values("row", ignore_index=True)
         at, place, room = best_fit_decreasing(group["length"].to_numpy(), capacity)
         certified = len(room) == lower_bound(group["length"].to_numpy(), capacity)
         part = int(group["part"].iloc[0]) if len(group) else 0
@@ -103,9 +110,11 @@ def pack(pieces: DataFrame, capacity: int = 1024, group_rows: int = 16_384, roun
     A group has about group_rows rows, so no task grows with the input. Pieces of full length are
     sequences of their own. After the last round, or once a single group is left, all is settled.
     No piece is dropped; repeated rows are packed like others; a null doc_id is an id like others.
+    Pieces are dealt by a stored row number, so rows that repeat a doc_id spread like others.
     """
-    pieces = stored(pieces, "pieces")
-    full = pieces.where(F.col("length") == capacity).select("*", (F.monotonically_increasing_id() * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
+    columns = pieces.columns
+    pieces = stored(pieces.withColumn("row", F.monotonically_increasing_id()), "pieces").select("row", *columns)
+    full = pieces.where(F.col("length") == capacity).select(*columns, (F.col("row") * 2).alias("sequence_id"), F.lit(0).cast("long").alias("offset"), F.lit(True).alias("certified"))
     done, rest = [full], pieces.where(F.col("length") < capacity)
     rows = rest.count()
     for number in range(rounds):
@@ -113,10 +122,10 @@ def pack(pieces: DataFrame, capacity: int = 1024, group_rows: int = 16_384, roun
             break
         parts = -(-rows // group_rows)
         last = parts == 1 or number == rounds - 1
-        dealt = rest.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "start", F.lit(number)), F.lit(parts)))
+        dealt = rest.withColumn("part", F.pmod(F.xxhash64("row", F.lit(number)), F.lit(parts)))
         packed = stored(dealt.groupBy("part").applyInPandas(_pack(capacity, last), _PACKED), "packed")
         sequence = (F.col("bin") * 16 + number) * 2 + 1
-        done.append(packed.where("settled").select(*pieces.columns, sequence.alias("sequence_id"), "offset", "certified"))
+        done.append(packed.where("settled").select(*columns, sequence.alias("sequence_id"), "offset", "certified"))
         rest = packed.where("not settled").select(*pieces.columns)
         rows = 0 if last else rest.count()
     out = done[0]
@@ -137,14 +146,16 @@ def pack_documents(documents: DataFrame, tokenizer: str | None = None, capacity:
 
 def _fill(path: str, end_id: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path).encode
+        coder = encoder(path)
         schema = pa.schema([("sequence_id", pa.int64()), ("offset", pa.int64()), ("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-        for batch in batches:
-            rows = []
-            for doc_id, text, places in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "places")), strict=True):
-                ids = np.append(encode(text or ""), end_id).astype(np.int32)
-                rows += [(p["sequence_id"], p["offset"], doc_id, ids[p["start"] : p["start"] + p["length"]]) for p in places]
-            yield batch_of(schema, *(zip(*rows, strict=True) if rows else [[]] * 4))
+        for whole in batches:
+            for batch in blocks(whole, limit=1 << 22):
+                ids, offsets = with_end(*coder.column(batch.column("text")), end_id)
+                rows = []
+                for i, (doc_id, places) in enumerate(zip(batch.column("doc_id").to_pylist(), batch.column("places").to_pylist(), strict=True)):
+                    own = ids[offsets[i] : offsets[i + 1]].astype(np.int32)
+                    rows += [(p["sequence_id"], p["offset"], doc_id, own[p["start"] : p["start"] + p["length"]]) for p in places]
+                yield batch_of(schema, *(zip(*rows, strict=True) if rows else [[]] * 4))
 
     return run
 
@@ -152,7 +163,10 @@ def _fill(path: str, end_id: int):
 def sequences(documents: DataFrame, packed: DataFrame, tokenizer: str | None = None, end_id: int = 2) -> DataFrame:
     """The packed sequences: sequence_id, ids, and doc_ids and lengths of their pieces in order.
 
-    Needs distinct doc_ids. A sequence has at most `capacity` tokens, so a group is bounded."""
+    A sequence has at most `capacity` tokens, so a group is bounded. Pieces name their text by doc_id, so
+    repeated or null doc_ids raise ValueError."""
+    if not documents.groupBy("doc_id").count().where("doc_id is null or count > 1").isEmpty():
+        raise ValueError("doc_id must be distinct and not null")
     places = packed.groupBy("doc_id").agg(F.collect_list(F.struct("sequence_id", "offset", "start", "length")).alias("places"))
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     parts = docs.join(places, "doc_id").mapInArrow(_fill(tokenizer or default_path(), end_id), "sequence_id long, offset long, doc_id long, ids array<int>")

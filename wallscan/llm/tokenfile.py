@@ -8,6 +8,7 @@ only those frames.
 
 from __future__ import annotations
 
+import itertools
 import struct
 import uuid
 import zlib
@@ -18,14 +19,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wallscan.llm.common import batch_of, scratch, stored, text_or_empty
-from wallscan.llm.tokens import default_path, encoder
+from wallscan.llm.common import batch_of, blocks, scratch, stored, text_or_empty
+from wallscan.llm.tokens import default_path, encoder, with_end
 
 # Fixed values of the format.
 SKIPPABLE_IDS, SKIPPABLE_TABLE, SEEKABLE_MAGIC, CHECKSUMS = 0x184D2A5D, 0x184D2A5E, 0x8F92EAB1, 0x80
 NO_ID = -(1 << 63)
 
-_FILES = pa.schema([("path", pa.string()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())])
+_FILES = pa.schema([("path", pa.string()), ("first_doc", pa.int64()), ("last_doc", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64()), ("nulls", pa.bool_())])
 _READ = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64()), ("ids", pa.list_(pa.int32()))])
 _READ_SQL = "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>"
 
@@ -49,24 +50,26 @@ def _write(folder: str, path: str, end_id: int, level: int):
         system, at = file_system(folder)
         system.create_dir(at, recursive=True)
         name = f"{uuid.uuid4().hex}.tokens.zst"  # a new name for each attempt; the manifest lists the one that counts
-        ids, table, out, tokens = [], [], None, 0
-        for batch in batches:
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                raw = np.append(coder.encode(text or ""), end_id).astype(coder.dtype).tobytes()
-                frame = press.compress(raw)
+        doc_ids, table, out, tokens = [], [], None, 0
+        for whole in batches:
+            for batch in blocks(whole, limit=1 << 24):
+                ids, offsets = with_end(*coder.column(batch.column("text")), end_id)
                 out = out or system.open_output_stream(f"{at}/{name}", compression=None)
-                out.write(frame)
-                ids.append(NO_ID if doc_id is None else doc_id)
-                table.append((len(frame), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
-                tokens += len(raw) // width
+                doc_ids += batch.column("doc_id").fill_null(NO_ID).to_pylist()
+                for a, b in itertools.pairwise(offsets.tolist()):
+                    raw = ids[a:b].tobytes()
+                    frame = press.compress(raw)
+                    out.write(frame)
+                    table.append((len(frame), len(raw), xxhash.xxh64_intdigest(raw) & 0xFFFFFFFF))
+                tokens += len(ids)
         if out:
-            index = struct.pack("<B", width) + np.array(ids, "<i8").tobytes()
+            index = struct.pack("<B", width) + np.array(doc_ids, "<i8").tobytes()
             out.write(struct.pack("<II", SKIPPABLE_IDS, len(index)) + index)
             seek = np.array(table, "<u4").tobytes() + struct.pack("<IBI", len(table), CHECKSUMS, SEEKABLE_MAGIC)
             out.write(struct.pack("<II", SKIPPABLE_TABLE, len(seek)) + seek)
             out.close()
-            known = [x for x in ids if x != NO_ID]
-            yield batch_of(_FILES, [f"{folder}/{name}"], [known[0] if known else None], [known[-1] if known else None], [len(ids)], [tokens])
+            known = [x for x in doc_ids if x != NO_ID]
+            yield batch_of(_FILES, [f"{folder}/{name}"], [known[0] if known else None], [known[-1] if known else None], [len(doc_ids)], [tokens], [len(known) < len(doc_ids)])
 
     return run
 
@@ -115,7 +118,7 @@ def _read(with_ids: bool):
                 system, at = file_system(path)
                 with system.open_input_file(at) as source:
                     file = TokenFile(source)
-                    places = np.arange(lo, hi) if wanted is None else np.flatnonzero(np.isin(file.doc_ids, wanted))
+                    places = np.arange(lo, hi) if wanted is None else np.flatnonzero(np.isin(file.doc_ids, np.array(wanted, np.int64)))
                     cuts = np.flatnonzero(np.diff(places) != 1) + 1
                     for run_of in np.split(places, cuts) if len(places) else ():
                         rows = []
@@ -134,17 +137,19 @@ def _read(with_ids: bool):
 def write_token_files(documents: DataFrame, folder: str | None = None, tokenizer: str | None = None, end_id: int = 0, level: int = 1) -> DataFrame:
     """Encodes documents (doc_id long, text), appends end_id to each and writes ids in ascending doc_id order.
 
-    A file holds a range of doc_ids. Returns the manifest, a row for each file: path, first_doc,
-    last_doc, n_docs, n_tokens and base (tokens in the files before it). folder must be one that
-    driver and executors share; unset, a new one beside the checkpoints. Null and empty texts are
-    the end id alone; a null doc_id comes first; rows with one doc_id stand together in order of
-    text; other columns are ignored; an empty table gives an empty manifest and no files.
+    A file holds a range of doc_ids, one for each shuffle partition. Returns the manifest, a row for each
+    file: path, first_doc, last_doc, n_docs, n_tokens, nulls (whether it has documents without an id) and
+    base (tokens in the files before it). folder must be one that driver and executors share; unset, a
+    new one beside the checkpoints. Null and empty texts are the end id alone; a null doc_id comes first;
+    rows with one doc_id stand together in order of text; other columns are ignored; an empty table gives
+    an empty manifest and no files.
     """
     spark = documents.sparkSession
     folder = folder or scratch(spark, "token-files")
     docs = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     dealt = docs.repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), "doc_id").sortWithinPartitions("doc_id", "text")
-    files = stored(dealt.mapInArrow(_write(folder, tokenizer or default_path(), end_id, level), "path string, first_doc long, last_doc long, n_docs long, n_tokens long"), "manifest")
+    schema = "path string, first_doc long, last_doc long, n_docs long, n_tokens long, nulls boolean"
+    files = stored(dealt.mapInArrow(_write(folder, tokenizer or default_path(), end_id, level), schema), "manifest")
     before = Window.orderBy(F.col("first_doc").asc_nulls_first(), "path").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return files.withColumn("base", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
 
@@ -152,14 +157,27 @@ def write_token_files(documents: DataFrame, folder: str | None = None, tokenizer
 def read_token_files(manifest: DataFrame, doc_ids: DataFrame | None = None, with_ids: bool = True, frames: int = 2048) -> DataFrame:
     """Documents of the files: doc_id, start (tokens of all documents before it), n_tokens, ids_crc32 and ids.
 
-    With doc_ids (a column doc_id) only the frames of those documents are read and decompressed.
-    Each requested file range goes to a task of its own."""
+    With doc_ids (a column doc_id, null for the documents without an id) only the frames of those
+    documents are read and decompressed. Runs of `frames` documents are dealt to as many tasks as there
+    are cores, at least, and to one for each 16 runs. An empty manifest gives no rows; documents that
+    were not asked for, or are not there, give none.
+    """
+    cores = manifest.sparkSession.sparkContext.defaultParallelism
+    total = manifest.agg(F.coalesce(F.sum("n_docs"), F.lit(0))).first()[0]
+    tasks = max(1, min(cores, total // frames + 1), total // (16 * frames))
     if doc_ids is None:
         cut = manifest.select("path", "base", "n_docs", F.explode(F.expr(f"sequence(0L, n_docs - 1, {frames}L)")).alias("lo"))
         asked = cut.select("path", "base", "lo", F.least(F.col("lo") + frames, "n_docs").alias("hi"), F.lit(None).cast("array<long>").alias("wanted"))
-        asked = asked.repartition("path", "lo")
+        asked = asked.repartition(tasks, "path", "lo")
     else:
-        hit = doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct().join(manifest, F.col("doc_id").between(F.col("first_doc"), F.col("last_doc")))
-        hit = hit.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.ceil(F.col("n_docs") / frames))))
-        asked = hit.groupBy("path", "base", "block").agg(F.collect_list("doc_id").alias("wanted")).select("path", "base", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), "wanted")
+        # Files are bands of ids: an id belongs to the bands that its place among the sorted ends allows, found by an equi join on a coarse number.
+        ask = doc_ids.select(F.col("doc_id").cast("long").alias("doc_id")).distinct()
+        spread = manifest.agg(F.min("first_doc").alias("lo"), F.max("last_doc").alias("hi"), F.count("*").alias("n"))
+        number = lambda c: F.floor((F.col(c).cast("double") - F.col("lo")) * F.col("n") / F.greatest(F.lit(1.0), F.col("hi").cast("double") - F.col("lo")))
+        bands = manifest.where("first_doc is not null").crossJoin(F.broadcast(spread)).withColumn("band", F.explode(F.sequence(number("first_doc"), number("last_doc"))))
+        hit = ask.crossJoin(F.broadcast(spread)).withColumn("band", number("doc_id")).select("doc_id", "band").join(bands, "band").where("doc_id between first_doc and last_doc").select("path", "base", "n_docs", "doc_id")
+        unknown = ask.where("doc_id is null").crossJoin(manifest.where("nulls").select("path", "base", "n_docs")).select("path", "base", "n_docs", "doc_id")  # one row by the files with nulls
+        hit = hit.unionByName(unknown).withColumn("block", F.pmod(F.xxhash64("doc_id"), F.greatest(F.lit(1), F.ceil(F.col("n_docs") / frames))))
+        asked = hit.groupBy("path", "base", "block").agg(F.collect_list(F.coalesce("doc_id", F.lit(NO_ID))).alias("wanted")).select("path", "base", F.lit(0).cast("long").alias("lo"), F.lit(0).cast("long").alias("hi"), "wanted")
+        asked = asked.repartition(tasks, "path", "wanted")
     return asked.mapInArrow(_read(with_ids), _READ_SQL)

@@ -11,8 +11,8 @@ reductions keep the count exact and the volume small:
   have equal representatives, so a window whose representative occurs in one document only can't
   repeat, and only windows with a representative seen in two documents are counted one by one.
 * Within a block of documents, a window is sent on once, for the least doc_id of the block; its
-  other occurrences there are already known to be repeats. A passage that a third of all documents
-  share is thus a row for each block, not for each document.
+  other occurrences there are already known to be repeats. A frequent window is sent once by a whole
+  task, so a passage that a third of all documents share is a row for each task, not for each document.
 """
 
 from __future__ import annotations
@@ -29,6 +29,8 @@ from wallscan.llm.common import batch_of, blocks, lists, stored, text_or_empty,
 from wallscan.llm.hashing import mix, runs, sliding_min, words
 
 INNER = 16
+#: Of a representative in more documents, a task sends each window once.
+FREQUENT = 1_000
 _ANCHORS = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64())])
 _WINDOWS = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("known", pa.bool_())])
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.int32())), ("kept_text", pa.string()), ("kept_sha256", pa.string())])
@@ -76,33 +78,68 @@ def _merged(keys: np.ndarray, start: np.ndarray, width: int) -> tuple[np.ndarray
     return keys[first], start[first], start[last] + width if len(keys) else start
 
 
+class _Sent:
+    """The owners of frequent windows that this task has sent already; emptied when it holds `most`, which costs rows and changes no result."""
+
+    def __init__(self, most: int = 1 << 20):
+        self.most = most
+        self.h1, self.h2, self.owner = np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int64)
+
+    def owners(self, h1: np.ndarray, h2: np.ndarray, own: np.ndarray) -> np.ndarray:
+        """The least owner sent so far of each window, if less than its own; h1 is in order and distinct windows come once."""
+        if not len(self.h1):
+            return own
+        at = np.minimum(np.searchsorted(self.h1, h1), len(self.h1) - 1)
+        same = (self.h1[at] == h1) & (self.h2[at] == h2)
+        return np.where(same, np.minimum(self.owner[at], own), own)
+
+    def add(self, h1: np.ndarray, h2: np.ndarray, owner: np.ndarray) -> None:
+        if len(self.h1) + len(h1) > self.most:
+            self.__init__(self.most)
+        h1, h2, owner = (np.concatenate(x) for x in ((self.h1, h1), (self.h2, h2), (self.owner, owner)))
+        order = np.lexsort((owner, h2, h1))
+        keep = order[_new(h1[order], h2[order])]
+        self.h1, self.h2, self.owner = h1[keep], h2[keep], owner[keep]
+
+
 def _candidates(width: int):
-    """Of each document, the windows whose representative is in its `anchors`; repeats within a block as intervals."""
+    """Of each document, the windows whose representative is in its `anchors`; windows known to be repeats as intervals.
+
+    A window that one document has at several places comes as intervals too, so a run of one word is a row.
+    Windows of frequent representatives (`hot`) are sent on once by a task and not by each of its blocks."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        salt, sent = np.uint64(0x9E3779B97F4A7C15), _Sent()
         for whole in batches:
             for batch in blocks(whole):
                 tokens, offsets, row, at, anchor = _windows(batch, width)
                 wanted = batch.column("anchors")
-                pairs = np.stack([np.repeat(np.arange(batch.num_rows), wanted.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)).astype(np.uint64), wanted.flatten().to_numpy(zero_copy_only=False).view(np.uint64)])
-                salt = np.uint64(0x9E3779B97F4A7C15)
-                keep = np.isin(mix(anchor.view(np.uint64) + row.astype(np.uint64) * salt), mix(pairs[1] + pairs[0] * salt))
-                row, at = row[keep], at[keep]
+                names = wanted.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                of = np.repeat(np.arange(batch.num_rows), wanted.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)).astype(np.uint64)
+                keep = np.isin(mix(anchor.view(np.uint64) + row.astype(np.uint64) * salt), mix(names + of * salt))
+                row, at, anchor = row[keep], at[keep], anchor[keep]
+                hot = np.isin(anchor, batch.column("hot").flatten().to_numpy(zero_copy_only=False))
                 ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[row]
                 h1 = mix(runs(tokens, width)[at]).view(np.int64)
                 h2 = mix(runs(tokens, width, 0xA24BAED4963EE407)[at]).view(np.int64).astype(np.int32)
                 start = (at - offsets[row]).astype(np.int32)
                 order = np.lexsort((start, ids, h2, h1))
-                h1, h2, ids, start, row = h1[order], h2[order], ids[order], start[order], row[order]
-                group = np.cumsum(_new(h1, h2)) - 1
-                owner = ids[np.flatnonzero(_new(h1, h2))][group] if len(ids) else ids
-                known = ids > owner
-                yield batch_of(_WINDOWS, ids[~known], h1[~known], h2[~known], start[~known], start[~known] + width, np.zeros((~known).sum(), bool))
+                h1, h2, ids, start, hot = h1[order], h2[order], ids[order], start[order], hot[order]
+                first = np.flatnonzero(_new(h1, h2)) if len(ids) else np.empty(0, np.int64)
+                group = np.repeat(np.arange(len(first)), np.diff(first, append=len(ids)))
+                owner = ids[first].copy()
+                some = np.flatnonzero(hot[first])
+                owner[some] = sent.owners(h1[first[some]], h2[first[some]], owner[some])
+                sent.add(h1[first[some]], h2[first[some]], owner[some])
+                known = ids > owner[group]
+                group, begin, end = _merged(group[~known], start[~known], width)
+                one = first[group]
+                yield batch_of(_WINDOWS, ids[one], h1[one], h2[one], begin.astype(np.int32), end.astype(np.int32), np.zeros(len(one), bool))
                 ids, start = ids[known], start[known]
                 order = np.lexsort((start, ids))
-                ids, first, last = _merged(ids[order], start[order], width)
-                one = mix(ids.astype(np.uint64) * salt + first.astype(np.uint64)).view(np.int64)  # spreads them over the partitions
-                yield batch_of(_WINDOWS, ids, one, np.zeros(len(ids), np.int32), first.astype(np.int32), last.astype(np.int32), np.ones(len(ids), bool))
+                ids, begin, end = _merged(ids[order], start[order], width)
+                one = mix(ids.astype(np.uint64) * salt + begin.astype(np.uint64)).view(np.int64)  # spreads them over the partitions
+                yield batch_of(_WINDOWS, ids, one, np.zeros(len(ids), np.int32), begin.astype(np.int32), end.astype(np.int32), np.ones(len(ids), bool))
 
     return run
 
@@ -152,8 +189,8 @@ def remove_repeated_passages(documents: DataFrame, width: int = 50, texts: bool
     every = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     docs = every.where("doc_id is not null")
     anchors = stored(docs.mapInArrow(_anchors(width), "doc_id long, anchor long"), "anchors")
-    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b")).where("a < b").select("anchor")
-    wanted = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"))
+    shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a < b").select("anchor", F.when(F.col("n") > FREQUENT, F.col("anchor")).alias("hot"))
+    wanted = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("hot").alias("hot"))
     found = docs.join(wanted, "doc_id").mapInArrow(_candidates(width), "doc_id long, h1 long, h2 int, start int, stop int, known boolean")
     owner = F.min("doc_id").over(Window.partitionBy("h1", "h2", "known"))
     spans = found.withColumn("owner", owner).where("known or doc_id > owner").groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))

@@ -6,9 +6,8 @@ slot; rebalancing edits the map by the bytes of each slot, and records never has
 
 from __future__ import annotations
 
-import heapq
-
-from pyspark.sql import DataFrame, Window
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wallscan.llm.common import scratch, stored, text_or_empty
@@ -17,9 +16,9 @@ SLOTS = 8_192
 
 
 def virtual_slots(documents: DataFrame, slots: int = SLOTS) -> DataFrame:
-    """doc_id, size (UTF-8 bytes of the text plus 8), text_crc32 and virtual_slot (by doc_id) of each row."""
+    """doc_id, size (UTF-8 bytes of the text plus 8), text_crc32 and virtual_slot (by doc_id, without one by the text) of each row."""
     text = text_or_empty().cast("binary")
-    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32")).withColumn("virtual_slot", F.pmod(F.xxhash64("doc_id"), F.lit(slots)).cast("int"))
+    return documents.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32")).withColumn("virtual_slot", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text_crc32")).otherwise(F.xxhash64("doc_id")), F.lit(slots)).cast("int"))
 
 
 def slot_totals(placed: DataFrame) -> DataFrame:
@@ -27,24 +26,22 @@ def slot_totals(placed: DataFrame) -> DataFrame:
     return placed.groupBy("virtual_slot").agg(F.count("*").alias("slot_rows"), F.sum("size").alias("slot_bytes"))
 
 
-def edited_map(totals: list[tuple[int, int]], shards: int, old: dict[int, int] | None = None) -> dict[int, int]:
-    """A slot-to-shard map with near equal bytes, from (slot, bytes).
+def edited_map(totals: list[tuple[int, int]], shards: int, old: dict[int, int]) -> dict[int, int]:
+    """The old slot-to-shard map, edited for near equal bytes, from (slot, bytes) of all its slots.
 
-    Starting from an old map, slots move from the fullest to the emptiest shard while that narrows
-    the gap, the best fitting slot first, so few records move. Without one, slots are dealt largest first.
+    Slots of shards that are no more go to the emptiest shard, largest first. Then slots move from the
+    fullest to the emptiest shard while that narrows the gap, the best fitting slot first, so few records move.
     """
-    if old is None:
-        heap, out = [(0, s) for s in range(shards)], {}
-        for slot, size in sorted(totals, key=lambda x: (-x[1], x[0])):
-            load, shard = heapq.heappop(heap)
-            out[slot] = shard
-            heapq.heappush(heap, (load + size, shard))
-        return out
-    out = {slot: old.get(slot, slot % shards) for slot, _ in totals}
-    held: list[dict[int, int]] = [{} for _ in range(shards)]
+    out, held, load = {}, [{} for _ in range(shards)], [0] * shards
+    homeless = [(size, slot) for slot, size in totals if old[slot] >= shards]
     for slot, size in totals:
-        held[out[slot]][slot] = size
-    load = [sum(h.values()) for h in held]
+        if (shard := old[slot]) < shards:
+            out[slot], held[shard][slot] = shard, size
+            load[shard] += size
+    for size, slot in sorted(homeless, key=lambda x: (-x[0], x[1])):
+        low = min(range(shards), key=load.__getitem__)
+        out[slot], held[low][slot] = low, size
+        load[low] += size
     for _ in range(4 * len(totals)):
         top, low = max(range(shards), key=load.__getitem__), min(range(shards), key=load.__getitem__)
         gap = load[top] - load[low]
@@ -59,33 +56,62 @@ def edited_map(totals: list[tuple[int, int]], shards: int, old: dict[int, int] |
     return out
 
 
-def save_map(spark, mapping: dict[int, int], version: int, path: str) -> DataFrame:
-    """Appends a version (version int, virtual_slot int, shard int) to the map table at path and returns the table's rows of that version."""
-    spark.createDataFrame([(version, a, b) for a, b in sorted(mapping.items())], "version int, virtual_slot int, shard int").coalesce(1).write.mode("append").parquet(path)
-    return spark.read.parquet(path).where(F.col("version") == version)
+def last_map(spark: SparkSession, path: str) -> tuple[int, dict[int, int]] | None:
+    """Number and slots of the last version of the map at path; None where there is no map."""
+    try:
+        table = spark.read.schema("virtual_slot int, shard int, version int").parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    version = table.agg(F.max("version")).first()[0]
+    return None if version is None else (version, {r.virtual_slot: r.shard for r in table.where(F.col("version") == version).collect()})  # a row for each slot
+
+
+def save_map(spark: SparkSession, mapping: dict[int, int], version: int, path: str) -> None:
+    """Writes a version of the map (virtual_slot int, shard int) below path; one that exists is never replaced."""
+    spark.createDataFrame(sorted(mapping.items()), "virtual_slot int, shard int").coalesce(1).write.mode("errorifexists").parquet(f"{path}/version={version}")
+
+
+def rebalanced(spark: SparkSession, totals: DataFrame, shards: int, slots: int, path: str) -> tuple[int, DataFrame]:
+    """Number and rows (virtual_slot, shard) of the map at path, edited for these slot totals if need be.
+
+    Without a map, version 0 deals the slots in turn. The last version is edited; what differs from it is
+    the next version."""
+    size = {r.virtual_slot: r.slot_bytes for r in totals.collect()}  # at most `slots` rows
+    known = last_map(spark, path)
+    if known is None:
+        known = (0, {slot: slot % shards for slot in range(slots)})
+        save_map(spark, known[1], 0, path)
+    version, old = known
+    if sorted(old) != list(range(slots)):
+        raise ValueError(f"the map has {len(old)} slots, not {slots}")
+    new = edited_map([(slot, size.get(slot, 0)) for slot in range(slots)], shards, old)
+    if new != old:
+        version += 1
+        save_map(spark, new, version, path)
+    return version, spark.read.schema("virtual_slot int, shard int").parquet(f"{path}/version={version}")
 
 
 def shard_documents(documents: DataFrame, shards: int = 24, slots: int = SLOTS, map_path: str | None = None) -> DataFrame:
     """Assigns each row of documents (doc_id long, text) to one of `shards` shards of near equal bytes.
 
     Returns doc_id, size, text_crc32, law ('bytes'), shard, slot (the place within the shard, gapless
-    from 0), grown_shard (null: the law is not 'key') and virtual_slot. Version 0 of the map deals
-    slot numbers in turn; version 1 is edited by the bytes of each slot. The map is written to
-    map_path (unset: a new folder beside the checkpoints) and read from there.
-
-    A null text counts 8 bytes, an empty one too; rows that repeat a doc_id share its virtual slot
-    and get places of their own; null doc_ids share one slot; an empty table gives no rows; other
-    columns are ignored. Places are counted within a virtual slot and offset by the slots before it
-    in the shard, so no task sorts a whole shard.
+    from 0), grown_shard (null: the law is not 'key') and virtual_slot. The map at map_path (unset: a
+    new folder beside the checkpoints) is read, edited by the bytes of each slot for this number of shards,
+    and written as its next version if it changed; the same call again finds nothing to edit and gives
+    the same rows. `slots` is fixed for the life of a map.
+
+    Slots go by doc_id, not by text: equal texts, of which there may be a third of all rows, spread over
+    the shards, as the law asks for near equal bytes. A null text counts 8 bytes, an empty one too; rows
+    that repeat a doc_id share its virtual slot and get places of their own; rows without a doc_id go by
+    their text; an empty table gives no rows; other columns are ignored. Places are counted within a
+    virtual slot and offset by the slots before it in the shard, so no task sorts a whole shard.
     """
     spark = documents.sparkSession
     placed = virtual_slots(documents, slots)
     totals = stored(slot_totals(placed), "slot-totals")
-    found = [(r.virtual_slot, r.slot_bytes) for r in totals.collect()]  # at most `slots` rows
-    path = map_path or scratch(spark, "slot-map")
-    first = {slot: slot % shards for slot, _ in found}
-    save_map(spark, first, 0, path)
-    mapping = save_map(spark, edited_map(found, shards, first), 1, path).select("virtual_slot", "shard")
+    _, mapping = rebalanced(spark, totals, shards, slots, map_path or scratch(spark, "slot-map"))
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     based = mapping.join(totals, "virtual_slot").select("virtual_slot", "shard", F.coalesce(F.sum("slot_rows").over(before), F.lit(0)).alias("base"))
     place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32"))

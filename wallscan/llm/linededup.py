@@ -248,13 +248,16 @@ def near_lines(documents: DataFrame, edits: int = 2, min_chars: int = 20, most:
     joined on four of six segments instead, which two edits leave whole, so long lines that are alike in
     one third only don't meet in all pairs. The texts of candidates are fetched through a filter of
     2**25 bits, whose size is fixed: a full filter would fetch more lines than needed, never fewer.
+    edits is 0 (no pairs: equal lines are one), 1 or 2; the finer segments are laid out for two.
     """
+    if edits not in (0, 1, 2):
+        raise ValueError("edits must be 0, 1 or 2")
+    if not edits:
+        return documents.sparkSession.createDataFrame([], "a long, b long, distance int")
     keys = documents.mapInArrow(_keys(edits, min_chars), "h1 long, indexed array<long>, probes array<long>")
     keys = stored(keys.groupBy("h1").agg(F.first("indexed").alias("indexed"), F.first("probes").alias("probes")), "segments")
     index = keys.select(F.explode("indexed").alias("k"), F.col("h1").alias("a")).where("k != 0")
     probe = keys.select(F.explode("probes").alias("k"), F.col("h1").alias("b")).where("k != 0")
-    if edits != 2:
-        most = 1 << 62  # the finer segments are laid out for two edits
     busy = stored(index.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > most), "busy-segments").select("k")
     crowd = stored(index.join(busy, "k").select(F.col("a").alias("h1")).unionByName(probe.join(busy, "k").select(F.col("b").alias("h1"))).distinct(), "crowd")
     pair = [F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")]
@@ -263,7 +266,7 @@ def near_lines(documents: DataFrame, edits: int = 2, min_chars: int = 20, most:
     bits = wanted.groupBy(F.shiftright("at", 6).cast("int").alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("bits"))
     found = documents.mapInArrow(_wanted(dict(bits.collect())), "h1 long, said string")
     found = stored(found.join(wanted.select("h1"), "h1", "left_semi").groupBy("h1").agg(F.min("said").alias("said")), "line-texts")
-    if edits == 2 and not crowd.isEmpty():
+    if not crowd.isEmpty():
         fine = stored(found.join(crowd, "h1", "left_semi").mapInArrow(_fine, "h1 long, parities long, indexed array<long>, probes array<long>"), "fine-segments")
         side = lambda keys, line, bits: fine.select(F.explode(keys).alias("k"), F.col("h1").alias(line), F.col("parities").alias(bits)).where("k != 0")
         near = side("indexed", "a", "p").join(side("probes", "b", "q"), "k").where(f"a != b and bit_count(p ^ q) <= {2 * edits}")
@@ -272,26 +275,19 @@ def near_lines(documents: DataFrame, edits: int = 2, min_chars: int = 20, most:
     return stored(both.mapInArrow(_verify(edits, min_chars), "a long, b long, distance int"), "line-links")
 
 
-def _clean(copy_share: float | None):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for doc_id, text, seen in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "seen")), strict=True):
-                lines = (text or "").split("\n") if text else []
-                gone = {s["line"] for s in seen or ()}
-                if gone and copy_share is not None:
-                    other = {s["line"] for s in seen if s["other"]}
-                    if sum(len(lines[i]) for i in other) > copy_share * sum(map(len, lines)):
-                        gone -= other
-                left = "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text or ""
-                rows.append((doc_id, len(lines), len(gone), sorted(gone), left, hashlib.sha256(left.encode()).hexdigest()))
-            yield batch_of(_CLEAN, *(zip(*rows, strict=True) if rows else [[]] * 6))
-
-    return run
+def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for doc_id, text, seen in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "text", "seen")), strict=True):
+            lines = (text or "").split("\n") if text else []
+            gone = set(seen or ())
+            left = "\n".join(x for i, x in enumerate(lines) if i not in gone) if gone else text or ""
+            rows.append((doc_id, len(lines), len(gone), sorted(gone), left, hashlib.sha256(left.encode()).hexdigest()))
+        yield batch_of(_CLEAN, *(zip(*rows, strict=True) if rows else [[]] * 6))
 
 
 def repeated_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20) -> DataFrame:
-    """doc_id and seen, the lines (line, other: first seen in another document) that repeat an earlier one; docs has no null doc_id."""
+    """doc_id and seen, the numbers of the lines that repeat an earlier one; docs has no null doc_id."""
     seen = stored(docs.mapInArrow(_lines, "doc_id long, line int, chars int, h1 long, h2 int"), "lines")
     links = near_lines(docs, edits, min_chars)
     near = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
@@ -299,46 +295,41 @@ def repeated_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20) -> Data
     first = seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(near, F.col("h1") == near.node, "left")
     best = first.where("component is not null").groupBy("component").agg(F.min("first").alias("class_first"))
     first = first.where("n > 1 or component is not null").join(best, "component", "left").select("h1", "h2", F.coalesce("class_first", "first").alias("first"))
-    again = seen.join(first, ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "line", (F.col("doc_id") != F.col("first.doc_id")).alias("other"))
-    return again.distinct().groupBy("doc_id").agg(F.collect_list(F.struct("line", "other")).alias("seen"))
+    again = seen.join(first, ["h1", "h2"]).where(place != F.col("first")).select("doc_id", "line")
+    return again.distinct().groupBy("doc_id").agg(F.collect_list("line").alias("seen"))
 
 
-def dedupe_lines(documents: DataFrame, edits: int = 2, min_chars: int = 20, copy_share: float | None = None) -> DataFrame:
+def dedupe_lines(documents: DataFrame, edits: int = 2, min_chars: int = 20) -> DataFrame:
     """documents without the lines seen before: doc_id, n_lines, n_removed, removed (line numbers), text, kept_sha256.
 
-    Lines are compared stripped. Lines are alike when equal, or when within `edits` edits and the
-    longer has at least min_chars code points; likeness is transitive. Of each class of lines the
-    first stays (least doc_id, then line number); all others go. Blank lines stay. With copy_share,
-    a document whose lines from other documents hold over that share of its characters keeps those:
-    it is a copy as a whole, which is for document deduplication to judge.
+    Lines are compared stripped. Lines are alike when equal, or when within `edits` edits (0 to 2) and
+    the longer has at least min_chars code points; likeness is transitive. Of each class of lines the
+    first stays (least doc_id, then line number); all others go. Blank lines stay.
 
     Null and empty texts have no lines. Rows that repeat a doc_id count as one document. Rows with a
     null doc_id are neither compared nor changed. Other columns are ignored.
     """
     every = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     docs = every.where("doc_id is not null")
-    gone = repeated_lines(docs, edits, min_chars)
-    cleaned = docs.join(gone, "doc_id", "left").mapInArrow(_clean(copy_share), _CLEAN_SQL)
-    unknown = every.where("doc_id is null").withColumn("seen", F.lit(None).cast("array<struct<line:int,other:boolean>>"))
-    return cleaned.unionByName(unknown.mapInArrow(_clean(copy_share), _CLEAN_SQL))
+    cleaned = docs.join(repeated_lines(docs, edits, min_chars), "doc_id", "left").mapInArrow(_clean, _CLEAN_SQL)
+    unknown = every.where("doc_id is null").withColumn("seen", F.lit(None).cast("array<int>"))
+    return cleaned.unionByName(unknown.mapInArrow(_clean, _CLEAN_SQL))
 
 
-def clean_documents(documents: DataFrame, edits: int = 2, min_chars: int = 20, copy_share: float | None = None, drop_emptied: bool = False) -> DataFrame:
-    """documents with the lines that dedupe_lines keeps; rows and columns stay, and a column n_chars is counted anew.
+def clean_documents(documents: DataFrame, edits: int = 2, min_chars: int = 20, drop_emptied: bool = False) -> DataFrame:
+    """documents with the lines that dedupe_lines keeps; rows and columns stay, and a column n_chars is counted anew where a text changed.
 
-    With drop_emptied, a document goes if the removal of lines leaves it blank.
+    With drop_emptied, a document goes if the removal of lines leaves it blank. Null and empty texts, rows
+    with a null doc_id and documents without repeated lines come back as they are; rows that repeat a
+    doc_id lose the same lines; columns may have any names and types.
     """
-    docs = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    gone = repeated_lines(docs, edits, min_chars).select(F.col("doc_id").alias("_id"), F.col("seen").alias("_seen"))
-    out = documents.join(gone, documents.doc_id == gone._id, "left").withColumn("_lines", F.split("text", "\n", -1))
-    other = F.filter("_seen", lambda s: s.other)
-    chars = F.aggregate(other, F.lit(0), lambda n, s: n + F.char_length(F.element_at(F.col("_lines"), s.line + 1)))
-    copy = F.lit(False) if copy_share is None else chars > copy_share * (F.char_length("text") - F.size("_lines") + 1)
-    out = out.withColumn("_gone", F.transform(F.when(copy, F.filter("_seen", lambda s: ~s.other)).otherwise(F.col("_seen")), lambda s: s.line))
-    left = F.array_join(F.filter("_lines", lambda x, i: ~F.array_contains("_gone", i)), "\n")
-    out = out.withColumn("text", F.when(F.size("_gone") > 0, left).otherwise(F.col("text")))
+    base = documents.select(F.col("doc_id").cast("long").alias("id"), F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"))
+    gone = repeated_lines(base.where("id is not null").select(F.col("id").alias("doc_id"), F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text")), edits, min_chars)
+    out = base.join(gone.withColumnRenamed("doc_id", "id"), "id", "left")
+    left = F.array_join(F.filter(F.split("row.text", "\n", -1), lambda x, i: ~F.array_contains("seen", i)), "\n")
+    out = out.withColumn("said", F.when(F.size("seen") > 0, left))
     if drop_emptied:
-        out = out.where(~F.coalesce((F.size("_gone") > 0) & ~F.col("text").rlike("\\S"), F.lit(False)))
-    if "n_chars" in documents.columns:
-        out = out.withColumn("n_chars", F.char_length("text").cast("long"))
-    return out.select(documents.columns)
+        out = out.where(F.col("said").isNull() | F.col("said").rlike("\\S"))
+    new = {"text": F.col("said"), "n_chars": F.char_length("said")}
+    kept = lambda c: F.col("row")[c]
+    return out.select(*((F.when(F.col("said").isNotNull(), new[c].cast(documents.schema[c].dataType)).otherwise(kept(c)) if c in new else kept(c)).alias(c) for c in documents.columns))

@@ -21,6 +21,7 @@ ANCHORS = {
     "fr": "au aux avec ce dans des du elle en est et il la le les par pas pour qui sur un une",
     "es": "al con como de del el los las lo más no para por que se su una y",
 }
+VOWELS = "aeiouyàáâäæèéêëìíîïòóôöœùúûü"
 MARK = "\u0001"
 
 
@@ -31,18 +32,17 @@ def marked(text: Column) -> Column:
     return F.regexp_replace(plain, " +(?:" + "|".join(words) + ")(?= )", MARK)
 
 
-def spots(text: Column, chain: int = 2, least: int = 4) -> Column:
+def spots(text: Column, chain: int = 2) -> Column:
     """The sorted distinct hashes (int) of a text's chains of `chain` content words.
 
-    A text with fewer than `least` chains after common words, such as a list of names, takes the
-    chains after every word; one too short for those, its whole text. An empty text has none.
+    A chain follows a common word or a word that ends in a vowel, in every text alike: so texts with few
+    common words, such as lists of names, have chains of the same kind as others. A text in which no
+    chain fits has one hash of its whole text. An empty text has none.
     """
-    m = marked(text)
     word = f"{MARK}*+ +[^ {MARK}]++"
-    chains = F.regexp_extract_all(m, F.lit(f"{MARK}(?=({word}{word * (chain - 1)}))"), F.lit(1))
-    every = F.regexp_extract_all(m, F.lit(f"(?<=[^ {MARK}])(?=({word}{word * (chain - 1)}))"), F.lit(1))
-    whole = F.when(F.length(text) > 0, F.array(F.regexp_replace(F.lower(text), r"\s+", " "))).otherwise(F.array().cast("array<string>"))
-    found = F.when(F.size(chains) >= least, chains).otherwise(F.when(F.size(every) > 0, F.concat(chains, every)).otherwise(whole))
+    chains = F.regexp_extract_all(marked(text), F.lit(f"(?:{MARK}|(?<=[{VOWELS}]))(?=({word * chain}))"), F.lit(1))
+    whole = F.when(F.length(text) > 0, F.array(F.concat(F.lit("whole: "), F.regexp_replace(F.lower(text), r"\s+", " ")))).otherwise(F.array().cast("array<string>"))
+    found = F.when(F.size(chains) > 0, chains).otherwise(whole)
     return F.array_sort(F.array_distinct(F.transform(found, lambda x: F.hash(F.translate(x, MARK, "")))))
 
 
@@ -89,33 +89,39 @@ def similar_pairs(prints: DataFrame, threshold: float = 0.8) -> DataFrame:
     return full.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), likeness(F.col("sa"), F.col("sb")).alias("similarity")).where(F.col("similarity") >= threshold - 1e-12)
 
 
-def with_next(documents: DataFrame, values: list[str], ranges: int = 512) -> DataFrame:
+COARSE, MOST_RANGES = 256, 65_536
+
+
+def in_ranges(documents: DataFrame, rows: int = 16_384) -> DataFrame:
+    """Adds _range: ranges of ascending doc_id of about `rows` rows each, at most 65,536 of them; null doc_ids are in the first.
+
+    Bounds are quantiles, taken first over all rows and then within each of 256 coarse ranges."""
+    below = lambda bounds: F.coalesce(F.array_size(F.filter(bounds, lambda b: b < F.col("doc_id"))), F.lit(0))
+    cuts = lambda n: [i / n for i in range(1, n)]
+    count, bounds = documents.agg(F.count("*"), F.percentile_approx("doc_id", cuts(COARSE), 10_000)).first()
+    coarse = documents.withColumn("_coarse", below(F.lit(sorted(set(bounds or ()))).cast("array<long>")) if bounds else F.lit(0))  # fewer than 256 numbers
+    fine = max(1, min(MOST_RANGES, -(-count // rows)) // COARSE)
+    if fine == 1:
+        return coarse.withColumnRenamed("_coarse", "_range")
+    inner = coarse.groupBy("_coarse").agg(F.array_sort(F.array_distinct(F.percentile_approx("doc_id", cuts(fine), 10_000))).alias("_bounds"))  # at most 256 rows of 255 numbers
+    return coarse.join(F.broadcast(inner), "_coarse").withColumn("_range", F.col("_coarse") * fine + below(F.col("_bounds"))).drop("_coarse", "_bounds")
+
+
+def with_next(documents: DataFrame, values: list[str]) -> DataFrame:
     """Adds next_<value> for each value: that of the next row by ascending doc_id, after the last the first.
 
-    Rows are dealt into ranges of doc_id whose bounds are quantiles, and each range also gets the
-    first row of the range after it, so no task sorts the whole table. Rows with a null doc_id come
-    first; rows that repeat a doc_id follow each other.
+    Each range of doc_ids also gets the first row of the range after it, so no task sorts the whole table;
+    the heads of the ranges, at most 65,536 numbers, are all that goes through the driver. Rows with a
+    null doc_id come first; rows that repeat a doc_id follow each other.
     """
-    bounds = [x for x in documents.agg(F.percentile_approx("doc_id", [i / ranges for i in range(1, ranges)], 10_000)).first()[0] or []]
-    bounds = sorted(set(bounds))  # fewer than `ranges` numbers
-    number = F.coalesce(F.array_size(F.filter(F.lit(bounds).cast("array<long>"), lambda b: b < F.col("doc_id"))), F.lit(0)) if bounds else F.lit(0)
-    dealt = documents.withColumn("_range", F.when(F.col("doc_id").isNull(), 0).otherwise(number))
-    heads = {r[0]: r[1] for r in dealt.groupBy("_range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("head")).select("_range", "head.doc_id").collect()}
-    order = sorted(heads)  # at most `ranges` of them
-    if not order:
-        return documents.select("*", *(F.col(v).alias(f"next_{v}") for v in values))
-    before = {heads[r]: order[i - 1] for i, r in enumerate(order)}
-    also = F.lit(None).cast("int")
-    for head, r in before.items():
-        same = F.col("doc_id").isNull() if head is None else F.col("doc_id") == head
-        also = F.when(same, r).otherwise(also) if head is None else also
-    known = {h: r for h, r in before.items() if h is not None}
-    table = F.create_map(*[F.lit(x) for h, r in known.items() for x in (h, r)]) if known else None
-    also = F.when(F.col("doc_id").isNull(), also).otherwise(table[F.col("doc_id")]) if known else also
-    copies = dealt.withColumn("_also", also).select("*", F.explode(F.when(F.col("_also").isNull(), F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("guest")))).otherwise(F.array(F.struct(F.col("_range").alias("r"), F.lit(False).alias("guest")), F.struct(F.col("_also").alias("r"), F.lit(True).alias("guest"))))).alias("_at"))
+    dealt = in_ranges(documents)
+    heads = dealt.groupBy("_range").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("head")).select("_range", "head.doc_id").orderBy("_range").collect()
+    guests = documents.sparkSession.createDataFrame([(r.doc_id, heads[i - 1]._range) for i, r in enumerate(heads)], "_head long, _also int")
+    both = dealt.join(F.broadcast(guests), F.col("doc_id").eqNullSafe(F.col("_head")), "left").drop("_head")
+    place = lambda r, guest: F.struct(F.col(r).alias("r"), F.lit(guest).alias("guest"))
+    copies = both.withColumn("_at", F.explode(F.when(F.col("_also").isNull(), F.array(place("_range", False))).otherwise(F.array(place("_range", False), place("_also", True)))))
     window = Window.partitionBy("_at.r").orderBy("_at.guest", F.col("doc_id").asc_nulls_first(), *values)
-    out = copies.select("*", *(F.lead(v).over(window).alias(f"next_{v}") for v in values)).where("not _at.guest")
-    return out.drop("_range", "_also", "_at")
+    return copies.select("*", *(F.lead(v).over(window).alias(f"next_{v}") for v in values)).where("not _at.guest").drop("_range", "_also", "_at")
 
 
 def edited_and_next(documents: DataFrame, chain: int = 2) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import collections
+import functools
 import hashlib
 import itertools
 import random
@@ -12,6 +13,7 @@ import zlib
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from wallscan.llm import chat, decontam, linededup, minhash, packing, sharding, spotsigs, substring, tokenfile, toxicity
 from wallscan.llm.components import components
@@ -93,7 +95,7 @@ def test_near_duplicates_of_a_crowd(spark):
     """Many copies of one text with more and more edits: most are linked with no other."""
     rng = random.Random(8)
     base, texts = prose(rng, 100).split(), []
-    for i in range(150):
+    for i in range(1000):
         copy = list(base)
         for at in rng.sample(range(100), i % 12):
             copy[at] = f"w{rng.randrange(60)}"
@@ -212,10 +214,30 @@ def test_line_edge_cases(spark, odd, none):
     assert len(rows) == odd.count() and linededup.dedupe_lines(none).count() == 0
     assert next(r for r in rows if r.doc_id == 9).text == "same line of text here"
     assert next(r for r in rows if r.doc_id == 4).text == ""
-    copies = frame(spark, ["first line of the text\nsecond line of the text", "first line of the text\nsecond line of the text", "first line of the text\n" + "x" * 99])
-    kept = {r.doc_id: r.text for r in linededup.clean_documents(copies, copy_share=0.5).collect()}
-    assert kept[1] == kept[0] and kept[2] == "x" * 99
-    assert linededup.clean_documents(odd, copy_share=0.5).count() == odd.count()
+    assert linededup.clean_documents(odd).count() == odd.count()
+
+
+def test_clean_documents_of_any_columns(spark):
+    """Columns named like those used inside come back with their values; n_chars keeps its type."""
+    said = ["first line of the text\nsecond line of the text", "first line of the text\na line of its own", None, ""]
+    rows = [(i, t, len(t or ""), f"seen{i}", [f"line{i}"], i * 10, f"gone{i}", {"a": i}) for i, t in enumerate(said)]
+    docs = spark.createDataFrame(rows, "doc_id int, text string, n_chars int, seen string, _lines array<string>, id long, `said so` string, row map<string,int>")
+    got = linededup.clean_documents(docs)
+    assert got.schema.simpleString() == docs.schema.simpleString()
+    want = [(*r[:1], "a line of its own", 17, *r[3:]) if r[0] == 1 else r for r in rows]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+
+
+@pytest.mark.parametrize("edits", [0, 1])
+def test_near_lines_of_fewer_edits(spark, edits):
+    lines = line_corpus()
+    for most in (16, 0):
+        found = linededup.near_lines(frame(spark, ["\n".join(lines[i : i + 5]) for i in range(0, len(lines), 5)]), edits=edits, most=most).collect()
+        names = dict(zip(linededup._hashes(lines)[0].tolist(), lines))
+        want = {frozenset((a, b)) for a, b in itertools.combinations(sorted(set(lines)), 2) if max(len(a), len(b)) >= 20 and linededup.edit_distance(a, b, edits) <= edits}
+        assert {frozenset((names[r.a], names[r.b])) for r in found} == want
+    with pytest.raises(ValueError):
+        linededup.near_lines(frame(spark, lines), edits=3)
 
 
 def repeat_corpus():
@@ -399,19 +421,34 @@ def tokenizer():
 
     from wallscan.llm.tokens import default_path
 
-    t = Tokenizer.from_file(default_path())
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(default_path())
 
 
 def test_encoder(tokenizer):
-    from wallscan.llm.tokens import default_path, encoder
+    """The plain call of the library, whatever white space and special strings there are, also while the store of words is emptied."""
+    from wallscan.llm.tokens import Encoder, default_path
 
-    rng = random.Random(7)
-    parts = ["the", "it's", "'s", "Été,", "naïve.", "12", "3.5%", "日本", "a\nb", "\n", "\n\n", "  ", "\t", "é", "\xa0x", "x　", "...", "don't", "ǅz", "ª", "\x1c", "end.\nStart", "<|endoftext|>", "Ünḯ"]
-    for _ in range(2000):
-        text = rng.choice(["", " "]) + " ".join(rng.choice(parts) for _ in range(rng.randint(0, 12))) + rng.choice(["", " ", "\n"])
-        assert encoder(default_path()).encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+    rng, coder = random.Random(7), Encoder(default_path(), cached=60)
+    parts = ["the", "it's", "'s", "Été,", "naïve.", "12", "3.5%", "日本", "a\nb", "\n", "\n\n", "  ", "\t", "é", "\xa0x", "x　", "...", "don't", "ǅz", "ª", "\x1c", "end.\nStart", "<|endoftext|>", "Ünḯ", "a\n\nb", "x\r\ny", "\x85", "q\x0bw", "b\n", ""]
+    for _ in range(20):
+        gap = rng.choice([" ", " ", "\n"])
+        texts = [rng.choice(["", " ", "\n"]) + gap.join(rng.choice(parts) for _ in range(rng.randint(0, 12))) + rng.choice(["", " ", "\n"]) for _ in range(200)] + [None]
+        ids, at = coder.column(pa.array(texts))
+        for i, text in enumerate(texts):
+            assert ids[at[i] : at[i + 1]].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids, repr(text)
+    assert tokenizer.encode("a<|endoftext|>b", add_special_tokens=False).ids == coder.encode("a<|endoftext|>b").tolist()
+    assert len(Encoder(default_path(), special=False).encode("<|endoftext|>")) > 1
+
+
+def test_encoder_on_whole_documents(tokenizer):
+    import pyarrow.parquet as pq
+
+    from wallscan.llm.tokens import Encoder, default_path
+
+    texts = pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].combine_chunks()
+    ids, at = Encoder(default_path()).column(texts)
+    for i, text in enumerate(texts.to_pylist()):
+        assert ids[at[i] : at[i + 1]].tolist() == tokenizer.encode(text or "", add_special_tokens=False).ids
 
 
 def test_token_files(spark, odd, none, tokenizer, tmp_path):
@@ -425,6 +462,10 @@ def test_token_files(spark, odd, none, tokenizer, tmp_path):
         at += len(ids)
     some = tokenfile.read_token_files(manifest, odd.where("doc_id in (5, 7)")).collect()
     assert sorted((r.doc_id, r.start, r.ids) for r in some) == [(r.doc_id, r.start, r.ids) for r in rows if r.doc_id in (5, 7)]
+    some = tokenfile.read_token_files(manifest, odd.where("doc_id is null or doc_id = 5")).collect()
+    assert sorted((r.start, r.ids) for r in some) == sorted((r.start, r.ids) for r in rows if r.doc_id in (None, 5))
+    assert tokenfile.read_token_files(manifest, frames=2).rdd.getNumPartitions() == min(spark.sparkContext.defaultParallelism, len(rows) // 2 + 1)
+    assert sorted((r.start, r.ids_crc32) for r in tokenfile.read_token_files(manifest, frames=2).collect()) == [(r.start, r.ids_crc32) for r in rows]
     assert tokenfile.read_token_files(tokenfile.write_token_files(none)).count() == 0
 
 
@@ -545,6 +586,46 @@ def test_spot_signatures(spark, odd, none):
     assert spotsigs.edited_and_next(none).count() == 0 and spotsigs.edited_and_next(odd).count() == odd.count()
 
 
+def plain_chains(text, chain=2):
+    """Chains of content words after common words and after words that end in a vowel, in plain Python."""
+    common = {w for line in spotsigs.ANCHORS.values() for w in line.split()}
+    found = re.findall(r"[^\W_]+", text.lower())
+    out = set()
+    for i, w in enumerate(found):
+        if w in common or w[-1] in spotsigs.VOWELS:
+            after = [x for x in found[i + 1 :] if x not in common][:chain]
+            if len(after) == chain:
+                out.add(" ".join(after))
+    return out or ({"whole: " + re.sub(r"\s+", " ", text.lower())} if text else set())
+
+
+def test_fingerprints_by_hand(spark):
+    rng = random.Random(19)
+    texts = ["", "the", "Lola Mart, the big and red HOUSE", "names | borg | fald", "the one", *(" ".join(rng.choice(["the", "und", "la", *(prose(rng, 1) for _ in range(5))]) for _ in range(rng.randint(1, 40))) for _ in range(80))]
+    said = lambda c: c if c.startswith("whole: ") else f" {c}"
+    rows = spark.createDataFrame([(c, said(c)) for c in {c for t in texts for c in plain_chains(t)}], "c string, said string")
+    hashes = {r.c: r.h for r in rows.select("c", F.hash("said").alias("h")).collect()}
+    got = {r.doc_id: set(r.spots) for r in spotsigs.fingerprints(frame(spark, texts)).collect()}
+    assert got == {i: {hashes[c] for c in plain_chains(t)} for i, t in enumerate(texts)}
+
+
+def test_one_more_chain_changes_one_spot(spark):
+    """Texts with few chains and with more are compared by the same kind of spots."""
+    names = "borg fald kirn the molt verd the stig hult the brant"
+    prints = {r.doc_id: set(r.spots) for r in spotsigs.fingerprints(frame(spark, [names, names + " furst", names + " furst the gald wirk"])).collect()}
+    assert prints[0] < prints[1] < prints[2] and len(prints[2]) == len(prints[1]) + 1 == len(prints[0]) + 2
+
+
+@pytest.mark.parametrize("rows", [1, 3, 10_000])
+def test_next_in_many_ranges(spark, monkeypatch, rows):
+    monkeypatch.setattr(spotsigs, "in_ranges", functools.partial(spotsigs.in_ranges, rows=rows))
+    monkeypatch.setattr(spotsigs, "COARSE", 4)
+    ids = [None, *range(0, 400, 7), 14, 14, 10**12, -5]
+    got = spotsigs.with_next(spark.createDataFrame([(i, f"v{n}") for n, i in enumerate(ids)], "doc_id long, v string"), ["v"]).collect()
+    order = sorted(((-(10**18) if i is None else i, f"v{n}") for n, i in enumerate(ids)))
+    assert {r.v: r.next_v for r in got} == {a[1]: b[1] for a, b in zip(order, order[1:] + order[:1])}
+
+
 def test_spot_join(spark):
     rng = random.Random(14)
     texts = []
@@ -585,12 +666,53 @@ def test_sharding(spark, odd, none):
     assert collections.Counter((r.doc_id, r.size, r.text_crc32) for r in rows) == texts
     assert sharding.shard_documents(none).count() == 0
     moved = sharding.edited_map([(s, 10 + s % 7) for s in range(200)], 5, {s: s % 4 for s in range(200)})
+    fewer = sharding.edited_map([(s, 10 + s % 7) for s in range(200)], 3, moved)
+    assert set(fewer.values()) == {0, 1, 2}
     loads = collections.Counter()
     for s, shard in moved.items():
         loads[shard] += 10 + s % 7
     assert max(loads.values()) - min(loads.values()) <= 16 and all(moved[s] in (s % 4, 4) for s in moved if moved[s] == s % 4 or moved[s] == 4)
 
 
+def test_shard_map_is_kept_and_edited(spark, tmp_path):
+    """The same call again writes nothing and gives the same rows; another number of shards edits the map and moves few rows."""
+    import os
+
+    rng = random.Random(18)
+    docs = frame(spark, [prose(rng, rng.randint(0, 60)) for _ in range(2000)])
+    path = f"file://{tmp_path}/map"
+    key = lambda df: {r.doc_id: (r.shard, r.slot) for r in df.collect()}
+    one = key(sharding.shard_documents(docs, map_path=path))
+    versions = sorted(os.listdir(tmp_path / "map"))
+    assert versions == ["version=0", "version=1"] and key(sharding.shard_documents(docs, map_path=path)) == one and len(one) == 2000
+    assert sorted(os.listdir(tmp_path / "map")) == versions
+    more = key(sharding.shard_documents(docs, shards=30, map_path=path))
+    assert {s for s, _ in more.values()} == set(range(30)) and sum(one[i][0] != more[i][0] for i in one) < 0.3 * len(one)
+    fewer = key(sharding.shard_documents(docs, shards=20, map_path=path))
+    assert {s for s, _ in fewer.values()} == set(range(20)) and sum(fewer[i][0] != more[i][0] for i in more) < 0.45 * len(more)
+    assert len(os.listdir(tmp_path / "map")) == 4
+    with pytest.raises(Exception):
+        sharding.save_map(spark, {0: 0}, 1, path)
+    with pytest.raises(ValueError):
+        sharding.shard_documents(docs, slots=64, map_path=path)
+
+
+def test_toxicity_scores_by_hand(spark):
+    """Scores equal a plain sum over the words and word beginnings of each text; a text without words has the bias."""
+    terms = {"bad": 1.5, "word": -0.5, "grum": 0.7}
+    texts = ["Bad word!", "bad, bad. word", "grumbug", "", None, "...", "nothing here"]
+    hashed = spark.createDataFrame([("bad", 0), ("word", 0), ("grum", 4)], "w string, stem int").select("w", F.when(F.col("stem") > 0, F.xxhash64("w", F.lit(4))).otherwise(F.xxhash64("w")).alias("h")).collect()
+    order = sorted(hashed, key=lambda r: r.h)
+    factors = {r.w: np.array([0.3 + i, -0.2 * i]) for i, r in enumerate(order)}
+    model = (np.array([r.h for r in order]), np.array([terms[r.w] for r in order]), np.stack([factors[r.w] for r in order]), -0.25)
+    got = {r.doc_id: r.score for r in toxicity.score(frame(spark, texts), model).collect()}
+    for i, text in enumerate(texts):
+        found = {w for w in re.split(r"[^\w]+", (text or "").lower()) if w}
+        own = [w for w in ("bad", "word") if w in found] + (["grum"] if any(w[:4] == "grum" for w in found) else [])
+        z = -0.25 + sum(terms[w] for w in own) + sum(float(factors[a] @ factors[b]) for a, b in itertools.combinations(own, 2))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z))), text
+
+
 def test_machine_learns_pairs():
     """Toxic only where two terms meet: additive weights can't tell, the pair terms can."""
     rng = np.random.default_rng(3)

@@ -24,7 +24,7 @@ _SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 def terms(text: str = "text"):
     """The distinct hashed words of a text, and of the first letters of its words; built-in functions only."""
-    found = F.array_distinct(F.split(F.lower(text_or_empty(text)), r"[^\p{L}\p{N}]+"))
+    found = F.array_remove(F.array_distinct(F.split(F.lower(text_or_empty(text)), r"[^\p{L}\p{N}]+")), "")
     stems = F.array_distinct(F.transform(found, lambda w: F.substring(w, 1, STEM)))
     return F.concat(F.transform(found, lambda w: F.xxhash64(w)), F.transform(stems, lambda w: F.xxhash64(w, F.lit(STEM))))
 
@@ -114,7 +114,7 @@ def train(documents: DataFrame, labels: DataFrame, per_class: int = 6_000, most_
 
 
 def score(documents: DataFrame, model: tuple) -> DataFrame:
-    """doc_id and score in 0..1 for each row of documents; an empty or null text has the score of the bias."""
+    """doc_id and score in 0..1 for each row of documents; a text without words has the score of the bias."""
     keys, w, v, bias = model
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -139,8 +139,8 @@ def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, **
 
     Learns from labels (doc_id, toxic 0/1) whose crc32 of the doc_id as text, modulo 3, is not 1; the
     others are held out. Labels without text, null labels and repeated labels (the larger counts)
-    are allowed; without labels of both kinds the scores are the prior. Null and empty texts get the
-    score of the bias; repeated rows get equal scores; other columns are ignored.
+    are allowed; without labels of both kinds the scores are the prior. Null and empty texts, and those
+    without letters and digits, get the score of the bias; repeated rows get equal scores; other columns are ignored.
     """
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     model = train(documents, labels.where(~held), **options)

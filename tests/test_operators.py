@@ -100,7 +100,7 @@ def test_kde_integrates_to_one(spark):
     samples = spark.createDataFrame([(0.0, 0.0, 0.0), (1.0, 0.5, -0.5)], "x double, y double, z double")
     grid = spark.range(21**3).select("id", *(((F.floor(F.col("id") / 21**n) % 21) * 0.5 - 5).alias(d) for n, d in enumerate("xyz")))
     dense = neighbours.kde(samples, grid, 0.8).agg(F.sum("density")).first()[0] * 0.125
-    near = neighbours.kde(samples, grid, 0.8, size_check=1).agg(F.sum("density")).first()[0] * 0.125
+    near = neighbours.kde(samples, grid, 0.8, cutoff=5).agg(F.sum("density")).first()[0] * 0.125
     assert dense == pytest.approx(1, abs=0.01) and near == pytest.approx(dense, abs=1e-3)
 
 
@@ -114,6 +114,33 @@ def test_nearest_in_sparse_places(spark):
         assert [got[i, n] for n in (1, 2, 3)] == [p[0] for p in order[:3]]
 
 
+def test_kde_takes_no_sample_of_its_own(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MOST_SAMPLES", 3)
+    samples = spark.range(4).select(F.col("id").cast("double").alias("x"), F.lit(0.0).alias("y"), F.lit(0.0).alias("z"))
+    targets = samples.select(F.col("x").cast("long").alias("id"), "x", "y", "z")
+    with pytest.raises(ValueError):
+        neighbours.kde(samples, targets, 1.0)
+    assert neighbours.kde(samples, targets, 1.0, cutoff=4).count() == 4
+    assert {r.density for r in neighbours.kde(samples.limit(0), targets, 1.0).collect()} == {0.0}
+
+
+def test_near_plane_points_meet_all_planes(spark, fixtures):
+    """The planes within a point's azimuths are those that a test of all pairs finds, also near the axis and behind it."""
+    rng = random.Random(5)
+    points = spark.createDataFrame([(i, rng.uniform(-3, 3) * rng.choice([0.01, 1]), rng.uniform(-3, 3) * rng.choice([0.01, 1]), 0.0) for i in range(300)], "vertex_id long, x double, y double, z double")
+    arc = spark.createDataFrame([(0.1, -0.2, 5.0, -0.75, 0.75)], "cx double, cy double, radius double, angle_min double, angle_max double")
+    table = planes.planes(arc, 0.0125, 0.05)
+    fast = {(r.vertex_id, r.k) for r in planes.near_plane_points(points, table, arc, 0.0125, 0.05, 0.1).collect()}
+    slow = points.crossJoin(table).where(F.abs((F.col("x") - F.col("ox")) * F.col("nx") + (F.col("y") - F.col("oy")) * F.col("ny")) <= 0.1)
+    assert fast == {(r.vertex_id, r.k) for r in slow.collect()} and len(fast) > 1000
+
+
+def test_numbered(spark):
+    ids = [*range(0, 50_000, 977), -4, 10**15, 10**15 + 3]
+    got = dict(neighbours.numbered(spark.createDataFrame([(i,) for i in ids], "id long"), "id", "n").collect())
+    assert got == {x: n for n, x in enumerate(sorted(ids))}
+
+
 def test_text_layouts(spark, tmp_path):
     (tmp_path / "a.txt").write_text("1 2 3 255 0 51 9 0 0 1\n 4  5 6 0 0 0 9 1 0 0\nbad line\n")
     rows = text.read_points_txt(spark, str(tmp_path / "a.txt")).orderBy("x").collect()
@@ -149,7 +176,7 @@ def test_arc_forms(spark, tmp_path):
 def test_stream_equals_batch(spark, segments, tmp_path):
     slices, out = str(tmp_path / "slices"), str(tmp_path / "out")
     for part in (0, 1):
-        segments.where(F.col("k") % 120 == 60 * part).coalesce(1).write.mode("append").parquet(slices)
+        segments.where(F.col("k") % 2 == part).coalesce(1).write.mode("append").parquet(slices)
         recognise_stream(spark, slices, segments.schema, out, str(tmp_path / "check")).awaitTermination()
     got = sorted(tuple(r) for r in store.read_results(spark, out).drop("batch").collect())
     assert got == sorted(tuple(r) for r in profiles.recognise(segments).collect()) and got

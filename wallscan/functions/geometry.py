@@ -42,6 +42,11 @@ def profile_v(z) -> Column:
     return col(z) - F.col("oz")
 
 
+def from_profile(u, v) -> tuple[Column, Column, Column]:
+    """The point in space of a profile point, of a plane with columns ox, oy, oz, rx, ry."""
+    return F.col("ox") + col(u) * F.col("rx"), F.col("oy") + col(u) * F.col("ry"), F.col("oz") + col(v)
+
+
 def azimuth(rx, ry) -> Column:
     """Degrees clockwise from north, three decimals."""
     return F.round(F.pmod(F.degrees(F.atan2(col(rx), col(ry))), F.lit(360.0)), 3)

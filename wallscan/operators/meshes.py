@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from wallscan.operators.neighbours import numbered
+
 
 def edges_of(faces: DataFrame) -> DataFrame:
     """Three directed edges for each face: face_id, a, b, lo, hi."""
@@ -18,6 +20,11 @@ def face_edges(faces: DataFrame) -> DataFrame:
     return e.select("lo", "hi", F.col("face_id").alias("a")).join(e.select("lo", "hi", F.col("face_id").alias("b")), ["lo", "hi"]).where("a < b").select("a", "b").distinct()
 
 
+def valid_pairs(faces: DataFrame) -> DataFrame:
+    """Pairs of faces a <= b on which the ends of one segment may lie: equal, or with a common edge."""
+    return faces.select(F.col("face_id").alias("a"), F.col("face_id").alias("b")).unionByName(face_edges(faces))
+
+
 def mesh_check(faces: DataFrame) -> DataFrame:
     """Counts, and whether each edge is in two faces (watertight) that use it in opposite directions (winding)."""
     e = edges_of(faces).groupBy("lo", "hi").agg(F.count("*").alias("n"), F.sum(F.when(F.col("a") == F.col("lo"), 1).otherwise(-1)).alias("s"))
@@ -31,15 +38,10 @@ def select_faces(faces: DataFrame, ids: DataFrame) -> DataFrame:
 def submesh(faces: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Selected faces with compact vertex ids, and old and new id of the vertices used.
 
-    New ids count from 0 by old id. Ranks are counted within blocks of old ids and offset by the blocks
-    before, so no task ranks all vertices."""
+    New ids count from 0 by old id."""
     chosen = select_faces(faces, ids)
-    used = chosen.select(F.explode(F.array("v0", "v1", "v2")).alias("vertex_id")).distinct().withColumn("_b", F.floor(F.col("vertex_id") / 4096))
-    sizes = used.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_s", F.floor(F.col("_b") / 4096))
-    tops = sizes.groupBy("_s").agg(F.sum("_n").alias("_t")).withColumn("_top", F.sum("_t").over(Window.orderBy("_s")) - F.col("_t"))
-    before = sizes.withColumn("_in", F.sum("_n").over(Window.partitionBy("_s").orderBy("_b")) - F.col("_n")).join(tops, "_s").select("_b", (F.col("_in") + F.col("_top")).alias("_before"))
-    place = F.row_number().over(Window.partitionBy("_b").orderBy("vertex_id")) - 1
-    new = used.withColumn("_r", place).join(before, "_b").select("vertex_id", (F.col("_r") + F.col("_before")).cast("long").alias("new_id"))
+    used = chosen.select(F.explode(F.array("v0", "v1", "v2")).alias("vertex_id")).distinct()
+    new = numbered(used, "vertex_id", "new_id")
     out = chosen
     for i in (0, 1, 2):
         out = out.join(new.select(F.col("vertex_id").alias(f"v{i}"), F.col("new_id").alias(f"w{i}")), f"v{i}")

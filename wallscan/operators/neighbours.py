@@ -3,12 +3,17 @@
 from __future__ import annotations
 
 import itertools
-import uuid
-from collections.abc import Sequence
+import math
+import tempfile
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from wallscan.operators.clouds import quantise
+
 
 def _cells(df: DataFrame, dims: Sequence[str], size: float) -> DataFrame:
     return df.select("*", *(F.floor(F.col(d) / size).alias(f"_c{d}") for d in dims))
@@ -36,30 +41,37 @@ def pairs_within(points: DataFrame, radius: float, dims: Sequence[str] = "xyz",
     return a.join(b, cells).where((squared(dims) <= radius * radius) & (F.col("a") != F.col("b"))).select("a", "b")
 
 
-def nearest(points: DataFrame, targets: DataFrame, k: int, size: float, dims: Sequence[str] = "xyz", id_col: str = "id", target_id: str = "id", doublings: int = 2) -> DataFrame:
+def nearest(points: DataFrame, targets: DataFrame, k: int, size: float, dims: Sequence[str] = "xyz", id_col: str = "id", target_id: str = "id") -> DataFrame:
     """The k nearest targets of each point: id, target, distance, rank; ties by target id. Exact.
 
-    A point looks at the cells within r rings of its own. Anything outside is more than r * size away, so
-    k targets within that distance are final. Rings double; the points left in sparse places after that
-    are compared to all targets.
+    A point looks at the cells about its own. Anything outside is a cell's width or more away, so k targets
+    within that distance are final. Cells double for the points that are left, until one holds all
+    targets; fewer than k targets then give fewer rows. No point meets all targets unless all are near it.
     """
     cells = [f"_c{d}" for d in dims]
-    t = _cells(targets, dims, size).select(F.col(target_id).alias("_b"), *(F.col(d).alias(f"b_{d}") for d in dims), *cells)
+    every = targets.select(F.col(target_id).alias("_b"), *(F.col(d).alias(f"b_{d}") for d in dims))
     rest = points.select(F.col(id_col).alias("_a"), *(F.col(d).alias(f"a_{d}") for d in dims))
+    ends = every.agg(*(f(f"b_{d}").alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    near = rest.agg(*(f(f"a_{d}").alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max)))).first()
     order = Window.partitionBy("_a").orderBy("_d2", "_b")
-    best = lambda near: near.withColumn("_d2", squared(dims)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    done = []
-    for number in range(doublings):
-        rings = 2**number
-        own = _cells(rest.select("*", *(F.col(f"a_{d}").alias(d) for d in dims)), dims, size).drop(*dims)
-        ranked = checkpointed(best(_around(own, dims, rings).join(t, cells)))
-        sure = ranked.where(F.col("_d2") <= (rings * size) ** 2).groupBy("_a").agg(F.count("*").alias("_n")).where(F.col("_n") == k).select("_a")
+    of = lambda df, p, width: df.select("*", *(F.floor(F.col(f"{p}_{d}") / width).alias(f"_c{d}") for d in dims))
+    done, width = [], size
+    known = all(e[f"{n}_{d}"] is not None for e in (ends, near) for d in dims for n in ("lo", "hi"))
+    reach = max(max(ends[f"hi_{d}"], near[f"hi_{d}"]) - min(ends[f"lo_{d}"], near[f"lo_{d}"]) for d in dims) if known else 0.0
+    while True:
+        last = width >= reach  # the cells about a point hold all targets
+        met = _around(of(rest, "a", width), dims, 1).join(of(every, "b", width), cells)
+        ranked = met.withColumn("_d2", squared(dims)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+        if last:
+            done.append(ranked)
+            break
+        ranked = checkpointed(ranked)
+        sure = ranked.where(F.col("_d2") < width**2).groupBy("_a").agg(F.count("*").alias("_n")).where(F.col("_n") == k).select("_a")
         done.append(ranked.join(sure, "_a", "left_semi"))
         rest = checkpointed(rest.join(sure, "_a", "left_anti"))
         if rest.isEmpty():
             break
-    else:
-        done.append(best(rest.join(t.drop(*cells))))
+        width *= 2
     parts = [d.select(F.col("_a").alias("id"), F.col("_b").alias("target"), F.sqrt("_d2").alias("distance"), "rank") for d in done]
     out = parts[0]
     for more in parts[1:]:
@@ -81,16 +93,38 @@ def bbox_overlap(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
     return met.where(own).select(F.col("a_id").alias("a"), F.col("b_id").alias("b"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder that all executors share; a folder is set only where none is."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        import tempfile
+def shared_folder(spark: SparkSession) -> str:
+    """spark.checkpoint.dir, which driver and executors share. Only a local master, where all is one machine, gets a new folder if that is unset."""
+    known = spark.sparkContext.getCheckpointDir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or known
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = f"file://{tempfile.mkdtemp(prefix='spark-wallscan-')}"
+    if not known:
+        spark.sparkContext.setCheckpointDir(base)
+    return base.rstrip("/")
+
 
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix=f"spark-{uuid.uuid4().hex[:6]}-"))
+def checkpointed(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder that all executors share."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
+def numbered(ids: DataFrame, id_col: str, name: str) -> DataFrame:
+    """Distinct ids with their rank from 0 by id, as long.
+
+    Ranks are counted within blocks of 4096 ids and offset by the blocks before, and these again, so no
+    task ranks all ids."""
+    used = ids.select(id_col).withColumn("_b", F.floor(F.col(id_col) / 4096))
+    sizes = used.groupBy("_b").agg(F.count("*").alias("_n")).withColumn("_s", F.floor(F.col("_b") / 4096))
+    tops = sizes.groupBy("_s").agg(F.sum("_n").alias("_t")).withColumn("_top", F.sum("_t").over(Window.orderBy("_s")) - F.col("_t"))
+    before = sizes.withColumn("_in", F.sum("_n").over(Window.partitionBy("_s").orderBy("_b")) - F.col("_n")).join(tops, "_s").select("_b", (F.col("_in") + F.col("_top")).alias("_before"))
+    place = F.row_number().over(Window.partitionBy("_b").orderBy(id_col)) - 1
+    return used.withColumn("_r", place).join(before, "_b").select(id_col, (F.col("_r") + F.col("_before")).cast("long").alias(name))
+
+
 def least_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(node, label): the least node of each connected component of edges (a, b), by star contraction."""
     e = checkpointed(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
@@ -123,7 +157,7 @@ def dbscan_from_pairs(ids: DataFrame, pairs: DataFrame, min_samples: int) -> Dat
     links = pairs.join(core, pairs.a == core.core, "left_semi").join(core, pairs.b == core.core, "left_semi")
     root = core.join(least_labels(links), F.col("core") == F.col("node"), "left").select("core", F.coalesce("label", "core").alias("root"))
     roots = root.select("root").distinct()
-    number = roots.select("root", (F.row_number().over(Window.orderBy("root")) - 1).cast("int").alias("label"))  # a row for each cluster
+    number = numbered(roots, "root", "label").withColumn("label", F.col("label").cast("int"))
     labelled = root.join(number, "root").select(F.col("core").alias("id"), "label")
     border = pairs.join(core, pairs.a == core.core, "left_anti").join(labelled, pairs.b == labelled.id).groupBy("a").agg(F.min("label").alias("label")).select(F.col("a").alias("id"), "label")
     known = labelled.unionByName(border)
@@ -172,34 +206,63 @@ def volume_report(stats: DataFrame, v_min: float, v_max: float) -> DataFrame:
     return s.select("*", share("noise_volume", "total_volume").alias("noise_percent"), share("range_volume", "valid_volume").alias("range_percent"))
 
 
-def ranked_blocks(stats: DataFrame) -> DataFrame:
-    """Clusters by size: rank 1 is the largest, ties by label; noise is left out."""
-    return stats.where("label >= 0").withColumn("rank", F.row_number().over(Window.orderBy(F.col("n").desc(), "label")))
-
-
 def top_blocks(stats: DataFrame, k: int = 10) -> DataFrame:
+    """The k largest clusters, ties by label; noise is left out."""
     return stats.where("label >= 0").orderBy(F.col("n").desc(), "label").limit(k)
 
 
 def block(labelled: DataFrame, stats: DataFrame, rank: int) -> DataFrame:
-    """Points of the block of a rank; none when there is no such block."""
-    return labelled.join(ranked_blocks(stats).where(F.col("rank") == rank).select("label"), "label", "left_semi")
+    """Points of the block of a rank, 1 being the largest; none when there is no such block."""
+    place = F.row_number().over(Window.orderBy(F.col("n").desc(), "label"))  # over `rank` rows
+    return labelled.join(top_blocks(stats, rank).withColumn("_place", place).where(F.col("_place") == rank).select("label"), "label", "left_semi")
+
+
+def hazard_blocks(points: DataFrame, sample: DataFrame, eps: float, min_samples: int, voxel_size: float, k: int = 10) -> DataFrame:
+    """The k largest blocks of voxel centres points(id, x, y, z), clustered through a sample: label, n, volume, cx, cy, cz."""
+    labels = cluster_sampled(points, sample, eps, min_samples)
+    return top_blocks(cluster_stats(labels.join(points, "id"), voxel_size), k)
 
 
-def kde(samples: DataFrame, targets: DataFrame, h: float, size_check: int = 50_000) -> DataFrame:
-    """Gaussian density of samples(x, y, z) at targets(id, x, y, z).
+#: kde sums over all samples where there are no more of them; a task holds them as one block.
+MOST_SAMPLES = 200_000
 
-    Up to size_check samples are broadcast and each target sums over all of them. Beyond that, samples are
-    dealt in cells of 4 h and a target sums over the 27 about it: what is left out is below exp(-8) of a
-    kernel's peak for each sample."""
+
+def kde(samples: DataFrame, targets: DataFrame, h: float, cutoff: float | None = None) -> DataFrame:
+    """Gaussian density of samples(x, y, z) at targets(id, x, y, z): id, density.
+
+    Without a cutoff each target sums over all samples, which every task gets as one block of at most
+    MOST_SAMPLES rows; more raise ValueError. With a cutoff, in units of h, samples and targets are dealt in
+    cells of that width and a target sums over what is within it, at every size: at 4 what is left out is
+    below exp(-8) of a kernel's peak for each sample."""
     n = samples.count()
-    scale = n * (2 * 3.141592653589793) ** 1.5 * h**3
+    scale = max(n * (2 * math.pi) ** 1.5 * h**3, 1e-300)
+    if cutoff is None:
+        if n > MOST_SAMPLES:
+            raise ValueError(f"{n} samples: give a cutoff, or sample at most {MOST_SAMPLES}")
+        block = np.array(samples.select("x", "y", "z").collect(), np.float64).reshape(-1, 3)
+
+        def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                at = np.stack([batch.column(d).to_numpy(zero_copy_only=False) for d in "xyz"], 1)
+                out = np.zeros(len(at))
+                for a in range(0, len(at), 256):
+                    for b in range(0, len(block), 4096):
+                        apart = sum((at[a : a + 256, i, None] - block[None, b : b + 4096, i]) ** 2 for i in range(3))
+                        out[a : a + 256] += np.exp(-apart / (2 * h * h)).sum(1)
+                yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(out / scale)], names=["id", "density"])
+
+        return targets.select(F.col("id").cast("long").alias("id"), "x", "y", "z").mapInArrow(sums, "id long, density double")
+    width = cutoff * h
+    cell = lambda df, p: df.select("*", *(F.floor(F.col(f"{p}_{d}") / width).alias(f"_c{d}") for d in "xyz"))
     b = samples.select(*(F.col(d).alias(f"b_{d}") for d in "xyz"))
-    a = targets.select(F.col("id"), *(F.col(d).alias(f"a_{d}") for d in "xyz"))
-    if n <= size_check:
-        both = a.crossJoin(F.broadcast(b))
-    else:
-        wide = 4 * h
-        cell = lambda df, p: df.select("*", *(F.floor(F.col(f"{p}_{d}") / wide).alias(f"_c{d}") for d in "xyz"))
-        both = _around(cell(a, "a"), "xyz", 1).join(cell(b, "b"), [f"_c{d}" for d in "xyz"])
-    return both.groupBy("id").agg((F.sum(F.exp(-squared("xyz") / (2 * h * h))) / max(scale, 1e-300)).alias("density"))
+    a = targets.select(F.col("id").cast("long").alias("id"), *(F.col(d).alias(f"a_{d}") for d in "xyz"))
+    met = _around(cell(a, "a"), "xyz", 1).join(cell(b, "b"), [f"_c{d}" for d in "xyz"]).where(squared("xyz") <= width * width)
+    found = met.groupBy("id").agg((F.sum(F.exp(-squared("xyz") / (2 * h * h))) / scale).alias("density"))
+    return a.select("id").join(found, "id", "left").select("id", F.coalesce("density", F.lit(0.0)).alias("density"))
+
+
+def density_by_size(stats: DataFrame, targets: DataFrame, v_min: float, v_max: float, h: float, cutoff: float | None = None) -> DataFrame:
+    """Density, at targets, of the centroids of the blocks with a volume within [v_min, v_max], as they are stored in whole steps."""
+    some = stats.where((F.col("label") >= 0) & F.col("volume").between(v_min, v_max))
+    q = quantise(some.select(F.col("label").cast("long").alias("point_id"), *(F.col(f"c{d}").alias(d) for d in "xyz")))
+    return kde(q.select(*((F.col(f"q{d}") * 0.001 + F.col(f"{d}_off")).alias(d) for d in "xyz")), targets, h, cutoff)

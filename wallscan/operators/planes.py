@@ -31,6 +31,25 @@ def _plane_columns(df: DataFrame) -> DataFrame:
     return df.select("k", F.format_string("%.2f", "pos").alias("slice_key"), "pos", "theta", azimuth(rx, ry).alias("azimuth"), F.col("cx").alias("ox"), F.col("cy").alias("oy"), F.lit(0.0).alias("oz"), ry.alias("nx"), (-rx).alias("ny"), rx.alias("rx"), ry.alias("ry"))
 
 
+def scanline_grid(arc: DataFrame, n_lat: int, n_lon: int) -> DataFrame:
+    """Polylines on the arc wall, n_lat heights by n_lon angles, ends included: lat, lon, x, y, z. arc has one row with z_min and z_max."""
+    share = lambda c, n: F.col(c) / max(n - 1, 1)
+    both = arc.withColumn("lat", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_lat - 1).cast("long")))).withColumn("lon", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n_lon - 1).cast("long"))))
+    a = F.col("angle_min") + (F.col("angle_max") - F.col("angle_min")) * share("lon", n_lon)
+    return both.select("lat", "lon", (F.col("cx") + F.col("radius") * F.cos(a)).alias("x"), (F.col("cy") + F.col("radius") * F.sin(a)).alias("y"), (F.col("z_min") + (F.col("z_max") - F.col("z_min")) * share("lat", n_lat)).alias("z"))
+
+
+def scanline_layout(arc: DataFrame, vertices: DataFrame, n: int) -> DataFrame:
+    """n radial lines from the centre over the arc's angles and n upright lines over the width of the vertices: kind, i, x1, y1, x2, y2."""
+    t = F.col("i") / max(n - 1, 1)
+    a = F.col("angle_min") + (F.col("angle_max") - F.col("angle_min")) * t
+    numbers = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("i")
+    radial = arc.select("*", numbers).select(F.lit("radial").alias("kind"), "i", F.col("cx").alias("x1"), F.col("cy").alias("y1"), (F.col("cx") + F.col("radius") * F.cos(a)).alias("x2"), (F.col("cy") + F.col("radius") * F.sin(a)).alias("y2"))
+    low = vertices.agg(F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))
+    x = F.col("x_min") + (F.col("x_max") - F.col("x_min")) * t
+    return radial.unionByName(low.select("*", numbers).select(F.lit("upright").alias("kind"), "i", x.alias("x1"), F.col("y_min").alias("y1"), x.alias("x2"), F.col("y_max").alias("y2")))
+
+
 def triangles(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     """Faces with the coordinates of their vertices; three equi joins on the vertex id."""
     out = faces
@@ -50,9 +69,24 @@ def invalid_faces(faces: DataFrame, vertices: DataFrame) -> DataFrame:
     return corners.join(vertices, "vertex_id", "left_anti").select("face_id").distinct()
 
 
-def near_plane_points(vertices: DataFrame, plane: DataFrame, tol: float = 0.1) -> DataFrame:
-    """Vertices within tol of a plane; plane has few rows."""
-    return vertices.join(plane, F.abs(plane_distance("x", "y")) <= tol)
+def near_plane_points(vertices: DataFrame, plane: DataFrame, arc: DataFrame, start: float, step: float, tol: float = 0.1) -> DataFrame:
+    """Vertices within tol of planes laid with this start and step along the arc: columns of both.
+
+    A point at radius r is within tol of the planes whose angle, modulo pi, is within asin(tol / r) of its
+    own; it is sent to those numbers k only, and an equi join and the exact test follow. A point within tol
+    of the axis is near all planes."""
+    last = F.floor((F.col("radius") * (F.col("angle_max") - F.col("angle_min")) - start) / step + 1e-9)
+    dx, dy = F.col("x") - F.col("cx"), F.col("y") - F.col("cy")
+    p = vertices.crossJoin(F.broadcast(arc)).withColumn("_last", last).withColumn("_r", F.sqrt(dx * dx + dy * dy))
+    half = F.asin(F.least(F.lit(1.0), tol / F.greatest(F.col("_r"), F.lit(1e-300)))) * F.col("radius") / step
+    spans = []
+    for m in (-2, -1, 0, 1, 2):
+        at = ((F.atan2(dy, dx) + m * math.pi - F.col("angle_min")) * F.col("radius") - start) / step
+        lo, hi = F.greatest(F.lit(0), F.floor(at - half - 1e-6)).cast("long"), F.least(F.col("_last"), F.ceil(at + half + 1e-6)).cast("long")
+        spans.append(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<long>")))
+    ks = F.when(F.col("_r") <= tol, F.sequence(F.lit(0).cast("long"), F.col("_last").cast("long"))).otherwise(F.array_distinct(F.concat(*spans)))
+    near = p.withColumn("k", F.explode(ks)).drop(*arc.columns, "_last", "_r").join(plane, "k")
+    return near.where(F.abs(plane_distance("x", "y")) <= tol)
 
 
 def _candidates(tri: DataFrame, arc: DataFrame, start: float, step: float) -> DataFrame:

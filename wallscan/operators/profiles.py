@@ -1,15 +1,17 @@
 """Profiles: the segments of each plane, joined at their ends, ordered, and searched for overhangs.
 
 A slice (one plane's profile) is a chain and bounded by the resolution of the mesh, so steps that must
-walk it run as grouped Arrow functions on one slice each; all else is joins and windows.
+walk it get slices whole, one after another, from partitions dealt and sorted by plane; all else is
+joins and windows.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict, deque
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,21 +59,67 @@ def _roots(a: list, b: list) -> dict:
     return {x: find(x) for x in list(up)}
 
 
-def _ends(pdf: pd.DataFrame) -> tuple[list, list]:
-    keys = np.rint(pdf[["x1", "y1", "z1", "x2", "y2", "z2"]].to_numpy() * 1e6).astype(np.int64).tolist()
-    return [tuple(r[:3]) for r in keys], [tuple(r[3:]) for r in keys]
+def _slices(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Iterator[tuple[tuple, pa.Table]]:
+    """The key and the rows of each group of sorted batches."""
+    held, last = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(batch.schema.get_field_index(k)).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
+        starts = [0, *(np.flatnonzero(new) + 1).tolist()]
+        for a, b in zip(starts, [*starts[1:], batch.num_rows], strict=True):
+            key = tuple(int(c[a]) for c in cols)
+            if held and key != last:
+                yield last, pa.Table.from_batches(held)
+                held = []
+            held.append(batch.slice(a, b - a))
+            last = key
+    if held:
+        yield last, pa.Table.from_batches(held)
+
+
+def _by_slice(df: DataFrame, keys: tuple[str, ...], columns: str, rows_of: Callable, fields: list[tuple[str, pa.DataType]]) -> DataFrame:
+    """The rows that rows_of(key, table) gives for each group of df by keys; columns names what it reads."""
+    schema = pa.schema(fields)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple] = []
+        for key, table in _slices(batches, keys):
+            rows += rows_of(key, table)
+            if len(rows) > 20_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+                rows = []
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
+
+    kinds = {pa.int64(): "long", pa.int32(): "int", pa.float64(): "double"}
+    dealt = df.select(*dict.fromkeys([*keys, *columns.split()])).repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, ", ".join(f"{n} {kinds[t]}" for n, t in fields))
+
+
+def _ends(table: pa.Table) -> tuple[list, list]:
+    at = np.rint(np.stack([table[c].to_numpy() for c in ("x1", "y1", "z1", "x2", "y2", "z2")], 1) * 1e6).astype(np.int64).tolist()
+    return [tuple(r[:3]) for r in at], [tuple(r[3:]) for r in at]
+
+
+def _path_ids(table: pa.Table) -> list[int]:
+    """For each segment of a slice the rank of its component's least node."""
+    a, b = _ends(table)
+    root = _roots(a, b)
+    rank = {r: i for i, r in enumerate(sorted(set(root.values())))}
+    return [rank[root[x]] for x in a]
 
 
 def components(segments: DataFrame) -> DataFrame:
     """segments with path_id: the rank, from 0, of its connected component's least node within the slice."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = _ends(pdf)
-        root = _roots(a, b)
-        rank = {r: i for i, r in enumerate(sorted(set(root.values())))}
-        return pdf.assign(path_id=np.array([rank[root[x]] for x in a], np.int32))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in _slices(batches, ("k",)):
+            yield from table.append_column("path_id", pa.array(_path_ids(table), pa.int32())).combine_chunks().to_batches()
 
-    return segments.groupBy("k").applyInPandas(run, segments.schema.simpleString()[7:-1].replace(":", " ") + ", path_id int")
+    schema = segments.schema.simpleString()[7:-1].replace(":", " ") + ", path_id int"
+    return segments.repartition("k").sortWithinPartitions("k").mapInArrow(run, schema)
 
 
 def path_kinds(paths: DataFrame) -> DataFrame:
@@ -81,13 +129,14 @@ def path_kinds(paths: DataFrame) -> DataFrame:
     return kinds.select("k", "path_id", "n_segments", "n_nodes", "loose", (F.col("loose") == 0).alias("closed"), ((F.col("most") <= 2) & F.col("loose").isin(0, 2)).alias("simple"))
 
 
-_NODES = "k long, path_id int, ord int, kx long, ky long, kz long, x double, y double, z double, u double, v double"
+_NODES = [("k", pa.int64()), ("path_id", pa.int32()), ("ord", pa.int32()), *((c, pa.int64()) for c in ("kx", "ky", "kz")), *((c, pa.float64()) for c in ("x", "y", "z", "u", "v"))]
+_PLACES = "x1 y1 z1 u1 v1 x2 y2 z2 u2 v2"
 
 
-def _graph(pdf: pd.DataFrame) -> tuple[dict, dict]:
-    a, b = _ends(pdf)
+def _graph(a: list, b: list, rows: list[list[float]]) -> tuple[dict, dict]:
+    """Neighbours and places of the nodes of segments with ends a and b."""
     beside, at = defaultdict(set), {}
-    for (p, q), row in zip(zip(a, b), pdf[["x1", "y1", "z1", "u1", "v1", "x2", "y2", "z2", "u2", "v2"]].to_numpy().tolist(), strict=True):
+    for p, q, row in zip(a, b, rows, strict=True):
         at.setdefault(p, row[:5])
         at.setdefault(q, row[5:])
         if p != q:
@@ -96,6 +145,10 @@ def _graph(pdf: pd.DataFrame) -> tuple[dict, dict]:
     return beside, at
 
 
+def _rows(table: pa.Table) -> list[list[float]]:
+    return np.stack([table[c].to_numpy() for c in _PLACES.split()], 1).tolist()
+
+
 def shortest_order(beside: dict, at: dict) -> list:
     """Nodes of the shortest way from the highest to the lowest node; ties by node; empty when there is none."""
     first, last = min(at, key=lambda n: (-at[n][4], n)), min(at, key=lambda n: (at[n][4], n))
@@ -118,50 +171,43 @@ def _node_rows(k, path_id, way: list, at: dict) -> list[tuple]:
     return [(k, path_id, i, *n, *at[n]) for i, n in enumerate(way)]
 
 
-def _frame(rows: list[tuple]) -> pd.DataFrame:
-    names = [c.split()[0] for c in _NODES.split(", ")]
-    return pd.DataFrame(rows, columns=names).astype({"k": "int64", "path_id": "int32", "ord": "int32", **{c: "int64" for c in ("kx", "ky", "kz")}, **{c: "float64" for c in ("x", "y", "z", "u", "v")}})
-
-
 def order_path(paths: DataFrame) -> DataFrame:
     """The ordered nodes of each path, from its highest to its lowest; side branches are left out."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        beside, at = _graph(pdf)
-        return _frame(_node_rows(pdf["k"].iloc[0], pdf["path_id"].iloc[0], shortest_order(beside, at), at))
+    def rows_of(key: tuple, table: pa.Table) -> list[tuple]:
+        beside, at = _graph(*_ends(table), _rows(table))
+        return _node_rows(*key, shortest_order(beside, at), at)
 
-    return paths.groupBy("k", "path_id").applyInPandas(run, _NODES)
+    return _by_slice(paths, ("k", "path_id"), _PLACES, rows_of, _NODES)
 
 
 def order_whole_slice(segments: DataFrame) -> DataFrame:
     """One way from the highest to the lowest node of a slice; none when it is in pieces."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        beside, at = _graph(pdf)
-        return _frame(_node_rows(pdf["k"].iloc[0], 0, shortest_order(beside, at), at))
+    def rows_of(key: tuple, table: pa.Table) -> list[tuple]:
+        beside, at = _graph(*_ends(table), _rows(table))
+        return _node_rows(*key, 0, shortest_order(beside, at), at)
 
-    return segments.groupBy("k").applyInPandas(run, _NODES)
+    return _by_slice(segments, ("k",), _PLACES, rows_of, _NODES)
 
 
 def section_paths(paths: DataFrame) -> DataFrame:
     """Ordered nodes of the components that are a chain of two ends (from the lesser end) or a simple cycle (from its least node, which is repeated); others are skipped."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        beside, at = _graph(pdf)
+    def rows_of(key: tuple, table: pa.Table) -> list[tuple]:
+        beside, at = _graph(*_ends(table), _rows(table))
         loose = sorted(n for n in at if len(beside[n]) == 1)
-        way = []
-        if all(len(beside[n]) <= 2 for n in at) and len(loose) in (0, 2) and len(at) > 1:
-            start = loose[0] if loose else min(at)
-            way, seen, node = [start], {start}, start
-            while nxt := sorted(n for n in beside[node] if n not in seen):
-                node = nxt[0]
-                way.append(node)
-                seen.add(node)
-            if not loose:
-                way.append(start)
-        return _frame(_node_rows(pdf["k"].iloc[0], pdf["path_id"].iloc[0], way, at))
+        if any(len(beside[n]) > 2 for n in at) or len(loose) not in (0, 2) or len(at) < 2:
+            return []
+        node = loose[0] if loose else min(at)
+        way, seen = [node], {node}
+        while nxt := sorted(n for n in beside[node] if n not in seen):
+            node = nxt[0]
+            way.append(node)
+            seen.add(node)
+        return _node_rows(*key, way if loose else [*way, way[0]], at)
 
-    return paths.groupBy("k", "path_id").applyInPandas(run, _NODES)
+    return _by_slice(paths, ("k", "path_id"), _PLACES, rows_of, _NODES)
 
 
 def path_edges(nodes: DataFrame) -> DataFrame:
@@ -260,6 +306,17 @@ def group_centroids(span: DataFrame) -> DataFrame:
     return span.groupBy("k", "path_id", "group_id").agg(F.avg("u").alias("cu"), F.avg("v").alias("cv"), F.count("*").alias("n_nodes"))
 
 
+def centroid_pairing(groups: DataFrame, span: DataFrame) -> DataFrame:
+    """Groups that have segments, with their number and the centroid of their span."""
+    return groups.groupBy("k", "path_id", "group_id").agg(F.count("*").alias("n_segments")).join(group_centroids(span).drop("n_nodes"), ["k", "path_id", "group_id"])
+
+
+def group_points(groups: DataFrame) -> DataFrame:
+    """Both ends in space of all segments of each group: k, path_id, group_id, x, y, z."""
+    ends = F.array(*(F.struct(*(F.col(f"{d}{i}").alias(d) for d in "xyz")) for i in (1, 2)))
+    return groups.select("k", "path_id", "group_id", F.inline(ends))
+
+
 def wide_groups(span: DataFrame, least: float = 0.1) -> DataFrame:
     """Groups of at least two nodes whose ends are at least `least` apart in u."""
     g = span.groupBy("k", "path_id", "group_id").agg(F.count("*").alias("n_nodes"), F.abs(F.max_by("u", "ord") - F.min_by("u", "ord")).alias("width"))
@@ -345,17 +402,16 @@ def merge_nodes(paths: list[list[tuple]], replace: bool = False) -> list[list[tu
 def merge_open_paths(nodes: DataFrame, replace: bool = False) -> DataFrame:
     """Ordered nodes of merged paths of each slice: k, path_id, ord, u, v, source_path and source_ord (null at a bridge)."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["path_id", "ord"], ignore_index=True)
-        paths = [[(u, v, i) for i, u, v in zip(g.index.tolist(), g["u"].tolist(), g["v"].tolist())] for _, g in pdf.groupby("path_id")]
-        rows = []
-        for p, way in enumerate(merge_nodes(paths, replace)):
-            for o, (u, v, i) in enumerate(way):
-                rows.append((pdf["k"].iloc[0], p, o, u, v, None if i < 0 else pdf["path_id"].iloc[i], None if i < 0 else pdf["ord"].iloc[i]))
-        out = pd.DataFrame(rows, columns=["k", "path_id", "ord", "u", "v", "source_path", "source_ord"])
-        return out.astype({"source_path": "Int32", "source_ord": "Int32"})
+    def rows_of(key: tuple, table: pa.Table) -> list[tuple]:
+        at = sorted(zip(*(table[c].to_pylist() for c in ("path_id", "ord", "u", "v"))))
+        paths = defaultdict(list)
+        for i, (path, _, u, v) in enumerate(at):
+            paths[path].append((u, v, i))
+        merged = merge_nodes(list(paths.values()), replace)
+        return [(*key, p, o, u, v, *((None, None) if i < 0 else at[i][:2])) for p, way in enumerate(merged) for o, (u, v, i) in enumerate(way)]
 
-    return nodes.groupBy("k").applyInPandas(run, "k long, path_id int, ord int, u double, v double, source_path int, source_ord int")
+    fields = [("k", pa.int64()), ("path_id", pa.int32()), ("ord", pa.int32()), ("u", pa.float64()), ("v", pa.float64()), ("source_path", pa.int32()), ("source_ord", pa.int32())]
+    return _by_slice(nodes, ("k",), "path_id ord u v", rows_of, fields)
 
 
 def recognise(segments: DataFrame, threshold: float = -0.1, tol: float = -0.3, y_tol: float = 1.0, most: float = 70.0) -> DataFrame:
@@ -363,14 +419,14 @@ def recognise(segments: DataFrame, threshold: float = -0.1, tol: float = -0.3, y
 
     Equals the composition components -> order_path -> overhangs -> grow_groups -> group_span -> group_centroids on open paths."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = _ends(pdf)
-        root = _roots(a, b)
-        rank = {r: i for i, r in enumerate(sorted(set(root.values())))}
-        path = np.array([rank[root[x]] for x in a])
+    def rows_of(key: tuple, table: pa.Table) -> list[tuple]:
+        pieces = defaultdict(lambda: ([], [], []))
+        for p, *segment in zip(_path_ids(table), *_ends(table), _rows(table), strict=True):
+            for held, x in zip(pieces[p], segment, strict=True):
+                held.append(x)
         rows = []
-        for p in range(len(rank)):
-            beside, at = _graph(pdf[path == p])
+        for p in sorted(pieces):
+            beside, at = _graph(*pieces[p])
             if not any(len(beside[n]) == 1 for n in at):
                 continue
             way = shortest_order(beside, at)
@@ -398,8 +454,8 @@ def recognise(segments: DataFrame, threshold: float = -0.1, tol: float = -0.3, y
                     start = last = None
             for g, own in enumerate(groups):
                 span = uv[min(own) : max(own) + 2]
-                rows.append((pdf["k"].iloc[0], p, g, span[:, 0].mean(), span[:, 1].mean(), len(span), abs(span[-1, 0] - span[0, 0]), len(own)))
-        out = pd.DataFrame(rows, columns=["k", "path_id", "group_id", "cu", "cv", "n_nodes", "width", "n_segments"])
-        return out.astype({"k": "int64", "path_id": "int32", "group_id": "int32", "cu": "float64", "cv": "float64", "n_nodes": "int64", "width": "float64", "n_segments": "int64"})
+                rows.append((*key, p, g, float(span[:, 0].mean()), float(span[:, 1].mean()), len(span), float(abs(span[-1, 0] - span[0, 0])), len(own)))
+        return rows
 
-    return segments.groupBy("k").applyInPandas(run, "k long, path_id int, group_id int, cu double, cv double, n_nodes long, width double, n_segments long")
+    fields = [("k", pa.int64()), ("path_id", pa.int32()), ("group_id", pa.int32()), ("cu", pa.float64()), ("cv", pa.float64()), ("n_nodes", pa.int64()), ("width", pa.float64()), ("n_segments", pa.int64())]
+    return _by_slice(segments, ("k",), _PLACES, rows_of, fields)

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from wallscan.functions.geometry import line_foot, plane_distance, profile_u, profile_v, r6
+from wallscan.functions.geometry import from_profile, line_foot, plane_distance, profile_u, profile_v, r6
 from wallscan.functions import geometry as g
 from wallscan.operators import clouds, meshes, planes, rasters
-from wallscan.plans.fixtures import EVERY, RADIUS, START, STEP, Fixtures, r6 as sql6, table, with_ctes
+from wallscan.plans.fixtures import RADIUS, START, STEP, Fixtures, r6 as sql6, table, with_ctes
 from wallscan.plans.registry import query
 
 
@@ -27,9 +27,9 @@ query("p3_z_band", lambda f: clouds.z_band(f.points, 0.08, 0.4), with_ctes("poin
 query("p4_planes", lambda f: rounded(f.planes(), *PLANE), with_ctes("planes", f"SELECT k, slice_key, azimuth, {all6(*PLANE)} FROM planes"))
 query("p5_mid_plane", lambda f: rounded(planes.mid_plane(f.arc5), *PLANE).drop("slice_key", "k"), with_ctes("arc", f"SELECT azimuth, {all6(*PLANE)} FROM (SELECT cx AS ox, cy AS oy, 0e0 AS oz, (t - angle_min) * radius AS pos, t AS theta, sin(t) AS nx, -cos(t) AS ny, cos(t) AS rx, sin(t) AS ry, round(((degrees(atan2(cos(t), sin(t))) % 360) + 360) % 360, 3) AS azimuth FROM (SELECT *, (angle_min + angle_max) / 2 AS t FROM arc))"))
 query("p6_plane_distance", lambda f: f.vertices.crossJoin(F.broadcast(planes.mid_plane(f.arc5))).select("vertex_id", r6(plane_distance("x", "y")).alias("d")), with_ctes("vertices arc", f"SELECT vertex_id, {sql6('x * sin(t) - y * cos(t)')} AS d FROM vertices, (SELECT (angle_min + angle_max) / 2 AS t FROM arc)"))
-query("p7_near_plane_points", lambda f: planes.near_plane_points(f.vertices, f.planes(EVERY), 0.1).select("vertex_id", "k"), with_ctes("vertices planes", f"SELECT vertex_id, k FROM vertices, planes WHERE k % {EVERY} = 0 AND abs((x - ox) * nx + (y - oy) * ny) <= 0.1e0"))
+query("p7_near_plane_points", lambda f: planes.near_plane_points(f.vertices, f.planes(), f.arc5, START, STEP, 0.1).select("vertex_id", "k"), with_ctes("vertices planes", "SELECT vertex_id, k FROM vertices, planes WHERE abs((x - ox) * nx + (y - oy) * ny) <= 0.1e0"))
 query("p8_to_profile", lambda f: f.vertices.crossJoin(F.broadcast(planes.mid_plane(f.arc5))).select("vertex_id", r6(profile_u("x", "y")).alias("u"), r6(profile_v("z")).alias("v")), with_ctes("vertices arc", f"SELECT vertex_id, {sql6('x * cos(t) + y * sin(t)')} AS u, {sql6('z')} AS v FROM vertices, (SELECT (angle_min + angle_max) / 2 AS t FROM arc)"))
-query("p9_from_profile", lambda f: f.segments().join(f.planes(EVERY).select("k", "ox", "oy", "oz", "rx", "ry"), "k").select("k", "face_id", r6(F.col("ox") + F.col("u1") * F.col("rx")).alias("x"), r6(F.col("oy") + F.col("u1") * F.col("ry")).alias("y"), r6(F.col("oz") + F.col("v1")).alias("z")), with_ctes("segments", f"SELECT k, face_id, {sql6('x1')} AS x, {sql6('y1')} AS y, {sql6('z1')} AS z FROM segments"))
+query("p9_from_profile", lambda f: f.segments().join(f.planes().select("k", "ox", "oy", "oz", "rx", "ry"), "k").select("k", "face_id", *(r6(c).alias(d) for d, c in zip("xyz", from_profile("u1", "v1"), strict=True))), with_ctes("segments", f"SELECT k, face_id, {sql6('x1')} AS x, {sql6('y1')} AS y, {sql6('z1')} AS z FROM segments"))
 _LINE = "(SELECT cx + radius * cos(t) AS lx, cy + radius * sin(t) AS ly, cos(t) AS dx, sin(t) AS dy FROM (SELECT *, angle_min + (angle_max - angle_min) * 40e0 / 100 AS t FROM arc))"
 query("p10_radial_line", lambda f: rounded(clouds.radial_line(f.arc, 40.0), "lx", "ly", "dx", "dy"), with_ctes("arc", f"SELECT {all6('lx', 'ly', 'dx', 'dy')} FROM line", {"line": _LINE}))
 _NEAR = "(SELECT * FROM vertices, line WHERE abs((x - lx) * dy - (y - ly) * dx) / sqrt(dx * dx + dy * dy) <= 0.6e0)"
@@ -61,18 +61,21 @@ query("a2_voxel_downsample", lambda f: rounded(clouds.voxel_downsample(f.points,
 query("a3_occupied_voxels", lambda f: clouds.occupied_voxels(f.points, 0.7), with_ctes("points", "SELECT DISTINCT floor(x / 0.7e0)::BIGINT AS ix, floor(y / 0.7e0)::BIGINT AS iy, floor(z / 0.7e0)::BIGINT AS iz FROM points"))
 query("a4_quantile_centre", lambda f: rounded(clouds.quantile_centre(f.points, 0.15), "x", "y", "z"), with_ctes("points", f"SELECT {sql6('avg(x)')} AS x, {sql6('avg(y)')} AS y, {sql6('avg(z)')} AS z, count(*) AS n FROM points WHERE z >= (SELECT quantile_cont(z, 0.15) FROM points)"))
 query("a18_fit_line", lambda f: clouds.fit_line(f.points).select(F.round("a", 5).alias("a"), F.round("b", 5).alias("b")), with_ctes("points", "SELECT round(regr_slope(y, x), 5) AS a, round(regr_intercept(y, x), 5) AS b FROM points"))
-query("a19_fit_arc", lambda f: f.spark.createDataFrame([tuple(round(v, 6) for v in clouds.fit_arc(f.vertices))], "cx double, cy double, r double"), None)
+# Gauss-Newton steps from the wall's axis, one table expression each: the normal equations of the distances to a circle, solved by Cramer's rule.
+_STEP = "(SELECT g.cx + (rx * (m22 * m33 - m23 * m23) - m12 * (ry * m33 - m23 * rr) + m13 * (ry * m23 - m22 * rr)) / det AS cx, g.cy + (m11 * (ry * m33 - m23 * rr) - rx * (m12 * m33 - m23 * m13) + m13 * (m12 * rr - ry * m13)) / det AS cy, g.r + (m11 * (m22 * rr - ry * m23) - m12 * (m12 * rr - ry * m13) + rx * (m12 * m23 - m22 * m13)) / det AS r FROM (SELECT *, m11 * (m22 * m33 - m23 * m23) - m12 * (m12 * m33 - m23 * m13) + m13 * (m12 * m23 - m22 * m13) AS det FROM (SELECT any_value(cx) AS cx, any_value(cy) AS cy, any_value(r) AS r, sum(a * a) AS m11, sum(a * b) AS m12, -sum(a) AS m13, sum(b * b) AS m22, -sum(b) AS m23, count(*)::DOUBLE AS m33, -sum(a * e) AS rx, -sum(b * e) AS ry, sum(e) AS rr FROM (SELECT cx, cy, r, (cx - x) / d AS a, (cy - y) / d AS b, d - r AS e FROM (SELECT g.*, x, y, sqrt((x - g.cx) * (x - g.cx) + (y - g.cy) * (y - g.cy)) AS d FROM vertices, {0} g)))) g)"
+_FIT = {"g0": "(SELECT 0e0 AS cx, 0e0 AS cy, avg(sqrt(x * x + y * y)) AS r FROM vertices)", **{f"g{i + 1}": _STEP.format(f"g{i}") for i in range(8)}}
+query("a19_fit_arc", lambda f: f.spark.createDataFrame([tuple(round(v, 5) for v in clouds.fit_arc(f.vertices))], "cx double, cy double, r double"), with_ctes("vertices", "SELECT round(cx, 5) AS cx, round(cy, 5) AS cy, round(r, 5) AS r FROM g8", _FIT))
 query("a20_arc_angles", lambda f: rounded(clouds.arc_angles(f.vertices, -1.0, 0.5), "angle_min", "angle_max"), with_ctes("vertices", f"SELECT {sql6('min(atan2(y - 0.5e0, x + 1))')} AS angle_min, {sql6('max(atan2(y - 0.5e0, x + 1))')} AS angle_max FROM vertices"))
 query("a21_fit_rmse", lambda f: clouds.fit_rmse(f.vertices, 0.0, 0.0, RADIUS).select(*(F.round(c, 5).alias(c) for c in ("line_rmse", "arc_rmse"))), with_ctes("vertices", f"SELECT round(sqrt(avg(pow(abs(a * x - y + b) / sqrt(a * a + 1), 2))), 5) AS line_rmse, round(sqrt(avg(pow(sqrt(x * x + y * y) - {RADIUS}e0, 2))), 5) AS arc_rmse FROM vertices, (SELECT regr_slope(y, x) AS a, regr_intercept(y, x) AS b FROM vertices)"))
 query("a22_residual_histogram", lambda f: clouds.histogram(f.points.select(g.arc_distance("x", "y", F.lit(10.03), F.lit(7.51), F.lit(4.17)).alias("e")), "e", 50), with_ctes("points", "SELECT least(49, floor((e - lo) / (hi - lo) * 50))::INT AS bin, count(*) AS n FROM (SELECT *, min(e) OVER () AS lo, max(e) OVER () AS hi FROM (SELECT abs(sqrt((x - 10.03e0) * (x - 10.03e0) + (y - 7.51e0) * (y - 7.51e0)) - 4.17e0) AS e FROM points)) GROUP BY 1"))
 
-_DSM = "(SELECT floor((y - b) / 0.1e0)::INT AS row, floor((x - a) / 0.1e0)::INT AS col, max(z) AS z FROM points, (SELECT min(x) a, min(y) b FROM points) WHERE (point_id // 100) % 7 < 3 GROUP BY 1, 2)"
+_DSM = "(SELECT floor((y - b) / 0.1e0)::INT AS row, floor((x - a) / 0.1e0)::INT AS col, max(z) AS z FROM points, (SELECT min(x) a, min(y) b FROM points) GROUP BY 1, 2)"
 
 
 def _sparse(f: Fixtures):
-    """A surface with empty cells."""
+    """The surface of all points in fine cells, of which some are empty."""
     low = f.points.agg(F.min("x").alias("a"), F.min("y").alias("b"))
-    p = clouds.one_row(f.points, low).where("(point_id div 100) % 7 < 3")
+    p = clouds.one_row(f.points, low)
     return p.groupBy(F.floor((F.col("y") - F.col("b")) / 0.1).cast("int").alias("row"), F.floor((F.col("x") - F.col("a")) / 0.1).cast("int").alias("col")).agg(F.max("z").alias("z"))
 
 
@@ -80,8 +83,8 @@ query("o17_dsm_fill", lambda f: rounded(rasters.fill(_sparse(f), 150, 200), "z")
 query("o18_dsm_mesh", lambda f: rasters.to_mesh(_sparse(f), 0.1, 150), with_ctes("points", "SELECT v AS v0, v + 150 AS v1, v + 1 AS v2 FROM full_ UNION ALL SELECT v + 150, v + 151, v + 1 FROM full_", {"dsm": _DSM, "full_": "(SELECT d.row + d.col * 150 AS v FROM dsm d JOIN dsm r ON r.row = d.row AND r.col = d.col + 1 JOIN dsm u ON u.row = d.row + 1 AND u.col = d.col JOIN dsm q ON q.row = d.row + 1 AND q.col = d.col + 1)"}))
 
 query("j1_triangles", lambda f: f.tri().select("face_id", *(f"{d}{i}" for i in (0, 1, 2) for d in "xyz")), with_ctes("tri", f"SELECT face_id, {', '.join(f'{d}{i}' for i in (0, 1, 2) for d in 'xyz')} FROM tri"))
-query("j2_cut", lambda f: rounded(f.segments(1).select("k", "slice_key", "face_id", *(f"{d}{i}" for i in (1, 2) for d in "xyz")), *(f"{d}{i}" for i in (1, 2) for d in "xyz")), with_ctes("segments_all", f"SELECT k, slice_key, face_id, {all6(*(f'{d}{i}' for i in (1, 2) for d in 'xyz'))} FROM segments_all"))
-query("p27_project_slices", lambda f: rounded(f.segments().select("k", "face_id", "u1", "v1", "u2", "v2"), "u1", "v1", "u2", "v2"), with_ctes("segments", f"SELECT k, face_id, {all6('u1', 'v1', 'u2', 'v2')} FROM segments"))
+query("j2_cut", lambda f: rounded(f.cut().select("k", "slice_key", "face_id", *(f"{d}{i}" for i in (1, 2) for d in "xyz")), *(f"{d}{i}" for i in (1, 2) for d in "xyz")), with_ctes("segments", f"SELECT k, slice_key, face_id, {all6(*(f'{d}{i}' for i in (1, 2) for d in 'xyz'))} FROM segments"))
+query("p27_project_slices", lambda f: rounded(f.cut().select("k", "face_id", "u1", "v1", "u2", "v2"), "u1", "v1", "u2", "v2"), with_ctes("segments", f"SELECT k, face_id, {all6('u1', 'v1', 'u2', 'v2')} FROM segments"))
 query("j6_nearest_plane", lambda f: planes.nearest_plane(f.points.select("point_id", (F.col("x") * 4 + 10).alias("x"), (F.col("y") * 6 - 40).alias("y")), f.planes(), f.arc5, START, STEP).select("point_id", r6("distance").alias("distance")), with_ctes("points planes", f"SELECT point_id, {sql6('min(abs((x * 4 + 10) * nx + (y * 6 - 40) * ny))')} AS distance FROM points, planes GROUP BY 1"))
 query("j10_invalid_faces", lambda f: planes.invalid_faces(f.faces(), f.vertices.where("vertex_id % 37 != 5")), with_ctes("faces vertices", "SELECT DISTINCT face_id FROM (SELECT face_id, unnest([v0, v1, v2]) AS v FROM faces) WHERE v NOT IN (SELECT vertex_id FROM vertices WHERE vertex_id % 37 <> 5)"))
 query("a14_mesh_bounds", lambda f: meshes.bounds(f.tri()), with_ctes("tri", "SELECT " + ", ".join(f"min(least({d}0, {d}1, {d}2)) AS {d}_min, max(greatest({d}0, {d}1, {d}2)) AS {d}_max" for d in "xyz") + " FROM tri"))
@@ -89,7 +92,10 @@ query("a14_grid_meta", lambda f: meshes.grid_meta(f.tri(), 0.5), with_ctes("tri"
 _EDGES = "(SELECT least(a, b) AS lo, greatest(a, b) AS hi, face_id, CASE WHEN a < b THEN 1 ELSE -1 END AS s FROM (SELECT face_id, v0 AS a, v1 AS b FROM {0} UNION ALL SELECT face_id, v1, v2 FROM {0} UNION ALL SELECT face_id, v2, v0 FROM {0}))"
 query("a15_mesh_check", lambda f: meshes.mesh_check(f.faces()), with_ctes("faces", "SELECT count(*) AS n_edges, count(*) FILTER (n = 1) AS n_border, bool_and(n = 2) AS watertight, bool_and(n <> 2 OR s = 0) AS winding FROM (SELECT lo, hi, count(*) AS n, sum(s) AS s FROM e GROUP BY 1, 2)", {"e": _EDGES.format("faces")}))
 query("o8_face_edges", lambda f: meshes.face_edges(f.faces()), with_ctes("faces", "SELECT DISTINCT p.face_id AS a, q.face_id AS b FROM e p JOIN e q ON p.lo = q.lo AND p.hi = q.hi AND p.face_id < q.face_id", {"e": _EDGES.format("faces")}))
-query("o15_prisms", lambda f: meshes.prisms(f.tri().where("face_id % 5 = 0"), f.faces().select("face_id", (F.col("face_id") % 7 * 0.25).alias("height"))).groupBy("face_id").agg(F.count("*").alias("n"), r6(F.sum(F.col("pz0") + F.col("pz1") + F.col("pz2"))).alias("z_sum")), with_ctes("tri", f"SELECT face_id, 8::BIGINT AS n, {sql6('(z0 + z1 + z2) * 4 + 12 * ((z0 + z1 + z2) / 3 + (face_id % 7) * 0.25e0)')} AS z_sum FROM tri WHERE face_id % 5 = 0"))
+_LOW, _HIGH = [("x0", "y0", "z0"), ("x1", "y1", "z1"), ("x2", "y2", "z2")], [("x0", "y0", "top"), ("x1", "y1", "top"), ("x2", "y2", "top")]
+_PARTS = [_LOW, _HIGH, *(x for i in (0, 1, 2) for x in ([_LOW[i], _LOW[(i + 1) % 3], _HIGH[(i + 1) % 3]], [_LOW[i], _HIGH[(i + 1) % 3], _HIGH[i]]))]
+_PRISM = [f"p{d}{i}" for i in (0, 1, 2) for d in "xyz"]
+query("o15_prisms", lambda f: rounded(meshes.prisms(f.tri(), f.faces().select("face_id", (F.col("face_id") % 7 * 0.25).alias("height"))).select("face_id", "part", *_PRISM), *_PRISM), with_ctes("tri", " UNION ALL ".join(f"SELECT face_id, {n} AS part, " + ", ".join(f"{sql6(c)} AS p{d}{i}" for i, corner in enumerate(part) for d, c in zip("xyz", corner, strict=True)) + " FROM topped" for n, part in enumerate(_PARTS)), {"topped": "(SELECT *, (z0 + z1 + z2) / 3 + (face_id % 7) * 0.25e0 AS top FROM tri)"}))
 
 
 def _submesh(f: Fixtures):
@@ -100,27 +106,10 @@ def _submesh(f: Fixtures):
 query("o16_submesh", _submesh, with_ctes("faces", "SELECT c.face_id, a.n AS v0, b.n AS v1, d.n AS v2 FROM chosen c JOIN used a ON a.v = v0 JOIN used b ON b.v = v1 JOIN used d ON d.v = v2", {"chosen": "(SELECT * FROM faces WHERE face_id % 11 < 3)", "used": "(SELECT v, row_number() OVER (ORDER BY v) - 1 AS n FROM (SELECT DISTINCT unnest([v0, v1, v2]) AS v FROM chosen))"}))
 
 
-def _latitudes(f: Fixtures):
-    """Polylines on the arc wall: n_lat heights by n_lon angles."""
-    spark = f.spark
-    both = spark.range(9).select(F.col("id").alias("lat")).crossJoin(spark.range(21).select(F.col("id").alias("lon")))
-    a = F.col("angle_min") + (F.col("angle_max") - F.col("angle_min")) * F.col("lon") / 20
-    return both.crossJoin(F.broadcast(f.arc)).select("lat", "lon", r6(F.col("cx") + F.col("radius") * F.cos(a)).alias("x"), r6(F.col("cy") + F.col("radius") * F.sin(a)).alias("y"), r6(F.col("z_min") + (F.col("z_max") - F.col("z_min")) * F.col("lat") / 8).alias("z"))
+query("o20_scanline_grid", lambda f: rounded(planes.scanline_grid(f.arc, 9, 21), "x", "y", "z"), with_ctes("arc", f"SELECT lat, lon, {sql6('cx + radius * cos(angle_min + (angle_max - angle_min) * lon / 20)')} AS x, {sql6('cy + radius * sin(angle_min + (angle_max - angle_min) * lon / 20)')} AS y, {sql6('z_min + (z_max - z_min) * lat / 8')} AS z FROM arc, range(9) a(lat), range(21) b(lon)"))
 
 
-query("o20_scanline_grid", _latitudes, with_ctes("arc", f"SELECT lat, lon, {sql6('cx + radius * cos(angle_min + (angle_max - angle_min) * lon / 20)')} AS x, {sql6('cy + radius * sin(angle_min + (angle_max - angle_min) * lon / 20)')} AS y, {sql6('z_min + (z_max - z_min) * lat / 8')} AS z FROM arc, range(9) a(lat), range(21) b(lon)"))
-
-
-def _layout(f: Fixtures):
-    """Twelve radial lines from the centre, and twelve upright lines over the wall's width."""
-    a, t = F.col("angle_min") + (F.col("angle_max") - F.col("angle_min")) * F.col("i") / 11, F.col("x_min") + (F.col("x_max") - F.col("x_min")) * F.col("i") / 11
-    i = f.spark.range(12).select(F.col("id").alias("i"))
-    low = f.vertices.agg(F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"), F.max("y").alias("y_max"))
-    radial = i.crossJoin(F.broadcast(f.arc)).select(F.lit("radial").alias("kind"), "i", r6("cx").alias("x1"), r6("cy").alias("y1"), r6(F.col("cx") + F.col("radius") * F.cos(a)).alias("x2"), r6(F.col("cy") + F.col("radius") * F.sin(a)).alias("y2"))
-    return radial.unionByName(i.crossJoin(F.broadcast(low)).select(F.lit("upright").alias("kind"), "i", r6(t).alias("x1"), r6("y_min").alias("y1"), r6(t).alias("x2"), r6("y_max").alias("y2")))
-
-
-query("o21_scanline_layout", _layout, with_ctes("arc vertices", f"SELECT 'radial' AS kind, i, {sql6('cx')} AS x1, {sql6('cy')} AS y1, {sql6('cx + radius * cos(angle_min + (angle_max - angle_min) * i / 11)')} AS x2, {sql6('cy + radius * sin(angle_min + (angle_max - angle_min) * i / 11)')} AS y2 FROM arc, range(12) r(i) UNION ALL SELECT 'upright', i, {sql6('a + (b - a) * i / 11')}, {sql6('c')}, {sql6('a + (b - a) * i / 11')}, {sql6('d')} FROM (SELECT min(x) a, max(x) b, min(y) c, max(y) d FROM vertices), range(12) r(i)"))
+query("o21_scanline_layout", lambda f: rounded(planes.scanline_layout(f.arc, f.vertices, 12), "x1", "y1", "x2", "y2"), with_ctes("arc vertices", f"SELECT 'radial' AS kind, i, {sql6('cx')} AS x1, {sql6('cy')} AS y1, {sql6('cx + radius * cos(angle_min + (angle_max - angle_min) * i / 11)')} AS x2, {sql6('cy + radius * sin(angle_min + (angle_max - angle_min) * i / 11)')} AS y2 FROM arc, range(12) r(i) UNION ALL SELECT 'upright', i, {sql6('a + (b - a) * i / 11')}, {sql6('c')}, {sql6('a + (b - a) * i / 11')}, {sql6('d')} FROM (SELECT min(x) a, max(x) b, min(y) c, max(y) d FROM vertices), range(12) r(i)"))
 
 
 def _arith():

@@ -1,7 +1,8 @@
 """Inputs of the registered queries: point clouds and wall meshes derived from the given tables.
 
 Each input exists twice, as a DataFrame and as a DuckDB table expression, with the same arithmetic. The
-wall's grid grows with the tables.
+wall's sides grow with the square root of the number of lineitem rows. Vertices, faces, triangles and
+slices are built once for a query and kept in the checkpoint folder, so a query's plan holds its operator.
 """
 
 from __future__ import annotations
@@ -9,10 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wallscan.operators.neighbours import checkpointed
 from wallscan.operators.planes import planes as lay_planes
 from wallscan.operators.planes import cut, triangles
 
-START, STEP, RADIUS, EVERY = 0.0125, 0.05, 51.25, 60
+START, STEP, RADIUS = 0.0125, 0.05, 51.25
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,11 +27,18 @@ class Fixtures:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark, self.dir = spark, sf_dir
         self.lineitem = table(spark, sf_dir, "lineitem")
+        self._kept: dict[str, DataFrame] = {}
+
+    def kept(self, name: str, build) -> DataFrame:
+        """What build() gives, written once for this query."""
+        if name not in self._kept:
+            self._kept[name] = checkpointed(build())
+        return self._kept[name]
 
     @property
     def grid(self) -> DataFrame:
-        n = F.count("*")
-        return self.lineitem.agg(F.when(n <= 10_000, 60).when(n <= 100_000, 120).otherwise(400).cast("long").alias("ni")).withColumn("nj", F.expr("ni div 2"))
+        """Columns ni and rows nj of the wall: ni is even, so no plane runs through a column of vertices."""
+        return self.lineitem.agg(F.greatest(F.lit(2), F.floor(F.sqrt(F.count("*") / 15))).cast("long").alias("nj")).select((F.col("nj") * 2).alias("ni"), "nj")
 
     @property
     def points(self) -> DataFrame:
@@ -43,10 +52,16 @@ class Fixtures:
 
     @property
     def vertices(self) -> DataFrame:
+        return self.kept("vertices", self._vertices)
+
+    def _vertices(self) -> DataFrame:
         t = F.lit(-0.75) + (F.col("i") * 1.5) / (F.col("ni") - 1)
         return self.wall.select((F.col("i") * F.col("nj") + F.col("j")).alias("vertex_id"), F.round(F.col("r") * F.cos(t), 6).alias("x"), F.round(F.col("r") * F.sin(t), 6).alias("y"), (F.col("j") * 0.5).alias("z"))
 
     def faces(self, gaps: bool = False) -> DataFrame:
+        return self.kept(f"faces {gaps}", lambda: self._faces(gaps))
+
+    def _faces(self, gaps: bool) -> DataFrame:
         w = self.wall.select("i", "j", "ni", "nj")
         full = w
         for a, b in ((1, 0), (0, 1), (1, 1)):
@@ -61,6 +76,9 @@ class Fixtures:
     def arc(self) -> DataFrame:
         """The arc of the wall: its angles and heights come from the vertices, its centre and radius are given."""
         a = F.atan2("y", "x")
+        return self.kept("arc", lambda: self._arc(a))
+
+    def _arc(self, a) -> DataFrame:
         return self.vertices.agg(F.round(F.min(a), 4).alias("angle_min"), F.round(F.max(a), 4).alias("angle_max"), F.min("z").alias("z_min"), F.max("z").alias("z_max")).select(F.lit(0.0).alias("cx"), F.lit(0.0).alias("cy"), F.lit(RADIUS).alias("radius"), "angle_min", "angle_max", "z_min", "z_max")
 
     @property
@@ -71,10 +89,14 @@ class Fixtures:
         return lay_planes(self.arc5, START, STEP, every=every)
 
     def tri(self, gaps: bool = False) -> DataFrame:
-        return triangles(self.faces(gaps), self.vertices)
+        return self.kept(f"tri {gaps}", lambda: triangles(self.faces(gaps), self.vertices))
 
-    def segments(self, every: int = EVERY, gaps: bool = False) -> DataFrame:
-        return cut(self.tri(gaps), self.planes(every), self.arc5, START, STEP)
+    def cut(self, gaps: bool = False) -> DataFrame:
+        return cut(self.tri(gaps), self.planes(), self.arc5, START, STEP)
+
+    def segments(self, gaps: bool = False) -> DataFrame:
+        """The slices of all planes, as an input of other operators."""
+        return self.kept(f"segments {gaps}", lambda: self.cut(gaps))
 
     @property
     def orientations(self) -> DataFrame:
@@ -107,17 +129,23 @@ def _seg_point(c: str, a: int, b: int) -> str:
     return f"CASE WHEN s{a} * s{b} < 0 THEN CASE WHEN v{a} < v{b} THEN {one(a, b)} ELSE {one(b, a)} END END"
 
 
-def _segments(faces: str, every: int) -> str:
+def _segments(faces: str) -> str:
     d = ", ".join(f"(x{i} - ox) * nx + (y{i} - oy) * ny AS d{i}" for i in (0, 1, 2))
     s = ", ".join(f"CASE WHEN d{i} > 1e-8 THEN 1 WHEN d{i} < -1e-8 THEN -1 ELSE 0 END AS s{i}" for i in (0, 1, 2))
     ends = lambda c: [*(f"CASE WHEN s{i} = 0 THEN {c}{i} END" for i in (0, 1, 2)), *(_seg_point(c, a, b) for a, b in ((0, 1), (1, 2), (2, 0)))]
     cols = ", ".join(f"coalesce({', '.join(ends(c)[::o])}) AS {c}{n}" for n, o in ((1, 1), (2, -1)) for c in "xyz")
     count = lambda v: " + ".join(f"(s{i} = {v})::int" for i in (0, 1, 2))
     return f"""(SELECT *, (x1 - ox) * rx + (y1 - oy) * ry AS u1, z1 - oz AS v1, (x2 - ox) * rx + (y2 - oy) * ry AS u2, z2 - oz AS v2 FROM
-        (SELECT slice_key, k, face_id, ox, oy, oz, rx, ry, {cols} FROM (SELECT *, {s} FROM (SELECT *, {d} FROM {faces}, planes WHERE k % {every} = 0))
+        (SELECT slice_key, k, face_id, ox, oy, oz, rx, ry, {cols} FROM (SELECT *, {s} FROM (SELECT *, {d} FROM {faces} JOIN planes ON planes.k BETWEEN k_lo AND k_hi))
         WHERE ({count(1)} > 0 AND {count(-1)} > 0) OR ({count(0)} = 2 AND {count(1)} = 1)))"""
 
 
+def _near_planes(faces: str) -> str:
+    """Faces with the numbers of the planes about them: the wall stands within its arc, so its azimuths bound them."""
+    place = lambda f: f"((a.angle_min * -1 + {f}(" + ", ".join(f"atan2(y{i}, x{i})" for i in (0, 1, 2)) + f")) * a.radius - {START}e0) / {STEP}e0"
+    return f"(SELECT t.*, floor({place('least')})::BIGINT - 1 AS k_lo, ceil({place('greatest')})::BIGINT + 1 AS k_hi FROM {faces} t, (SELECT angle_min, radius FROM arc) a)"
+
+
 def _tri(faces: str) -> str:
     return "(SELECT f.*, " + ", ".join(f"p{i}.{d} AS {d}{i}" for i in (0, 1, 2) for d in "xyz") + f" FROM {faces} f JOIN vertices p0 ON p0.vertex_id = v0 JOIN vertices p1 ON p1.vertex_id = v1 JOIN vertices p2 ON p2.vertex_id = v2)"
 
@@ -126,7 +154,7 @@ _KEYS = ", ".join(f"CAST(rint({d}{i} * 1e6) AS BIGINT) AS {p}{d}" for i, p in ((
 
 #: Name -> (inputs, table expression).
 CTES: dict[str, tuple[str, str]] = {
-    "grid": ("", "(SELECT ni, ni // 2 AS nj FROM (SELECT CASE WHEN count(*) <= 10000 THEN 60 WHEN count(*) <= 100000 THEN 120 ELSE 400 END::BIGINT AS ni FROM lineitem))"),
+    "grid": ("", "(SELECT nj * 2 AS ni, nj FROM (SELECT greatest(2, floor(sqrt(count(*) / 15)))::BIGINT AS nj FROM lineitem))"),
     "points": ("", "(SELECT (((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 1000 + l_suppkey) * 100 + l_quantity::BIGINT AS point_id, (l_partkey % 200) * 0.1e0 + 0.05e0 AS x, (l_orderkey % 150) * 0.1e0 + 0.05e0 AS y, l_quantity * 0.2e0 AS z FROM lineitem)"),
     "wall": ("grid", "(SELECT l_partkey % ni AS i, l_orderkey % nj AS j, 50 + avg(l_quantity) * 0.05e0 AS r, max(ni) AS ni, max(nj) AS nj FROM lineitem, grid GROUP BY 1, 2)"),
     "vertices": ("wall", "(SELECT i * nj + j AS vertex_id, round(r * cos(-0.75e0 + (i * 1.5e0) / (ni - 1)), 6) AS x, round(r * sin(-0.75e0 + (i * 1.5e0) / (ni - 1)), 6) AS y, j * 0.5e0 AS z FROM wall)"),
@@ -137,9 +165,8 @@ CTES: dict[str, tuple[str, str]] = {
     "planes": ("arc", f"(SELECT k, printf('%.2f', pos) AS slice_key, pos, theta, round(((degrees(atan2(cos(theta), sin(theta))) % 360) + 360) % 360, 3) AS azimuth, cx AS ox, cy AS oy, 0e0 AS oz, sin(theta) AS nx, -cos(theta) AS ny, cos(theta) AS rx, sin(theta) AS ry FROM (SELECT *, angle_min + pos / radius AS theta FROM (SELECT *, {START}e0 + {STEP}e0 * k AS pos FROM (SELECT *, unnest(range(0, CAST(floor((radius * (angle_max - angle_min) - {START}e0) / {STEP}e0 + 1e-9) AS BIGINT) + 1)) AS k FROM arc))))"),
     "tri": ("faces vertices", _tri("faces")),
     "tri_g": ("faces_g vertices", _tri("faces_g")),
-    "segments": ("tri planes", _segments("tri", EVERY)),
-    "segments_g": ("tri_g planes", _segments("tri_g", EVERY)),
-    "segments_all": ("tri planes", _segments("tri", 1)),
+    "segments": ("tri planes", _segments(_near_planes("tri"))),
+    "segments_g": ("tri_g planes", _segments(_near_planes("tri_g"))),
     "keyed": ("segments", f"(SELECT *, {_KEYS} FROM segments)"),
     "keyed_g": ("segments_g", f"(SELECT *, {_KEYS} FROM segments_g)"),
     "orientations": ("", "(SELECT o_orderkey AS id, (o_custkey % 91)::DOUBLE AS dip, (o_orderkey % 360)::DOUBLE AS dip_dir FROM orders)"),
@@ -161,5 +188,5 @@ def with_ctes(names: str, body: str, more: dict[str, str] | None = None, recursi
 
     for name in names.split():
         need(name)
-    parts = [f"{n} AS MATERIALIZED {CTES[n][1]}" for n in order] + [f"{n} AS {q}" for n, q in (more or {}).items()]
+    parts = [f"{n} AS MATERIALIZED {CTES[n][1]}" for n in order] + [f"{n} AS {q}" if f" {n} " in q else f"{n} AS MATERIALIZED {q}" for n, q in (more or {}).items()]  # those that name themselves are recursive
     return f"WITH {'RECURSIVE ' * recursive}{', '.join(parts)} {body}"

@@ -2,46 +2,45 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wallscan.functions.geometry import r6
-from wallscan.operators import profiles as pr
-from wallscan.operators.neighbours import checkpointed
-from wallscan.plans.fixtures import EVERY, Fixtures, r6 as sql6, with_ctes
+from wallscan.operators import meshes, profiles as pr
+from wallscan.operators.neighbours import checkpointed, shared_folder
+from wallscan.plans.fixtures import Fixtures, r6 as sql6, with_ctes
 from wallscan.plans.registry import query
 from wallscan.sources import store
 
 
-def paths(f: Fixtures, gaps: bool = True):
-    return pr.components(f.segments(gaps=gaps))
+def paths(f: Fixtures):
+    return pr.components(f.segments(gaps=True))
 
 
-def nodes(f: Fixtures, gaps: bool = True):
-    return pr.order_path(paths(f, gaps))
+def nodes(f: Fixtures):
+    """The ordered nodes of all paths, kept for the query that uses them several times."""
+    return f.kept("nodes", lambda: pr.order_path(paths(f)))
 
 
 def red(f: Fixtures):
-    return pr.overhangs(pr.path_edges(nodes(f)))
+    return f.kept("red", lambda: pr.overhangs(pr.path_edges(nodes(f))))
 
 
-# Components, ordered nodes, overhangs and groups of the broken wall, as SQL. A profile there is a chain that falls all the way, so the way
-# from its highest to its lowest node is the chain itself.
-REC = {
-    "ends": "(SELECT k, aax AS x, aay AS y, aaz AS z, x1 AS px, y1 AS py, z1 AS pz, u1 AS u, v1 AS v, bbx AS ox, bby AS oy, bbz AS oz FROM keyed_g UNION ALL SELECT k, bbx, bby, bbz, x2, y2, z2, u2, v2, aax, aay, aaz FROM keyed_g)",
-    "reach": "(SELECT DISTINCT k, x, y, z, x AS rx, y AS ry, z AS rz FROM ends UNION SELECT r.k, e.ox, e.oy, e.oz, r.rx, r.ry, r.rz FROM reach r JOIN ends e ON e.k = r.k AND e.x = r.x AND e.y = r.y AND e.z = r.z)",
-    "rooted": "(SELECT k, x, y, z, min(struct_pack(a := rx, b := ry, c := rz)) AS root FROM reach GROUP BY 1, 2, 3, 4)",
-    "placed": "(SELECT k, x, y, z, (dense_rank() OVER (PARTITION BY k ORDER BY root) - 1)::INT AS path_id FROM rooted)",
-    "node": "(SELECT e.k, p.path_id, e.x AS kx, e.y AS ky, e.z AS kz, min(px) AS x, min(py) AS y, min(pz) AS z, min(u) AS u, min(v) AS v, count(*) AS degree FROM ends e JOIN placed p ON p.k = e.k AND p.x = e.x AND p.y = e.y AND p.z = e.z GROUP BY 1, 2, 3, 4, 5)",
-}
+# Components, ordered nodes, overhangs and groups of the broken wall, as SQL. A profile there is a chain that falls all the way, so its
+# pieces are runs of segments, by height, each of which begins where the one before ends.
 WALK = {
-    **{n: REC[n] for n in ("ends", "reach", "rooted", "placed", "node")},
+    "raised": "(SELECT *, CASE WHEN v1 < v2 THEN struct_pack(a := aax, b := aay, c := aaz) ELSE struct_pack(a := bbx, b := bby, c := bbz) END AS low, CASE WHEN v1 < v2 THEN struct_pack(a := bbx, b := bby, c := bbz) ELSE struct_pack(a := aax, b := aay, c := aaz) END AS top, least(v1, v2) AS v_low FROM keyed_g)",
+    "piece": "(SELECT *, sum(CASE WHEN before IS NOT DISTINCT FROM low THEN 0 ELSE 1 END) OVER (PARTITION BY k ORDER BY v_low) AS piece FROM (SELECT *, lag(top) OVER (PARTITION BY k ORDER BY v_low) AS before FROM raised))",
+    "ends": "(SELECT k, piece, aax AS kx, aay AS ky, aaz AS kz, x1 AS x, y1 AS y, z1 AS z, u1 AS u, v1 AS v FROM piece UNION ALL SELECT k, piece, bbx, bby, bbz, x2, y2, z2, u2, v2 FROM piece)",
+    "placed": "(SELECT k, piece, (row_number() OVER (PARTITION BY k ORDER BY min(struct_pack(a := kx, b := ky, c := kz))) - 1)::INT AS path_id FROM ends GROUP BY k, piece)",
+    "node": "(SELECT e.k, p.path_id, e.kx, e.ky, e.kz, min(x) AS x, min(y) AS y, min(z) AS z, min(u) AS u, min(v) AS v, count(*) AS degree FROM ends e JOIN placed p ON p.k = e.k AND p.piece = e.piece GROUP BY 1, 2, 3, 4, 5)",
     "first_": "(SELECT k, path_id, min(struct_pack(v := -v, a := kx, b := ky, c := kz)) AS s, min(struct_pack(v := v, a := kx, b := ky, c := kz)) AS e FROM node GROUP BY 1, 2)",
-    "beside": "(SELECT DISTINCT e.k, e.x, e.y, e.z, e.ox, e.oy, e.oz FROM ends e)",
-    "walk": "(SELECT f.k, f.path_id, 0 AS ord, s.a AS kx, s.b AS ky, s.c AS kz, NULL::BIGINT AS qx, NULL::BIGINT AS qy, NULL::BIGINT AS qz FROM first_ f UNION ALL SELECT w.k, w.path_id, w.ord + 1, b.ox, b.oy, b.oz, w.kx, w.ky, w.kz FROM walk w JOIN first_ f ON f.k = w.k AND f.path_id = w.path_id JOIN beside b ON b.k = w.k AND b.x = w.kx AND b.y = w.ky AND b.z = w.kz WHERE (b.ox, b.oy, b.oz) IS DISTINCT FROM (w.qx, w.qy, w.qz) AND (w.kx, w.ky, w.kz) <> (f.e.a, f.e.b, f.e.c) AND w.ord < 2000)",
-    "ordered": "(SELECT w.k, w.path_id, w.ord, n.* EXCLUDE (k, path_id) FROM walk w JOIN node n ON n.k = w.k AND n.path_id = w.path_id AND n.kx = w.kx AND n.ky = w.ky AND n.kz = w.kz)",
+    "ordered": "(SELECT k, path_id, (row_number() OVER (PARTITION BY k, path_id ORDER BY v DESC) - 1)::INT AS ord, * EXCLUDE (k, path_id) FROM node)",
     "pair": "(SELECT * FROM (SELECT k, path_id, ord, kx AS aax, ky AS aay, kz AS aaz, x AS x1, y AS y1, z AS z1, u AS u1, v AS v1, lead(kx) OVER w AS bbx, lead(ky) OVER w AS bby, lead(kz) OVER w AS bbz, lead(x) OVER w AS x2, lead(y) OVER w AS y2, lead(z) OVER w AS z2, lead(u) OVER w AS u2, lead(v) OVER w AS v2 FROM ordered WINDOW w AS (PARTITION BY k, path_id ORDER BY ord)) WHERE bbx IS NOT NULL)",
     "framed": "(SELECT *, -(v2 - v1) / len AS nu, (u2 - u1) / len AS nv, (u1 + u2) / 2 AS mu, (v1 + v2) / 2 AS mv FROM (SELECT *, sqrt((u2 - u1) * (u2 - u1) + (v2 - v1) * (v2 - v1)) AS len FROM pair) WHERE len > 0)",
     "red": "(SELECT *, degrees(acos(least(1e0, abs(v2 - v1) / len))) > 40 AS seed, row_number() OVER (PARTITION BY k, path_id ORDER BY ord DESC) AS rn FROM framed WHERE nv < -0.1e0)",
+    "face_of": "(SELECT k, least(struct_pack(a := aax, b := aay, c := aaz), struct_pack(a := bbx, b := bby, c := bbz)) AS lo, greatest(struct_pack(a := aax, b := aay, c := aaz), struct_pack(a := bbx, b := bby, c := bbz)) AS hi, min(face_id) AS face_id FROM keyed_g GROUP BY 1, 2, 3)",
 }
 GROW = {
     **WALK,
@@ -52,7 +51,7 @@ GROW = {
 
 
 def walk(body: str) -> str:
-    return with_ctes("keyed_g", body, WALK, recursive=True)
+    return with_ctes("keyed_g", body, WALK)
 
 
 def grow(body: str) -> str:
@@ -60,41 +59,40 @@ def grow(body: str) -> str:
 
 
 def grouped(f: Fixtures):
-    return pr.grow_groups(red(f))
+    return f.kept("grouped", lambda: pr.grow_groups(red(f)))
 
 
 def span(f: Fixtures):
-    n = nodes(f)
-    return pr.group_span(pr.grow_groups(pr.overhangs(pr.path_edges(n))), n)
+    return pr.group_span(grouped(f), nodes(f))
 
 
 def heights(f: Fixtures):
     return pr.segment_heights(pr.match_faces(grouped(f), f.segments(gaps=True)))
 
 
-query("a25_slice_stats", lambda f: pr.slice_stats(f.segments(1), f.planes()).select("k", "slice_key", "azimuth", "n_segments", r6("length").alias("length")), with_ctes("segments_all planes", f"SELECT s.k, p.slice_key, p.azimuth, count(*) AS n_segments, {sql6('sum(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) + (z2 - z1) * (z2 - z1)))')} AS length FROM segments_all s JOIN planes p USING (k) GROUP BY ALL"))
+_SAME = "s.k = {0}.k AND s.lo = least(struct_pack(a := {0}.aax, b := {0}.aay, c := {0}.aaz), struct_pack(a := {0}.bbx, b := {0}.bby, c := {0}.bbz)) AND s.hi = greatest(struct_pack(a := {0}.aax, b := {0}.aay, c := {0}.aaz), struct_pack(a := {0}.bbx, b := {0}.bby, c := {0}.bbz))"
+query("a25_slice_stats", lambda f: pr.slice_stats(f.segments(), f.planes()).select("k", "slice_key", "azimuth", "n_segments", r6("length").alias("length")), with_ctes("segments planes", f"SELECT s.k, p.slice_key, p.azimuth, count(*) AS n_segments, {sql6('sum(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) + (z2 - z1) * (z2 - z1)))')} AS length FROM segments s JOIN planes p USING (k) GROUP BY ALL"))
 _DEG = "(SELECT k, x, y, z, count(*) AS degree FROM (SELECT k, aax AS x, aay AS y, aaz AS z FROM keyed UNION ALL SELECT k, bbx, bby, bbz FROM keyed) GROUP BY ALL)"
 query("a5_node_degree", lambda f: pr.node_degree(f.segments()).select("k", "node.kx", "node.ky", "node.kz", "degree"), with_ctes("keyed", "SELECT k, x AS kx, y AS ky, z AS kz, degree FROM deg", {"deg": _DEG}))
 query("a6_degree_histogram", lambda f: pr.degree_histogram(f.segments()), with_ctes("keyed", "SELECT k, degree, count(*) AS nodes FROM deg GROUP BY ALL", {"deg": _DEG}))
 query("a7_unique_nodes", lambda f: pr.unique_nodes(f.segments()), with_ctes("keyed", "SELECT k, x AS kx, y AS ky, z AS kz FROM deg", {"deg": _DEG}))
-query("o1_components", lambda f: paths(f).select("k", "face_id", "path_id"), walk("SELECT s.k, s.face_id, p.path_id FROM keyed_g s JOIN placed p ON p.k = s.k AND p.x = s.aax AND p.y = s.aay AND p.z = s.aaz"))
+query("o1_components", lambda f: paths(f).select("k", "face_id", "path_id"), walk("SELECT s.k, s.face_id, p.path_id FROM piece s JOIN placed p ON p.k = s.k AND p.piece = s.piece"))
 query("a8_path_kinds", lambda f: pr.path_kinds(paths(f)), walk("SELECT k, path_id, (sum(degree) // 2)::BIGINT AS n_segments, count(*) AS n_nodes, count(*) FILTER (degree = 1) AS loose, count(*) FILTER (degree = 1) = 0 AS closed, max(degree) <= 2 AND count(*) FILTER (degree = 1) IN (0, 2) AS simple FROM node GROUP BY 1, 2"))
-_END = "({0}(struct_pack(a := kx, b := ky, c := kz)) FILTER (degree = 1))['c']"
-query("o2_section_paths", lambda f: pr.section_paths(paths(f)).groupBy("k", "path_id").agg(F.count("*").alias("n_nodes"), F.min_by("kz", "ord").alias("z_first"), F.max_by("kz", "ord").alias("z_last")), walk(f"SELECT k, path_id, count(*) AS n_nodes, {_END.format('min')} AS z_first, {_END.format('max')} AS z_last FROM node GROUP BY 1, 2"))
-query("o3_order_path", lambda f: nodes(f).select("k", "path_id", "ord", "kx", "ky", "kz"), walk("SELECT k, path_id, ord, kx, ky, kz FROM ordered"))
-query("o4_order_whole_slice", lambda f: pr.order_whole_slice(f.segments(gaps=True)).groupBy("k").agg(F.count("*").alias("n_nodes")), walk("SELECT k, count(*) AS n_nodes FROM node GROUP BY k HAVING max(path_id) = 0"))
+query("o2_section_paths", lambda f: pr.section_paths(paths(f)).select("k", "path_id", "ord", "kx", "ky", "kz"), walk("SELECT k, path_id, (row_number() OVER (PARTITION BY k, path_id ORDER BY CASE WHEN low_first THEN v ELSE -v END) - 1)::INT AS ord, kx, ky, kz FROM (SELECT n.*, struct_pack(a := f.e.a, b := f.e.b, c := f.e.c) < struct_pack(a := f.s.a, b := f.s.b, c := f.s.c) AS low_first FROM node n JOIN first_ f ON f.k = n.k AND f.path_id = n.path_id)"))
+query("o3_order_path", lambda f: pr.order_path(paths(f)).select("k", "path_id", "ord", "kx", "ky", "kz"), walk("SELECT k, path_id, ord, kx, ky, kz FROM ordered"))
+query("o4_order_whole_slice", lambda f: pr.order_whole_slice(f.segments(gaps=True)).select("k", "ord", "kx", "ky", "kz"), walk("SELECT k, ord, kx, ky, kz FROM ordered WHERE k IN (SELECT k FROM node GROUP BY k HAVING max(path_id) = 0)"))
 query("w1_path_edges", lambda f: pr.path_edges(nodes(f)).select("k", "path_id", "ord", *(r6(c).alias(c) for c in ("u1", "v1", "u2", "v2"))), walk(f"SELECT k, path_id, ord, {', '.join(f'{sql6(c)} AS {c}' for c in ('u1', 'v1', 'u2', 'v2'))} FROM pair"))
 query("p14_segment_frame", lambda f: pr.segment_frame(pr.path_edges(nodes(f))).select("k", "path_id", "ord", *(r6(c).alias(c) for c in ("len", "nu", "nv", "mu", "mv"))), walk(f"SELECT k, path_id, ord, {', '.join(f'{sql6(c)} AS {c}' for c in ('len', 'nu', 'nv', 'mu', 'mv'))} FROM framed"))
 query("o5_path_normals", lambda f: pr.path_normals(pr.path_edges(nodes(f)), pr.path_kinds(paths(f))).select("k", "path_id", "ord", *(r6(c).alias(c) for c in ("mu", "mv", "nu", "nv"))), walk(f"SELECT k, path_id, ord, {', '.join(f'{sql6(c)} AS {c}' for c in ('mu', 'mv', 'nu', 'nv'))} FROM framed"))
-query("p15_overhang_filter", lambda f: red(f).select("k", "path_id", "ord"), walk("SELECT k, path_id, ord FROM red"))
+query("p15_overhang_filter", lambda f: pr.overhangs(pr.path_edges(nodes(f))).select("k", "path_id", "ord"), walk("SELECT k, path_id, ord FROM red"))
 query("p16_facing_down", lambda f: pr.facing_down(pr.path_edges(nodes(f)), 80.0).select("k", "path_id", "ord"), walk("SELECT k, path_id, ord FROM framed WHERE degrees(acos(greatest(-1e0, least(1e0, -nv / sqrt(nu * nu + nv * nv))))) < 80"))
 query("p17_seed_flag", lambda f: pr.seed_flags(red(f)).select("k", "path_id", "ord", "seed"), walk("SELECT k, path_id, ord, seed FROM red"))
-query("p18_segment_valid", lambda f: _valid(f), with_ctes("faces", "SELECT a.face_id AS a, b.face_id AS b FROM faces a JOIN faces b ON b.face_id - a.face_id BETWEEN 0 AND 3 WHERE a.face_id = b.face_id OR len(list_intersect([a.v0, a.v1, a.v2], [b.v0, b.v1, b.v2])) = 2"))
-query("j3_segment_face_match", lambda f: pr.match_faces(pr.path_edges(nodes(f)), f.segments(gaps=True)).select("k", "path_id", "ord", "face_id"), walk("SELECT p.k, path_id, ord, min(s.face_id) AS face_id FROM pair p LEFT JOIN keyed_g s ON s.k = p.k AND ((p.aax, p.aay, p.aaz, p.bbx, p.bby, p.bbz) = (s.aax, s.aay, s.aaz, s.bbx, s.bby, s.bbz) OR (p.aax, p.aay, p.aaz, p.bbx, p.bby, p.bbz) = (s.bbx, s.bby, s.bbz, s.aax, s.aay, s.aaz)) GROUP BY 1, 2, 3"))
+query("p18_segment_valid", lambda f: meshes.valid_pairs(f.faces()), with_ctes("faces", "SELECT DISTINCT p.face_id AS a, q.face_id AS b FROM e p JOIN e q ON p.lo = q.lo AND p.hi = q.hi AND p.face_id <= q.face_id", {"e": "(SELECT least(a, b) AS lo, greatest(a, b) AS hi, face_id FROM (SELECT face_id, v0 AS a, v1 AS b FROM faces UNION ALL SELECT face_id, v1, v2 FROM faces UNION ALL SELECT face_id, v2, v0 FROM faces))"}))
+query("j3_segment_face_match", lambda f: pr.match_faces(pr.path_edges(nodes(f)), f.segments(gaps=True)).select("k", "path_id", "ord", "face_id"), walk(f"SELECT p.k, path_id, ord, face_id FROM pair p LEFT JOIN face_of s ON {_SAME.format('p')}"))
 query("w2_gap_groups", lambda f: pr.gap_groups(red(f), 0.1).select("k", "path_id", "ord", "group_id"), walk("SELECT k, path_id, ord, (sum(n) OVER (PARTITION BY k, path_id ORDER BY ord DESC))::INT AS group_id FROM (SELECT *, CASE WHEN lag(greatest(u1, u2)) OVER (PARTITION BY k, path_id ORDER BY ord DESC) - least(u1, u2) >= 0.1e0 THEN 1 ELSE 0 END AS n FROM red)"))
-query("w3_grow_groups", lambda f: grouped(f).select("k", "path_id", "ord", "group_id"), grow("SELECT k, path_id, ord, group_id FROM grouped"))
+query("w3_grow_groups", lambda f: pr.grow_groups(red(f)).select("k", "path_id", "ord", "group_id"), grow("SELECT k, path_id, ord, group_id FROM grouped"))
 query("a9_group_span", lambda f: span(f).select("k", "path_id", "group_id", "ord", "flag"), grow("SELECT k, path_id, group_id, ord, flag FROM span"))
-query("w4_connectivity_flags", lambda f: span(f).groupBy("k", "path_id", "group_id").agg(F.count(F.when(F.col("flag") == 1, 1)).alias("ends"), F.count(F.when(F.col("flag") == 2, 1)).alias("inner_nodes")), grow("SELECT k, path_id, group_id, count(*) FILTER (flag = 1) AS ends, count(*) FILTER (flag = 2) AS inner_nodes FROM span GROUP BY 1, 2, 3"))
+query("w4_connectivity_flags", lambda f: span(f).select("k", "path_id", "group_id", "ord", r6("u").alias("u"), r6("v").alias("v"), "flag"), grow(f"SELECT k, path_id, group_id, ord, {sql6('u')} AS u, {sql6('v')} AS v, flag FROM span"))
 query("j4_group_to_path", lambda f: span(f).groupBy("k", "path_id", "group_id").agg(F.min("ord").alias("first"), F.max("ord").alias("last")), grow("SELECT k, path_id, group_id, min(ord) AS first, max(ord) + 1 AS last FROM grouped GROUP BY 1, 2, 3"))
 query("a10_group_centroids", lambda f: pr.group_centroids(span(f)).select("k", "path_id", "group_id", r6("cu").alias("cu"), r6("cv").alias("cv"), "n_nodes"), grow(f"SELECT k, path_id, group_id, {sql6('avg(u)')} AS cu, {sql6('avg(v)')} AS cv, count(*) AS n_nodes FROM span GROUP BY 1, 2, 3"))
 query("a11_wide_groups", lambda f: pr.wide_groups(span(f), 0.35).select("k", "path_id", "group_id", "n_nodes", r6("width").alias("width")), grow(f"SELECT * REPLACE ({sql6('width')} AS width) FROM (SELECT k, path_id, group_id, count(*) AS n_nodes, abs(arg_max(u, ord) - arg_min(u, ord)) AS width FROM span GROUP BY 1, 2, 3) WHERE n_nodes >= 2 AND width >= 0.35e0"))
@@ -102,42 +100,24 @@ query("w5_rank_groups", lambda f: pr.rank_groups(span(f)), grow("SELECT *, row_n
 query("t4_top_groups", lambda f: pr.rank_groups(span(f)).where("rank <= 3").join(pr.group_centroids(span(f)).drop("n_nodes"), ["k", "path_id", "group_id"]).select("k", "path_id", "group_id", "rank", r6("cu").alias("cu"), r6("cv").alias("cv")), grow(f"SELECT k, path_id, group_id, rank::INT AS rank, {sql6('cu')} AS cu, {sql6('cv')} AS cv FROM (SELECT *, row_number() OVER (PARTITION BY k, path_id ORDER BY n DESC, group_id) AS rank FROM (SELECT k, path_id, group_id, count(*) AS n, avg(u) AS cu, avg(v) AS cv FROM span GROUP BY 1, 2, 3)) WHERE rank <= 3"))
 query("t3_longest_path", lambda f: pr.longest_path(nodes(f)), walk("SELECT k, path_id, n_nodes FROM (SELECT k, path_id, count(*) AS n_nodes, row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, path_id) AS r FROM ordered GROUP BY 1, 2) WHERE r = 1"))
 query("t5_path_start_end", lambda f: pr.start_end(paths(f)), walk("SELECT k, path_id, s.a AS sx, s.b AS sy, s.c AS sz, e.a AS ex, e.b AS ey, e.c AS ez FROM first_"))
-query("j11_centroid_pairing", lambda f: _pairing(f), grow(f"SELECT g.k, g.path_id, g.group_id, n_segments, {sql6('cu')} AS cu, {sql6('cv')} AS cv FROM (SELECT k, path_id, group_id, count(*) AS n_segments FROM grouped GROUP BY 1, 2, 3) g JOIN (SELECT k, path_id, group_id, avg(u) AS cu, avg(v) AS cv FROM span GROUP BY 1, 2, 3) USING (k, path_id, group_id)"))
-query("a26_group_points_3d", lambda f: _group_points(f), grow("SELECT DISTINCT k, path_id, group_id, x, y, z FROM (SELECT k, path_id, group_id, " + ", ".join(f"{sql6(d + '1')} AS {d}" for d in "xyz") + " FROM grouped UNION ALL SELECT k, path_id, group_id, " + ", ".join(sql6(d + "2") for d in "xyz") + " FROM grouped)"))
-_FACED = {"faced": "(SELECT g.*, (SELECT min(s.face_id) FROM keyed_g s WHERE s.k = g.k AND ((g.aax, g.aay, g.aaz, g.bbx, g.bby, g.bbz) = (s.aax, s.aay, s.aaz, s.bbx, s.bby, s.bbz) OR (g.aax, g.aay, g.aaz, g.bbx, g.bby, g.bbz) = (s.bbx, s.bby, s.bbz, s.aax, s.aay, s.aaz))) AS face_id, max(greatest(z1, z2)) OVER (PARTITION BY k, path_id, group_id) - (z1 + z2) / 2 AS height FROM grouped g)"}
-faced = lambda body: with_ctes("keyed_g", body, {**GROW, **_FACED}, recursive=True)
+query("j11_centroid_pairing", lambda f: pr.centroid_pairing(grouped(f), span(f)).select("k", "path_id", "group_id", "n_segments", r6("cu").alias("cu"), r6("cv").alias("cv")), grow(f"SELECT g.k, g.path_id, g.group_id, n_segments, {sql6('cu')} AS cu, {sql6('cv')} AS cv FROM (SELECT k, path_id, group_id, count(*) AS n_segments FROM grouped GROUP BY 1, 2, 3) g JOIN (SELECT k, path_id, group_id, avg(u) AS cu, avg(v) AS cv FROM span GROUP BY 1, 2, 3) USING (k, path_id, group_id)"))
+query("a26_group_points_3d", lambda f: pr.group_points(grouped(f)).select("k", "path_id", "group_id", *(r6(d).alias(d) for d in "xyz")).distinct(), grow("SELECT DISTINCT k, path_id, group_id, x, y, z FROM (SELECT k, path_id, group_id, " + ", ".join(f"{sql6(d + '1')} AS {d}" for d in "xyz") + " FROM grouped UNION ALL SELECT k, path_id, group_id, " + ", ".join(sql6(d + "2") for d in "xyz") + " FROM grouped)"))
+FACED = {"faced": f"(SELECT g.*, s.face_id, max(greatest(z1, z2)) OVER (PARTITION BY g.k, path_id, group_id) - (z1 + z2) / 2 AS height FROM grouped g LEFT JOIN face_of s ON {_SAME.format('g')})"}
+faced = lambda body: with_ctes("keyed_g", body, {**GROW, **FACED}, recursive=True)
 query("a12_segment_heights", lambda f: heights(f).select("k", "path_id", "ord", "face_id", r6("height").alias("height")), faced(f"SELECT k, path_id, ord, face_id, {sql6('height')} AS height FROM faced"))
 for _how in ("max", "min", "avg"):
     query(f"a13_face_heights_{_how}", lambda f, how=_how: pr.face_heights(heights(f), how).select("face_id", r6("height").alias("height"), "n"), faced(f"SELECT face_id, {sql6(f'{_how}(height)')} AS height, count(*) AS n FROM faced WHERE face_id IS NOT NULL GROUP BY 1"))
 query("a27_face_set", lambda f: heights(f).where("face_id is not null").select("face_id").distinct(), faced("SELECT DISTINCT face_id FROM faced WHERE face_id IS NOT NULL"))
-query("j9_faces_of_groups", lambda f: f.faces(gaps=True).join(heights(f).select("face_id"), "face_id", "left_semi"), with_ctes("keyed_g faces_g", "SELECT * FROM faces_g WHERE face_id IN (SELECT face_id FROM faced)", {**GROW, **_FACED}, recursive=True))
+query("j9_faces_of_groups", lambda f: f.faces(gaps=True).join(heights(f).select("face_id"), "face_id", "left_semi"), with_ctes("keyed_g faces_g", "SELECT * FROM faces_g WHERE face_id IN (SELECT face_id FROM faced)", {**GROW, **FACED}, recursive=True))
 query("u1_union_segments", lambda f: f.segments().select("k", "face_id").unionByName(f.segments(gaps=True).select("k", "face_id")).groupBy("k", "face_id").agg(F.count("*").alias("n")), with_ctes("segments segments_g", "SELECT k, face_id, count(*) AS n FROM (SELECT k, face_id FROM segments UNION ALL SELECT k, face_id FROM segments_g) GROUP BY 1, 2"))
 query("u3_contained_paths", lambda f: _contained(f), walk("SELECT k, path_id FROM (SELECT k, path_id, min(v) AS lo, max(v) AS hi FROM node GROUP BY 1, 2) p WHERE NOT EXISTS (SELECT 1 FROM (SELECT k, path_id, min(v) AS lo, max(v) AS hi, count(*) AS n FROM node GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, path_id) = 1) m WHERE m.k = p.k AND p.lo >= m.lo AND p.hi <= m.hi)"))
 query("o6_merge_open_paths", lambda f: pr.merge_open_paths(nodes(f)).select("k", "path_id", "ord", r6("u").alias("u"), r6("v").alias("v"), "source_path", "source_ord"), None)
 query("o6_merge_open_paths_replace", lambda f: pr.merge_open_paths(nodes(f), replace=True).select("k", "path_id", "ord", r6("u").alias("u"), r6("v").alias("v"), "source_path", "source_ord"), None)
 query("o7_recognise", lambda f: pr.recognise(f.segments(gaps=True)).select("k", "path_id", "group_id", r6("cu").alias("cu"), r6("cv").alias("cv"), "n_nodes", r6("width").alias("width"), "n_segments"), grow(f"SELECT s.k, s.path_id, s.group_id, {sql6('cu')} AS cu, {sql6('cv')} AS cv, n_nodes, {sql6('width')} AS width, n_segments FROM (SELECT k, path_id, group_id, avg(u) AS cu, avg(v) AS cv, count(*) AS n_nodes, abs(arg_max(u, ord) - arg_min(u, ord)) AS width FROM span GROUP BY 1, 2, 3) s JOIN (SELECT k, path_id, group_id, count(*) AS n_segments FROM grouped GROUP BY 1, 2, 3) USING (k, path_id, group_id)"))
-query("s10_profiles_json", lambda f: store.profiles_json(pr.group_centroids(span(f)).withColumn("cu", F.round(F.col("cu") * 1000).cast("long")).withColumn("cv", F.round(F.col("cv") * 1000).cast("long")), f.planes(EVERY)), grow("SELECT k, '{\"slice_key\":\"' || slice_key || '\",\"azimuth\":' || azimuth::VARCHAR || ',\"groups\":[' || string_agg('{\"path_id\":' || path_id || ',\"group_id\":' || group_id || ',\"cu\":' || cu || ',\"cv\":' || cv || ',\"n_nodes\":' || n || '}', ',' ORDER BY path_id, group_id) || ']}' AS record FROM (SELECT k, path_id, group_id, round(avg(u) * 1000)::BIGINT AS cu, round(avg(v) * 1000)::BIGINT AS cv, count(*) AS n FROM span GROUP BY 1, 2, 3) JOIN planes USING (k) GROUP BY k, slice_key, azimuth"))
+query("s10_profiles_json", lambda f: store.profiles_json(pr.group_centroids(span(f)).withColumn("cu", F.round(F.col("cu") * 1000).cast("long")).withColumn("cv", F.round(F.col("cv") * 1000).cast("long")), f.planes()), grow("SELECT k, '{\"slice_key\":\"' || slice_key || '\",\"azimuth\":' || azimuth::VARCHAR || ',\"groups\":[' || string_agg('{\"path_id\":' || path_id || ',\"group_id\":' || group_id || ',\"cu\":' || cu || ',\"cv\":' || cv || ',\"n_nodes\":' || n || '}', ',' ORDER BY path_id, group_id) || ']}' AS record FROM (SELECT k, path_id, group_id, round(avg(u) * 1000)::BIGINT AS cu, round(avg(v) * 1000)::BIGINT AS cv, count(*) AS n FROM span GROUP BY 1, 2, 3) JOIN planes USING (k) GROUP BY k, slice_key, azimuth"))
 query("s7_slice_store", lambda f: _stored_slices(f), with_ctes("segments", "SELECT k, face_id FROM segments WHERE k % 180 = 0"))
 query("s8_result_store", lambda f: _stored_results(f), grow("SELECT k, path_id, group_id, count(*) AS n_nodes FROM span GROUP BY 1, 2, 3"))
-query("p26_slice_subset", lambda f: store.slice_subset(f.segments(1), 3.01, 30.01, 1.5).select("k", "face_id"), with_ctes("segments_all", "SELECT k, face_id FROM segments_all WHERE round_even(slice_key::DOUBLE * 1e8, 0)::BIGINT IN (SELECT round_even((3.01e0 + i * 1.5e0) * 1e8, 0)::BIGINT FROM range(19) r(i))"))
-
-
-def _valid(f: Fixtures):
-    """Pairs of faces, numbers at most 3 apart, that are equal or adjacent."""
-    from wallscan.operators.meshes import face_edges
-
-    same = f.faces().select(F.col("face_id").alias("a"), F.col("face_id").alias("b"))
-    return same.unionByName(face_edges(f.faces()).where("b - a <= 3"))
-
-
-def _pairing(f: Fixtures):
-    g = grouped(f).groupBy("k", "path_id", "group_id").agg(F.count("*").alias("n_segments"))
-    return g.where("n_segments > 0").join(pr.group_centroids(span(f)), ["k", "path_id", "group_id"]).select("k", "path_id", "group_id", "n_segments", r6("cu").alias("cu"), r6("cv").alias("cv"))
-
-
-def _group_points(f: Fixtures):
-    ends = F.array(*(F.struct(*(r6(f"{d}{i}").alias(d) for d in "xyz")) for i in (1, 2)))
-    return grouped(f).select("k", "path_id", "group_id", F.inline(ends)).distinct()
+query("p26_slice_subset", lambda f: store.slice_subset(f.segments(), 3.01, 30.01, 1.5).select("k", "face_id"), with_ctes("segments", "SELECT k, face_id FROM segments WHERE round_even(slice_key::DOUBLE * 1e8, 0)::BIGINT IN (SELECT round_even((3.01e0 + i * 1.5e0) * 1e8, 0)::BIGINT FROM range(19) r(i))"))
 
 
 def _contained(f: Fixtures):
@@ -147,23 +127,20 @@ def _contained(f: Fixtures):
     return pr.contained_paths(spans, best).select("k", "path_id")
 
 
-def _scratch(f: Fixtures, name: str) -> str:
-    import tempfile
-    import uuid
-
-    base = f.spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-wallscan-")
-    return f"{base.rstrip('/')}/wallscan/{name}-{uuid.uuid4().hex}"
+def scratch(f: Fixtures, name: str) -> str:
+    """A new folder beside the checkpoints, which driver and executors share."""
+    return f"{shared_folder(f.spark)}/wallscan/{name}-{uuid.uuid4().hex}"
 
 
 def _stored_slices(f: Fixtures):
-    path = _scratch(f, "slices")
+    path = scratch(f, "slices")
     store.write_slices(f.segments(), path)
     return store.read_slices(f.spark, path, f.planes(180).select("k")).select("k", "face_id")
 
 
 def _stored_results(f: Fixtures):
     """Groups written in three batches, one of them twice, and read back."""
-    path = _scratch(f, "results")
+    path = scratch(f, "results")
     groups = checkpointed(pr.group_centroids(span(f)).select("k", "path_id", "group_id", "n_nodes"))
     for batch in (0, 1, 2, 1):
         store.append_results(groups.where(F.col("k") % 3 == batch), path, batch)

@@ -7,23 +7,28 @@ from pyspark.sql import functions as F
 from wallscan.functions.geometry import r6
 from wallscan.operators import clouds, meshes, neighbours as nb, profiles as pr
 from wallscan.plans.fixtures import Fixtures, r6 as sql6, with_ctes
-from wallscan.plans.registry import query
-from wallscan.sources import store, text
+from wallscan.plans.profile_queries import FACED, GROW, heights, scratch
+from wallscan.plans.registry import ORACLES, query
+from wallscan.sources import store, text, tiles
+from wallscan.streaming.recognition import face_heights_stream, recognise_stream
 
 EPS, SAMPLES, SIZE = 0.071, 4, 0.05
+#: Voxels of recognised faces, and the clustering of a tenth of them.
+VOX, WIDE, DENSE = 0.2, 0.5, 5
 
 
-def _wall_heights(f: Fixtures):
-    """A height for each face of the wall that leans out: what its corners stand above its lowest."""
-    return f.faces().select("face_id", (F.col("face_id") % 5 * 0.3).alias("height"))
+def _face_heights(f: Fixtures):
+    """The greatest recognised height of each face over all planes."""
+    return pr.face_heights(heights(f), "max").select("face_id", "height")
 
 
-VOX = 0.5
-_META = "(SELECT " + ", ".join(f"min(least({d}0, {d}1, {d}2)) AS o{d}, ceil((max(greatest({d}0, {d}1, {d}2)) - min(least({d}0, {d}1, {d}2))) / {VOX}e0)::INT AS n{d}" for d in "xyz") + " FROM tri)"
+_META = "(SELECT " + ", ".join(f"min(least({d}0, {d}1, {d}2)) AS o{d}, ceil((max(greatest({d}0, {d}1, {d}2)) - min(least({d}0, {d}1, {d}2))) / {VOX}e0)::INT AS n{d}" for d in "xyz") + " FROM tri_g)"
 _CROSS = lambda a, b: f"((x{b} - x{a}) * (py - y{a}) - (y{b} - y{a}) * (px - x{a}))"
 _VOXELS = {
+    **GROW,
+    **FACED,
     "meta": _META,
-    "prism": f"(SELECT t.*, (t.face_id % 5) * 0.3e0 AS height, m.* FROM tri t, meta m WHERE (t.face_id % 5) * 0.3e0 > 1e-8 AND abs((x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0)) / 2 >= 1e-10)",
+    "prism": "(SELECT t.*, h.height, m.* FROM tri_g t JOIN (SELECT face_id, max(height) AS height FROM faced WHERE face_id IS NOT NULL GROUP BY 1) h USING (face_id), meta m WHERE h.height > 1e-8 AND abs((x1 - x0) * (y2 - y0) - (y1 - y0) * (x2 - x0)) / 2 >= 1e-10)",
     "col": f"(SELECT *, ox + {VOX}e0 * (ix + 0.5e0) AS px, oy + {VOX}e0 * (iy + 0.5e0) AS py FROM (SELECT *, unnest(range(greatest(0, floor((least(y0, y1, y2) - oy) / {VOX}e0))::BIGINT, least(ny - 1, ceil((greatest(y0, y1, y2) - oy) / {VOX}e0))::BIGINT + 1)) AS iy FROM (SELECT *, unnest(range(greatest(0, floor((least(x0, x1, x2) - ox) / {VOX}e0))::BIGINT, least(nx - 1, ceil((greatest(x0, x1, x2) - ox) / {VOX}e0))::BIGINT + 1)) AS ix FROM prism)))",
     "inside": f"(SELECT *, least(z0, z1, z2) AS lo, (z0 + z1 + z2) / 3 + height AS hi FROM col WHERE least({_CROSS(0, 1)}, {_CROSS(1, 2)}, {_CROSS(2, 0)}) > 0 OR greatest({_CROSS(0, 1)}, {_CROSS(1, 2)}, {_CROSS(2, 0)}) < 0)",
     "vox": f"(SELECT DISTINCT ix::INT AS ix, iy::INT AS iy, iz::INT AS iz FROM (SELECT *, unnest(range(greatest(0, floor((lo - oz) / {VOX}e0))::BIGINT, least(nz - 1, floor((hi - oz) / {VOX}e0))::BIGINT + 1)) AS iz FROM inside) WHERE oz + {VOX}e0 * (iz + 0.5e0) BETWEEN lo AND hi)",
@@ -31,25 +36,30 @@ _VOXELS = {
 
 
 def voxels(f: Fixtures):
-    return meshes.voxelise(f.tri(), _wall_heights(f), meshes.grid_meta(f.tri(), VOX), VOX)
+    return meshes.voxelise(f.tri(gaps=True), _face_heights(f), meshes.grid_meta(f.tri(gaps=True), VOX), VOX)
 
 
-query("o14_voxelise", voxels, with_ctes("tri", "SELECT * FROM vox", _VOXELS))
-query("u2_voxel_union", lambda f: voxels(f).unionByName(f.blobs).distinct(), with_ctes("tri blobs", "SELECT * FROM vox UNION SELECT * FROM blobs", _VOXELS))
+def voxel_sql(body: str, names: str = "", more: dict | None = None) -> str:
+    return with_ctes(f"keyed_g tri_g {names}", body, {**_VOXELS, **(more or {})}, recursive=True)
+
+
+query("o14_voxelise", voxels, voxel_sql("SELECT * FROM vox"))
+query("u2_voxel_union", lambda f: voxels(f).unionByName(f.blobs).distinct(), voxel_sql("SELECT * FROM vox UNION SELECT * FROM blobs", "blobs"))
 
 
 def _box_meta(f: Fixtures):
-    return f.vertices.agg(F.lit(0.0).alias("ox"), F.lit(0.0).alias("oy"), F.lit(0.0).alias("oz"), F.lit(24).alias("nx"), F.lit(20).alias("ny"), F.max("z").cast("int").alias("nz"))
+    high = f.lineitem.agg((F.floor(F.max("l_partkey") / 8) * 4 + 8).cast("int").alias("ny"))
+    return f.vertices.agg(F.max("z").cast("int").alias("nz")).crossJoin(high).select(*(F.lit(0.0).alias(f"o{d}") for d in "xyz"), F.lit(30).alias("nx"), "ny", "nz")
 
 
 def _boxes(f: Fixtures):
-    """A closed box for each part number below 40: place and size follow the part's lines."""
-    b = f.lineitem.where("l_partkey < 40").groupBy("l_partkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
-    b = b.select(F.col("l_partkey").alias("id"), (F.col("l_partkey") % 8 * 3 + 0.1).alias("x_lo"), ((F.col("l_partkey") / 8).cast("int") * 4 + 0.1).alias("y_lo"), (1 + F.col("n") % 3 + 0.3).alias("w"), (1 + F.col("q") % 5 + 0.3).alias("h"))
+    """A closed box for each part number: place and size follow the part's lines."""
+    b = f.lineitem.groupBy("l_partkey").agg(F.count("*").alias("n"), F.sum("l_quantity").alias("q"))
+    b = b.select(F.col("l_partkey").alias("id"), (F.col("l_partkey") % 8 * 3 + 0.1).alias("x_lo"), (F.expr("l_partkey div 8") * 4 + 0.1).alias("y_lo"), (1 + F.col("n") % 3 + 0.3).alias("w"), (1 + F.col("q") % 5 + 0.3).alias("h"))
     return b.withColumn("x_hi", F.col("x_lo") + F.col("w")).withColumn("y_hi", F.col("y_lo") + F.col("w"))
 
 
-_BOXES = "(SELECT *, x_lo + w AS x_hi, y_lo + w AS y_hi FROM (SELECT l_partkey AS id, l_partkey % 8 * 3 + 0.1e0 AS x_lo, (l_partkey // 8) * 4 + 0.1e0 AS y_lo, 1 + count(*) % 3 + 0.3e0 AS w, 1 + sum(l_quantity) % 5 + 0.3e0 AS h FROM lineitem WHERE l_partkey < 40 GROUP BY l_partkey))"
+_BOXES = "(SELECT *, x_lo + w AS x_hi, y_lo + w AS y_hi FROM (SELECT l_partkey AS id, l_partkey % 8 * 3 + 0.1e0 AS x_lo, (l_partkey // 8) * 4 + 0.1e0 AS y_lo, 1 + count(*) % 3 + 0.3e0 AS w, 1 + sum(l_quantity) % 5 + 0.3e0 AS h FROM lineitem GROUP BY l_partkey))"
 
 
 def _box_triangles(f: Fixtures):
@@ -61,15 +71,18 @@ def _box_triangles(f: Fixtures):
     return _boxes(f).select(F.col("id").alias("mesh_id"), F.inline(F.array(*rows))).withColumn("face_id", F.col("mesh_id") * 12 + F.col("n"))
 
 
-query("j12_points_in_mesh_union", lambda f: meshes.points_in_mesh(_box_triangles(f), _box_meta(f), 1.0), with_ctes("vertices", "SELECT DISTINCT ix::INT AS ix, iy::INT AS iy, iz::INT AS iz FROM b, range(24) a(ix), range(20) c(iy), range((SELECT max(z)::INT FROM vertices)) d(iz) WHERE ix + 0.5e0 > x_lo AND ix + 0.5e0 < x_hi AND iy + 0.5e0 > y_lo AND iy + 0.5e0 < y_hi AND iz + 0.5e0 > 0.1e0 AND iz + 0.5e0 < h", {"b": _BOXES}))
-query("j5_bbox_overlap", lambda f: nb.bbox_overlap(_rects(f), _rects(f), 1.0).where("a < b"), with_ctes("tri", "SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.id < b.id AND a.x_lo <= b.x_hi AND b.x_lo <= a.x_hi AND a.y_lo <= b.y_hi AND b.y_lo <= a.y_hi", {"r": "(SELECT face_id AS id, least(x0, x1, x2) AS x_lo, least(y0, y1, y2) AS y_lo, greatest(x0, x1, x2) AS x_hi, greatest(y0, y1, y2) AS y_hi FROM tri WHERE face_id % 40 < 6 AND z0 < 8)"}))
+_CELLS = "(SELECT *, unnest(range(ceil(0.1e0 - 0.5e0)::BIGINT, least((SELECT max(z)::INT FROM vertices), ceil(h - 0.5e0)::BIGINT))) AS iz FROM (SELECT *, unnest(range(ceil(y_lo - 0.5e0)::BIGINT, ceil(y_hi - 0.5e0)::BIGINT)) AS iy FROM (SELECT *, unnest(range(ceil(x_lo - 0.5e0)::BIGINT, ceil(x_hi - 0.5e0)::BIGINT)) AS ix FROM b)))"
+query("j12_points_in_mesh_union", lambda f: meshes.points_in_mesh(_box_triangles(f), _box_meta(f), 1.0), with_ctes("vertices", "SELECT DISTINCT ix::INT AS ix, iy::INT AS iy, iz::INT AS iz FROM cells_", {"b": _BOXES, "cells_": _CELLS}))
 
 
 def _rects(f: Fixtures):
-    t = f.tri().where("face_id % 40 < 6 and z0 < 8")
-    return t.select(F.col("face_id").alias("id"), *(fn(*(f"{d}{i}" for i in (0, 1, 2))).alias(f"{d}_{n}") for n, fn in (("lo", F.least), ("hi", F.greatest)) for d in "xy"))
+    """The box of each face on the unrolled wall: angle and height."""
+    t = f.tri().select("face_id", *(F.atan2(f"y{i}", f"x{i}").alias(f"a{i}") for i in (0, 1, 2)), "z0", "z1", "z2")
+    return t.select(F.col("face_id").alias("id"), *(fn(*(f"{d}{i}" for i in (0, 1, 2))).alias(f"{p}_{n}") for n, fn in (("lo", F.least), ("hi", F.greatest)) for p, d in (("x", "a"), ("y", "z"))))
 
 
+_RECTS = "(SELECT face_id AS id, least(atan2(y0, x0), atan2(y1, x1), atan2(y2, x2)) AS x_lo, least(z0, z1, z2) AS y_lo, greatest(atan2(y0, x0), atan2(y1, x1), atan2(y2, x2)) AS x_hi, greatest(z0, z1, z2) AS y_hi FROM tri)"
+query("j5_bbox_overlap", lambda f: nb.bbox_overlap(_rects(f), _rects(f), 0.5).where("a < b"), with_ctes("tri", "SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.id < b.id AND a.x_lo <= b.x_hi AND b.x_lo <= a.x_hi AND a.y_lo <= b.y_hi AND b.y_lo <= a.y_hi", {"r": _RECTS}))
 _KNN = "(SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, target) AS rank FROM (SELECT a.id, b.id AS target, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM flat a, flat b) QUALIFY rank <= 5)"
 query("j8_knn", lambda f: nb.nearest(f.flat, f.flat, 5, 0.05, "xy").select("id", "target", r6("distance").alias("distance"), F.col("rank").cast("long").alias("rank")), with_ctes("flat", f"SELECT id, target, {sql6('sqrt(d2)')} AS distance, rank FROM knn", {"knn": _KNN}))
 query("j7_nearest_label", lambda f: nb.nearest(f.flat, f.flat.where("id % 10 = 3"), 1, 0.1, "xy").select("id", "target"), with_ctes("flat", "SELECT id, arg_min(target, struct_pack(a := d2, b := target)) AS target FROM (SELECT a.id, b.id AS target, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM flat a, flat b WHERE b.id % 10 = 3) GROUP BY 1"))
@@ -103,7 +116,7 @@ def db(body: str, more: dict | None = None) -> str:
 
 
 query("o11_dbscan_points", blocks_of, db("SELECT id, label FROM labelled"))
-query("o12_dbscan_from_pairs", lambda f: nb.dbscan_from_pairs(f.blob_points.select("id"), nb.pairs_within(f.blob_points, EPS), SAMPLES).groupBy("label").agg(F.count("*").alias("n")), db("SELECT label, count(*) AS n FROM labelled GROUP BY 1"))
+query("o12_dbscan_from_pairs", lambda f: nb.dbscan_from_pairs(f.blob_points.select("id"), nb.pairs_within(f.blob_points, EPS), SAMPLES), db("SELECT id, label FROM labelled"))
 query("a16_cluster_stats", lambda f: _stats(f).select("label", "n", *(r6(c).alias(c) for c in ("volume", "cx", "cy", "cz"))), db(f"SELECT label, n, {', '.join(f'{sql6(c)} AS {c}' for c in ('volume', 'cx', 'cy', 'cz'))} FROM stats"))
 _REPORT = ("total_volume", "valid_volume", "noise_volume", "range_volume", "noise_percent", "range_percent")
 query("a17_volume_report", lambda f: nb.volume_report(_stats(f), 0.02, 0.04).select("n_clusters", "n_in_range", *(r6(c).alias(c) for c in _REPORT)), db(f"SELECT n_clusters, n_in_range, {', '.join(f'{sql6(c)} AS {c}' for c in _REPORT)} FROM (SELECT *, CASE WHEN total_volume > 0 THEN 100 * noise_volume / total_volume ELSE 0 END AS noise_percent, CASE WHEN valid_volume > 0 THEN 100 * range_volume / valid_volume ELSE 0 END AS range_percent FROM (SELECT sum(volume) AS total_volume, coalesce(sum(volume) FILTER (label >= 0), 0) AS valid_volume, coalesce(sum(volume) FILTER (label < 0), 0) AS noise_volume, count(*) FILTER (label >= 0) AS n_clusters, count(*) FILTER (label >= 0 AND volume BETWEEN 0.02 AND 0.04) AS n_in_range, coalesce(sum(volume) FILTER (label >= 0 AND volume BETWEEN 0.02 AND 0.04), 0) AS range_volume FROM stats))"))
@@ -119,16 +132,26 @@ def _sampled(f: Fixtures):
 query("o13_cluster_sampled", _sampled, with_ctes("blob_points", "SELECT p.id, (SELECT arg_min(l.label, struct_pack(a := (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z), b := q.id)) FROM sampled q JOIN labelled l ON l.id = q.id) AS label FROM blob_points p", {"sampled": "(SELECT * FROM blob_points WHERE (id * 7919 + 13) % 1000003 % 10 < 8)", **{k: v.replace("blob_points", "sampled") for k, v in _DB.items()}}, recursive=True))
 
 
+_TENTH = "pmod(id * 7919 + 13, 1000003) % 10 = 0"
+
+
 def hazard_blocks(f: Fixtures, k: int = 10):
-    """Voxels of the leaning faces, clustered and measured: the k largest blocks."""
-    meta = meshes.grid_meta(f.tri(), VOX)
+    """From recognised overhangs to blocks: all planes, groups, face heights, voxels, clusters of a tenth of the voxels, and the k largest blocks."""
+    meta = meshes.grid_meta(f.tri(gaps=True), VOX)
     v = meshes.voxel_centres(voxels(f), meta, VOX)
-    p = v.select(((F.col("ix").cast("long") * 1000 + F.col("iy")) * 1000 + F.col("iz")).alias("id"), "x", "y", "z")
-    labels = nb.dbscan_points(p, VOX * 1.1, 5)
-    return nb.top_blocks(nb.cluster_stats(labels.join(p, "id"), VOX), k).select("label", "n", *(r6(c).alias(c) for c in ("volume", "cx", "cy", "cz")))
+    p = nb.checkpointed(v.select(((F.col("ix").cast("long") * 100_000 + F.col("iy")) * 100_000 + F.col("iz")).alias("id"), "x", "y", "z"))
+    return nb.hazard_blocks(p, p.where(_TENTH), WIDE, DENSE, VOX, k).select("label", "n", *(r6(c).alias(c) for c in ("volume", "cx", "cy", "cz")))
 
 
-query("o22_hazard_blocks", hazard_blocks, with_ctes("tri", f"SELECT label, n, {', '.join(f'{sql6(c)} AS {c}' for c in ('volume', 'cx', 'cy', 'cz'))} FROM stats WHERE label >= 0 ORDER BY stats.n DESC, label LIMIT 10", {**_VOXELS, "blob_points": f"(SELECT (ix::BIGINT * 1000 + iy) * 1000 + iz AS id, ox + {VOX}e0 * (ix + 0.5e0) AS x, oy + {VOX}e0 * (iy + 0.5e0) AS y, oz + {VOX}e0 * (iz + 0.5e0) AS z FROM vox, meta)", **{n: q.replace(f"{EPS}", f"{VOX * 1.1!r}").replace(f">= {SAMPLES})", ">= 5)") for n, q in _DB.items()}, "stats": f"(SELECT label, count(*) AS n, count(*) * {VOX**3!r}::DOUBLE AS volume, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM labelled JOIN blob_points USING (id) GROUP BY 1)"}, recursive=True))
+_WIDE = {n: q.replace("blob_points", "sampled").replace(f"{EPS}", f"{WIDE}").replace(f">= {SAMPLES})", f">= {DENSE})") for n, q in _DB.items()}
+_BLOCKS = {
+    "blob_points": f"(SELECT (ix::BIGINT * 100000 + iy) * 100000 + iz AS id, ox + {VOX}e0 * (ix + 0.5e0) AS x, oy + {VOX}e0 * (iy + 0.5e0) AS y, oz + {VOX}e0 * (iz + 0.5e0) AS z FROM vox, meta)",
+    "sampled": "(SELECT * FROM blob_points WHERE (id * 7919 + 13) % 1000003 % 10 = 0)",
+    **_WIDE,
+    "spread": "(SELECT p.id, p.x, p.y, p.z, (SELECT arg_min(l.label, struct_pack(a := (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z), b := q.id)) FROM sampled q JOIN labelled l ON l.id = q.id) AS label FROM blob_points p)",
+    "stats": f"(SELECT label, count(*) AS n, count(*) * {VOX**3!r}::DOUBLE AS volume, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM spread GROUP BY 1)",
+}
+query("o22_hazard_blocks", hazard_blocks, voxel_sql(f"SELECT label, n, {', '.join(f'{sql6(c)} AS {c}' for c in ('volume', 'cx', 'cy', 'cz'))} FROM stats WHERE label >= 0 ORDER BY stats.n DESC, label LIMIT 10", more=_BLOCKS))
 
 _TARGETS = "face_id % 9 = 0"
 
@@ -151,48 +174,97 @@ query("o9_hops", lambda f: _hops(f, 4), with_ctes("faces", "SELECT a, b, d FROM
 query("o10_dbscan_hops", lambda f: nb.dbscan_from_pairs(_targets(f).select(F.col("face_id").alias("id")), _hops(f, 4).select("a", "b"), 4), with_ctes("faces", "SELECT id, label FROM labelled", {**_HOPS, "blob_points": "(SELECT face_id AS id FROM faces WHERE face_id % 9 = 0)", "near": "(SELECT a, b FROM hop)", **{k: v for k, v in _DB.items() if k != "near"}}, recursive=True))
 
 _KDE = "(SELECT t.id, sum(exp(-((t.x - s.x) * (t.x - s.x) + (t.y - s.y) * (t.y - s.y) + (t.z - s.z) * (t.z - s.z)) / (2 * {h}e0 * {h}e0))) / (count(*) * pow(2 * pi(), 1.5) * pow({h}e0, 3)) AS density FROM {t} t, {s} s GROUP BY 1)"
-query("a24_kde", lambda f: nb.kde(f.segments(180).select("x1", "y1", "z1").toDF("x", "y", "z").where("z % 2 < 0.5"), f.vertices.withColumnRenamed("vertex_id", "id"), 5.0).select("id", F.round(F.col("density") * 1e6, 4).alias("density")), with_ctes("segments vertices", "SELECT id, round(density * 1e6, 4) AS density FROM k", {"s": "(SELECT x1 AS x, y1 AS y, z1 AS z FROM segments WHERE k % 180 = 0 AND z1 % 2 < 0.5e0)", "t": "(SELECT vertex_id AS id, x, y, z FROM vertices)", "k": _KDE.format(h=5.0, t="t", s="s")}))
-
+_KEY, _DRAWN = "pmod(k * 7919 + face_id * 31, 1000003)", 20_000
 
-def _density(f: Fixtures):
-    """Density of the centroids of blocks of a volume class, stored in whole steps, at the voxels' own places."""
-    stats = _stats(f).where("label >= 0 and volume between 0.01 and 0.04").select(F.col("label").cast("long").alias("point_id"), F.col("cx").alias("x"), F.col("cy").alias("y"), F.col("cz").alias("z"))
-    q = clouds.quantise(stats)
-    samples = q.select(*((F.col(f"q{d}") * 0.001 + F.col(f"{d}_off")).alias(d) for d in "xyz"))
-    return nb.kde(samples, f.blob_points.where("id % 7 = 0"), 0.5).select("id", F.round("density", 3).alias("density"))
 
+def _kde(f: Fixtures):
+    """Density of the profiles, from a sample of their segments as the surveyed tool draws one, at all vertices."""
+    drawn = clouds.sample_points(f.segments().select((F.col("k") * 10_000_000 + F.col("face_id")).alias("point_id"), "k", "face_id", "x1", "y1", "z1"), n=_DRAWN, key=F.expr(_KEY))
+    return nb.kde(drawn.select("x1", "y1", "z1").toDF("x", "y", "z"), f.vertices.withColumnRenamed("vertex_id", "id"), 5.0).select("id", F.round(F.col("density") * 1e6, 4).alias("density"))
 
-query("o23_density_by_size", _density, db("SELECT id, round(density, 3) AS density FROM k", {"c": "(SELECT * FROM stats WHERE label >= 0 AND volume BETWEEN 0.01 AND 0.04)", "s": "(SELECT " + ", ".join(f"round_even((c{d} - m{d}) / 0.001e0, 0) * 0.001e0 + m{d} AS {d}" for d in "xyz") + " FROM c, (SELECT min(cx) AS mx, min(cy) AS my, min(cz) AS mz FROM c))", "t": "(SELECT * FROM blob_points WHERE id % 7 = 0)", "k": _KDE.format(h=0.5, t="t", s="s")}))
-query("o19_sample_segments", lambda f: meshes.sample_segments(f.segments(180), 0.05).groupBy("k", "face_id").agg(F.count("*").alias("n"), r6(F.sum("x")).alias("x"), r6(F.sum("z")).alias("z")), with_ctes("segments", f"SELECT k, face_id, n, {sql6('n * (x1 + x2) / 2')} AS x, {sql6('n * (z1 + z2) / 2')} AS z FROM (SELECT *, greatest(2, floor(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) + (z2 - z1) * (z2 - z1)) / 0.05e0 + 1e-9))::BIGINT AS n FROM segments WHERE k % 180 = 0)"))
 
-
-def _scratch(f: Fixtures, name: str) -> str:
-    from wallscan.plans.profile_queries import _scratch as place
-
-    return place(f, name)
+query("a24_kde", _kde, with_ctes("segments vertices", "SELECT id, round(density * 1e6, 4) AS density FROM kd", {"s": f"(SELECT x1 AS x, y1 AS y, z1 AS z FROM segments ORDER BY (k * 7919 + face_id * 31) % 1000003, k * 10000000 + face_id LIMIT {_DRAWN})", "t": "(SELECT vertex_id AS id, x, y, z FROM vertices)", "kd": _KDE.format(h=5.0, t="t", s="s")}))
+query("o23_density_by_size", lambda f: nb.density_by_size(_stats(f), f.blob_points, 0.01, 0.04, 0.5).select("id", F.round("density", 3).alias("density")), db("SELECT id, round(coalesce(density, 0), 3) AS density FROM blob_points LEFT JOIN k USING (id)", {"c": "(SELECT * FROM stats WHERE label >= 0 AND volume BETWEEN 0.01 AND 0.04)", "s": "(SELECT " + ", ".join(f"round_even((c{d} - m{d}) / 0.001e0, 0) * 0.001e0 + m{d} AS {d}" for d in "xyz") + " FROM c, (SELECT min(cx) AS mx, min(cy) AS my, min(cz) AS mz FROM c))", "k": _KDE.format(h=0.5, t="blob_points", s="s")}))
+query("o19_sample_segments", lambda f: meshes.sample_segments(f.segments(), 0.05).groupBy("k", "face_id").agg(F.count("*").alias("n"), r6(F.sum("x")).alias("x"), r6(F.sum("z")).alias("z")), with_ctes("segments", f"SELECT k, face_id, n, {sql6('n * (x1 + x2) / 2')} AS x, {sql6('n * (z1 + z2) / 2')} AS z FROM (SELECT *, greatest(2, floor(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) + (z2 - z1) * (z2 - z1)) / 0.05e0 + 1e-9))::BIGINT AS n FROM segments)"))
 
 
 def _points_text(f: Fixtures):
-    path = _scratch(f, "points")
+    path = scratch(f, "points")
     text.write_points_txt(f.points, path)
     return text.read_points_txt(f.spark, path, "xyz").groupBy("x", "y", "z").agg(F.count("*").alias("n"))
 
 
 def _arc_json(f: Fixtures):
-    path = _scratch(f, "arc")
+    path = scratch(f, "arc")
     store.write_arc(f.arc, path)
     return store.read_arc(f.spark, path).withColumn("arc_length", r6("arc_length"))
 
 
+def _as_rows(v, t):
+    """Vertices and faces of a mesh in one table."""
+    row = lambda kind, i, *three: (F.lit(kind).alias("kind"), F.col(i).alias("i"), *(F.col(c).cast("double").alias(n) for c, n in zip(three, "abc", strict=True)))
+    return v.select(*row("v", "vertex_id", *"xyz")).unionByName(t.select(*row("f", "face_id", "v0", "v1", "v2")))
+
+
 def _obj(f: Fixtures):
-    """A sub-mesh written as OBJ and read back: its faces with the heights of their corners."""
-    path = _scratch(f, "mesh")
+    """A sub-mesh written as one OBJ in parts and read back."""
+    path = scratch(f, "mesh")
     faces, used = meshes.submesh(f.faces(), f.faces().where("face_id % 11 < 3").select("face_id"))
     text.write_obj(f.vertices.join(used, "vertex_id"), faces, path)
-    v, t = text.read_obj_tiles(f.spark, path)
-    return v.groupBy("z").agg(F.count("*").alias("n")).withColumn("n_faces", F.lit(0).cast("long")).unionByName(t.agg(F.lit(-1.0).alias("z"), F.lit(0).cast("long").alias("n"), F.count("*").alias("n_faces")))
+    return _as_rows(*text.read_obj_tiles(f.spark, path, tiles=False))
+
+
+def _obj_tiles(f: Fixtures):
+    """The whole mesh as OBJ tiles of 997 faces each by number, read back as one mesh."""
+    path = scratch(f, "tiles")
+    text.write_obj_tiles(f.vertices, f.faces().withColumn("tile", F.format_string("%06d", F.expr("face_id div 997"))), path)
+    return _as_rows(*text.read_obj_tiles(f.spark, path))
+
+
+_ROWS = "SELECT 'v' AS kind, i, x AS a, y AS b, z AS c FROM nv JOIN vertices ON vertex_id = v UNION ALL SELECT 'f', i, v0::DOUBLE, v1::DOUBLE, v2::DOUBLE FROM nf"
+_CHOSEN = {"chosen": "(SELECT * FROM faces WHERE face_id % 11 < 3)", "nv": "(SELECT v, row_number() OVER (ORDER BY v) - 1 AS i FROM (SELECT DISTINCT unnest([v0, v1, v2]) AS v FROM chosen))", "nf": "(SELECT row_number() OVER (ORDER BY face_id) - 1 AS i, a.i AS v0, b.i AS v1, d.i AS v2 FROM chosen c JOIN nv a ON a.v = c.v0 JOIN nv b ON b.v = c.v1 JOIN nv d ON d.v = c.v2)"}
+_TILED = {"tiled": "(SELECT *, face_id // 997 AS tile FROM faces)", "nv": "(SELECT tile, v, row_number() OVER (ORDER BY tile, v) - 1 AS i FROM (SELECT DISTINCT tile, unnest([v0, v1, v2]) AS v FROM tiled))", "nf": "(SELECT row_number() OVER (ORDER BY c.tile, face_id) - 1 AS i, a.i AS v0, b.i AS v1, d.i AS v2 FROM tiled c JOIN nv a ON a.v = c.v0 AND a.tile = c.tile JOIN nv b ON b.v = c.v1 AND b.tile = c.tile JOIN nv d ON d.v = c.v2 AND d.tile = c.tile)"}
+
+
+def _scene(f: Fixtures):
+    """All points as tiles of a scene: a tile for each column of parts, with a parent node and a child."""
+    path = scratch(f, "scene")
+    p = f.points.select((F.floor("x") % 8).cast("int").alias("tile"), F.when(F.col("z") < 5, "low").otherwise("high").alias("node"), F.when(F.col("z") >= 5, "low").alias("parent"), "point_id", "x", "y", "z")
+    tiles.write_3mx_tiles(p, path)
+    return tiles.read_3mx_tiles(f.spark, path)
+
+
+_TILE = "(SELECT floor(x)::BIGINT % 8 AS tile, CASE WHEN z < 5 THEN 'low' ELSE 'high' END AS node, x, y, z, point_id FROM points)"
+_number = lambda c: F.regexp_extract(c, r"tile-(\d+)\.3mxb$", 1).cast("int").alias("tile")
+query("s2_obj_tiles", _obj_tiles, with_ctes("faces vertices", _ROWS, _TILED))
+query("s3_3mx_tiles", lambda f: _scene(f).select(_number("path"), F.octet_length("buffer").alias("n_bytes"), F.get_json_object("header", "$.nodes[0].id").alias("first")), with_ctes("points", "SELECT tile::INT AS tile, (12 * count(*))::INT AS n_bytes, min(node) AS first FROM t GROUP BY 1", {"t": _TILE}))
+query("s4_tile_nodes", lambda f: tiles.tile_nodes(_scene(f)).select(_number("path"), "id", "resource_start", "resource_end", "parent", "kind"), with_ctes("points", "SELECT tile::INT AS tile, node AS id, CASE WHEN node = 'high' THEN 0 ELSE 12 * (total - n) END::BIGINT AS resource_start, CASE WHEN node = 'high' THEN 12 * n ELSE 12 * total END::BIGINT AS resource_end, CASE WHEN node = 'high' THEN 'low' END AS parent, CASE WHEN node = 'high' THEN 'child' ELSE 'parent' END AS kind FROM (SELECT tile, node, count(*) AS n, sum(count(*)) OVER (PARTITION BY tile) AS total FROM t GROUP BY 1, 2)", {"t": _TILE}))
+query("s5_tile_points", lambda f: tiles.tile_points(_scene(f)).select(_number("path"), "node", "i", *(F.round(F.col(d).cast("double"), 4).alias(d) for d in "xyz")), with_ctes("points", "SELECT tile::INT AS tile, node, (row_number() OVER (PARTITION BY tile, node ORDER BY point_id, x, y, z) - 1)::INT AS i, " + ", ".join(f"round({d}::FLOAT::DOUBLE, 4) AS {d}" for d in "xyz") + " FROM t", {"t": _TILE}))
+
+
+def _streamed_groups(f: Fixtures):
+    """Slices that arrive in two batches of files, recognised as they come, and read from the results."""
+    slices, out, marks = (scratch(f, n) for n in ("slices", "groups", "marks"))
+    for part in (0, 1):
+        f.segments(gaps=True).where(F.col("k") % 2 == part).repartition(4, "k").write.mode("append").parquet(slices)
+        recognise_stream(f.spark, slices, f.segments(gaps=True).schema, out, marks).awaitTermination()
+    return store.read_results(f.spark, out).select("k", "path_id", "group_id", r6("cu").alias("cu"), r6("cv").alias("cv"), "n_nodes", r6("width").alias("width"), "n_segments")
+
+
+def _streamed_heights(f: Fixtures):
+    """Heights that arrive as files; each batch writes the running heights as the newest version of the results."""
+    arrived, out, marks = (scratch(f, n) for n in ("heights", "running", "marks"))
+    rows = nb.checkpointed(heights(f).select("k", "face_id", "height"))
+    for part in (0, 1):
+        rows.where(F.col("k") % 2 == part).select("face_id", "height").write.mode("append").parquet(arrived)
+        stream = face_heights_stream(f.spark.readStream.schema("face_id long, height double").parquet(arrived))
+        stream.writeStream.outputMode("complete").foreachBatch(lambda batch, number: store.append_results(batch, out, number)).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
+    every = store.read_results(f.spark, out)
+    return every.join(every.agg(F.max("batch").alias("batch")), "batch").select("face_id", r6("height").alias("height"), "n")
 
 
+query("x1_recognise_stream", _streamed_groups, ORACLES["o7_recognise"])
+query("x2_face_heights_stream", _streamed_heights, ORACLES["a13_face_heights_max"])
 query("s1_points_text", _points_text, with_ctes("points", "SELECT x, y, z, count(*) AS n FROM points GROUP BY 1, 2, 3"))
 query("s6_arc_json", _arc_json, with_ctes("arc", f"SELECT *, {sql6('radius * (angle_max - angle_min)')} AS arc_length FROM arc"))
-query("s9_obj_round_trip", _obj, with_ctes("faces vertices", "SELECT z, count(*) AS n, 0::BIGINT AS n_faces FROM vertices WHERE vertex_id IN (SELECT unnest([v0, v1, v2]) FROM faces WHERE face_id % 11 < 3) GROUP BY z UNION ALL SELECT -1e0, 0, count(*) FROM faces WHERE face_id % 11 < 3"))
+query("s9_obj_round_trip", _obj, with_ctes("faces vertices", _ROWS, _CHOSEN))

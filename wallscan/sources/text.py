@@ -22,13 +22,14 @@ def write_points_txt(points: DataFrame, path: str) -> None:
     points.select(F.concat_ws(" ", *(F.col(d).cast("string") for d in "xyz"))).write.text(path)
 
 
-def read_obj_tiles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+def read_obj_tiles(spark: SparkSession, path: str, tiles: bool = True) -> tuple[DataFrame, DataFrame]:
     """OBJ tiles of a folder as one mesh: vertices(path, vertex_id, x, y, z) and faces(path, face_id, v0, v1, v2).
 
-    Ids follow the lines of a tile; tiles follow each other by path. A tile is read whole, so tiles, not
-    the mesh, must fit a task."""
-    tiles = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
-    lines = tiles.select("path", F.posexplode(F.split("value", "\n")).alias("line", "t")).select("path", "line", F.split(F.trim("t"), r"\s+").alias("p"))
+    Ids follow the lines of a tile; tiles follow each other by path. Faces name vertices of their own
+    tile, or with tiles=False, where the files are the parts of one OBJ, of all of them. A file is read
+    whole, so files, not the mesh, must fit a task."""
+    files = spark.read.option("recursiveFileLookup", "true").text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("path"))
+    lines = files.select("path", F.posexplode(F.split("value", "\n")).alias("line", "t")).select("path", "line", F.split(F.trim("t"), r"\s+").alias("p"))
     kind = F.element_at("p", 1)
     rank = F.row_number().over(Window.partitionBy("path", "kind").orderBy("line")) - 1
     rows = lines.withColumn("kind", kind).where("kind in ('v', 'f')").withColumn("rank", rank)
@@ -38,7 +39,7 @@ def read_obj_tiles(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame
     rows = rows.join(F.broadcast(base), "path")
     number = lambda i: F.element_at("p", i + 2).cast("double")
     vertices = rows.where("kind = 'v'").select("path", (F.col("rank") + F.col("v_base")).alias("vertex_id"), *(number(i).alias(d) for i, d in enumerate("xyz")))
-    corner = lambda i: F.element_at(F.split(F.element_at("p", i + 2), "/"), 1).cast("long") - 1 + F.col("v_base")
+    corner = lambda i: F.element_at(F.split(F.element_at("p", i + 2), "/"), 1).cast("long") - 1 + (F.col("v_base") if tiles else F.lit(0))
     faces = rows.where("kind = 'f'").select("path", (F.col("rank") + F.col("f_base")).alias("face_id"), *(corner(i).alias(f"v{i}") for i in (0, 1, 2)))
     return vertices, faces
 
@@ -48,3 +49,15 @@ def write_obj(vertices: DataFrame, faces: DataFrame, path: str) -> None:
     v = vertices.select(F.lit(0).alias("o"), F.col("new_id").alias("i"), F.concat_ws(" ", F.lit("v"), *(F.col(d).cast("string") for d in "xyz")).alias("t"))
     f = faces.select(F.lit(1).alias("o"), F.col("face_id").alias("i"), F.concat_ws(" ", F.lit("f"), *((F.col(f"v{i}") + 1).cast("string") for i in (0, 1, 2))).alias("t"))
     v.unionByName(f).orderBy("o", "i").select("t").write.text(path)
+
+
+def write_obj_tiles(vertices: DataFrame, faces: DataFrame, path: str) -> None:
+    """An OBJ file for each tile of faces(face_id, v0, v1, v2, tile), in a folder of its own; ids count within a tile. A tile must fit a task."""
+    used = faces.select("tile", F.explode(F.array("v0", "v1", "v2")).alias("vertex_id")).distinct()
+    used = used.withColumn("new_id", F.row_number().over(Window.partitionBy("tile").orderBy("vertex_id")))
+    v = used.join(vertices, "vertex_id").select("tile", F.lit(0).alias("o"), F.col("new_id").cast("long").alias("i"), F.concat_ws(" ", F.lit("v"), *(F.col(d).cast("string") for d in "xyz")).alias("t"))
+    f = faces
+    for i in (0, 1, 2):
+        f = f.join(used.select("tile", F.col("vertex_id").alias(f"v{i}"), F.col("new_id").alias(f"w{i}")), ["tile", f"v{i}"])
+    f = f.select("tile", F.lit(1).alias("o"), F.col("face_id").alias("i"), F.concat_ws(" ", F.lit("f"), *(F.col(f"w{i}").cast("string") for i in (0, 1, 2))).alias("t"))
+    v.unionByName(f).repartition("tile").sortWithinPartitions("tile", "o", "i").select("tile", "t").write.partitionBy("tile").text(path)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator
 
@@ -30,6 +31,30 @@ def read_3mx_tiles(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInPandas(split, "path string, header string, buffer binary")
 
 
+def write_3mx_tiles(points: DataFrame, folder: str) -> None:
+    """tile-<n>.3mxb for each tile of points(tile int, node, parent, point_id, x, y, z): nodes by name, points of a node by point_id.
+
+    A tile must fit a task. folder is one that driver and executors share; a repeated attempt writes the same file again."""
+    from pyarrow import fs
+
+    def write(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(["node", "point_id", "x", "y", "z"])
+        nodes, at = [], 0
+        for node, own in group.groupby("node"):
+            end, parent = at + 12 * len(own), own["parent"].iloc[0]
+            nodes.append({"id": node, "resource_start": at, "resource_end": end, **({} if pd.isna(parent) else {"parent": parent})})
+            at = end
+        header = json.dumps({"nodes": nodes}).encode()
+        raw = MAGIC + struct.pack("<I", 9 + len(header)) + header + group[["x", "y", "z"]].to_numpy("<f4").tobytes()
+        system, path = (fs.LocalFileSystem(), folder) if folder.startswith("/") else fs.FileSystem.from_uri(folder)
+        system.create_dir(path, recursive=True)
+        with system.open_output_stream(f"{path}/tile-{group['tile'].iloc[0]}.3mxb", compression=None) as out:
+            out.write(raw)
+        return pd.DataFrame({"n": [len(group)]})
+
+    points.select("tile", "node", "parent", "point_id", "x", "y", "z").groupBy("tile").applyInPandas(write, "n long").count()
+
+
 def tile_nodes(tiles: DataFrame) -> DataFrame:
     """The nodes of each tile's header; a node is a child when it names a parent."""
     nodes = tiles.select("path", F.explode(F.from_json("header", f"nodes array<{NODE}>").nodes).alias("n"))

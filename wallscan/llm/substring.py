@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wallscan.llm.common import batch_of, blocks, lists, stored, text_or_empty, utf8
+from wallscan.llm.common import batch_of, blocks, stored, text_or_empty, utf8
 from wallscan.llm.hashing import mix, runs, sliding_min, words
 
 INNER = 16

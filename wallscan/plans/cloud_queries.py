@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from wallscan.functions.geometry import from_profile, line_foot, plane_distance, profile_u, profile_v, r6
 from wallscan.functions import geometry as g
 from wallscan.operators import clouds, meshes, planes, rasters
-from wallscan.plans.fixtures import RADIUS, START, STEP, Fixtures, r6 as sql6, table, with_ctes
+from wallscan.plans.fixtures import RADIUS, START, STEP, Fixtures, r6 as sql6, with_ctes
 from wallscan.plans.registry import query
 
 

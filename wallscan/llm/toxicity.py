@@ -24,7 +24,8 @@ _SCORES = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 def terms(text: str = "text"):
     """The distinct hashed words of a text, and of the first letters of its words; built-in functions only."""
-    found = F.array_remove(F.array_distinct(F.split(F.lower(text_or_empty(text)), r"[^\p{L}\p{N}]+")), "")
+    found = F.array_distinct(F.split(F.lower(text_or_empty(text)), r"[^\p{L}\p{N}]+"))  # an empty word: the text begins or ends with a sign
+    found = F.when(F.exists(found, lambda w: w != ""), found).otherwise(F.array().cast("array<string>"))  # a text without words has no terms
     stems = F.array_distinct(F.transform(found, lambda w: F.substring(w, 1, STEM)))
     return F.concat(F.transform(found, lambda w: F.xxhash64(w)), F.transform(stems, lambda w: F.xxhash64(w, F.lit(STEM))))
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+BUILDS: dict[str, Callable] = {}
 
 
 def query(name: str, build: Callable, oracle: str | None) -> None:
@@ -16,6 +17,7 @@ def query(name: str, build: Callable, oracle: str | None) -> None:
 
     if name in QUERIES:
         raise ValueError(f"{name} is registered twice")
+    BUILDS[name] = build
     QUERIES[name] = lambda spark, sf_dir: build(Fixtures(spark, sf_dir))
     if oracle:
         ORACLES[name] = oracle

@@ -157,14 +157,18 @@ def _inverse(n: int) -> np.ndarray:
     return _inverses
 
 
-def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+def _names(lines: list[str]) -> np.ndarray:
+    """The hash by which lines are known, without the second one."""
     data, offsets = utf8(pa.array(lines, pa.string()))
-    first = span_hashes(data, offsets[:-1], offsets[1:])
-    return first.view(np.int64), _second(data, offsets)
+    return span_hashes(data, offsets[:-1], offsets[1:]).view(np.int64)
+
+
+def _hashes(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    return _names(lines), _second(*utf8(pa.array(lines, pa.string())))
 
 
 def _second(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """An independent 32-bit hash: sums of squared running bytes."""
+    """An independent 32-bit hash, a sum of mixed bytes and places; equal lines are told by both hashes."""
     weighted = np.append(np.uint64(0), np.cumsum(mix((data.astype(np.uint64) << np.uint64(40)) + np.arange(len(data), dtype=np.uint64) - np.repeat(offsets[:-1], np.diff(offsets)).astype(np.uint64)), dtype=np.uint64))
     return (mix(weighted[offsets[1:]] - weighted[offsets[:-1]]) >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
@@ -196,7 +200,7 @@ def _keys(edits: int, min_chars: int):
             for batch in blocks(whole):
                 lines = list(dict.fromkeys(x for x in _split(batch)[2] if len(x) >= min_chars - edits))
                 if lines:
-                    h1, _ = _hashes(lines)
+                    h1 = _names(lines)
                     indexed, probes = segment_keys(lines, edits)
                     probes[np.array([len(x) < min_chars for x in lines])] = 0
                     yield batch_of(_KEYS, h1, *(lists(k.ravel().view(np.int64), np.arange(len(lines) + 1) * k.shape[1], pa.int64()) for k in (indexed, probes)))
@@ -223,7 +227,7 @@ def _wanted(bits: dict[int, int]):
             for batch in blocks(whole):
                 lines = list(dict.fromkeys(_split(batch)[2]))
                 if lines:
-                    h1, _ = _hashes(lines)
+                    h1 = _names(lines)
                     at = h1.view(np.uint64) & np.uint64((1 << FILTER_BITS) - 1)
                     hit = np.flatnonzero(filled[at >> np.uint64(6)] >> (at & np.uint64(63)) & np.uint64(1))
                     yield batch_of(_TEXTS, h1[hit], [lines[i] for i in hit])

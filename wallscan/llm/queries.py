@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wallscan.llm import chat, decontam, linededup, minhash, packing, sharding, spotsigs, substring, tokenfile, toxicity
+from wallscan.llm import chat, decontam, fim, language, linededup, merkle, minhash, packing, sharding, spotsigs, substring, tokenfile, toxicity
 from wallscan.llm.common import table
 
 
@@ -55,18 +55,34 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeated_passages(table(spark, sf_dir, "documents"), texts=False).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.fill_in_middle(table(spark, sf_dir, "documents"), texts=False).drop("output")
+
+
+def op12_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language.identify(table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tampered = F.when(F.crc32(F.col("doc_id").cast("string")) % 7 == 0, F.col("n_chars") + 1).otherwise(F.col("n_chars"))
+    return merkle.manifest(table(spark, sf_dir, "documents"), claims={"n_chars": tampered}).drop("proof")
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_benchmark_decontamination, op2_chat_formatting, op3_minhash_near_dedup, op4_token_files, op5_line_dedup, op6_spot_signatures, op7_sharding, op8_toxicity, op9_best_fit_packing, op10_substring_dedup, pipeline)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_benchmark_decontamination, op2_chat_formatting, op3_minhash_near_dedup, op4_token_files, op5_line_dedup, op6_spot_signatures, op7_sharding, op8_toxicity, op9_best_fit_packing, op10_substring_dedup, op11_fill_in_middle, op12_language_id, op13_merkle_manifest, pipeline)}
 
 _WORDS = "list_filter(regexp_split_to_array(coalesce({0}, ''), '[\\x20\\x09-\\x0D]+'), lambda x: x <> '')"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _ESCAPED = "replace(replace(coalesce({0}, ''), '\\', '\\\\'), '<|', '<\\|')"
 
+_FIELD = "coalesce(strlen({0}::VARCHAR) || ':' || {0}, '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(x) for x in ("d.doc_id", "source", "lang", "({0})", "text")) + ")"
+
 ORACLES: dict[str, str] = {
     "op2_chat_formatting": f"""
         WITH turns AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -91,4 +107,28 @@ ORACLES: dict[str, str] = {
         word AS (SELECT doc_id, unnest(ws) AS x, unnest(range(1, len(ws) + 1)) AS p FROM w),
         kept AS (SELECT word.doc_id, string_agg(x, ' ' ORDER BY word.p) FILTER (gone.p IS NULL) AS t, count(gone.p) AS n_removed FROM word LEFT JOIN gone ON gone.doc_id = word.doc_id AND gone.p = word.p GROUP BY 1)
         SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM w LEFT JOIN kept USING (doc_id)""",
+    "op11_fill_in_middle": """
+        WITH u AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS a, sha256('1:' || doc_id) AS h FROM documents),
+        c AS (SELECT *, len(a) AS n, ('0x' || h[1:8])::BIGINT % (len(a) + 1) AS x, ('0x' || h[9:16])::BIGINT % (len(a) + 1) AS y, ('0x' || h[17:24])::BIGINT % 100 AS r, ('0x' || h[25:32])::BIGINT % 100 AS s FROM u),
+        p AS (SELECT doc_id, t, n, array_to_string(a[1:least(x, y)], '') AS p, array_to_string(a[least(x, y) + 1:greatest(x, y)], '') AS m, array_to_string(a[greatest(x, y) + 1:], '') AS q,
+            CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR r >= 90 THEN 'plain' WHEN s < 20 THEN 'spm' ELSE 'psm' END AS form FROM c)
+        SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(p)::BIGINT END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m)::BIGINT END AS middle_chars,
+            sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || q || '<M>' || m ELSE '<S>' || q || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
+    "op13_merkle_manifest": f"""
+        WITH RECURSIVE crc AS (SELECT doc_id, doc_id::VARCHAR AS s, 0 AS i, 4294967295::BIGINT AS c FROM (SELECT DISTINCT doc_id FROM documents)
+            UNION ALL SELECT doc_id, s, i + 1, xor(x >> 1, (x & 1) * 3988292384) FROM (SELECT doc_id, s, i, xor(c, CASE WHEN i % 8 = 0 THEN ascii(s[i // 8 + 1]) ELSE 0 END) AS x FROM crc WHERE i < 8 * length(s))),
+        odd AS (SELECT doc_id FROM crc WHERE i = 8 * length(s) AND xor(c, 4294967295) % 7 = 0),
+        leaf AS (SELECT d.doc_id, lang, {_LEAF.format('n_chars')} AS leaf, CASE WHEN odd.doc_id IS NOT NULL THEN {_LEAF.format('n_chars + 1')} ELSE {_LEAF.format('n_chars')} END AS claim FROM documents d LEFT JOIN odd ON odd.doc_id = d.doc_id),
+        placed AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS pos FROM leaf),
+        node AS MATERIALIZED (SELECT lang, 0 AS lv, pos, leaf AS h, count(*) OVER (PARTITION BY lang) AS n FROM placed
+            UNION ALL SELECT lang, lv + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (min(n) + 1) // 2 FROM node WHERE n > 1 GROUP BY lang, lv, pos // 2),
+        sub AS MATERIALIZED (SELECT lang, lv AS top, h, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS pos FROM node WHERE n = 1),
+        up AS MATERIALIZED (SELECT 0 AS lv, pos, h, count(*) OVER () AS n FROM sub UNION ALL SELECT lv + 1, pos // 2, sha256(string_agg(h, '' ORDER BY pos)), (min(n) + 1) // 2 FROM up WHERE n > 1 GROUP BY lv, pos // 2),
+        walk AS (SELECT p.doc_id, p.leaf, p.lang, p.pos, p.claim AS got, 0 AS lv, s.top AS most, s.h AS subroot, '' AS proof, s.pos AS spot FROM placed p JOIN sub s ON s.lang IS NOT DISTINCT FROM p.lang
+            UNION ALL SELECT w.doc_id, w.leaf, w.lang, w.pos // 2, sha256(CASE WHEN w.pos % 2 = 1 THEN coalesce(x.h, '') || w.got ELSE w.got || coalesce(x.h, '') END), w.lv + 1, w.most, w.subroot, w.proof || coalesce(x.h, ''), w.spot
+                FROM walk w LEFT JOIN node x ON x.lang IS NOT DISTINCT FROM w.lang AND x.lv = w.lv AND x.pos = xor(w.pos, 1) WHERE w.lv < w.most),
+        climb AS (SELECT doc_id, leaf, subroot, spot AS pos, got, 0 AS lv, proof FROM walk WHERE lv = most
+            UNION ALL SELECT w.doc_id, w.leaf, w.subroot, w.pos // 2, sha256(CASE WHEN w.pos % 2 = 1 THEN coalesce(x.h, '') || w.got ELSE w.got || coalesce(x.h, '') END), w.lv + 1, w.proof || coalesce(x.h, '')
+                FROM climb w LEFT JOIN up x ON x.lv = w.lv AND x.pos = xor(w.pos, 1) WHERE w.lv < (SELECT max(lv) FROM up))
+        SELECT doc_id, leaf, subroot, h AS root, sha256(proof) AS proof_sha256, got AS folded_root, got = h AS verified FROM climb c, (SELECT lv, h FROM up WHERE n = 1) r WHERE c.lv = r.lv""",
 }

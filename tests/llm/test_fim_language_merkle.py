@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tests.llm.test_corpus import ODD, SCHEMA, frame
 from wallscan.llm import fim, language, merkle
-from wallscan.llm.common import utf8
+from wallscan.llm.common import placed, utf8
 
 SIGNS = "abcXYZ zé漢🎉\n\x00@[`{0<PSM>\x7f"
 
@@ -256,6 +256,6 @@ def test_only_some_levels_are_stored_and_proofs_fold(spark, tmp_path):
 def test_places_of_a_crowd(spark):
     """A key with most rows spreads over the partitions, and places stay gapless."""
     rows = spark.range(20_000).select(F.lit("1a").alias("tree"), F.when(F.col("id") < 15_000, 3).otherwise(F.col("id")).alias("doc_id"), F.lit("same").alias("leaf"))
-    got = merkle.placed(rows, ["doc_id", "leaf"]).orderBy("pos").collect()
+    got = placed(rows, "tree", ["doc_id", "leaf"]).orderBy("pos").collect()
     assert [r.pos for r in got] == list(range(20_000)) and {r.n for r in got} == {20_000}
     assert [r.doc_id for r in got] == sorted(r.doc_id for r in got)

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -39,6 +39,33 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def without(documents: DataFrame, gone: DataFrame) -> DataFrame:
+    """The rows of documents whose doc_id isn't in gone(doc_id); columns of any name stay in their order, and so do rows with a null doc_id."""
+    gone = gone.select(F.col("doc_id").alias("_gone_id"))
+    return documents.join(gone, documents["doc_id"] == gone["_gone_id"], "left_anti")
+
+
+def placed(rows: DataFrame, group: str, order: list[str]) -> DataFrame:
+    """rows with pos, the place from 0 within their group in this order, and n, the group's size; a null group has no place.
+
+    Rows are range partitioned by group, order and, where all that is equal, by a number of their own, so a
+    group or a key with a third of all rows spreads over many tasks; places are counted within a partition
+    and offset by the counts of the partitions before it."""
+    by = [group, *order, "_own"]
+    rows = stored(rows.withColumn("_own", F.monotonically_increasing_id()), "to-place")
+    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()).drop("_own")
+    dealt = stored(dealt, "in-order")
+    sizes = dealt.groupBy(group, "_part").agg(F.count("*").alias("_size"), F.min("_at").alias("_first"))
+    whole = Window.partitionBy(group)  # over a row for each partition
+    sizes = sizes.select(group, "_part", "_first", (F.sum("_size").over(whole.orderBy("_part")) - F.col("_size")).alias("_before"), F.sum("_size").over(whole).alias("n"))
+    return dealt.join(sizes, [group, "_part"]).withColumn("pos", F.col("_at") - F.col("_first") + F.col("_before")).drop("_part", "_at", "_first", "_before")
+
+
+def named(column: str) -> Column:
+    """The column of exactly this name, dots and backticks included."""
+    return F.col("`" + column.replace("`", "``") + "`")
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

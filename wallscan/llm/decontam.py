@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wallscan.llm.common import batch_of, blocks, lists, stored, text_or_empty, utf8
+from wallscan.llm.common import batch_of, blocks, lists, stored, text_or_empty, utf8, without
 from wallscan.llm.hashing import mix, runs, words
 
 SLOT_BITS, KEY_BITS, PLACES = 18, 25, 3
@@ -245,4 +245,4 @@ def contaminated(documents: DataFrame, benchmark: DataFrame, share: float = 0.2,
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """documents in which no benchmark item was found; columns stay. Rows with a null doc_id stay."""
     gone = stored(contaminated(documents, benchmark, **options).select("doc_id").distinct(), "leaks")
-    return documents.join(gone, "doc_id", "left_anti").select(documents.columns)
+    return without(documents, gone)

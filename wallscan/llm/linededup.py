@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wallscan.llm.common import batch_of, blocks, lists, stored, text_or_empty, utf8
+from wallscan.llm.common import batch_of, blocks, lists, named, stored, text_or_empty, utf8
 from wallscan.llm.components import components
 from wallscan.llm.hashing import mix, span_hashes
 
@@ -327,7 +327,7 @@ def clean_documents(documents: DataFrame, edits: int = 2, min_chars: int = 20, d
     with a null doc_id and documents without repeated lines come back as they are; rows that repeat a
     doc_id lose the same lines; columns may have any names and types.
     """
-    base = documents.select(F.col("doc_id").cast("long").alias("id"), F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"))
+    base = documents.select(F.col("doc_id").cast("long").alias("id"), F.struct(*(named(c) for c in documents.columns)).alias("row"))
     gone = repeated_lines(base.where("id is not null").select(F.col("id").alias("doc_id"), F.coalesce(F.col("row.text").cast("string"), F.lit("")).alias("text")), edits, min_chars)
     out = base.join(gone.withColumnRenamed("doc_id", "id"), "id", "left")
     left = F.array_join(F.filter(F.split("row.text", "\n", -1), lambda x, i: ~F.array_contains("seen", i)), "\n")

@@ -13,10 +13,10 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wallscan.llm.common import batch_of, scratch, stored
+from wallscan.llm.common import batch_of, named, placed, scratch, stored
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")
 STEP = 6
@@ -38,32 +38,15 @@ def leaf_hash(fields: list[Column]) -> Column:
 
 def leaves(documents: DataFrame, tree: str = "lang", fields: tuple[str, ...] = FIELDS, claims: dict[str, Column] | None = None) -> DataFrame:
     """tree, doc_id, leaf and claim (the leaf of the row as `claims` changes it; null if equal) of each row. A null tree key sorts before all others."""
-    field = lambda f: F.col(f"`{f}`")
-    now = leaf_hash([field(f) for f in fields])
-    claimed = [(claims or {}).get(f, field(f)) for f in fields]
+    now = leaf_hash([named(f) for f in fields])
+    claimed = [(claims or {}).get(f, named(f)) for f in fields]
     same = F.lit(True)
     for f, c in zip(fields, claimed, strict=True):
-        same &= field(f).eqNullSafe(c)
-    key = F.coalesce(F.concat(F.lit("1"), field(tree).cast("string")), F.lit("0"))
+        same &= named(f).eqNullSafe(c)
+    key = F.coalesce(F.concat(F.lit("1"), named(tree).cast("string")), F.lit("0"))
     return documents.select(key.alias("tree"), F.col("doc_id").cast("long").alias("doc_id"), now.alias("leaf"), F.when(~same, leaf_hash(claimed)).alias("claim"))
 
 
-def placed(rows: DataFrame, order: list[str]) -> DataFrame:
-    """rows with pos, the place from 0 within their tree in this order, and n, the tree's size.
-
-    Rows are range partitioned by tree, order and, where all that is equal, by a number of their own, so a
-    tree or a key with a third of all rows spreads over many tasks; places are counted within a partition
-    and offset by the counts of the partitions before it."""
-    by = ["tree", *order, "own"]
-    rows = stored(rows.withColumn("own", F.monotonically_increasing_id()), "merkle-leaves")
-    dealt = rows.repartitionByRange(*by).sortWithinPartitions(*by).withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()).drop("own")
-    dealt = stored(dealt, "merkle-order")
-    sizes = dealt.groupBy("tree", "part").agg(F.count("*").alias("size"), F.min("at").alias("first"))
-    tree = Window.partitionBy("tree")  # over a row for each partition
-    sizes = sizes.select("tree", "part", "first", (F.sum("size").over(tree.orderBy("part")) - F.col("size")).alias("before"), F.sum("size").over(tree).alias("n"))
-    return dealt.join(sizes, ["tree", "part"]).withColumn("pos", F.col("at") - F.col("first") + F.col("before")).drop("part", "at", "first", "before")
-
-
 def height(n: int) -> int:
     """Levels above n nodes: pairs become nodes until one is left."""
     return (n - 1).bit_length() if n > 1 else 0
@@ -195,10 +178,10 @@ def write_manifest(documents: DataFrame, path: str, tree: str = "lang", claims:
     each step-th level is there. claims maps field names to what somebody says they hold: a row that
     differs gets the claimed leaf beside its own."""
     columns = lambda df, schema: df.select(*(c.split()[0] for c in schema.split(", ")))
-    rows = _kept(columns(placed(leaves(documents, tree, fields, claims), ["doc_id", "leaf"]), _LEAVES), f"{path}/leaves")
+    rows = _kept(columns(placed(leaves(documents, tree, fields, claims), "tree", ["doc_id", "leaf"]), _LEAVES), f"{path}/leaves")
     levels = build(rows.select("tree", "pos", "n", F.col("leaf").alias("hash")), f"{path}/levels", step)
     one = roots_of(levels).select(F.lit("").alias("tree"), F.col("tree").alias("name"), "hash")
-    crown = _kept(columns(placed(one, ["name"]), _CROWN), f"{path}/crown")
+    crown = _kept(columns(placed(one, "tree", ["name"]), _CROWN), f"{path}/crown")
     root = roots_of(build(crown.select("tree", "pos", "n", "hash"), f"{path}/tops", step)).first()  # one row at most
     return root.hash if root else ""
 

@@ -14,11 +14,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from wallscan.llm.common import batch_of, blocks, lists, stored, text_or_empty, utf8
+from wallscan.llm.common import batch_of, blocks, lists, stored, text_or_empty, utf8, without
 from wallscan.llm.components import components
 from wallscan.llm.hashing import mix, runs, words
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n_shingles", pa.int64()), ("s1", pa.int64()), ("s2", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("shared", pa.int64()), ("total", pa.int64())])
 
 
@@ -72,7 +72,7 @@ def _sign(k: int, permutations: int, rows: int):
                 keys = mix((mix(picked) * weights).sum(2, dtype=np.uint64) + np.arange(n_bands, dtype=np.uint64))
                 lengths = np.zeros(len(sizes) + 1, np.int64)
                 lengths[1:][some] = n_bands
-                yield batch_of(_SIGNED, batch.column("doc_id"), sizes, mix(sums[0]).view(np.int64), mix(sums[1]).view(np.int64), lists(keys.ravel().view(np.int64), lengths.cumsum(), pa.int64()))
+                yield batch_of(_SIGNED, batch.column("doc_id"), batch.column("text_hash"), sizes, mix(sums[0]).view(np.int64), mix(sums[1]).view(np.int64), lists(keys.ravel().view(np.int64), lengths.cumsum(), pa.int64()))
 
     return run
 
@@ -195,15 +195,22 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, permuta
     joins large groups in linear work. Classes of one hub that are still in different components are
     then joined on what sets them apart from the hub, so no link that could join two components is
     left unchecked, and no bucket is expanded into all pairs. Rows with the same
-    doc_id form one document; a null doc_id gets a null component and is kept.
+    doc_id form one document, that of the text with the least hash, and get its result; a null doc_id
+    gets a null component and is kept.
     A pair at the threshold of 0.8 shares a band with probability 1 - (1 - 0.8**4)**24 > 0.99999.
     """
     every = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     docs = every.where("doc_id is not null")
-    signed = stored(docs.mapInArrow(_sign(k, permutations, rows), "doc_id long, n_shingles long, s1 long, s2 long, bands array<long>"), "signatures")
+    hashed = docs.withColumn("text_hash", F.xxhash64("text"))
+    written = stored(hashed.mapInArrow(_sign(k, permutations, rows), "doc_id long, text_hash long, n_shingles long, s1 long, s2 long, bands array<long>"), "signatures")
+    again = stored(written.groupBy("doc_id").agg(F.count("*").alias("n"), F.min("text_hash").alias("text_hash")).where("n > 1").select("doc_id", "text_hash"), "repeated-ids")
+    one = written.join(again, ["doc_id", "text_hash"], "left_semi").dropDuplicates(["doc_id"])
+    signed = written.join(again, "doc_id", "left_anti").unionByName(one)
+    repeated = hashed.join(again, ["doc_id", "text_hash"]).groupBy("doc_id").agg(F.min("text").alias("text"))
+    docs = docs.join(again, "doc_id", "left_anti").unionByName(repeated)
     key = ["n_shingles", "s1", "s2"]
     classes = signed.where("n_shingles > 0").groupBy(*key).agg(F.min("doc_id").alias("class_id"))
-    lead = signed.join(classes, key).where("doc_id = class_id").dropDuplicates(["class_id"]).select("class_id", F.explode("bands").alias("bucket"))
+    lead = signed.join(classes, key).where("doc_id = class_id").select("class_id", F.explode("bands").alias("bucket"))
     lead = stored(lead, "buckets")
     size = lead.groupBy("bucket").agg(F.count("*").alias("mates")).where("mates > 1")
     member = stored(lead.join(size, "bucket"), "mates")
@@ -226,6 +233,8 @@ def near_duplicates(documents: DataFrame, k: int = 5, percent: int = 80, permuta
     found = classes.join(joined.withColumnRenamed("node", "class_id"), "class_id", "left").join(degree, "class_id", "left")
     result = signed.drop("bands").join(found, key, "left").select("doc_id", "n_shingles", F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), F.coalesce("component", "class_id", "doc_id").alias("component_id"))
     result = result.withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    others = written.select("doc_id").join(again, "doc_id", "left_semi").join(result.join(again, "doc_id", "left_semi"), "doc_id")
+    result = result.join(again, "doc_id", "left_anti").unionByName(others.select(result.columns))
     unknown = every.where("doc_id is null").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(None).cast("long").alias("component_id"), F.lit(True).alias("kept"))
     return result.unionByName(unknown)
 
@@ -235,4 +244,4 @@ def drop_near_duplicates(documents: DataFrame, **options) -> DataFrame:
 
     Rows that repeat a doc_id stay or go together; rows with a null doc_id stay."""
     gone = near_duplicates(documents, **options).where("not kept").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti").select(documents.columns)
+    return without(documents, gone)

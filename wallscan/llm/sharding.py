@@ -10,7 +10,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wallscan.llm.common import scratch, stored, text_or_empty
+from wallscan.llm.common import placed, scratch, stored, text_or_empty
 
 SLOTS = 8_192
 
@@ -21,6 +21,24 @@ def virtual_slots(documents: DataFrame, slots: int = SLOTS) -> DataFrame:
     return documents.select(F.col("doc_id").cast("long").alias("doc_id"), (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text).alias("text_crc32")).withColumn("virtual_slot", F.pmod(F.when(F.col("doc_id").isNull(), F.xxhash64("text_crc32")).otherwise(F.xxhash64("doc_id")), F.lit(slots)).cast("int"))
 
 
+def spread_hot_ids(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """rows with other slots for ids that hold more than a slot's mean share of the bytes in several rows.
+
+    Such an id, of which there can be no more than slots, would outweigh its shard. Each of its rows gets the
+    slot of the id and of its place among the id's rows by size and crc32, so the slots are the same for the
+    same rows, in whatever order they come."""
+    keyed = rows.withColumn("_key", F.coalesce(F.col("doc_id").cast("string"), F.lit("none")))
+    total = rows.agg((F.sum("size") / slots).alias("mean"))
+    heavy = keyed.groupBy("_key").agg(F.count("*").alias("rows"), F.sum("size").alias("bytes")).where("rows > 1")
+    hot = stored(heavy.crossJoin(F.broadcast(total)).where("bytes > mean").select("_key"), "hot-ids")
+    if hot.isEmpty():
+        return rows
+    hot = F.broadcast(hot)  # at most `slots` rows
+    apart = placed(keyed.join(hot, "_key", "left_semi"), "_key", ["size", "text_crc32"])
+    apart = apart.withColumn("virtual_slot", F.pmod(F.xxhash64("_key", "pos"), F.lit(slots)).cast("int"))
+    return stored(keyed.join(hot, "_key", "left_anti").unionByName(apart.select(keyed.columns)).drop("_key"), "spread-slots")
+
+
 def slot_totals(placed: DataFrame) -> DataFrame:
     """Rows and bytes of each virtual slot; at most as many rows as slots."""
     return placed.groupBy("virtual_slot").agg(F.count("*").alias("slot_rows"), F.sum("size").alias("slot_bytes"))
@@ -104,15 +122,16 @@ def shard_documents(documents: DataFrame, shards: int = 24, slots: int = SLOTS,
 
     Slots go by doc_id, not by text: equal texts, of which there may be a third of all rows, spread over
     the shards, as the law asks for near equal bytes. A null text counts 8 bytes, an empty one too; rows
-    that repeat a doc_id share its virtual slot and get places of their own; rows without a doc_id go by
-    their text; an empty table gives no rows; other columns are ignored. Places are counted within a
+    that repeat a doc_id share its virtual slot and get places of their own, but where an id holds more than
+    a slot's share of all bytes, its rows get slots of their own; rows without a doc_id count
+    as one id, or go by their text where they are few; an empty table gives no rows; other columns are ignored. Places are counted within a
     virtual slot and offset by the slots before it in the shard, so no task sorts a whole shard.
     """
     spark = documents.sparkSession
-    placed = virtual_slots(documents, slots)
-    totals = stored(slot_totals(placed), "slot-totals")
+    dealt = spread_hot_ids(virtual_slots(documents, slots), slots)
+    totals = stored(slot_totals(dealt), "slot-totals")
     _, mapping = rebalanced(spark, totals, shards, slots, map_path or scratch(spark, "slot-map"))
     before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
     based = mapping.join(totals, "virtual_slot").select("virtual_slot", "shard", F.coalesce(F.sum("slot_rows").over(before), F.lit(0)).alias("base"))
     place = F.row_number().over(Window.partitionBy("virtual_slot").orderBy("doc_id", "size", "text_crc32"))
-    return placed.withColumn("place", place).join(F.broadcast(based), "virtual_slot").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("place") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")
+    return dealt.withColumn("place", place).join(F.broadcast(based), "virtual_slot").select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("base") + F.col("place") - 1).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "virtual_slot")

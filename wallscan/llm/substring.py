@@ -32,7 +32,7 @@ INNER = 16
 #: Of a representative in more documents, a task sends each window once.
 FREQUENT = 1_000
 _ANCHORS = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64())])
-_WINDOWS = pa.schema([("doc_id", pa.int64()), ("h1", pa.int64()), ("h2", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("known", pa.bool_())])
+_WINDOWS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("h1", pa.int64()), ("h2", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("known", pa.bool_())])
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.int32())), ("kept_text", pa.string()), ("kept_sha256", pa.string())])
 
 
@@ -119,12 +119,12 @@ def _candidates(width: int):
                 keep = np.isin(mix(anchor.view(np.uint64) + row.astype(np.uint64) * salt), mix(names + of * salt))
                 row, at, anchor = row[keep], at[keep], anchor[keep]
                 hot = np.isin(anchor, batch.column("hot").flatten().to_numpy(zero_copy_only=False))
-                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)[row]
+                ids, texts = (batch.column(c).to_numpy(zero_copy_only=False)[row] for c in ("doc_id", "text_hash"))
                 h1 = mix(runs(tokens, width)[at]).view(np.int64)
                 h2 = mix(runs(tokens, width, 0xA24BAED4963EE407)[at]).view(np.int64).astype(np.int32)
                 start = (at - offsets[row]).astype(np.int32)
-                order = np.lexsort((start, ids, h2, h1))
-                h1, h2, ids, start, hot = h1[order], h2[order], ids[order], start[order], hot[order]
+                order = np.lexsort((start, texts, ids, h2, h1))
+                h1, h2, ids, texts, start, hot = h1[order], h2[order], ids[order], texts[order], start[order], hot[order]
                 first = np.flatnonzero(_new(h1, h2)) if len(ids) else np.empty(0, np.int64)
                 group = np.repeat(np.arange(len(first)), np.diff(first, append=len(ids)))
                 owner = ids[first].copy()
@@ -132,14 +132,19 @@ def _candidates(width: int):
                 owner[some] = sent.owners(h1[first[some]], h2[first[some]], owner[some])
                 sent.add(h1[first[some]], h2[first[some]], owner[some])
                 known = ids > owner[group]
-                group, begin, end = _merged(group[~known], start[~known], width)
-                one = first[group]
-                yield batch_of(_WINDOWS, ids[one], h1[one], h2[one], begin.astype(np.int32), end.astype(np.int32), np.zeros(len(one), bool))
-                ids, start = ids[known], start[known]
-                order = np.lexsort((start, ids))
-                ids, begin, end = _merged(ids[order], start[order], width)
+                rows = np.cumsum(_new(group, texts)) - 1 if len(ids) else group  # the least document of a window may have two texts
+                top = np.flatnonzero(np.diff(rows, prepend=-1))
+                rows, begin, end = _merged(rows[~known], start[~known], width)
+                one = top[rows]
+                yield batch_of(_WINDOWS, ids[one], texts[one], h1[one], h2[one], begin.astype(np.int32), end.astype(np.int32), np.zeros(len(one), bool))
+                ids, texts, start = ids[known], texts[known], start[known]
+                order = np.lexsort((start, texts, ids))
+                ids, texts, start = ids[order], texts[order], start[order]
+                rows, begin, end = _merged(np.cumsum(_new(ids, texts)) - 1 if len(ids) else ids, start, width)
+                top = np.flatnonzero(_new(ids, texts)) if len(ids) else ids
+                ids, texts = ids[top[rows]], texts[top[rows]]
                 one = mix(ids.astype(np.uint64) * salt + begin.astype(np.uint64)).view(np.int64)  # spreads them over the partitions
-                yield batch_of(_WINDOWS, ids, one, np.zeros(len(ids), np.int32), begin.astype(np.int32), end.astype(np.int32), np.ones(len(ids), bool))
+                yield batch_of(_WINDOWS, ids, texts, one, np.zeros(len(ids), np.int32), begin.astype(np.int32), end.astype(np.int32), np.ones(len(ids), bool))
 
     return run
 
@@ -182,19 +187,19 @@ def remove_repeated_passages(documents: DataFrame, width: int = 50, texts: bool
     Words are `[^\\x20\\x09-\\x0D]+`, unchanged. A window counts as repeated in a document when the
     same words start in a document with a smaller doc_id; repeats within one document don't count.
     Null and empty texts have no words. Rows with a null doc_id own nothing and lose nothing. Rows
-    with the same doc_id are kept, and each loses the words at the places found for that id.
+    with the same doc_id are kept, and each loses what documents with smaller ids have, by its own text.
     """
     if width < 1:
         raise ValueError("width must be positive")
     every = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    docs = every.where("doc_id is not null")
-    anchors = stored(docs.mapInArrow(_anchors(width), "doc_id long, anchor long"), "anchors")
+    docs = every.where("doc_id is not null").withColumn("text_hash", F.xxhash64("text"))
+    anchors = stored(docs.mapInArrow(_anchors(width), "doc_id long, anchor long").distinct(), "anchors")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a < b").select("anchor", F.when(F.col("n") > FREQUENT, F.col("anchor")).alias("hot"))
     wanted = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("hot").alias("hot"))
-    found = docs.join(wanted, "doc_id").mapInArrow(_candidates(width), "doc_id long, h1 long, h2 int, start int, stop int, known boolean")
+    found = docs.join(wanted, "doc_id").mapInArrow(_candidates(width), "doc_id long, text_hash long, h1 long, h2 int, start int, stop int, known boolean")
     owner = F.min("doc_id").over(Window.partitionBy("h1", "h2", "known"))
-    spans = found.withColumn("owner", owner).where("known or doc_id > owner").groupBy("doc_id").agg(F.collect_list(F.struct("start", "stop")).alias("spans"))
+    spans = found.withColumn("owner", owner).where("known or doc_id > owner").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     schema = "doc_id long, n_words long, n_removed long, removed array<int>, kept_text string, kept_sha256 string"
-    kept = docs.join(spans, "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_remove(texts), schema)
+    kept = docs.join(spans, ["doc_id", "text_hash"], "left").select("doc_id", "text", "spans").mapInArrow(_remove(texts), schema)
     unknown = every.where("doc_id is null").withColumn("spans", F.lit(None).cast("array<struct<start:int,stop:int>>"))
     return kept.unionByName(unknown.mapInArrow(_remove(texts), schema))

@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wallscan.llm.common import batch_of, stored, text_or_empty
+from wallscan.llm.common import batch_of, stored, text_or_empty, without
 
 STEM = 4
 _MODEL = "is_bias boolean, term long, weight double, factors array<double>"
@@ -152,4 +152,4 @@ def toxicity(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, **
 def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.7, **options) -> DataFrame:
     """documents without those predicted toxic; columns stay. Rows with a null doc_id stay."""
     gone = toxicity(documents, labels, threshold, **options).where("predicted = 1").select("doc_id").distinct()
-    return documents.join(gone, "doc_id", "left_anti").select(documents.columns)
+    return without(documents, gone)

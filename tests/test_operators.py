@@ -108,7 +108,7 @@ def test_nearest_in_sparse_places(spark):
     rng = random.Random(3)
     points = [(i, rng.uniform(0, 100) if i % 3 else rng.uniform(0, 1), rng.uniform(0, 1)) for i in range(150)]
     df = spark.createDataFrame(points, "id long, x double, y double")
-    got = {(r.id, r["rank"]): r.target for r in neighbours.nearest(df, df, 3, 0.2, "xy").collect()}
+    got = {(r.id, r["rank"]): r.target for r in neighbours.nearest(df, df, 3, "xy").collect()}
     for i, x, y in points:
         order = sorted(points, key=lambda p: ((p[1] - x) ** 2 + (p[2] - y) ** 2, p[0]))
         assert [got[i, n] for n in (1, 2, 3)] == [p[0] for p in order[:3]]

@@ -1,4 +1,4 @@
-"""Neighbour joins over a grid of cells, and clustering on pairs of neighbours."""
+"""Neighbour joins over grids and trees of boxes, components, hops, cluster reports and densities."""
 
 from __future__ import annotations
 
@@ -41,42 +41,96 @@ def pairs_within(points: DataFrame, radius: float, dims: Sequence[str] = "xyz",
     return a.join(b, cells).where((squared(dims) <= radius * radius) & (F.col("a") != F.col("b"))).select("a", "b")
 
 
-def nearest(points: DataFrame, targets: DataFrame, k: int, size: float, dims: Sequence[str] = "xyz", id_col: str = "id", target_id: str = "id") -> DataFrame:
+#: A node of the tree that holds more targets is split.
+LEAF = 32
+#: Tables of nodes of no more rows are broadcast; larger ones are joined by key.
+SMALL_LEVEL = 50_000
+
+
+def gap(dims: Sequence[str], a: str, b: str) -> Column:
+    """Least squared distance of two boxes a_lo_x, a_hi_x, ... and b_lo_x, ...; exact for boxes that are points."""
+    apart = lambda d: F.greatest(F.col(f"{b}_lo_{d}") - F.col(f"{a}_hi_{d}"), F.col(f"{a}_lo_{d}") - F.col(f"{b}_hi_{d}"), F.lit(0.0))
+    return sum((apart(d) * apart(d) for d in dims), F.lit(0.0))
+
+
+def span(dims: Sequence[str], a: str, b: str) -> Column:
+    """Greatest squared distance of two points in two boxes."""
+    apart = lambda d: F.greatest(F.col(f"{b}_hi_{d}") - F.col(f"{a}_lo_{d}"), F.col(f"{a}_hi_{d}") - F.col(f"{b}_lo_{d}"))
+    return sum((apart(d) * apart(d) for d in dims), F.lit(0.0))
+
+
+def box(dims: Sequence[str]) -> list[Column]:
+    """Aggregates lo_x, hi_x, ..."""
+    return [f(d).alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]
+
+
+def _hinted(table: DataFrame, rows: int) -> DataFrame:
+    return F.broadcast(table) if rows <= SMALL_LEVEL else table
+
+
+def _at_most(column: str):
+    return lambda cut: cut <= F.col(column)
+
+
+def split_tree(rows: DataFrame, dims: Sequence[str], most: int = LEAF, *more: Column) -> tuple[DataFrame, list[tuple[DataFrame, int]]]:
+    """rows with `node`, the leaf of each, and the levels of a tree of boxes over them.
+
+    A node with more than `most` rows is split in each dimension at the sketched quartiles of its own rows,
+    or at the mean where these are one value, so crowds get small boxes and a child holds a fraction of its
+    parent. Rows that are all at one place stay together, and so do those of a node at the last level that
+    numbers of 60 bits allow. Each level is (table, its number of rows): parent, node, n, leaf, the tight box
+    and the aggregates `more`. Each round is one aggregate and one join of the rows not in leaves yet.
+    """
+    bits, depth = 2 * len(dims), 0
+    rows, settled, levels = checkpointed(rows.withColumn("node", F.lit(0).cast("long"))), None, []
+    wide = lambda d: F.col(f"hi_{d}") > F.col(f"lo_{d}")
+    cuts = lambda d: F.when(~wide(d), F.array().cast("array<double>")).when(F.col(f"q_{d}")[0] == F.col(f"q_{d}")[2], F.array(f"m_{d}")).otherwise(F.col(f"q_{d}"))
+    while True:
+        depth += 1
+        quartiles = [F.percentile_approx(d, F.array(*(F.lit(q) for q in (0.25, 0.5, 0.75))), F.lit(100)).alias(f"q_{d}") for d in dims]
+        stats = rows.groupBy("node").agg(F.count("*").alias("n"), *box(dims), *(F.avg(d).alias(f"m_{d}") for d in dims), *quartiles, *more)
+        over = (F.col("n") > most) & F.lit(depth * bits <= 60) & F.greatest(*(wide(d) for d in dims), F.lit(False))
+        stats = checkpointed(stats.withColumn("leaf", ~over).withColumn("parent", F.shiftright("node", bits) - 1))
+        n = stats.count()
+        levels.append((stats.drop(*(f"{c}_{d}" for d in dims for c in ("q", "m"))), n))
+        if stats.where("not leaf").isEmpty():
+            return rows if settled is None else settled.unionByName(rows), levels
+        moved = rows.join(_hinted(stats.select("node", "leaf", *(cuts(d).alias(f"q_{d}") for d in dims)), n), "node")
+        done = moved.where("leaf").select(rows.columns)
+        settled = done if settled is None else settled.unionByName(done)
+        child = F.lit(0)
+        for d in dims:
+            child = child * 4 + F.size(F.filter(f"q_{d}", _at_most(d)))
+        rows = checkpointed(moved.where("not leaf").withColumn("node", F.shiftleft(F.col("node") + 1, bits) + child).select(rows.columns))
+
+
+def nearest(points: DataFrame, targets: DataFrame, k: int, dims: Sequence[str] = "xyz", id_col: str = "id", target_id: str = "id") -> DataFrame:
     """The k nearest targets of each point: id, target, distance, rank; ties by target id. Exact.
 
-    A point looks at the cells about its own. Anything outside is a cell's width or more away, so k targets
-    within that distance are final. Cells double for the points that are left, until one holds all
-    targets; fewer than k targets then give fewer rows. No point meets all targets unless all are near it.
+    Targets are split into boxes of at most max(LEAF, 2 k) of them, small where they crowd. All points go down
+    this tree together: a box with k targets bounds the distance of the k-th by its farthest corner, and boxes
+    beyond the least such bound are left, so a point meets the targets of a few leaves, however uneven
+    the targets lie. Of targets at one place only the k with the least ids can be among the nearest, and no
+    others are kept. Fewer than k targets give fewer rows; a point or a target without a coordinate gives none.
     """
-    cells = [f"_c{d}" for d in dims]
-    every = targets.select(F.col(target_id).alias("_b"), *(F.col(d).alias(f"b_{d}") for d in dims))
-    rest = points.select(F.col(id_col).alias("_a"), *(F.col(d).alias(f"a_{d}") for d in dims))
-    ends = every.agg(*(f(f"b_{d}").alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max)))).first()
-    near = rest.agg(*(f(f"a_{d}").alias(f"{n}_{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max)))).first()
+    known = lambda df: df.dropna(subset=list(dims))
+    every = known(targets.select(F.col(target_id).alias("_b"), *(F.col(d).cast("double").alias(d) for d in dims)))
+    same = F.row_number().over(Window.partitionBy(*dims).orderBy("_b"))
+    every, levels = split_tree(every.withColumn("_r", same).where(f"_r <= {k}").drop("_r"), dims, max(LEAF, 2 * k))
+    met = known(points.select(F.col(id_col).alias("_a"), *(F.col(d).cast("double").alias(d) for d in dims))).select("_a", *(F.col(d).alias(f"a_{e}_{d}") for d in dims for e in ("lo", "hi")))
+    at = met.columns
+    met = met.select("*", F.lit(-1).cast("long").alias("node"), F.lit(float("inf")).alias("bound"), F.lit(0.0).alias("_gap"))
+    for level, n in levels:  # down to the children; a leaf has none and stays
+        boxes = level.select(F.col("parent").alias("node"), F.col("node").alias("_child"), "n", *(F.col(f"{e}_{d}").alias(f"b_{e}_{d}") for d in dims for e in ("lo", "hi")))
+        down, inner = met.join(_hinted(boxes, n), "node", "left"), F.col("_child").isNotNull()
+        down = down.withColumn("_gap", F.when(inner, gap(dims, "a", "b")).otherwise(F.col("_gap"))).where("_gap <= bound")
+        bound = F.when(F.col("n") >= k, F.least("bound", span(dims, "a", "b"))).otherwise(F.col("bound"))
+        down = down.select(*at, F.coalesce("_child", "node").alias("node"), bound.alias("bound"), "_gap")
+        met = down.withColumn("bound", F.min("bound").over(Window.partitionBy("_a"))).where("_gap <= bound")
+    pairs = met.select("_a", "node", *(F.col(f"a_lo_{d}").alias(f"a_{d}") for d in dims)).join(every.select("node", "_b", *(F.col(d).alias(f"b_{d}") for d in dims)), "node")
     order = Window.partitionBy("_a").orderBy("_d2", "_b")
-    of = lambda df, p, width: df.select("*", *(F.floor(F.col(f"{p}_{d}") / width).alias(f"_c{d}") for d in dims))
-    done, width = [], size
-    known = all(e[f"{n}_{d}"] is not None for e in (ends, near) for d in dims for n in ("lo", "hi"))
-    reach = max(max(ends[f"hi_{d}"], near[f"hi_{d}"]) - min(ends[f"lo_{d}"], near[f"lo_{d}"]) for d in dims) if known else 0.0
-    while True:
-        last = width >= reach  # the cells about a point hold all targets
-        met = _around(of(rest, "a", width), dims, 1).join(of(every, "b", width), cells)
-        ranked = met.withColumn("_d2", squared(dims)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-        if last:
-            done.append(ranked)
-            break
-        ranked = checkpointed(ranked)
-        sure = ranked.where(F.col("_d2") < width**2).groupBy("_a").agg(F.count("*").alias("_n")).where(F.col("_n") == k).select("_a")
-        done.append(ranked.join(sure, "_a", "left_semi"))
-        rest = checkpointed(rest.join(sure, "_a", "left_anti"))
-        if rest.isEmpty():
-            break
-        width *= 2
-    parts = [d.select(F.col("_a").alias("id"), F.col("_b").alias("target"), F.sqrt("_d2").alias("distance"), "rank") for d in done]
-    out = parts[0]
-    for more in parts[1:]:
-        out = out.unionByName(more)
-    return out
+    ranked = pairs.withColumn("_d2", squared(dims)).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    return ranked.select(F.col("_a").alias("id"), F.col("_b").alias("target"), F.sqrt("_d2").alias("distance"), "rank")
 
 
 def bbox_overlap(a: DataFrame, b: DataFrame, size: float) -> DataFrame:
@@ -126,7 +180,9 @@ def numbered(ids: DataFrame, id_col: str, name: str) -> DataFrame:
 
 
 def least_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(node, label): the least node of each connected component of edges (a, b), by star contraction."""
+    """(node, label): the least node of each connected component of edges (a, b), by star contraction.
+
+    Raises RuntimeError when labels still change after so many rounds; a round halves the longest way, roughly."""
     e = checkpointed(edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     state = None
     for _ in range(rounds):
@@ -140,6 +196,8 @@ def least_labels(edges: DataFrame, rounds: int = 60) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         e = checkpointed(small.where("u != v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    else:
+        raise RuntimeError(f"components did not settle in {rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("label")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct())
 
 
@@ -164,18 +222,6 @@ def dbscan_from_pairs(ids: DataFrame, pairs: DataFrame, min_samples: int) -> Dat
     return ids.select("id").join(known, "id", "left").select("id", F.coalesce("label", F.lit(-1)).alias("label"))
 
 
-def dbscan_points(points: DataFrame, eps: float, min_samples: int, dims: Sequence[str] = "xyz") -> DataFrame:
-    """Euclidean DBSCAN of points(id, x, y, z)."""
-    return dbscan_from_pairs(points.select("id"), pairs_within(points, eps, dims), min_samples)
-
-
-def cluster_sampled(points: DataFrame, sample: DataFrame, eps: float, min_samples: int, dims: Sequence[str] = "xyz") -> DataFrame:
-    """Clusters a sample, then gives each point the label of its nearest sampled point."""
-    labels = dbscan_points(sample, eps, min_samples, dims)
-    near = nearest(points, sample, 1, 2 * eps, dims)
-    return near.join(labels.withColumnRenamed("id", "target"), "target").select("id", "label")
-
-
 def hops(edges: DataFrame, targets: DataFrame, most: int) -> DataFrame:
     """Hop distances d in 1..most between target faces (a, b both ways); the way may pass other faces.
 
@@ -217,12 +263,6 @@ def block(labelled: DataFrame, stats: DataFrame, rank: int) -> DataFrame:
     return labelled.join(top_blocks(stats, rank).withColumn("_place", place).where(F.col("_place") == rank).select("label"), "label", "left_semi")
 
 
-def hazard_blocks(points: DataFrame, sample: DataFrame, eps: float, min_samples: int, voxel_size: float, k: int = 10) -> DataFrame:
-    """The k largest blocks of voxel centres points(id, x, y, z), clustered through a sample: label, n, volume, cx, cy, cz."""
-    labels = cluster_sampled(points, sample, eps, min_samples)
-    return top_blocks(cluster_stats(labels.join(points, "id"), voxel_size), k)
-
-
 #: kde sums over all samples where there are no more of them; a task holds them as one block.
 MOST_SAMPLES = 200_000
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wallscan.functions.geometry import r6
-from wallscan.operators import clouds, meshes, neighbours as nb, profiles as pr
+from wallscan.operators import clouds, clusters as cl, meshes, neighbours as nb, profiles as pr
 from wallscan.plans.fixtures import Fixtures, r6 as sql6, with_ctes
 from wallscan.plans.profile_queries import FACED, GROW, heights, scratch
 from wallscan.plans.registry import ORACLES, query
@@ -84,9 +84,9 @@ def _rects(f: Fixtures):
 _RECTS = "(SELECT face_id AS id, least(atan2(y0, x0), atan2(y1, x1), atan2(y2, x2)) AS x_lo, least(z0, z1, z2) AS y_lo, greatest(atan2(y0, x0), atan2(y1, x1), atan2(y2, x2)) AS x_hi, greatest(z0, z1, z2) AS y_hi FROM tri)"
 query("j5_bbox_overlap", lambda f: nb.bbox_overlap(_rects(f), _rects(f), 0.5).where("a < b"), with_ctes("tri", "SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.id < b.id AND a.x_lo <= b.x_hi AND b.x_lo <= a.x_hi AND a.y_lo <= b.y_hi AND b.y_lo <= a.y_hi", {"r": _RECTS}))
 _KNN = "(SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, target) AS rank FROM (SELECT a.id, b.id AS target, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM flat a, flat b) QUALIFY rank <= 5)"
-query("j8_knn", lambda f: nb.nearest(f.flat, f.flat, 5, 0.05, "xy").select("id", "target", r6("distance").alias("distance"), F.col("rank").cast("long").alias("rank")), with_ctes("flat", f"SELECT id, target, {sql6('sqrt(d2)')} AS distance, rank FROM knn", {"knn": _KNN}))
-query("j7_nearest_label", lambda f: nb.nearest(f.flat, f.flat.where("id % 10 = 3"), 1, 0.1, "xy").select("id", "target"), with_ctes("flat", "SELECT id, arg_min(target, struct_pack(a := d2, b := target)) AS target FROM (SELECT a.id, b.id AS target, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM flat a, flat b WHERE b.id % 10 = 3) GROUP BY 1"))
-query("a23_drop_outliers", lambda f: clouds.drop_outliers(f.flat, nb.nearest(f.flat, f.flat, 5, 0.05, "xy"), 5, 2.0).select("id"), with_ctes("flat", "SELECT id FROM m WHERE d < (SELECT avg(d) + 2 * stddev_pop(d) FROM m)", {"knn": _KNN, "m": "(SELECT id, avg(sqrt(d2)) AS d FROM knn GROUP BY 1)"}))
+query("j8_knn", lambda f: nb.nearest(f.flat, f.flat, 5, "xy").select("id", "target", r6("distance").alias("distance"), F.col("rank").cast("long").alias("rank")), with_ctes("flat", f"SELECT id, target, {sql6('sqrt(d2)')} AS distance, rank FROM knn", {"knn": _KNN}))
+query("j7_nearest_label", lambda f: nb.nearest(f.flat, f.flat.where("id % 10 = 3"), 1, "xy").select("id", "target"), with_ctes("flat", "SELECT id, arg_min(target, struct_pack(a := d2, b := target)) AS target FROM (SELECT a.id, b.id AS target, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM flat a, flat b WHERE b.id % 10 = 3) GROUP BY 1"))
+query("a23_drop_outliers", lambda f: clouds.drop_outliers(f.flat, nb.nearest(f.flat, f.flat, 5, "xy"), 5, 2.0).select("id"), with_ctes("flat", "SELECT id FROM m WHERE d < (SELECT avg(d) + 2 * stddev_pop(d) FROM m)", {"knn": _KNN, "m": "(SELECT id, avg(sqrt(d2)) AS d FROM knn GROUP BY 1)"}))
 
 # DBSCAN on voxel centres: neighbours within EPS, clusters by least reachable core.
 _DB = {
@@ -101,7 +101,7 @@ _DB = {
 
 
 def blocks_of(f: Fixtures):
-    return nb.dbscan_points(f.blob_points, EPS, SAMPLES)
+    return cl.dbscan_points(f.blob_points, EPS, SAMPLES)
 
 
 def _stats(f: Fixtures):
@@ -126,7 +126,7 @@ _SAMPLE = "pmod(id * 7919 + 13, 1000003) % 10 < 8"
 
 
 def _sampled(f: Fixtures):
-    return nb.cluster_sampled(f.blob_points, f.blob_points.where(_SAMPLE), EPS, SAMPLES)
+    return cl.cluster_sampled(f.blob_points, f.blob_points.where(_SAMPLE), EPS, SAMPLES)
 
 
 query("o13_cluster_sampled", _sampled, with_ctes("blob_points", "SELECT p.id, (SELECT arg_min(l.label, struct_pack(a := (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z), b := q.id)) FROM sampled q JOIN labelled l ON l.id = q.id) AS label FROM blob_points p", {"sampled": "(SELECT * FROM blob_points WHERE (id * 7919 + 13) % 1000003 % 10 < 8)", **{k: v.replace("blob_points", "sampled") for k, v in _DB.items()}}, recursive=True))
@@ -140,7 +140,7 @@ def hazard_blocks(f: Fixtures, k: int = 10):
     meta = meshes.grid_meta(f.tri(gaps=True), VOX)
     v = meshes.voxel_centres(voxels(f), meta, VOX)
     p = nb.checkpointed(v.select(((F.col("ix").cast("long") * 100_000 + F.col("iy")) * 100_000 + F.col("iz")).alias("id"), "x", "y", "z"))
-    return nb.hazard_blocks(p, p.where(_TENTH), WIDE, DENSE, VOX, k).select("label", "n", *(r6(c).alias(c) for c in ("volume", "cx", "cy", "cz")))
+    return cl.hazard_blocks(p, p.where(_TENTH), WIDE, DENSE, VOX, k).select("label", "n", *(r6(c).alias(c) for c in ("volume", "cx", "cy", "cz")))
 
 
 _WIDE = {n: q.replace("blob_points", "sampled").replace(f"{EPS}", f"{WIDE}").replace(f">= {SAMPLES})", f">= {DENSE})") for n, q in _DB.items()}

@@ -111,7 +111,7 @@ def cluster_sampled(points: DataFrame, sample: DataFrame, eps: float, min_sample
     return near.join(labels.withColumnRenamed("id", "target"), "target").select("id", "label")
 
 
-def hazard_blocks(points: DataFrame, sample: DataFrame, eps: float, min_samples: int, voxel_size: float, k: int = 10) -> DataFrame:
-    """The k largest blocks of voxel centres points(id, x, y, z), clustered through a sample: label, n, volume, cx, cy, cz."""
-    labels = cluster_sampled(points, sample, eps, min_samples)
-    return top_blocks(cluster_stats(labels.join(points, "id"), voxel_size), k)
+def hazard_blocks(voxels: DataFrame, sample: DataFrame, meta: DataFrame, eps: float, min_samples: int, size: float, k: int = 10) -> DataFrame:
+    """The k largest blocks of voxels(id, ix, iy, iz and their centres x, y, z), clustered through a sample: label, n, volume, cx, cy, cz."""
+    labels = cluster_sampled(voxels, sample, eps, min_samples)
+    return top_blocks(cluster_stats(labels.join(voxels, "id"), meta, size), k)

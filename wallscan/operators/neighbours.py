@@ -238,9 +238,13 @@ def hops(edges: DataFrame, targets: DataFrame, most: int) -> DataFrame:
     return seen.where("d > 0").join(end, "b", "left_semi").select("a", "b", "d")
 
 
-def cluster_stats(labelled: DataFrame, voxel_size: float) -> DataFrame:
-    """For each label n, volume and centroid of points(label, x, y, z)."""
-    return labelled.groupBy("label").agg(F.count("*").alias("n"), (F.count("*") * voxel_size**3).alias("volume"), *(F.avg(d).alias(f"c{d}") for d in "xyz"))
+def cluster_stats(labelled: DataFrame, meta: DataFrame, size: float) -> DataFrame:
+    """For each label n, volume and centroid of voxels(label, ix, iy, iz) of a grid (ox, oy, oz: its origin).
+
+    Indices are summed as whole numbers and scaled once, so a centroid doesn't depend on the order of rows."""
+    sums = labelled.groupBy("label").agg(F.count("*").alias("n"), *(F.sum(f"i{d}").alias(f"s{d}") for d in "xyz"))
+    centre = lambda d: F.col(f"o{d}") + size * (F.col(f"s{d}") / F.col("n") + 0.5)
+    return sums.crossJoin(F.broadcast(meta)).select("label", "n", (F.col("n") * size**3).alias("volume"), *(centre(d).alias(f"c{d}") for d in "xyz"))  # meta is one row
 
 
 def volume_report(stats: DataFrame, v_min: float, v_max: float) -> DataFrame:

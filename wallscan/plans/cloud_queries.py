@@ -47,7 +47,6 @@ def _feet(f: Fixtures):
 
 
 query("p20_project_to_line", _feet, with_ctes("points", f"SELECT point_id, {sql6('fx')} AS fx, {sql6('0.5e0 * fx + 1.25e0')} AS fy FROM (SELECT point_id, (x + 0.5e0 * (y - 1.25e0)) / (0.5e0 * 0.5e0 + 1) AS fx FROM points)"))
-query("p21_voxel_centres", lambda f: rounded(meshes.voxel_centres(f.blobs, meshes.grid_meta(f.tri(), 0.5), 0.5), "x", "y", "z"), with_ctes("blobs tri", f"SELECT ix, iy, iz, {sql6('ox + 0.5e0 * (ix + 0.5e0)')} AS x, {sql6('oy + 0.5e0 * (iy + 0.5e0)')} AS y, {sql6('oz + 0.5e0 * (iz + 0.5e0)')} AS z FROM blobs, (SELECT min(least(x0, x1, x2)) AS ox, min(least(y0, y1, y2)) AS oy, min(least(z0, z1, z2)) AS oz FROM tri)"))
 query("p22_rebase_origin", lambda f: rounded(clouds.rebase_origin(f.points), "x", "y"), with_ctes("points", f"SELECT point_id, {sql6('x - a + 5')} AS x, {sql6('y - b + 5')} AS y FROM points, (SELECT min(x) a, min(y) b FROM points)"))
 query("p23_crop_window", lambda f: clouds.crop_window(f.points, 10.0, 7.0, 4.0, 3.0), with_ctes("points", "SELECT * FROM points WHERE x BETWEEN 8 AND 12 AND y BETWEEN 5.5e0 AND 8.5e0"))
 query("p24_failure_zone", lambda f: clouds.failure_zone(f.orientations, 70.0, 120.0, 30.0, 20.0), with_ctes("orientations", "SELECT id, dip, dip_dir, CASE WHEN f <= 20 AND dip BETWEEN 30 AND 70 THEN 'planar' WHEN f <= 20 AND dip <= 70 THEN 'daylight' WHEN b <= 20 AND dip BETWEEN 30 AND 90 THEN 'overhang' ELSE 'stable' END AS zone FROM (SELECT *, least((dip_dir + 240) % 360, 360 - (dip_dir + 240) % 360) AS f, least((dip_dir + 60) % 360, 360 - (dip_dir + 60) % 360) AS b FROM orientations)"))

@@ -107,18 +107,6 @@ class Fixtures:
         e = table(self.spark, self.dir, "embeddings")
         return e.select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("x"), F.col("embedding")[1].cast("double").alias("y"))
 
-    @property
-    def blobs(self) -> DataFrame:
-        """Separated groups of voxels."""
-        v = self.lineitem.select((F.col("l_partkey") % 40).cast("int").alias("ix"), (F.col("l_orderkey") % 40).cast("int").alias("iy"), F.col("l_quantity").cast("int").alias("iz"))
-        return v.where("(ix div 8 + iy div 8) % 2 = 0 and ix % 8 < 6 and iy % 8 < 6 and iz % 10 < 7").distinct()
-
-    @property
-    def blob_points(self) -> DataFrame:
-        c = [(F.col(f"i{d}") + 0.5) * 0.05 for d in "xyz"]
-        key = (F.col("ix").cast("long") * 100 + F.col("iy")) * 100 + F.col("iz")
-        return self.blobs.select(key.alias("id"), *(e.alias(d) for e, d in zip(c, "xyz", strict=True)))
-
 
 def r6(x: str) -> str:
     return f"(CASE WHEN abs({x}) < 5e-7 THEN 0e0 ELSE round({x}, 6) END)"
@@ -171,8 +159,6 @@ CTES: dict[str, tuple[str, str]] = {
     "keyed_g": ("segments_g", f"(SELECT *, {_KEYS} FROM segments_g)"),
     "orientations": ("", "(SELECT o_orderkey AS id, (o_custkey % 91)::DOUBLE AS dip, (o_orderkey % 360)::DOUBLE AS dip_dir FROM orders)"),
     "flat": ("", "(SELECT vec_id AS id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y FROM embeddings)"),
-    "blobs": ("", "(SELECT DISTINCT ix, iy, iz FROM (SELECT (l_partkey % 40)::INT AS ix, (l_orderkey % 40)::INT AS iy, l_quantity::INT AS iz FROM lineitem) WHERE (ix // 8 + iy // 8) % 2 = 0 AND ix % 8 < 6 AND iy % 8 < 6 AND iz % 10 < 7)"),
-    "blob_points": ("blobs", "(SELECT (ix::BIGINT * 100 + iy) * 100 + iz AS id, (ix + 0.5e0) * 0.05e0 AS x, (iy + 0.5e0) * 0.05e0 AS y, (iz + 0.5e0) * 0.05e0 AS z FROM blobs)"),
 }
 
 

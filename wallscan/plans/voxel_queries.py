@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from wallscan.functions.geometry import r6
@@ -12,14 +14,13 @@ from wallscan.plans.registry import ORACLES, query
 from wallscan.sources import store, text, tiles
 from wallscan.streaming.recognition import face_heights_stream, recognise_stream
 
-EPS, SAMPLES, SIZE = 0.071, 4, 0.05
-#: Voxels of recognised faces, and the clustering of a tenth of them.
-VOX, WIDE, DENSE = 0.2, 0.5, 5
+#: Voxels of recognised faces; the clustering of all of them, where neighbours are at most one step away in two directions; and that of a tenth of them.
+VOX, EPS, SAMPLES, WIDE, DENSE = 0.2, 0.29, 10, 0.5, 5
 
 
-def _face_heights(f: Fixtures):
-    """The greatest recognised height of each face over all planes."""
-    return pr.face_heights(heights(f), "max").select("face_id", "height")
+def _face_heights(f: Fixtures, planes: str = "true"):
+    """The greatest recognised height of each face over all planes, or some."""
+    return pr.face_heights(heights(f).where(planes), "max").select("face_id", "height")
 
 
 _META = "(SELECT " + ", ".join(f"min(least({d}0, {d}1, {d}2)) AS o{d}, ceil((max(greatest({d}0, {d}1, {d}2)) - min(least({d}0, {d}1, {d}2))) / {VOX}e0)::INT AS n{d}" for d in "xyz") + " FROM tri_g)"
@@ -35,8 +36,23 @@ _VOXELS = {
 }
 
 
-def voxels(f: Fixtures):
-    return meshes.voxelise(f.tri(gaps=True), _face_heights(f), meshes.grid_meta(f.tri(gaps=True), VOX), VOX)
+def voxels(f: Fixtures, planes: str = "true"):
+    return meshes.voxelise(f.tri(gaps=True), _face_heights(f, planes), _meta(f), VOX)
+
+
+def _meta(f: Fixtures):
+    return meshes.grid_meta(f.tri(gaps=True), VOX)
+
+
+def voxel_points(f: Fixtures):
+    """All voxels with a number and their centres, kept for the query."""
+    number = ((F.col("ix").cast("long") * 100_000 + F.col("iy")) * 100_000 + F.col("iz")).alias("id")
+    return f.kept("voxel points", lambda: meshes.voxel_centres(voxels(f), _meta(f), VOX).select(number, "ix", "iy", "iz", "x", "y", "z"))
+
+
+def exact6(c):
+    """Six decimals by operations that give the same number in any engine."""
+    return F.floor(F.col(c) * 1e6 + 0.5) / 1e6
 
 
 def voxel_sql(body: str, names: str = "", more: dict | None = None) -> str:
@@ -44,7 +60,9 @@ def voxel_sql(body: str, names: str = "", more: dict | None = None) -> str:
 
 
 query("o14_voxelise", voxels, voxel_sql("SELECT * FROM vox"))
-query("u2_voxel_union", lambda f: voxels(f).unionByName(f.blobs).distinct(), voxel_sql("SELECT * FROM vox UNION SELECT * FROM blobs", "blobs"))
+_PARTS = {f"{n}{i}": re.sub(r"\b(prism|col|inside)\b(?= WHERE|\)| h)", rf"\g<1>{i}", _VOXELS[n]).replace("FROM faced WHERE face_id", f"FROM faced WHERE k % 2 = {i} AND face_id") for i in (0, 1) for n in ("prism", "col", "inside", "vox")}
+query("u2_voxel_union", lambda f: voxels(f, "k % 2 = 0").unionByName(voxels(f, "k % 2 = 1")).distinct(), voxel_sql("SELECT * FROM vox0 UNION SELECT * FROM vox1", more=_PARTS))
+query("p21_voxel_centres", lambda f: voxel_points(f).select("ix", "iy", "iz", *(r6(d).alias(d) for d in "xyz")), voxel_sql("SELECT ix, iy, iz, " + ", ".join(f"{sql6(f'o{d} + {VOX}e0 * (i{d} + 0.5e0)')} AS {d}" for d in "xyz") + " FROM vox, meta"))
 
 
 def _box_meta(f: Fixtures):
@@ -100,36 +118,55 @@ _DB = {
 }
 
 
+_POINTS = f"(SELECT (ix::BIGINT * 100000 + iy) * 100000 + iz AS id, ix, iy, iz, ox + {VOX}e0 * (ix + 0.5e0) AS x, oy + {VOX}e0 * (iy + 0.5e0) AS y, oz + {VOX}e0 * (iz + 0.5e0) AS z FROM vox, meta)"
+_STEPS = ", ".join(f"({a}, {b}, {c})" for a in (-1, 0, 1) for b in (-1, 0, 1) for c in (-1, 0, 1) if 0 < a * a + b * b + c * c <= 2)
+#: The same on voxels: neighbours by index, and labels by updates in place, as there are many voxels.
+_VDB = {
+    "blob_points": _POINTS,
+    **_DB,
+    "near": f"(SELECT a.id AS a, b.id AS b FROM (SELECT id, ix + dx AS ix, iy + dy AS iy, iz + dz AS iz FROM blob_points, (VALUES {_STEPS}) s(dx, dy, dz)) a JOIN blob_points b USING (ix, iy, iz))",
+    "core": f"(SELECT a AS id FROM near GROUP BY a HAVING count(*) + 1 >= {SAMPLES})",
+    "reach": "(SELECT id, id AS root FROM core UNION SELECT l.b, min(r.root) FROM reach r JOIN link l ON l.a = r.id JOIN recurring.reach o ON o.id = l.b WHERE r.root < o.root GROUP BY 1)",
+}
+
+
 def blocks_of(f: Fixtures):
-    return cl.dbscan_points(f.blob_points, EPS, SAMPLES)
+    return f.kept("blocks", lambda: cl.dbscan_points(voxel_points(f), EPS, SAMPLES))
 
 
 def _stats(f: Fixtures):
-    return nb.cluster_stats(blocks_of(f).join(f.blob_points, "id"), SIZE)
+    return nb.cluster_stats(blocks_of(f).join(voxel_points(f), "id"), _meta(f), VOX)
 
 
-_STATS = {**_DB, "stats": f"(SELECT label, count(*) AS n, count(*) * {SIZE**3!r}::DOUBLE AS volume, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM labelled JOIN blob_points USING (id) GROUP BY 1)"}
+_CENTRES = ", ".join(f"o{d} + {VOX}e0 * (sum(i{d})::DOUBLE / count(*) + 0.5e0) AS c{d}" for d in "xyz")
+_STATS = {**_VDB, "stats": f"(SELECT label, count(*) AS n, count(*) * {VOX**3!r}::DOUBLE AS volume, {_CENTRES} FROM labelled JOIN blob_points USING (id), meta GROUP BY label, ox, oy, oz)"}
 
 
 def db(body: str, more: dict | None = None) -> str:
-    return with_ctes("blob_points", body, {**_STATS, **(more or {})}, recursive=True)
+    return voxel_sql(body, more={"all_points": _POINTS, **_STATS, **(more or {})}).replace(" reach AS (", " reach(id, root) USING KEY (id) AS (")
+
+
+def sql_exact6(c: str) -> str:
+    return f"floor({c} * 1e6 + 0.5e0) / 1e6"
 
 
 query("o11_dbscan_points", blocks_of, db("SELECT id, label FROM labelled"))
-query("o12_dbscan_from_pairs", lambda f: nb.dbscan_from_pairs(f.blob_points.select("id"), nb.pairs_within(f.blob_points, EPS), SAMPLES), db("SELECT id, label FROM labelled"))
-query("a16_cluster_stats", lambda f: _stats(f).select("label", "n", *(r6(c).alias(c) for c in ("volume", "cx", "cy", "cz"))), db(f"SELECT label, n, {', '.join(f'{sql6(c)} AS {c}' for c in ('volume', 'cx', 'cy', 'cz'))} FROM stats"))
+query("o12_dbscan_from_pairs", lambda f: nb.dbscan_from_pairs(voxel_points(f).select("id"), nb.pairs_within(voxel_points(f), EPS), SAMPLES), db("SELECT id, label FROM labelled"))
+query("a16_cluster_stats", lambda f: _stats(f).select("label", "n", *(exact6(c).alias(c) for c in ("volume", "cx", "cy", "cz"))), db(f"SELECT label, n, {', '.join(f'{sql_exact6(c)} AS {c}' for c in ('volume', 'cx', 'cy', 'cz'))} FROM stats"))
 _REPORT = ("total_volume", "valid_volume", "noise_volume", "range_volume", "noise_percent", "range_percent")
-query("a17_volume_report", lambda f: nb.volume_report(_stats(f), 0.02, 0.04).select("n_clusters", "n_in_range", *(r6(c).alias(c) for c in _REPORT)), db(f"SELECT n_clusters, n_in_range, {', '.join(f'{sql6(c)} AS {c}' for c in _REPORT)} FROM (SELECT *, CASE WHEN total_volume > 0 THEN 100 * noise_volume / total_volume ELSE 0 END AS noise_percent, CASE WHEN valid_volume > 0 THEN 100 * range_volume / valid_volume ELSE 0 END AS range_percent FROM (SELECT sum(volume) AS total_volume, coalesce(sum(volume) FILTER (label >= 0), 0) AS valid_volume, coalesce(sum(volume) FILTER (label < 0), 0) AS noise_volume, count(*) FILTER (label >= 0) AS n_clusters, count(*) FILTER (label >= 0 AND volume BETWEEN 0.02 AND 0.04) AS n_in_range, coalesce(sum(volume) FILTER (label >= 0 AND volume BETWEEN 0.02 AND 0.04), 0) AS range_volume FROM stats))"))
+query("a17_volume_report", lambda f: nb.volume_report(_stats(f), 0.4, 4.0).select("n_clusters", "n_in_range", *(r6(c).alias(c) for c in _REPORT)), db(f"SELECT n_clusters, n_in_range, {', '.join(f'{sql6(c)} AS {c}' for c in _REPORT)} FROM (SELECT *, CASE WHEN total_volume > 0 THEN 100 * noise_volume / total_volume ELSE 0 END AS noise_percent, CASE WHEN valid_volume > 0 THEN 100 * range_volume / valid_volume ELSE 0 END AS range_percent FROM (SELECT sum(volume) AS total_volume, coalesce(sum(volume) FILTER (label >= 0), 0) AS valid_volume, coalesce(sum(volume) FILTER (label < 0), 0) AS noise_volume, count(*) FILTER (label >= 0) AS n_clusters, count(*) FILTER (label >= 0 AND volume BETWEEN 0.4 AND 4) AS n_in_range, coalesce(sum(volume) FILTER (label >= 0 AND volume BETWEEN 0.4 AND 4), 0) AS range_volume FROM stats))"))
 query("t1_top_blocks", lambda f: nb.top_blocks(_stats(f), 10).select("label", "n", r6("volume").alias("volume")), db(f"SELECT label, n, {sql6('volume')} AS volume FROM stats WHERE label >= 0 ORDER BY stats.n DESC, label LIMIT 10"))
 query("t2_block", lambda f: nb.block(blocks_of(f), _stats(f), 2).select("id"), db("SELECT id FROM labelled WHERE label = (SELECT label FROM stats WHERE label >= 0 ORDER BY n DESC, label LIMIT 1 OFFSET 1)"))
 _SAMPLE = "pmod(id * 7919 + 13, 1000003) % 10 < 8"
 
 
 def _sampled(f: Fixtures):
-    return cl.cluster_sampled(f.blob_points, f.blob_points.where(_SAMPLE), EPS, SAMPLES)
+    return cl.cluster_sampled(voxel_points(f), voxel_points(f).where(_SAMPLE), EPS, SAMPLES)
 
 
-query("o13_cluster_sampled", _sampled, with_ctes("blob_points", "SELECT p.id, (SELECT arg_min(l.label, struct_pack(a := (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z), b := q.id)) FROM sampled q JOIN labelled l ON l.id = q.id) AS label FROM blob_points p", {"sampled": "(SELECT * FROM blob_points WHERE (id * 7919 + 13) % 1000003 % 10 < 8)", **{k: v.replace("blob_points", "sampled") for k, v in _DB.items()}}, recursive=True))
+#: Each voxel's nearest sampled one, the voxel itself where it is sampled; of 80 of 100 one is within four steps.
+_NEAREST = "(SELECT id, label FROM labelled UNION ALL SELECT id, arg_min(label, struct_pack(a := d, b := b)) FROM (SELECT p.id, q.id AS b, l.label, (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z) AS d FROM (SELECT *, ix + dx AS jx, iy + dy AS jy, iz + dz AS jz FROM all_points ANTI JOIN blob_points USING (id), (SELECT a.i, b.i, c.i FROM range(-4, 5) a(i), range(-4, 5) b(i), range(-4, 5) c(i)) s(dx, dy, dz)) p JOIN blob_points q ON q.ix = jx AND q.iy = jy AND q.iz = jz JOIN labelled l ON l.id = q.id) GROUP BY 1)"
+query("o13_cluster_sampled", _sampled, db("SELECT id, label FROM nearest", {"blob_points": "(SELECT * FROM all_points WHERE (id * 7919 + 13) % 1000003 % 10 < 8)", "nearest": _NEAREST}))
 
 
 _TENTH = "pmod(id * 7919 + 13, 1000003) % 10 = 0"
@@ -137,41 +174,44 @@ _TENTH = "pmod(id * 7919 + 13, 1000003) % 10 = 0"
 
 def hazard_blocks(f: Fixtures, k: int = 10):
     """From recognised overhangs to blocks: all planes, groups, face heights, voxels, clusters of a tenth of the voxels, and the k largest blocks."""
-    meta = meshes.grid_meta(f.tri(gaps=True), VOX)
-    v = meshes.voxel_centres(voxels(f), meta, VOX)
-    p = nb.checkpointed(v.select(((F.col("ix").cast("long") * 100_000 + F.col("iy")) * 100_000 + F.col("iz")).alias("id"), "x", "y", "z"))
-    return cl.hazard_blocks(p, p.where(_TENTH), WIDE, DENSE, VOX, k).select("label", "n", *(r6(c).alias(c) for c in ("volume", "cx", "cy", "cz")))
+    p = voxel_points(f)
+    return cl.hazard_blocks(p, p.where(_TENTH), _meta(f), WIDE, DENSE, VOX, k).select("label", "n", *(exact6(c).alias(c) for c in ("volume", "cx", "cy", "cz")))
 
 
 _WIDE = {n: q.replace("blob_points", "sampled").replace(f"{EPS}", f"{WIDE}").replace(f">= {SAMPLES})", f">= {DENSE})") for n, q in _DB.items()}
 _BLOCKS = {
-    "blob_points": f"(SELECT (ix::BIGINT * 100000 + iy) * 100000 + iz AS id, ox + {VOX}e0 * (ix + 0.5e0) AS x, oy + {VOX}e0 * (iy + 0.5e0) AS y, oz + {VOX}e0 * (iz + 0.5e0) AS z FROM vox, meta)",
+    "blob_points": _POINTS,
     "sampled": "(SELECT * FROM blob_points WHERE (id * 7919 + 13) % 1000003 % 10 = 0)",
     **_WIDE,
-    "spread": "(SELECT p.id, p.x, p.y, p.z, (SELECT arg_min(l.label, struct_pack(a := (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z), b := q.id)) FROM sampled q JOIN labelled l ON l.id = q.id) AS label FROM blob_points p)",
-    "stats": f"(SELECT label, count(*) AS n, count(*) * {VOX**3!r}::DOUBLE AS volume, avg(x) AS cx, avg(y) AS cy, avg(z) AS cz FROM spread GROUP BY 1)",
+    "spread": "(SELECT p.id, p.ix, p.iy, p.iz, (SELECT arg_min(l.label, struct_pack(a := (p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y) + (p.z - q.z) * (p.z - q.z), b := q.id)) FROM sampled q JOIN labelled l ON l.id = q.id) AS label FROM blob_points p)",
+    "stats": f"(SELECT label, count(*) AS n, count(*) * {VOX**3!r}::DOUBLE AS volume, {_CENTRES} FROM spread, meta GROUP BY label, ox, oy, oz)",
 }
-query("o22_hazard_blocks", hazard_blocks, voxel_sql(f"SELECT label, n, {', '.join(f'{sql6(c)} AS {c}' for c in ('volume', 'cx', 'cy', 'cz'))} FROM stats WHERE label >= 0 ORDER BY stats.n DESC, label LIMIT 10", more=_BLOCKS))
+query("o22_hazard_blocks", hazard_blocks, voxel_sql(f"SELECT label, n, {', '.join(f'{sql_exact6(c)} AS {c}' for c in ('volume', 'cx', 'cy', 'cz'))} FROM stats WHERE label >= 0 ORDER BY stats.n DESC, label LIMIT 10", more=_BLOCKS))
 
-_TARGETS = "face_id % 9 = 0"
+#: Hops between recognised faces, over the whole mesh, and neighbours that make a core.
+HOPS, CORE = 4, 8
 
 
 def _targets(f: Fixtures):
-    return f.faces().where(_TARGETS).select("face_id")
+    return f.kept("recognised", lambda: heights(f).where("face_id is not null").select("face_id").distinct())
 
 
-def _hops(f: Fixtures, most: int):
-    return nb.hops(meshes.face_edges(f.faces()), _targets(f), most)
+def _hops(f: Fixtures):
+    return nb.hops(meshes.face_edges(f.faces(gaps=True)), _targets(f), HOPS)
 
 
 _HOPS = {
-    "e": "(SELECT least(a, b) AS lo, greatest(a, b) AS hi, face_id FROM (SELECT face_id, v0 AS a, v1 AS b FROM faces UNION ALL SELECT face_id, v1, v2 FROM faces UNION ALL SELECT face_id, v2, v0 FROM faces))",
+    **GROW,
+    **FACED,
+    "target": "(SELECT DISTINCT face_id FROM faced WHERE face_id IS NOT NULL)",
+    "e": "(SELECT least(a, b) AS lo, greatest(a, b) AS hi, face_id FROM (SELECT face_id, v0 AS a, v1 AS b FROM faces_g UNION ALL SELECT face_id, v1, v2 FROM faces_g UNION ALL SELECT face_id, v2, v0 FROM faces_g))",
     "step": "(SELECT DISTINCT p.face_id AS a, q.face_id AS b FROM e p JOIN e q ON p.lo = q.lo AND p.hi = q.hi AND p.face_id <> q.face_id)",
-    "way": "(SELECT face_id AS a, face_id AS b, 0 AS d FROM faces WHERE face_id % 9 = 0 UNION SELECT w.a, s.b, w.d + 1 FROM way w JOIN step s ON s.a = w.b WHERE w.d < 4)",
-    "hop": "(SELECT a, b, min(d)::INT AS d FROM way WHERE b % 9 = 0 GROUP BY 1, 2 HAVING min(d) > 0)",
+    "way": f"(SELECT face_id AS a, face_id AS b, 0 AS d FROM target UNION SELECT w.a, s.b, w.d + 1 FROM way w JOIN step s ON s.a = w.b WHERE w.d < {HOPS})",
+    "hop": "(SELECT a, b, min(d)::INT AS d FROM way WHERE b IN (SELECT face_id FROM target) GROUP BY 1, 2 HAVING min(d) > 0)",
 }
-query("o9_hops", lambda f: _hops(f, 4), with_ctes("faces", "SELECT a, b, d FROM hop", _HOPS, recursive=True))
-query("o10_dbscan_hops", lambda f: nb.dbscan_from_pairs(_targets(f).select(F.col("face_id").alias("id")), _hops(f, 4).select("a", "b"), 4), with_ctes("faces", "SELECT id, label FROM labelled", {**_HOPS, "blob_points": "(SELECT face_id AS id FROM faces WHERE face_id % 9 = 0)", "near": "(SELECT a, b FROM hop)", **{k: v for k, v in _DB.items() if k != "near"}}, recursive=True))
+_HDB = {**_HOPS, "blob_points": "(SELECT face_id AS id FROM target)", **_DB, "near": "(SELECT a, b FROM hop)", "core": f"(SELECT a AS id FROM near GROUP BY a HAVING count(*) + 1 >= {CORE})", "reach": _VDB["reach"]}
+query("o9_hops", _hops, with_ctes("keyed_g faces_g", "SELECT a, b, d FROM hop", _HOPS, recursive=True))
+query("o10_dbscan_hops", lambda f: nb.dbscan_from_pairs(_targets(f).select(F.col("face_id").alias("id")), _hops(f).select("a", "b"), CORE), with_ctes("keyed_g faces_g", "SELECT id, label FROM labelled", _HDB, recursive=True).replace(" reach AS (", " reach(id, root) USING KEY (id) AS ("))
 
 _KDE = "(SELECT t.id, sum(exp(-((t.x - s.x) * (t.x - s.x) + (t.y - s.y) * (t.y - s.y) + (t.z - s.z) * (t.z - s.z)) / (2 * {h}e0 * {h}e0))) / (count(*) * pow(2 * pi(), 1.5) * pow({h}e0, 3)) AS density FROM {t} t, {s} s GROUP BY 1)"
 _KEY, _DRAWN = "pmod(k * 7919 + face_id * 31, 1000003)", 20_000
@@ -184,7 +224,8 @@ def _kde(f: Fixtures):
 
 
 query("a24_kde", _kde, with_ctes("segments vertices", "SELECT id, round(density * 1e6, 4) AS density FROM kd", {"s": f"(SELECT x1 AS x, y1 AS y, z1 AS z FROM segments ORDER BY (k * 7919 + face_id * 31) % 1000003, k * 10000000 + face_id LIMIT {_DRAWN})", "t": "(SELECT vertex_id AS id, x, y, z FROM vertices)", "kd": _KDE.format(h=5.0, t="t", s="s")}))
-query("o23_density_by_size", lambda f: nb.density_by_size(_stats(f), f.blob_points, 0.01, 0.04, 0.5).select("id", F.round("density", 3).alias("density")), db("SELECT id, round(coalesce(density, 0), 3) AS density FROM blob_points LEFT JOIN k USING (id)", {"c": "(SELECT * FROM stats WHERE label >= 0 AND volume BETWEEN 0.01 AND 0.04)", "s": "(SELECT " + ", ".join(f"round_even((c{d} - m{d}) / 0.001e0, 0) * 0.001e0 + m{d} AS {d}" for d in "xyz") + " FROM c, (SELECT min(cx) AS mx, min(cy) AS my, min(cz) AS mz FROM c))", "k": _KDE.format(h=0.5, t="blob_points", s="s")}))
+_BANDWIDTH = 2.0
+query("o23_density_by_size", lambda f: nb.density_by_size(_stats(f), voxel_points(f).select("id", "x", "y", "z"), 0.4, 4.0, _BANDWIDTH).select("id", F.round(F.col("density") * 1e6, 2).alias("density")), db("SELECT id, round(coalesce(density, 0) * 1e6, 2) AS density FROM blob_points LEFT JOIN kd USING (id)", {"c": "(SELECT * FROM stats WHERE label >= 0 AND volume BETWEEN 0.4 AND 4)", "s": "(SELECT " + ", ".join(f"round_even((c{d} - m{d}) / 0.001e0, 0) * 0.001e0 + m{d} AS {d}" for d in "xyz") + " FROM c, (SELECT min(cx) AS mx, min(cy) AS my, min(cz) AS mz FROM c))", "kd": _KDE.format(h=_BANDWIDTH, t="blob_points", s="s")}))
 query("o19_sample_segments", lambda f: meshes.sample_segments(f.segments(), 0.05).groupBy("k", "face_id").agg(F.count("*").alias("n"), r6(F.sum("x")).alias("x"), r6(F.sum("z")).alias("z")), with_ctes("segments", f"SELECT k, face_id, n, {sql6('n * (x1 + x2) / 2')} AS x, {sql6('n * (z1 + z2) / 2')} AS z FROM (SELECT *, greatest(2, floor(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) + (z2 - z1) * (z2 - z1)) / 0.05e0 + 1e-9))::BIGINT AS n FROM segments)"))
 
 

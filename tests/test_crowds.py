@@ -8,7 +8,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from wallscan.operators import clusters, neighbours
+from wallscan.operators import clouds, clusters, meshes, neighbours
 
 
 def cloud(spark, rows, dims="xyz"):
@@ -145,3 +145,59 @@ def test_labels_that_do_not_settle_raise(spark):
     with pytest.raises(RuntimeError):
         neighbours.least_labels(chain, rounds=1)
     assert {r.label for r in neighbours.least_labels(chain).collect()} == {0}
+
+
+def brute_density(samples, targets, h):
+    out = []
+    for t in targets:
+        out.append(sum(math.exp(-apart(t, s) / (2 * h * h)) for s in samples) / (len(samples) * (2 * math.pi) ** 1.5 * h**3))
+    return out
+
+
+@pytest.mark.parametrize(("h", "tolerance"), [(0.05, 1e-3), (0.4, 1e-4), (3.0, 1e-3), (0.2, 0.0)])
+def test_certified_density(spark, h, tolerance):
+    rng = random.Random(11)
+    samples, asked = uneven(rng, 1500, 3), uneven(rng, 60, 3) + [[50.0, 0.0, 0.0]]
+    rows = neighbours.certified_kde(cloud(spark, samples), cloud(spark, asked), h, tolerance, most=8).orderBy("id").collect()
+    want = brute_density(samples, asked, h)
+    most = tolerance / ((2 * math.pi) ** 1.5 * h**3)
+    assert len(rows) == len(asked)
+    for r, true in zip(rows, want, strict=True):
+        assert abs(r.density - true) <= r.error + 1e-9 * max(true, 1e-12) and r.error <= most * (1 + 1e-9) + 1e-15
+
+
+def test_certified_density_of_many(spark):
+    """Two million samples, compared with a sum over all of them at some targets."""
+    samples = neighbours.checkpointed(spark.range(2_000_000).select((F.rand(1) * 40).alias("x"), (F.rand(2) * 10).alias("y"), F.rand(3).alias("z")))
+    asked = cloud(spark, [[20.0, 5.0, 0.5], [0.0, 0.0, 0.0], [45.0, 5.0, 0.5]])
+    got = {r.id: r for r in neighbours.certified_kde(samples, asked, 2.0, 1e-3).collect()}
+    norm = (2 * math.pi) ** 1.5 * 8 * 2_000_000
+    for t in asked.collect():
+        d2 = (F.col("x") - t.x) ** 2 + (F.col("y") - t.y) ** 2 + (F.col("z") - t.z) ** 2
+        true = samples.agg(F.sum(F.exp(-d2 / 8))).first()[0] / norm
+        assert abs(got[t.id].density - true) <= got[t.id].error + 1e-12 and got[t.id].error <= 1e-3 / ((2 * math.pi) ** 1.5 * 8)
+
+
+def test_certified_density_on_edge_cases(spark):
+    one = cloud(spark, [[0, 0, 0]])
+    assert [(r.density, r.error) for r in neighbours.certified_kde(one.limit(0), one, 1.0).collect()] == [(0.0, 0.0)]
+    assert neighbours.certified_kde(one, one.limit(0), 1.0).count() == 0
+
+
+@pytest.mark.parametrize("q", [0.0, 0.1, 0.5, 0.77, 1.0])
+def test_quantile_is_exact(spark, q):
+    rng = random.Random(12)
+    values = [rng.choice([rng.gauss(0, 1), rng.gauss(0, 1e-9), 5.0, 1e12 * rng.random()]) for _ in range(9000)]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,), (float("nan"),)], "z double")
+    rank, held = q * (len(values) - 1), sorted(values)
+    low = held[int(rank)]
+    high = held[min(int(rank) + 1, len(held) - 1)]
+    assert clouds.exact_quantile(df, "z", q) == low + (high - low) * (rank - int(rank))
+    assert clouds.exact_quantile(df.limit(0), "z", q) is None
+
+
+def test_layers_are_listed_once(spark):
+    rng = random.Random(13)
+    runs = [(rng.randrange(3), rng.randrange(3), a, a + rng.randrange(-1, 5)) for a in (rng.randrange(40) for _ in range(200))]
+    got = [tuple(r) for r in meshes.layers(spark.createDataFrame(runs, "ix int, iy int, first int, last int")).collect()]
+    assert len(got) == len(set(got)) and set(got) == {(x, y, z) for x, y, a, b in runs for z in range(a, b + 1)}

@@ -34,10 +34,43 @@ def occupied_voxels(points: DataFrame, size: float) -> DataFrame:
     return points.select(*(F.floor(F.col(d) / size).alias(f"i{d}") for d in "xyz")).distinct()
 
 
+#: Buckets of a round of exact_quantile; no more values come to the driver.
+BUCKETS = 4096
+
+
+def exact_quantile(df: DataFrame, value: str, q: float) -> float | None:
+    """The interpolated quantile of a column, exact: lower + (upper - lower) * fraction of the two values beside rank q * (n - 1).
+
+    Values are counted in BUCKETS of equal width, and the bucket that holds the wanted rank is counted
+    again between its own least and greatest value, until it is one value or has few, so each round is one
+    partial aggregate of at most BUCKETS rows, however many distinct values there are. Nulls and NaN don't
+    count; without values the quantile is None."""
+    held = df.select(F.col(value).cast("double").alias("v")).where("v is not null and not isnan(v)")
+    n, lo, hi = held.agg(F.count("*"), F.min("v"), F.max("v")).first()
+    if not n:
+        return None
+    rank = q * (n - 1)
+    left = int(rank)  # the rank within the bucket
+    while lo < hi:
+        inside = held.where(F.col("v").between(lo, hi))
+        place = F.least(F.lit(BUCKETS - 1), F.floor((F.col("v") - lo) / (hi - lo) * BUCKETS))
+        known = inside.agg(F.count("*")).first()[0] <= BUCKETS
+        key = F.col("v") if known else place
+        rows = inside.groupBy(key.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("b").collect()  # at most BUCKETS rows
+        for row in rows:
+            if left < row.n:
+                lo, hi = row.lo, row.hi
+                break
+            left -= row.n
+    upto, after = held.agg(F.count(F.when(F.col("v") <= lo, 1)), F.min(F.when(F.col("v") > lo, F.col("v")))).first()
+    upper = lo if upto > int(rank) + 1 or after is None else after
+    return lo + (upper - lo) * (rank - int(rank))
+
+
 def quantile_centre(points: DataFrame, q: float) -> DataFrame:
-    """Mean of the points at or above the interpolated z quantile (exact: percentile counts values, it does not gather rows)."""
-    cut = points.agg(F.percentile("z", F.lit(q)).alias("z_cut"))
-    return one_row(points, cut).where("z >= z_cut").agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("z").alias("z"), F.count("*").alias("n"))
+    """Mean of the points at or above the interpolated z quantile, and their number; nulls and 0 without points."""
+    cut = exact_quantile(points, "z", q)
+    return points.where(F.col("z") >= F.lit(cut)).agg(F.avg("x").alias("x"), F.avg("y").alias("y"), F.avg("z").alias("z"), F.count("*").alias("n"))
 
 
 def sample_points(points: DataFrame, n: int | None = None, fraction: float | None = None, key: Column | None = None, id_col: str = "point_id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wallscan.operators.neighbours import numbered
@@ -68,11 +68,21 @@ def prisms(tri: DataFrame, heights: DataFrame) -> DataFrame:
     return t.select("face_id", F.inline(F.array(*rows)))
 
 
+def layers(runs: DataFrame) -> DataFrame:
+    """The distinct voxels of runs(ix, iy, first, last) of layers. Runs of a column that overlap or touch are united first, so each voxel is listed once."""
+    column = Window.partitionBy("ix", "iy").orderBy("first", "last")
+    before = F.max("last").over(column.rowsBetween(Window.unboundedPreceding, -1))
+    apart = F.coalesce(F.col("first") > before + 1, F.lit(True)).cast("int")
+    joined = runs.where("first <= last").withColumn("_new", apart).withColumn("_run", F.sum("_new").over(column.rowsBetween(Window.unboundedPreceding, 0)))
+    joined = joined.groupBy("ix", "iy", "_run").agg(F.min("first").alias("first"), F.max("last").alias("last"))
+    return joined.select("ix", "iy", F.explode(F.sequence("first", "last")).alias("iz"))
+
+
 def voxelise(tri: DataFrame, heights: DataFrame, meta: DataFrame, size: float) -> DataFrame:
     """Distinct voxels whose centre lies in a face's vertical prism, from its least z to its mean z + height.
 
     Faces of almost no height or area are skipped; cells outside the grid are cut off. Columns of cells are
-    made first and tested, and only then the layers of each are listed."""
+    made first and tested; the runs of layers of a column are united before they are listed."""
     t = tri.join(heights.where("height > 1e-8"), "face_id").crossJoin(F.broadcast(meta))
     cross = lambda a, b, px, py: (F.col(f"x{b}") - F.col(f"x{a}")) * (py - F.col(f"y{a}")) - (F.col(f"y{b}") - F.col(f"y{a}")) * (px - F.col(f"x{a}"))
     t = t.where(F.abs(cross(0, 1, F.col("x2"), F.col("y2"))) / 2 >= 1e-10)
@@ -85,15 +95,19 @@ def voxelise(tri: DataFrame, heights: DataFrame, meta: DataFrame, size: float) -
     inside = (F.least(*sides) > 0) | (F.greatest(*sides) < 0)
     low, high = F.least("z0", "z1", "z2"), (F.col("z0") + F.col("z1") + F.col("z2")) / 3 + F.col("height")
     t = t.where(inside).withColumn("_lo", low).withColumn("_hi", high)
+    centre = lambda n: F.col("oz") + size * (n + 0.5)
     a, b = F.greatest(F.lit(0), F.floor((F.col("_lo") - F.col("oz")) / size)), F.least(F.col("nz") - 1, F.ceil((F.col("_hi") - F.col("oz")) / size))
-    t = t.withColumn("_az", a.cast("int")).withColumn("_bz", b.cast("int")).where("_az <= _bz").withColumn("iz", F.explode(F.sequence("_az", "_bz")))
-    z = F.col("oz") + size * (F.col("iz") + 0.5)
-    return t.where((z >= F.col("_lo")) & (z <= F.col("_hi"))).select("ix", "iy", "iz").distinct()
+    first = F.when(centre(a) >= F.col("_lo"), a).otherwise(a + 1)
+    last = F.when(centre(b) <= F.col("_hi"), b).when(centre(b - 1) <= F.col("_hi"), b - 1).otherwise(b - 2)
+    return layers(t.select("ix", "iy", first.cast("int").alias("first"), last.cast("int").alias("last")))
 
 
 def points_in_mesh(tri: DataFrame, meta: DataFrame, size: float) -> DataFrame:
     """Cells whose centre lies inside at least one of several closed meshes (mesh_id): an odd number of its faces above it.
 
+    The crossings of a column with a mesh, from the top, bound runs of layers that are inside; the runs of
+    all meshes are united before they are listed.
+
     The ray is moved off the centre by a ten-millionth of a cell, so that it meets no shared edge twice."""
     t = tri.crossJoin(F.broadcast(meta))
     cross = lambda a, b, px, py: (F.col(f"x{b}") - F.col(f"x{a}")) * (py - F.col(f"y{a}")) - (F.col(f"y{b}") - F.col(f"y{a}")) * (px - F.col(f"x{a}"))
@@ -106,8 +120,9 @@ def points_in_mesh(tri: DataFrame, meta: DataFrame, size: float) -> DataFrame:
     inside = (total != 0) & (w0 * total > 0) & (w1 * total > 0) & (w2 * total > 0)
     hit = t.where(inside).withColumn("_z", (w0 * F.col("z0") + w1 * F.col("z1") + w2 * F.col("z2")) / total)
     top = F.floor((F.col("_z") - F.col("oz")) / size - 0.5).cast("int")
-    below = hit.withColumn("_top", F.least(F.col("nz") - 1, top)).where("_top >= 0").withColumn("iz", F.explode(F.sequence(F.lit(0), F.col("_top"))))
-    return below.groupBy("mesh_id", "ix", "iy", "iz").agg(F.count("*").alias("n")).where("n % 2 = 1").select("ix", "iy", "iz").distinct()
+    column = Window.partitionBy("mesh_id", "ix", "iy").orderBy(F.col("_top").desc())
+    crossed = hit.withColumn("_top", top).withColumn("_n", F.row_number().over(column)).withColumn("_next", F.lead("_top").over(column)).where("_n % 2 = 1")
+    return layers(crossed.select("ix", "iy", F.greatest(F.lit(0), F.coalesce(F.col("_next") + 1, F.lit(0))).alias("first"), F.least(F.col("nz") - 1, F.col("_top")).alias("last")))
 
 
 def voxel_centres(voxels: DataFrame, meta: DataFrame, size: float) -> DataFrame:

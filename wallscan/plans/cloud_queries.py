@@ -59,6 +59,7 @@ query("a1_dsm_running", lambda f: rounded(rasters.dsm(f.points, 0.5, "running",
 query("a2_voxel_downsample", lambda f: rounded(clouds.voxel_downsample(f.points, 1.0), "x", "y", "z"), with_ctes("points", f"SELECT floor(x / 1e0)::BIGINT AS ix, floor(y / 1e0)::BIGINT AS iy, floor(z / 1e0)::BIGINT AS iz, count(*) AS n, {sql6('avg(x)')} AS x, {sql6('avg(y)')} AS y, {sql6('avg(z)')} AS z FROM points GROUP BY 1, 2, 3"))
 query("a3_occupied_voxels", lambda f: clouds.occupied_voxels(f.points, 0.7), with_ctes("points", "SELECT DISTINCT floor(x / 0.7e0)::BIGINT AS ix, floor(y / 0.7e0)::BIGINT AS iy, floor(z / 0.7e0)::BIGINT AS iz FROM points"))
 query("a4_quantile_centre", lambda f: rounded(clouds.quantile_centre(f.points, 0.15), "x", "y", "z"), with_ctes("points", f"SELECT {sql6('avg(x)')} AS x, {sql6('avg(y)')} AS y, {sql6('avg(z)')} AS z, count(*) AS n FROM points WHERE z >= (SELECT quantile_cont(z, 0.15) FROM points)"))
+query("a4_quantile_vertices", lambda f: rounded(clouds.quantile_centre(f.vertices.select("y", F.col("x").alias("z"), F.col("z").alias("x")), 0.37), "x", "y", "z"), with_ctes("vertices", f"SELECT {sql6('avg(z)')} AS x, {sql6('avg(y)')} AS y, {sql6('avg(x)')} AS z, count(*) AS n FROM vertices WHERE x >= (SELECT quantile_cont(x, 0.37) FROM vertices)"))
 query("a18_fit_line", lambda f: clouds.fit_line(f.points).select(F.round("a", 5).alias("a"), F.round("b", 5).alias("b")), with_ctes("points", "SELECT round(regr_slope(y, x), 5) AS a, round(regr_intercept(y, x), 5) AS b FROM points"))
 # Gauss-Newton steps from the wall's axis, one table expression each: the normal equations of the distances to a circle, solved by Cramer's rule.
 _STEP = "(SELECT g.cx + (rx * (m22 * m33 - m23 * m23) - m12 * (ry * m33 - m23 * rr) + m13 * (ry * m23 - m22 * rr)) / det AS cx, g.cy + (m11 * (ry * m33 - m23 * rr) - rx * (m12 * m33 - m23 * m13) + m13 * (m12 * rr - ry * m13)) / det AS cy, g.r + (m11 * (m22 * rr - ry * m23) - m12 * (m12 * rr - ry * m13) + rx * (m12 * m23 - m22 * m13)) / det AS r FROM (SELECT *, m11 * (m22 * m33 - m23 * m23) - m12 * (m12 * m33 - m23 * m13) + m13 * (m12 * m23 - m22 * m13) AS det FROM (SELECT any_value(cx) AS cx, any_value(cy) AS cy, any_value(r) AS r, sum(a * a) AS m11, sum(a * b) AS m12, -sum(a) AS m13, sum(b * b) AS m22, -sum(b) AS m23, count(*)::DOUBLE AS m33, -sum(a * e) AS rx, -sum(b * e) AS ry, sum(e) AS rr FROM (SELECT cx, cy, r, (cx - x) / d AS a, (cy - y) / d AS b, d - r AS e FROM (SELECT g.*, x, y, sqrt((x - g.cx) * (x - g.cx) + (y - g.cy) * (y - g.cy)) AS d FROM vertices, {0} g)))) g)"

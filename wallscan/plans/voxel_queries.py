@@ -224,6 +224,12 @@ def _kde(f: Fixtures):
 
 
 query("a24_kde", _kde, with_ctes("segments vertices", "SELECT id, round(density * 1e6, 4) AS density FROM kd", {"s": f"(SELECT x1 AS x, y1 AS y, z1 AS z FROM segments ORDER BY (k * 7919 + face_id * 31) % 1000003, k * 10000000 + face_id LIMIT {_DRAWN})", "t": "(SELECT vertex_id AS id, x, y, z FROM vertices)", "kd": _KDE.format(h=5.0, t="t", s="s")}))
+def _kde_of_all(f: Fixtures):
+    """Density of all segments of all planes, none drawn, at all vertices."""
+    return nb.certified_kde(f.segments().select("x1", "y1", "z1").toDF("x", "y", "z"), f.vertices.withColumnRenamed("vertex_id", "id"), 5.0).select("id", F.round(F.col("density") * 1e6, 4).alias("density"), F.round(F.col("error") * 1e6, 4).alias("error"))
+
+
+query("a24_kde_certified", _kde_of_all, None)
 _BANDWIDTH = 2.0
 query("o23_density_by_size", lambda f: nb.density_by_size(_stats(f), voxel_points(f).select("id", "x", "y", "z"), 0.4, 4.0, _BANDWIDTH).select("id", F.round(F.col("density") * 1e6, 2).alias("density")), db("SELECT id, round(coalesce(density, 0) * 1e6, 2) AS density FROM blob_points LEFT JOIN kd USING (id)", {"c": "(SELECT * FROM stats WHERE label >= 0 AND volume BETWEEN 0.4 AND 4)", "s": "(SELECT " + ", ".join(f"round_even((c{d} - m{d}) / 0.001e0, 0) * 0.001e0 + m{d} AS {d}" for d in "xyz") + " FROM c, (SELECT min(cx) AS mx, min(cy) AS my, min(cz) AS mz FROM c))", "kd": _KDE.format(h=_BANDWIDTH, t="blob_points", s="s")}))
 query("o19_sample_segments", lambda f: meshes.sample_segments(f.segments(), 0.05).groupBy("k", "face_id").agg(F.count("*").alias("n"), r6(F.sum("x")).alias("x"), r6(F.sum("z")).alias("z")), with_ctes("segments", f"SELECT k, face_id, n, {sql6('n * (x1 + x2) / 2')} AS x, {sql6('n * (z1 + z2) / 2')} AS z FROM (SELECT *, greatest(2, floor(sqrt((x2 - x1) * (x2 - x1) + (y2 - y1) * (y2 - y1) + (z2 - z1) * (z2 - z1)) / 0.05e0 + 1e-9))::BIGINT AS n FROM segments)"))

@@ -192,10 +192,13 @@ def remove_repeated_passages(documents: DataFrame, width: int = 50, texts: bool
     if width < 1:
         raise ValueError("width must be positive")
     every = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    docs = every.where("doc_id is not null").withColumn("text_hash", F.xxhash64("text"))
-    anchors = stored(docs.mapInArrow(_anchors(width), "doc_id long, anchor long").distinct(), "anchors")
+    docs = every.where("doc_id is not null")
+    # Texts of one id are told apart by their hash; it is 0, which costs nothing to shuffle, where an id has one row.
+    again = stored(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("again")), "repeated-ids")
+    docs = docs.join(again, "doc_id", "left").select("doc_id", "text", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("text_hash"))
+    anchors = stored(docs.mapInArrow(_anchors(width), "doc_id long, anchor long"), "anchors")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a < b").select("anchor", F.when(F.col("n") > FREQUENT, F.col("anchor")).alias("hot"))
-    wanted = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_list("anchor").alias("anchors"), F.collect_list("hot").alias("hot"))
+    wanted = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"), F.collect_set("hot").alias("hot"))
     found = docs.join(wanted, "doc_id").mapInArrow(_candidates(width), "doc_id long, text_hash long, h1 long, h2 int, start int, stop int, known boolean")
     owner = F.min("doc_id").over(Window.partitionBy("h1", "h2", "known"))
     spans = found.withColumn("owner", owner).where("known or doc_id > owner").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))

@@ -31,7 +31,7 @@ from wallscan.llm.hashing import mix, runs, sliding_min, words
 INNER = 16
 #: Of a representative in more documents, a task sends each window once.
 FREQUENT = 1_000
-_ANCHORS = pa.schema([("doc_id", pa.int64()), ("anchor", pa.int64())])
+_ANCHORS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("anchor", pa.int64())])
 _WINDOWS = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("h1", pa.int64()), ("h2", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("known", pa.bool_())])
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.int32())), ("kept_text", pa.string()), ("kept_sha256", pa.string())])
 
@@ -63,8 +63,8 @@ def _anchors(width: int):
                 order = np.lexsort((anchor, row))
                 row, anchor = row[order], anchor[order]
                 keep = _new(row, anchor)
-                ids = batch.column("doc_id").to_numpy(zero_copy_only=False)
-                yield batch_of(_ANCHORS, ids[row[keep]], anchor[keep])
+                ids, texts = (batch.column(c).to_numpy(zero_copy_only=False)[row[keep]] for c in ("doc_id", "text_hash"))
+                yield batch_of(_ANCHORS, ids, texts, anchor[keep])
 
     return run
 
@@ -194,12 +194,13 @@ def remove_repeated_passages(documents: DataFrame, width: int = 50, texts: bool
     every = documents.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     docs = every.where("doc_id is not null")
     # Texts of one id are told apart by their hash; it is 0, which costs nothing to shuffle, where an id has one row.
+    # Both joins of the texts are by id and hash, so Spark shuffles them once.
     again = stored(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select("doc_id", F.lit(True).alias("again")), "repeated-ids")
     docs = docs.join(again, "doc_id", "left").select("doc_id", "text", F.when(F.col("again"), F.xxhash64("text")).otherwise(F.lit(0).cast("long")).alias("text_hash"))
-    anchors = stored(docs.mapInArrow(_anchors(width), "doc_id long, anchor long"), "anchors")
+    anchors = stored(docs.mapInArrow(_anchors(width), "doc_id long, text_hash long, anchor long"), "anchors")
     shared = anchors.groupBy("anchor").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("b"), F.count("*").alias("n")).where("a < b").select("anchor", F.when(F.col("n") > FREQUENT, F.col("anchor")).alias("hot"))
-    wanted = anchors.join(shared, "anchor").groupBy("doc_id").agg(F.collect_set("anchor").alias("anchors"), F.collect_set("hot").alias("hot"))
-    found = docs.join(wanted, "doc_id").mapInArrow(_candidates(width), "doc_id long, text_hash long, h1 long, h2 int, start int, stop int, known boolean")
+    wanted = anchors.join(shared, "anchor").groupBy("doc_id", "text_hash").agg(F.collect_set("anchor").alias("anchors"), F.collect_set("hot").alias("hot"))
+    found = docs.join(wanted, ["doc_id", "text_hash"]).mapInArrow(_candidates(width), "doc_id long, text_hash long, h1 long, h2 int, start int, stop int, known boolean")
     owner = F.min("doc_id").over(Window.partitionBy("h1", "h2", "known"))
     spans = found.withColumn("owner", owner).where("known or doc_id > owner").groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     schema = "doc_id long, n_words long, n_removed long, removed array<int>, kept_text string, kept_sha256 string"

@@ -7,6 +7,7 @@ joins and windows.
 
 from __future__ import annotations
 
+import math
 from collections import defaultdict, deque
 from collections.abc import Callable, Iterator
 
@@ -361,6 +362,16 @@ def contained_paths(open_paths: DataFrame, merged: DataFrame) -> DataFrame:
     return open_paths.join(merged, (open_paths.k == merged.k) & (open_paths.lo >= merged.m_lo) & (open_paths.hi <= merged.m_hi), "left_anti")
 
 
+def _foot_where_crossed(way: list[tuple], point: tuple[float, float], axis: int) -> Iterator[tuple[int, tuple[float, float]]]:
+    """The first edge of a way whose ends lie on either side of a point by one coordinate, and the point's foot on the edge's line; nothing where no edge does."""
+    for i, (a, b) in enumerate(zip(way, way[1:])):
+        if (a[axis] - point[axis]) * (b[axis] - point[axis]) < 0:
+            along = (b[0] - a[0], b[1] - a[1])
+            share = ((point[0] - a[0]) * along[0] + (point[1] - a[1]) * along[1]) / (along[0] ** 2 + along[1] ** 2 + 1e-8)
+            yield i, (a[0] + share * along[0], a[1] + share * along[1])
+            return
+
+
 def merge_nodes(paths: list[list[tuple]], replace: bool = False) -> list[list[tuple]]:
     """Joins ordered open paths of one slice; a node is (u, v, number or -1), and a bridge node has number -1.
 
@@ -378,15 +389,7 @@ def merge_nodes(paths: list[list[tuple]], replace: bool = False) -> list[list[tu
             if not fits:
                 break
             other = min(fits, key=lambda p: p[-1][1])
-            feet = []
-            for axis in (1, 0):
-                rel = [(n[0] - tu, n[1] - tv) for n in other]
-                i = next((i for i in range(len(rel) - 1) if rel[i][axis] * rel[i + 1][axis] < 0), None)
-                if i is not None:
-                    (qu, qv), (wu, wv) = rel[i], rel[i + 1]
-                    du, dv = wu - qu, wv - qv
-                    t = -(qu * du + qv * dv) / (du * du + dv * dv + 1e-8)
-                    feet.append((float(np.hypot(qu + t * du, qv + t * dv)), len(feet), i, (tu + qu + t * du, tv + qv + t * dv, -1)))
+            feet = [(math.dist(foot, (tu, tv)), place, i, (*foot, -1)) for place, axis in enumerate((1, 0)) for i, foot in _foot_where_crossed(other, (tu, tv), axis)]
             if not feet:
                 break
             _, _, i, foot = min(feet)
@@ -414,23 +417,26 @@ def merge_open_paths(nodes: DataFrame, replace: bool = False) -> DataFrame:
     return _by_slice(nodes, ("k",), "path_id ord u v", rows_of, fields)
 
 
-def recognise(segments: DataFrame, threshold: float = -0.1, tol: float = -0.3, y_tol: float = 1.0, most: float = 70.0) -> DataFrame:
+def recognise(segments: DataFrame, threshold: float = -0.1, tol: float = -0.3, y_tol: float = 1.0, most: float = 70.0, merge: bool = False) -> DataFrame:
     """All overhang groups of each slice in one grouped pass after one shuffle by plane: k, path_id, group_id, cu, cv, n_nodes, width, n_segments.
 
-    Equals the composition components -> order_path -> overhangs -> grow_groups -> group_span -> group_centroids on open paths."""
+    Equals the composition components -> order_path -> overhangs -> grow_groups -> group_span -> group_centroids on open paths.
+    With merge, the open paths of a slice are first joined as by merge_open_paths, and path_id counts the joined ones."""
 
     def rows_of(key: tuple, table: pa.Table) -> list[tuple]:
         pieces = defaultdict(lambda: ([], [], []))
         for p, *segment in zip(_path_ids(table), *_ends(table), _rows(table), strict=True):
             for held, x in zip(pieces[p], segment, strict=True):
                 held.append(x)
-        rows = []
+        rows, ways = [], {}
         for p in sorted(pieces):
             beside, at = _graph(*pieces[p])
-            if not any(len(beside[n]) == 1 for n in at):
-                continue
-            way = shortest_order(beside, at)
-            uv = np.array([at[n][3:5] for n in way]).reshape(-1, 2)
+            if any(len(beside[n]) == 1 for n in at):
+                ways[p] = [at[n][3:5] for n in shortest_order(beside, at)]
+        if merge:
+            ways = dict(enumerate([n[:2] for n in way] for way in merge_nodes([[(u, v, i) for i, (u, v) in enumerate(way)] for way in ways.values()])))
+        for p, way in ways.items():
+            uv = np.array(way).reshape(-1, 2)
             red = []
             for i in range(len(way) - 1):
                 d = uv[i + 1] - uv[i]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wallscan.functions.geometry import r6
@@ -111,9 +112,49 @@ query("a27_face_set", lambda f: heights(f).where("face_id is not null").select("
 query("j9_faces_of_groups", lambda f: f.faces(gaps=True).join(heights(f).select("face_id"), "face_id", "left_semi"), with_ctes("keyed_g faces_g", "SELECT * FROM faces_g WHERE face_id IN (SELECT face_id FROM faced)", {**GROW, **FACED}, recursive=True))
 query("u1_union_segments", lambda f: f.segments().select("k", "face_id").unionByName(f.segments(gaps=True).select("k", "face_id")).groupBy("k", "face_id").agg(F.count("*").alias("n")), with_ctes("segments segments_g", "SELECT k, face_id, count(*) AS n FROM (SELECT k, face_id FROM segments UNION ALL SELECT k, face_id FROM segments_g) GROUP BY 1, 2"))
 query("u3_contained_paths", lambda f: _contained(f), walk("SELECT k, path_id FROM (SELECT k, path_id, min(v) AS lo, max(v) AS hi FROM node GROUP BY 1, 2) p WHERE NOT EXISTS (SELECT 1 FROM (SELECT k, path_id, min(v) AS lo, max(v) AS hi, count(*) AS n FROM node GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY k ORDER BY count(*) DESC, path_id) = 1) m WHERE m.k = p.k AND p.lo >= m.lo AND p.hi <= m.hi)"))
-query("o6_merge_open_paths", lambda f: pr.merge_open_paths(nodes(f)).select("k", "path_id", "ord", r6("u").alias("u"), r6("v").alias("v"), "source_path", "source_ord"), None)
-query("o6_merge_open_paths_replace", lambda f: pr.merge_open_paths(nodes(f), replace=True).select("k", "path_id", "ord", r6("u").alias("u"), r6("v").alias("v"), "source_path", "source_ord"), None)
+#: Pieces of the broken wall lie one above the other, so they are only put in order.
+_STACKED = f"SELECT o.k, r.path_id, o.ord, {sql6('u')} AS u, {sql6('v')} AS v, o.path_id AS source_path, o.ord AS source_ord FROM ordered o JOIN (SELECT k, path_id AS p, (row_number() OVER (PARTITION BY k ORDER BY max(v) DESC) - 1)::INT AS path_id FROM ordered GROUP BY 1, 2 HAVING count(*) > 1) r ON r.k = o.k AND r.p = o.path_id"
+query("o6_merge_open_paths", lambda f: pr.merge_open_paths(nodes(f)).select("k", "path_id", "ord", r6("u").alias("u"), r6("v").alias("v"), "source_path", "source_ord"), walk(_STACKED))
+query("o6_merge_open_paths_replace", lambda f: pr.merge_open_paths(nodes(f), replace=True).select("k", "path_id", "ord", r6("u").alias("u"), r6("v").alias("v"), "source_path", "source_ord"), walk(_STACKED))
 query("o7_recognise", lambda f: pr.recognise(f.segments(gaps=True)).select("k", "path_id", "group_id", r6("cu").alias("cu"), r6("cv").alias("cv"), "n_nodes", r6("width").alias("width"), "n_segments"), grow(f"SELECT s.k, s.path_id, s.group_id, {sql6('cu')} AS cu, {sql6('cv')} AS cv, n_nodes, {sql6('width')} AS width, n_segments FROM (SELECT k, path_id, group_id, avg(u) AS cu, avg(v) AS cv, count(*) AS n_nodes, abs(arg_max(u, ord) - arg_min(u, ord)) AS width FROM span GROUP BY 1, 2, 3) s JOIN (SELECT k, path_id, group_id, count(*) AS n_segments FROM grouped GROUP BY 1, 2, 3) USING (k, path_id, group_id)"))
+
+
+# Open paths that overlap: the profiles of the whole wall in pieces of 20 nodes, each with three more at its top and moved sideways.
+def _pieces(f: Fixtures):
+    whole = f.kept("whole nodes", lambda: pr.order_path(pr.components(f.segments())))
+    piece = F.expr("ord div 20").cast("int")
+    cut = whole.withColumn("piece", F.explode(F.when(F.col("ord") % 20 >= 17, F.array(piece, piece + 1)).otherwise(F.array(piece))))
+    return cut.select("k", F.col("piece").alias("path_id"), "ord", (F.col("u") + F.col("piece") % 3 * 0.07).alias("u"), "v")
+
+
+def _piece_segments(f: Fixtures):
+    """The pieces as segments; a node is known by its piece and place."""
+    ends = _pieces(f).withColumn("u2", F.lead("u").over(_ALONG)).withColumn("v2", F.lead("v").over(_ALONG)).where("u2 is not null")
+    return ends.select("k", *(F.col(a).cast("double").alias(b) for a, b in (("u", "x1"), ("path_id", "y1"), ("v", "z1"), ("u", "u1"), ("v", "v1"), ("u2", "x2"), ("path_id", "y2"), ("v2", "z2"), ("u2", "u2"), ("v2", "v2"))))
+
+
+_ALONG = Window.partitionBy("k", "path_id").orderBy("ord")
+_BRIDGE = "SELECT k, path_id, p, 0 AS kind, -1 AS spot, f.u AS u, f.v AS v, NULL::INT AS source_path, NULL::INT AS source_ord FROM state WHERE f IS NOT NULL"
+
+
+def _merged_sql(replace: bool = False) -> dict[str, str]:
+    out = {n: WALK[n].replace("keyed_g", "keyed") for n in ("raised", "piece", "ends", "placed", "node", "ordered")}
+    return out | {
+        "bit": "(SELECT k, p::INT AS p, ord, u + 0.07e0 * (p % 3) AS u, v, row_number() OVER (PARTITION BY k, p ORDER BY ord) AS j, row_number() OVER (PARTITION BY k, p ORDER BY ord DESC) AS back FROM (SELECT k, ord, u, v, unnest(CASE WHEN ord % 20 >= 17 THEN [ord // 20, ord // 20 + 1] ELSE [ord // 20] END) AS p FROM ordered))",
+        "tail": "(SELECT k, p + 1 AS p, u AS tu, v AS tv FROM bit WHERE back = 1)",
+        "side": "(SELECT b.k, b.p, j, u - tu AS qu, v - tv AS qv, lead(u - tu) OVER w AS wu, lead(v - tv) OVER w AS wv, tu, tv FROM bit b JOIN tail t ON t.k = b.k AND t.p = b.p WINDOW w AS (PARTITION BY b.k, b.p ORDER BY j))",
+        "crossed": "(SELECT k, p, 0 AS axis, min(j) AS j FROM side WHERE qv * wv < 0 GROUP BY 1, 2 UNION ALL SELECT k, p, 1, min(j) FROM side WHERE qu * wu < 0 GROUP BY 1, 2)",
+        "foot": "(SELECT k, p, j, axis, tu + fu AS u, tv + fv AS v, sqrt(fu * fu + fv * fv) AS dist FROM (SELECT *, qu + s * (wu - qu) AS fu, qv + s * (wv - qv) AS fv FROM (SELECT e.*, axis, -(qu * (wu - qu) + qv * (wv - qv)) / ((wu - qu) * (wu - qu) + (wv - qv) * (wv - qv) + 1e-8) AS s FROM side e JOIN crossed c ON c.k = e.k AND c.p = e.p AND c.j = e.j)))",
+        "best": "(SELECT k, p, arg_min(struct_pack(j := j, u := u, v := v), struct_pack(d := dist, a := axis)) AS f FROM foot GROUP BY 1, 2)",
+        "state": "(SELECT k, p, f, (sum(CASE WHEN f IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY k ORDER BY p) - 1)::INT AS path_id, lead(f IS NOT NULL) OVER (PARTITION BY k ORDER BY p) AS goes_on FROM (SELECT b.k, b.p, f, b.p > 0 AND f IS NULL AND lo >= tv AS gone FROM (SELECT k, p, min(v) AS lo FROM bit GROUP BY 1, 2) b LEFT JOIN best ON best.k = b.k AND best.p = b.p LEFT JOIN tail t ON t.k = b.k AND t.p = b.p) WHERE NOT gone)",
+        "merged": f"(SELECT k, path_id, (row_number() OVER (PARTITION BY k, path_id ORDER BY p, kind, spot) - 1)::INT AS ord, 0 AS kx, 0 AS ky, 0 AS kz, 0e0 AS x, 0e0 AS y, 0e0 AS z, u, v, source_path, source_ord FROM (SELECT s.k, path_id, s.p, 1 AS kind, b.ord AS spot, u, v, s.p AS source_path, b.ord AS source_ord FROM bit b JOIN state s ON s.k = b.k AND s.p = b.p WHERE (f IS NULL OR b.j > f.j){' AND NOT (goes_on IS TRUE AND back = 1)' * replace} UNION ALL {_BRIDGE}))",
+    }
+
+
+for _name, _replace in (("o6_merge_overlapping", False), ("o6_merge_overlapping_replace", True)):
+    query(_name, lambda f, replace=_replace: pr.merge_open_paths(_pieces(f), replace).select("k", "path_id", "ord", r6("u").alias("u"), r6("v").alias("v"), "source_path", "source_ord"), with_ctes("keyed", f"SELECT k, path_id, ord, {sql6('u')} AS u, {sql6('v')} AS v, source_path, source_ord FROM merged", _merged_sql(_replace)))
+_GROUPS = f"SELECT s.k, s.path_id, s.group_id, {sql6('cu')} AS cu, {sql6('cv')} AS cv, n_nodes, {sql6('width')} AS width, n_segments FROM (SELECT k, path_id, group_id, avg(u) AS cu, avg(v) AS cv, count(*) AS n_nodes, abs(arg_max(u, ord) - arg_min(u, ord)) AS width FROM span GROUP BY 1, 2, 3) s JOIN (SELECT k, path_id, group_id, count(*) AS n_segments FROM grouped GROUP BY 1, 2, 3) USING (k, path_id, group_id)"
+query("o7_recognise_merged", lambda f: pr.recognise(_piece_segments(f), merge=True).select("k", "path_id", "group_id", r6("cu").alias("cu"), r6("cv").alias("cv"), "n_nodes", r6("width").alias("width"), "n_segments"), with_ctes("keyed", _GROUPS, {**_merged_sql(), **{n: GROW[n].replace("ordered", "merged") for n in ("pair", "framed", "red", "grow", "grouped", "span")}}, recursive=True))
 query("s10_profiles_json", lambda f: store.profiles_json(pr.group_centroids(span(f)).withColumn("cu", F.round(F.col("cu") * 1000).cast("long")).withColumn("cv", F.round(F.col("cv") * 1000).cast("long")), f.planes()), grow("SELECT k, '{\"slice_key\":\"' || slice_key || '\",\"azimuth\":' || azimuth::VARCHAR || ',\"groups\":[' || string_agg('{\"path_id\":' || path_id || ',\"group_id\":' || group_id || ',\"cu\":' || cu || ',\"cv\":' || cv || ',\"n_nodes\":' || n || '}', ',' ORDER BY path_id, group_id) || ']}' AS record FROM (SELECT k, path_id, group_id, round(avg(u) * 1000)::BIGINT AS cu, round(avg(v) * 1000)::BIGINT AS cv, count(*) AS n FROM span GROUP BY 1, 2, 3) JOIN planes USING (k) GROUP BY k, slice_key, azimuth"))
 query("s7_slice_store", lambda f: _stored_slices(f), with_ctes("segments", "SELECT k, face_id FROM segments WHERE k % 180 = 0"))
 query("s8_result_store", lambda f: _stored_results(f), grow("SELECT k, path_id, group_id, count(*) AS n_nodes FROM span GROUP BY 1, 2, 3"))

@@ -122,6 +122,7 @@ query("o7_recognise", lambda f: pr.recognise(f.segments(gaps=True)).select("k",
 # Open paths that overlap: the profiles of the whole wall in pieces of 20 nodes, each with three more at its top and moved sideways.
 def _pieces(f: Fixtures):
     whole = f.kept("whole nodes", lambda: pr.order_path(pr.components(f.segments())))
+    whole = whole.withColumn("ord", F.row_number().over(Window.partitionBy("k").orderBy(F.col("v").desc())) - 1)  # few profiles have two paths
     piece = F.expr("ord div 20").cast("int")
     cut = whole.withColumn("piece", F.explode(F.when(F.col("ord") % 20 >= 17, F.array(piece, piece + 1)).otherwise(F.array(piece))))
     return cut.select("k", F.col("piece").alias("path_id"), "ord", (F.col("u") + F.col("piece") % 3 * 0.07).alias("u"), "v")
@@ -140,7 +141,7 @@ _BRIDGE = "SELECT k, path_id, p, 0 AS kind, -1 AS spot, f.u AS u, f.v AS v, NULL
 def _merged_sql(replace: bool = False) -> dict[str, str]:
     out = {n: WALK[n].replace("keyed_g", "keyed") for n in ("raised", "piece", "ends", "placed", "node", "ordered")}
     return out | {
-        "bit": "(SELECT k, p::INT AS p, ord, u + 0.07e0 * (p % 3) AS u, v, row_number() OVER (PARTITION BY k, p ORDER BY ord) AS j, row_number() OVER (PARTITION BY k, p ORDER BY ord DESC) AS back FROM (SELECT k, ord, u, v, unnest(CASE WHEN ord % 20 >= 17 THEN [ord // 20, ord // 20 + 1] ELSE [ord // 20] END) AS p FROM ordered))",
+        "bit": "(SELECT k, p::INT AS p, ord, u + 0.07e0 * (p % 3) AS u, v, row_number() OVER (PARTITION BY k, p ORDER BY ord) AS j, row_number() OVER (PARTITION BY k, p ORDER BY ord DESC) AS back FROM (SELECT k, ord, u, v, unnest(CASE WHEN ord % 20 >= 17 THEN [ord // 20, ord // 20 + 1] ELSE [ord // 20] END) AS p FROM (SELECT k, (row_number() OVER (PARTITION BY k ORDER BY v DESC) - 1)::INT AS ord, u, v FROM ordered)))",
         "tail": "(SELECT k, p + 1 AS p, u AS tu, v AS tv FROM bit WHERE back = 1)",
         "side": "(SELECT b.k, b.p, j, u - tu AS qu, v - tv AS qv, lead(u - tu) OVER w AS wu, lead(v - tv) OVER w AS wv, tu, tv FROM bit b JOIN tail t ON t.k = b.k AND t.p = b.p WINDOW w AS (PARTITION BY b.k, b.p ORDER BY j))",
         "crossed": "(SELECT k, p, 0 AS axis, min(j) AS j FROM side WHERE qv * wv < 0 GROUP BY 1, 2 UNION ALL SELECT k, p, 1, min(j) FROM side WHERE qu * wu < 0 GROUP BY 1, 2)",

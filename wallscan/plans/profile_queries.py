@@ -130,11 +130,11 @@ def _pieces(f: Fixtures):
 
 def _piece_segments(f: Fixtures):
     """The pieces as segments; a node is known by its piece and place."""
-    ends = _pieces(f).withColumn("u2", F.lead("u").over(_ALONG)).withColumn("v2", F.lead("v").over(_ALONG)).where("u2 is not null")
+    along = Window.partitionBy("k", "path_id").orderBy("ord")
+    ends = _pieces(f).withColumn("u2", F.lead("u").over(along)).withColumn("v2", F.lead("v").over(along)).where("u2 is not null")
     return ends.select("k", *(F.col(a).cast("double").alias(b) for a, b in (("u", "x1"), ("path_id", "y1"), ("v", "z1"), ("u", "u1"), ("v", "v1"), ("u2", "x2"), ("path_id", "y2"), ("v2", "z2"), ("u2", "u2"), ("v2", "v2"))))
 
 
-_ALONG = Window.partitionBy("k", "path_id").orderBy("ord")
 _BRIDGE = "SELECT k, path_id, p, 0 AS kind, -1 AS spot, f.u AS u, f.v AS v, NULL::INT AS source_path, NULL::INT AS source_ord FROM state WHERE f IS NOT NULL"
 
 

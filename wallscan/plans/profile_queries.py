@@ -8,10 +8,10 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from wallscan.functions.geometry import r6
-from wallscan.operators import meshes, profiles as pr
+from wallscan.operators import chains, meshes, profiles as pr
 from wallscan.operators.neighbours import checkpointed, shared_folder
 from wallscan.plans.fixtures import Fixtures, r6 as sql6, with_ctes
-from wallscan.plans.registry import query
+from wallscan.plans.registry import ORACLES, query
 from wallscan.sources import store
 
 
@@ -81,6 +81,8 @@ query("o1_components", lambda f: paths(f).select("k", "face_id", "path_id"), wal
 query("a8_path_kinds", lambda f: pr.path_kinds(paths(f)), walk("SELECT k, path_id, (sum(degree) // 2)::BIGINT AS n_segments, count(*) AS n_nodes, count(*) FILTER (degree = 1) AS loose, count(*) FILTER (degree = 1) = 0 AS closed, max(degree) <= 2 AND count(*) FILTER (degree = 1) IN (0, 2) AS simple FROM node GROUP BY 1, 2"))
 query("o2_section_paths", lambda f: pr.section_paths(paths(f)).select("k", "path_id", "ord", "kx", "ky", "kz"), walk("SELECT k, path_id, (row_number() OVER (PARTITION BY k, path_id ORDER BY CASE WHEN low_first THEN v ELSE -v END) - 1)::INT AS ord, kx, ky, kz FROM (SELECT n.*, struct_pack(a := f.e.a, b := f.e.b, c := f.e.c) < struct_pack(a := f.s.a, b := f.s.b, c := f.s.c) AS low_first FROM node n JOIN first_ f ON f.k = n.k AND f.path_id = n.path_id)"))
 query("o3_order_path", lambda f: pr.order_path(paths(f)).select("k", "path_id", "ord", "kx", "ky", "kz"), walk("SELECT k, path_id, ord, kx, ky, kz FROM ordered"))
+query("o1_long_components", lambda f: chains.long_components(f.segments(gaps=True)).select("k", "face_id", "path_id"), ORACLES["o1_components"])
+query("o3_long_order", lambda f: chains.long_order(paths(f)).select("k", "path_id", "ord", "kx", "ky", "kz"), ORACLES["o3_order_path"])
 query("o4_order_whole_slice", lambda f: pr.order_whole_slice(f.segments(gaps=True)).select("k", "ord", "kx", "ky", "kz"), walk("SELECT k, ord, kx, ky, kz FROM ordered WHERE k IN (SELECT k FROM node GROUP BY k HAVING max(path_id) = 0)"))
 query("w1_path_edges", lambda f: pr.path_edges(nodes(f)).select("k", "path_id", "ord", *(r6(c).alias(c) for c in ("u1", "v1", "u2", "v2"))), walk(f"SELECT k, path_id, ord, {', '.join(f'{sql6(c)} AS {c}' for c in ('u1', 'v1', 'u2', 'v2'))} FROM pair"))
 query("p14_segment_frame", lambda f: pr.segment_frame(pr.path_edges(nodes(f))).select("k", "path_id", "ord", *(r6(c).alias(c) for c in ("len", "nu", "nv", "mu", "mv"))), walk(f"SELECT k, path_id, ord, {', '.join(f'{sql6(c)} AS {c}' for c in ('len', 'nu', 'nv', 'mu', 'mv'))} FROM framed"))

@@ -12,7 +12,7 @@ from wallscan.plans.fixtures import Fixtures, r6 as sql6, with_ctes
 from wallscan.plans.profile_queries import FACED, GROW, heights, scratch
 from wallscan.plans.registry import ORACLES, query
 from wallscan.sources import store, text, tiles
-from wallscan.streaming.recognition import face_heights_stream, recognise_stream
+from wallscan.streaming.recognition import read_recognised, recognise_pieces_stream, recognise_stream, write_heights_stream
 
 #: Voxels of recognised faces; the clustering of all of them, where neighbours are at most one step away in two directions; and that of a tenth of them.
 VOX, EPS, SAMPLES, WIDE, DENSE = 0.2, 0.29, 10, 0.5, 5
@@ -100,7 +100,7 @@ def _rects(f: Fixtures):
 
 
 _RECTS = "(SELECT face_id AS id, least(atan2(y0, x0), atan2(y1, x1), atan2(y2, x2)) AS x_lo, least(z0, z1, z2) AS y_lo, greatest(atan2(y0, x0), atan2(y1, x1), atan2(y2, x2)) AS x_hi, greatest(z0, z1, z2) AS y_hi FROM tri)"
-query("j5_bbox_overlap", lambda f: nb.bbox_overlap(_rects(f), _rects(f), 0.5).where("a < b"), with_ctes("tri", "SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.id < b.id AND a.x_lo <= b.x_hi AND b.x_lo <= a.x_hi AND a.y_lo <= b.y_hi AND b.y_lo <= a.y_hi", {"r": _RECTS}))
+query("j5_bbox_overlap", lambda f: nb.bbox_overlap(_rects(f), _rects(f)).where("a < b"), with_ctes("tri", "SELECT a.id AS a, b.id AS b FROM r a JOIN r b ON a.id < b.id AND a.x_lo <= b.x_hi AND b.x_lo <= a.x_hi AND a.y_lo <= b.y_hi AND b.y_lo <= a.y_hi", {"r": _RECTS}))
 _KNN = "(SELECT *, row_number() OVER (PARTITION BY id ORDER BY d2, target) AS rank FROM (SELECT a.id, b.id AS target, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM flat a, flat b) QUALIFY rank <= 5)"
 query("j8_knn", lambda f: nb.nearest(f.flat, f.flat, 5, "xy").select("id", "target", r6("distance").alias("distance"), F.col("rank").cast("long").alias("rank")), with_ctes("flat", f"SELECT id, target, {sql6('sqrt(d2)')} AS distance, rank FROM knn", {"knn": _KNN}))
 query("j7_nearest_label", lambda f: nb.nearest(f.flat, f.flat.where("id % 10 = 3"), 1, "xy").select("id", "target"), with_ctes("flat", "SELECT id, arg_min(target, struct_pack(a := d2, b := target)) AS target FROM (SELECT a.id, b.id AS target, (a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y) AS d2 FROM flat a, flat b WHERE b.id % 10 = 3) GROUP BY 1"))
@@ -273,20 +273,21 @@ _CHOSEN = {"chosen": "(SELECT * FROM faces WHERE face_id % 11 < 3)", "nv": "(SEL
 _TILED = {"tiled": "(SELECT *, face_id // 997 AS tile FROM faces)", "nv": "(SELECT tile, v, row_number() OVER (ORDER BY tile, v) - 1 AS i FROM (SELECT DISTINCT tile, unnest([v0, v1, v2]) AS v FROM tiled))", "nf": "(SELECT row_number() OVER (ORDER BY c.tile, face_id) - 1 AS i, a.i AS v0, b.i AS v1, d.i AS v2 FROM tiled c JOIN nv a ON a.v = c.v0 AND a.tile = c.tile JOIN nv b ON b.v = c.v1 AND b.tile = c.tile JOIN nv d ON d.v = c.v2 AND d.tile = c.tile)"}
 
 
-def _scene(f: Fixtures):
-    """All points as tiles of a scene: a tile for each column of parts, with a parent node and a child."""
+def _scene(f: Fixtures) -> str:
+    """A folder of all points as tiles of a scene: a tile for each 2,048 order numbers, with a parent node and a child."""
     path = scratch(f, "scene")
-    p = f.points.select((F.floor("x") % 8).cast("int").alias("tile"), F.when(F.col("z") < 5, "low").otherwise("high").alias("node"), F.when(F.col("z") >= 5, "low").alias("parent"), "point_id", "x", "y", "z")
+    p = f.points.select(F.expr("point_id div 204800000000000").cast("int").alias("tile"), F.when(F.col("z") < 5, "low").otherwise("high").alias("node"), F.when(F.col("z") >= 5, "low").alias("parent"), "point_id", "x", "y", "z")
     tiles.write_3mx_tiles(p, path)
-    return tiles.read_3mx_tiles(f.spark, path)
+    return path
 
 
-_TILE = "(SELECT floor(x)::BIGINT % 8 AS tile, CASE WHEN z < 5 THEN 'low' ELSE 'high' END AS node, x, y, z, point_id FROM points)"
+_TILE = "(SELECT point_id // 204800000000000 AS tile, CASE WHEN z < 5 THEN 'low' ELSE 'high' END AS node, x, y, z, point_id FROM points)"
 _number = lambda c: F.regexp_extract(c, r"tile-(\d+)\.3mxb$", 1).cast("int").alias("tile")
 query("s2_obj_tiles", _obj_tiles, with_ctes("faces vertices", _ROWS, _TILED))
-query("s3_3mx_tiles", lambda f: _scene(f).select(_number("path"), F.octet_length("buffer").alias("n_bytes"), F.get_json_object("header", "$.nodes[0].id").alias("first")), with_ctes("points", "SELECT tile::INT AS tile, (12 * count(*))::INT AS n_bytes, min(node) AS first FROM t GROUP BY 1", {"t": _TILE}))
-query("s4_tile_nodes", lambda f: tiles.tile_nodes(_scene(f)).select(_number("path"), "id", "resource_start", "resource_end", "parent", "kind"), with_ctes("points", "SELECT tile::INT AS tile, node AS id, CASE WHEN node = 'high' THEN 0 ELSE 12 * (total - n) END::BIGINT AS resource_start, CASE WHEN node = 'high' THEN 12 * n ELSE 12 * total END::BIGINT AS resource_end, CASE WHEN node = 'high' THEN 'low' END AS parent, CASE WHEN node = 'high' THEN 'child' ELSE 'parent' END AS kind FROM (SELECT tile, node, count(*) AS n, sum(count(*)) OVER (PARTITION BY tile) AS total FROM t GROUP BY 1, 2)", {"t": _TILE}))
-query("s5_tile_points", lambda f: tiles.tile_points(_scene(f)).select(_number("path"), "node", "i", *(F.round(F.col(d).cast("double"), 4).alias(d) for d in "xyz")), with_ctes("points", "SELECT tile::INT AS tile, node, (row_number() OVER (PARTITION BY tile, node ORDER BY point_id, x, y, z) - 1)::INT AS i, " + ", ".join(f"round({d}::FLOAT::DOUBLE, 4) AS {d}" for d in "xyz") + " FROM t", {"t": _TILE}))
+query("s3_3mx_tiles", lambda f: tiles.read_3mx_tiles(f.spark, _scene(f)).select(_number("path"), F.octet_length("buffer").alias("n_bytes"), F.get_json_object("header", "$.nodes[0].id").alias("first")), with_ctes("points", "SELECT tile::INT AS tile, (12 * count(*))::INT AS n_bytes, min(node) AS first FROM t GROUP BY 1", {"t": _TILE}))
+query("s4_tile_nodes", lambda f: tiles.tile_nodes(tiles.read_3mx_headers(f.spark, _scene(f))).select(_number("path"), "id", "resource_start", "resource_end", "parent", "kind"), with_ctes("points", "SELECT tile::INT AS tile, node AS id, CASE WHEN node = 'high' THEN 0 ELSE 12 * (total - n) END::BIGINT AS resource_start, CASE WHEN node = 'high' THEN 12 * n ELSE 12 * total END::BIGINT AS resource_end, CASE WHEN node = 'high' THEN 'low' END AS parent, CASE WHEN node = 'high' THEN 'child' ELSE 'parent' END AS kind FROM (SELECT tile, node, count(*) AS n, sum(count(*)) OVER (PARTITION BY tile) AS total FROM t GROUP BY 1, 2)", {"t": _TILE}))
+query("s5_tile_points", lambda f, piece=12 << 18: tiles.ranged_tile_points(tiles.read_3mx_headers(f.spark, _scene(f)), piece).select(_number("path"), "node", F.col("i").cast("int").alias("i"), *(F.round(F.col(d).cast("double"), 4).alias(d) for d in "xyz")), with_ctes("points", "SELECT tile::INT AS tile, node, (row_number() OVER (PARTITION BY tile, node ORDER BY point_id, x, y, z) - 1)::INT AS i, " + ", ".join(f"round({d}::FLOAT::DOUBLE, 4) AS {d}" for d in "xyz") + " FROM t", {"t": _TILE}))
+query("s5_tile_buffers", lambda f: tiles.tile_points(tiles.read_3mx_tiles(f.spark, _scene(f))).select(_number("path"), "node", "i", *(F.round(F.col(d).cast("double"), 4).alias(d) for d in "xyz")), with_ctes("points", "SELECT tile::INT AS tile, node, (row_number() OVER (PARTITION BY tile, node ORDER BY point_id, x, y, z) - 1)::INT AS i, " + ", ".join(f"round({d}::FLOAT::DOUBLE, 4) AS {d}" for d in "xyz") + " FROM t", {"t": _TILE}))
 
 
 def _streamed_groups(f: Fixtures):
@@ -298,19 +299,29 @@ def _streamed_groups(f: Fixtures):
     return store.read_results(f.spark, out).select("k", "path_id", "group_id", r6("cu").alias("cu"), r6("cv").alias("cv"), "n_nodes", r6("width").alias("width"), "n_segments")
 
 
+def _streamed_pieces(f: Fixtures):
+    """Slices whose segments come in two batches, most of them split between both, recognised when they are whole."""
+    arrived, out, marks = (scratch(f, n) for n in ("pieces", "versions", "marks"))
+    n = f.segments(gaps=True).groupBy("k").agg(F.count("*").alias("n_slice"))
+    pieces = nb.checkpointed(f.segments(gaps=True).join(n, "k"))
+    for part in (0, 1):
+        pieces.where(F.col("face_id") % 2 == part).write.mode("append").parquet(arrived)
+        recognise_pieces_stream(f.spark.readStream.schema(pieces.schema).parquet(arrived), out, marks).awaitTermination()
+    return read_recognised(f.spark, out).select("k", "path_id", "group_id", r6("cu").alias("cu"), r6("cv").alias("cv"), "n_nodes", r6("width").alias("width"), "n_segments")
+
+
 def _streamed_heights(f: Fixtures):
-    """Heights that arrive as files; each batch writes the running heights as the newest version of the results."""
+    """Heights that arrive as files; each batch writes the faces it changed, and the newest row of a face counts."""
     arrived, out, marks = (scratch(f, n) for n in ("heights", "running", "marks"))
     rows = nb.checkpointed(heights(f).select("k", "face_id", "height"))
     for part in (0, 1):
         rows.where(F.col("k") % 2 == part).select("face_id", "height").write.mode("append").parquet(arrived)
-        stream = face_heights_stream(f.spark.readStream.schema("face_id long, height double").parquet(arrived))
-        stream.writeStream.outputMode("complete").foreachBatch(lambda batch, number: store.append_results(batch, out, number)).option("checkpointLocation", marks).trigger(availableNow=True).start().awaitTermination()
-    every = store.read_results(f.spark, out)
-    return every.join(every.agg(F.max("batch").alias("batch")), "batch").select("face_id", r6("height").alias("height"), "n")
+        write_heights_stream(f.spark.readStream.schema("face_id long, height double").parquet(arrived), out, marks).awaitTermination()
+    return store.read_latest(f.spark, out, "face_id").select("face_id", r6("height").alias("height"), "n")
 
 
 query("x1_recognise_stream", _streamed_groups, ORACLES["o7_recognise"])
+query("x1_recognise_pieces", _streamed_pieces, ORACLES["o7_recognise"])
 query("x2_face_heights_stream", _streamed_heights, ORACLES["a13_face_heights_max"])
 query("s1_points_text", _points_text, with_ctes("points", "SELECT x, y, z, count(*) AS n FROM points GROUP BY 1, 2, 3"))
 query("s6_arc_json", _arc_json, with_ctes("arc", f"SELECT *, {sql6('radius * (angle_max - angle_min)')} AS arc_length FROM arc"))

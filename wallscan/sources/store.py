@@ -47,6 +47,21 @@ def read_results(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def read_latest(spark: SparkSession, path: str, *keys: str) -> DataFrame:
+    """The row of the newest batch for each key of a result store to which batches add only what they changed.
+
+    A partial aggregation keeps one row for each key, so old versions cost a scan and are not shuffled."""
+    every = read_results(spark, path)
+    rest = [c for c in every.columns if c not in (*keys, "batch")]
+    newest = every.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("_row"))
+    return newest.select(*keys, "_row.*")
+
+
+def compact(spark: SparkSession, path: str, target: str, *keys: str) -> None:
+    """Writes the newest rows of a result store as batch 0 of another."""
+    append_results(read_latest(spark, path, *keys), target, 0)
+
+
 def profiles_json(groups: DataFrame, planes: DataFrame) -> DataFrame:
     """A JSON record for each slice: key, angle, azimuth, and its groups with their centroids."""
     one = groups.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("path_id", "group_id", "cu", "cv", "n_nodes"))).alias("groups"))

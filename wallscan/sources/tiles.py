@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-import json
 import struct
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 MAGIC = b"3MXBO"
@@ -31,28 +30,90 @@ def read_3mx_tiles(spark: SparkSession, folder: str) -> DataFrame:
     return files.mapInPandas(split, "path string, header string, buffer binary")
 
 
+def _filesystem(path: str):
+    from pyarrow import fs
+
+    if path.startswith("file:"):
+        path = "/" + path[5:].lstrip("/")
+    return (fs.LocalFileSystem(), path) if path.startswith("/") else fs.FileSystem.from_uri(path)
+
+
+def read_3mx_headers(spark: SparkSession, folder: str) -> DataFrame:
+    """path, header (JSON text), buffer_start and length of each *.3mxb below a folder, of whatever size; only headers are read.
+
+    Files without the magic are left out."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.3mxb").load(folder).select("path", "length")
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for path, length in zip(batch["path"], batch["length"], strict=True):
+                system, at = _filesystem(path)
+                with system.open_input_file(at) as file:
+                    raw = file.read(9)
+                    if raw[:5] == MAGIC and len(raw) == 9:
+                        size = struct.unpack("<I", raw[5:9])[0]
+                        rows.append((path, file.read(max(0, size - 9)).decode("utf-8", "replace"), size, length))
+            yield pd.DataFrame(rows, columns=["path", "header", "buffer_start", "length"])
+
+    return files.mapInPandas(heads, "path string, header string, buffer_start long, length long")
+
+
+def ranged_tile_points(headers: DataFrame, piece: int = 12 << 18) -> DataFrame:
+    """x, y, z of each node, as tile_points gives them, from headers of read_3mx_headers.
+
+    A node's bytes are read by ranges of `piece` bytes, each a row of its own that any task may take, so neither a
+    tile nor a node must fit a task. Bytes beyond the file's end are not there; nodes of under 12 bytes are skipped."""
+    if piece % 12:
+        raise ValueError("a piece holds whole points of 12 bytes")
+    nodes = headers.select("path", "buffer_start", "length", F.explode(F.from_json("header", f"nodes array<{NODE}>").nodes).alias("n"))
+    nodes = nodes.select("path", F.col("n.id").alias("node"), (F.col("buffer_start") + F.col("n.resource_start")).alias("start"), F.least(F.col("buffer_start") + F.col("n.resource_end"), "length").alias("end")).where("end - start >= 12")
+    parts = nodes.select("*", F.explode(F.sequence("start", F.col("end") - 1, F.lit(piece).cast("long"))).alias("at"))
+    parts = parts.select("path", "node", ((F.col("at") - F.col("start")) / 12).cast("long").alias("first"), "at", F.expr(f"least(end - at, {piece}L) div 12").alias("n")).repartition("path", "at")
+
+    def unpack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path, node, first, at, n in batch.itertuples(index=False):
+                system, place = _filesystem(path)
+                with system.open_input_file(place) as file:
+                    xyz = np.frombuffer(file.read_at(12 * n, at), "<f4").reshape(-1, 3)
+                yield pd.DataFrame({"path": path, "node": node, "i": first + np.arange(len(xyz)), "x": xyz[:, 0], "y": xyz[:, 1], "z": xyz[:, 2]})
+
+    return parts.mapInPandas(unpack, "path string, node string, i long, x float, y float, z float")
+
+
 def write_3mx_tiles(points: DataFrame, folder: str) -> None:
     """tile-<n>.3mxb for each tile of points(tile int, node, parent, point_id, x, y, z): nodes by name, points of a node by point_id.
 
-    A tile must fit a task. folder is one that driver and executors share; a repeated attempt writes the same file again."""
-    from pyarrow import fs
-
-    def write(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["node", "point_id", "x", "y", "z"])
-        nodes, at = [], 0
-        for node, own in group.groupby("node"):
-            end, parent = at + 12 * len(own), own["parent"].iloc[0]
-            nodes.append({"id": node, "resource_start": at, "resource_end": end, **({} if pd.isna(parent) else {"parent": parent})})
-            at = end
-        header = json.dumps({"nodes": nodes}).encode()
-        raw = MAGIC + struct.pack("<I", 9 + len(header)) + header + group[["x", "y", "z"]].to_numpy("<f4").tobytes()
-        system, path = (fs.LocalFileSystem(), folder) if folder.startswith("/") else fs.FileSystem.from_uri(folder)
+    Sizes of nodes are counted first and become the header, a row that sorts before the tile's points; a task then
+    writes tile after tile as its sorted rows pass, and holds one batch. folder is one that driver and executors
+    share; a repeated attempt writes the same file again."""
+    sizes = points.groupBy("tile", "node").agg((12 * F.count("*")).alias("bytes"), F.min("parent").alias("parent"))
+    sizes = sizes.withColumn("resource_end", F.sum("bytes").over(Window.partitionBy("tile").orderBy("node"))).withColumn("resource_start", F.col("resource_end") - F.col("bytes"))
+    node = F.struct(F.col("node").alias("id"), "resource_start", "resource_end", "parent")
+    heads = sizes.groupBy("tile").agg(F.to_json(F.struct(F.array_sort(F.collect_list(node)).alias("nodes"))).alias("header"))
+    rows = points.select("tile", "node", "point_id", *(F.col(c).cast("double").alias(c) for c in "xyz"), F.lit(None).cast("string").alias("header"))
+    rows = heads.select("tile", *(F.lit(None).cast(t).alias(c) for c, t in rows.dtypes if c not in ("tile", "header")), "header").unionByName(rows)
+
+    def write(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        system, path = _filesystem(folder)
         system.create_dir(path, recursive=True)
-        with system.open_output_stream(f"{path}/tile-{group['tile'].iloc[0]}.3mxb", compression=None) as out:
-            out.write(raw)
-        return pd.DataFrame({"n": [len(group)]})
-
-    points.select("tile", "node", "parent", "point_id", "x", "y", "z").groupBy("tile").applyInPandas(write, "n long").count()
+        out, n = None, 0
+        for batch in batches:
+            for tile, own in batch.groupby("tile", sort=True):
+                if isinstance(own["header"].iloc[0], str):  # a new tile begins
+                    if out:
+                        out.close()
+                    out = system.open_output_stream(f"{path}/tile-{tile}.3mxb", compression=None)
+                    header = own["header"].iloc[0].encode()
+                    out.write(MAGIC + struct.pack("<I", 9 + len(header)) + header)
+                    own, n = own.iloc[1:], n + 1
+                out.write(own[["x", "y", "z"]].to_numpy("<f4").tobytes())
+        if out:
+            out.close()
+        yield pd.DataFrame({"n": [n]})
+
+    rows.repartition("tile").sortWithinPartitions("tile", F.col("header").isNull(), "node", "point_id", "x", "y", "z").mapInPandas(write, "n long").agg(F.sum("n")).collect()
 
 
 def tile_nodes(tiles: DataFrame) -> DataFrame:

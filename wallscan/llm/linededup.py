@@ -3,12 +3,14 @@
 Lines within `edits` edits are found by a segment-partition join: of two such lines, the shorter one
 cut into edits + 1 segments has a segment that also stands in the other, close to its own place.
 Segments are indexed and the few possible substrings of each line probe the index (Li et al. 2011).
-A banded bit-parallel edit distance verifies each pair.
+A banded bit-parallel edit distance verifies each pair. Where a crowd of lines shares its segments, as
+numbered lines of one template do, lines are grouped by patterns of two edits instead of being paired.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import os.path
 from collections.abc import Iterator
 
@@ -24,6 +26,9 @@ from wallscan.llm.hashing import mix, span_hashes
 _LINES = pa.schema([("doc_id", pa.int64()), ("line", pa.int32()), ("chars", pa.int32()), ("h1", pa.int64()), ("h2", pa.int32())])
 _KEYS = pa.schema([("h1", pa.int64()), ("indexed", pa.list_(pa.int64())), ("probes", pa.list_(pa.int64()))])
 _FINE = pa.schema([("h1", pa.int64()), ("parities", pa.int64()), ("indexed", pa.list_(pa.int64())), ("probes", pa.list_(pa.int64()))])
+_SPREAD = pa.schema([("k", pa.int64()), ("h1", pa.int64()), ("slot", pa.int32()), ("left", pa.string()), ("right", pa.string())])
+_TRIMS = pa.schema([("k", pa.int64()), *((c, pa.int32()) for c in ("left_start", "left_end", "right_start", "right_end"))])
+_PATTERNS = pa.schema([("k", pa.int64()), ("pattern", pa.string()), ("role", pa.int8()), ("h1", pa.int64())])
 _TEXTS = pa.schema([("h1", pa.int64()), ("said", pa.string())])
 _LINKS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("distance", pa.int32())])
 _CLEAN = pa.schema([("doc_id", pa.int64()), ("n_lines", pa.int64()), ("n_removed", pa.int64()), ("removed", pa.list_(pa.int32())), ("text", pa.string()), ("kept_sha256", pa.string())])
@@ -108,6 +113,13 @@ def letter_parities(lines: list[str]) -> np.ndarray:
     return np.bitwise_xor.reduceat(np.uint64(1) << (mix(points + np.uint64(99)) & np.uint64(63)), starts).view(np.int64) if len(points) else np.zeros(len(lines), np.int64)
 
 
+# Gaps are the two of six segments that may differ. A probe takes a line as one with `less` characters
+# more than the other and the segments between its gaps moved by t.
+_GAPS = [(i, j) for i in range(6) for j in range(i + 1, 6)]
+_PROBES = [(less, i, j, t) for less, between in ((0, (-1, 0, 1)), (1, (0, 1)), (2, (0, 1, 2))) for i, j in _GAPS for t in (between if j > i + 1 else (0,))]
+_SLOTS = [(0, i, j, 0) for i, j in _GAPS] + _PROBES  # of the indexed keys, then of the probes
+
+
 def fine_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Keys of four of six segments of each line, and the keys of its substrings that could be those of a line as long or up to two shorter.
 
@@ -132,19 +144,69 @@ def fine_keys(lines: list[str]) -> tuple[np.ndarray, np.ndarray]:
             out = mix(out * np.uint64(0x9E3779B97F4A7C15) + p)
         return np.where(np.logical_and.reduce([p != 0 for p in pieces]), out, np.uint64(0))
 
-    gaps = [(i, j) for i in range(6) for j in range(i + 1, 6)]
     own = [piece(size, s, 0) for s in range(6)]
-    indexed = np.stack([key([own[s] for s in range(6) if s not in gap], size, *gap) for gap in gaps], 1)
-    probes = []
-    for less, between in ((0, (-1, 0, 1)), (1, (0, 1)), (2, (0, 1, 2))):
-        length = size - less
-        moved = {(s, t): piece(length, s, t) for s in range(6) for t in {0, less, *between}}
-        for i, j in gaps:
-            for t in between if j > i + 1 else (0,):
-                probes.append(key([moved[s, 0 if s < i else t if s < j else less] for s in range(6) if s not in (i, j)], length, i, j))
+    indexed = np.stack([key([own[s] for s in range(6) if s not in gap], size, *gap) for gap in _GAPS], 1)
+    probes, pieces = [], {}
+    for less, i, j, t in _PROBES:
+        moved = [(s, 0 if s < i else t if s < j else less) for s in range(6) if s not in (i, j)]
+        for s, shift in moved:
+            if (less, s, shift) not in pieces:
+                pieces[less, s, shift] = piece(size - less, s, shift)
+        probes.append(key([pieces[less, *m] for m in moved], size - less, i, j))
     return indexed, np.stack(probes, 1)
 
 
+def gap_strings(line: str, slot: int) -> tuple[str, str]:
+    """What stands in the two gaps of a slot; gaps that touch are one string, and the second is empty."""
+    less, i, j, t = _SLOTS[slot]
+    short, longer = divmod(len(line) - less, 6)
+    at = lambda s: s * short + max(0, s - (6 - longer))
+    if j == i + 1:
+        return line[at(i) : at(j + 1) + less], ""
+    return line[at(i) : at(i + 1) + t], line[at(j) + t : at(j + 1) + less]
+
+
+SHORT, LONG, EITHER = 0, 1, 2
+
+
+def edit_patterns(slot: int, left: str, right: str) -> set[tuple[str, int]]:
+    """Patterns of two edits in the gaps of a slot, each with the role of the line in it.
+
+    Lines with one key and one pattern are within two edits: all of EITHER, and each SHORT with each
+    LONG. Lines within two edits share a pattern in such roles: where both edits are in one segment, in
+    the slots whose gaps touch, else in the slot with one edit in each gap."""
+    less, i, j, t = _SLOTS[slot]
+
+    def cut(x: str) -> list[str]:
+        return [x[:p] + x[p + 1 :] for p in range(len(x))]
+
+    def masked(x: str, most: int = 1) -> list[str]:
+        places = itertools.combinations(range(len(x)), min(most, len(x)))
+        return [f"{at}\n" + "".join(c for p, c in enumerate(x) if p not in at) for at in places]
+
+    own = slot < len(_GAPS)
+    if j == i + 1:
+        if own:
+            same = [("two masked", m) for m in masked(left, 2)] + [("one cut", c) for c in cut(left)]
+            return {(f"{k}\n{x}", EITHER) for k, x in same} | {(f"cut and masked\n{m}", SHORT) for m in masked(left)} | {(f"two cut\n{left}", SHORT)}
+        if less == 1:
+            return {(f"cut and masked\n{m}", LONG) for c in cut(left) for m in masked(c)}
+        return {(f"two cut\n{x}", LONG) for c in cut(left) for x in cut(c)} if less == 2 else set()
+    if own:
+        both = {(f"masked, masked\n{x}\n{y}", EITHER) for x in masked(left) for y in masked(right)} | {(f"cut, cut\n{left}\n{y}", EITHER) for y in cut(right)}
+        return both | {(f"masked, longer\n{x}\n{right}", SHORT) for x in masked(left)} | {(f"longer, masked\n{left}\n{y}", SHORT) for y in masked(right)} | {(f"longer, longer\n{left}\n{right}", SHORT)}
+    if (less, t) == (0, 1):
+        return {(f"cut, cut\n{x}\n{right}", EITHER) for x in cut(left)}
+    if (less, t) == (1, 0):
+        return {(f"masked, longer\n{x}\n{y}", LONG) for x in masked(left) for y in cut(right)}
+    if (less, t) == (1, 1):
+        return {(f"longer, masked\n{x}\n{y}", LONG) for x in cut(left) for y in masked(right)}
+    return {(f"longer, longer\n{x}\n{y}", LONG) for x in cut(left) for y in cut(right)} if (less, t) == (2, 1) else set()
+
+
+_PATTERN_SLOTS = [n for n in range(len(_SLOTS)) if edit_patterns(n, "ab", "cd")]
+
+
 _inverses = np.ones(1, np.uint64)
 
 
@@ -235,6 +297,68 @@ def _wanted(bits: dict[int, int]):
     return run
 
 
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in filter(len, batches):
+        slots, lines = batch.column("slot").to_pylist(), batch.column("said").to_pylist()
+        yield batch_of(_SPREAD, batch.column("k"), batch.column("h1"), slots, *zip(*map(gap_strings, lines, slots), strict=True))
+
+
+def _trims(weight: int):
+    """What all lines of a key have in common at the ends of their gaps, for keys with more lines than a line has patterns."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        common = lambda a, b: len(os.path.commonprefix([a, b]))
+        for batch in batches:
+            rows = []
+            for row in batch.to_pylist():
+                trims, widths = [], []
+                for gap in ("left", "right"):
+                    start = common(row[f"{gap}_min"], row[f"{gap}_max"])
+                    end = min(common(row[f"{gap}_rmin"], row[f"{gap}_rmax"]), row[f"{gap}_least"] - start)
+                    trims += [start, end]
+                    widths.append(row[f"{gap}_most"] - start - end)
+                if row["n"] > weight * ((sum(widths) + 1) ** 2 if row["touching"] else (widths[0] + 1) * (widths[1] + 1)):
+                    rows.append((row["k"], *trims))
+            yield batch_of(_TRIMS, *(zip(*rows, strict=True) if rows else [[]] * 5))
+
+    return run
+
+
+def _patterns(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        rows = []
+        for r in batch.to_pylist():
+            left, right = r["left"], r["right"]
+            left, right = left[r["left_start"] : len(left) - r["left_end"]], right[r["right_start"] : len(right) - r["right_end"]]
+            rows += [(r["k"], pattern, role, r["h1"]) for pattern, role in edit_patterns(r["slot"], left, right)]
+            if len(rows) > 1 << 14:
+                yield batch_of(_PATTERNS, *zip(*rows, strict=True))
+                rows = []
+        if rows:
+            yield batch_of(_PATTERNS, *zip(*rows, strict=True))
+
+
+def _starred(fine: DataFrame, found: DataFrame, most: int, weight: int) -> tuple[DataFrame, DataFrame] | None:
+    """Links (a, b) that join the lines of crowded keys without pairing them, and those keys (k); None if there are none.
+
+    In each pattern a line meets only the least line that it is linked with, so links are as many as
+    patterns at most. A key is taken if its lines are more than weight times the patterns of one."""
+    members = fine.select("h1", F.posexplode(F.concat("indexed", "probes")).alias("slot", "k")).where((F.col("k") != 0) & F.col("slot").isin(_PATTERN_SLOTS))
+    busy = stored(members.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > most), "busy-gaps")
+    if busy.isEmpty():
+        return None
+    spread = stored(members.join(busy.select("k"), "k").join(found, "h1").mapInArrow(_spread, "k long, h1 long, slot int, left string, right string"), "gaps")
+    ends = [f(g).alias(f"{c}_{name}") for c in ("left", "right") for f, g, name in ((F.min, c, "min"), (F.max, c, "max"), (F.min, F.reverse(c), "rmin"), (F.max, F.reverse(c), "rmax"), (F.min, F.char_length(c), "least"), (F.max, F.char_length(c), "most"))]
+    touching = F.min(F.col("slot").isin([n for n, (_, i, j, _) in enumerate(_SLOTS) if j == i + 1])).alias("touching")
+    keys = spread.groupBy("k").agg(F.count("*").alias("n"), touching, *ends)
+    keys = stored(keys.mapInArrow(_trims(weight), "k long, left_start int, left_end int, right_start int, right_end int"), "pattern-keys")
+    patterns = spread.join(keys, "k").mapInArrow(_patterns, "k long, pattern string, role byte, h1 long")
+    patterns = stored(patterns.select(F.xxhash64("k", "pattern").alias("p"), "role", "h1"), "patterns")
+    least = patterns.groupBy("p").agg(F.min(F.when(F.col("role") != LONG, F.col("h1"))).alias("short"), F.min(F.when(F.col("role") != SHORT, F.col("h1"))).alias("long"), F.count("*").alias("n")).where("n > 1")
+    met = patterns.join(least.drop("n"), "p").select("h1", F.when(F.col("role") == LONG, F.col("short")).otherwise(F.col("long")).alias("other")).where("h1 != other")
+    return met.select(F.least("h1", "other").alias("a"), F.greatest("h1", "other").alias("b")).distinct(), keys.select("k")
+
+
 def _verify(edits: int, min_chars: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -244,7 +368,7 @@ def _verify(edits: int, min_chars: int):
     return run
 
 
-def near_lines(documents: DataFrame, edits: int = 2, min_chars: int = 20, most: int = 16) -> DataFrame:
+def near_lines(documents: DataFrame, edits: int = 2, min_chars: int = 20, most: int = 16, every: bool = True, weight: int = 2) -> DataFrame:
     """Pairs of different lines within `edits` edits, the longer of at least min_chars: a, b (line hashes), distance.
 
     Lines are stripped; their length and edits are in code points. Each distinct line is joined once,
@@ -253,6 +377,11 @@ def near_lines(documents: DataFrame, edits: int = 2, min_chars: int = 20, most:
     one third only don't meet in all pairs. The texts of candidates are fetched through a filter of
     2**25 bits, whose size is fixed: a full filter would fetch more lines than needed, never fewer.
     edits is 0 (no pairs: equal lines are one), 1 or 2; the finer segments are laid out for two.
+
+    Without `every` the links have the same components, but not all pairs are listed: lines that share
+    four of six segments with a crowd are grouped by patterns of two edits, as soon as the crowd is
+    larger than weight times what a line has of them, and each is linked to one line of its pattern.
+    Patterns cover only what differs in the crowd. With one edit all pairs are listed.
     """
     if edits not in (0, 1, 2):
         raise ValueError("edits must be 0, 1 or 2")
@@ -273,8 +402,11 @@ def near_lines(documents: DataFrame, edits: int = 2, min_chars: int = 20, most:
     if not crowd.isEmpty():
         fine = stored(found.join(crowd, "h1", "left_semi").mapInArrow(_fine, "h1 long, parities long, indexed array<long>, probes array<long>"), "fine-segments")
         side = lambda keys, line, bits: fine.select(F.explode(keys).alias("k"), F.col("h1").alias(line), F.col("parities").alias(bits)).where("k != 0")
-        near = side("indexed", "a", "p").join(side("probes", "b", "q"), "k").where(f"a != b and bit_count(p ^ q) <= {2 * edits}")
-        pairs = pairs.unionByName(near.select(*pair)).distinct()
+        starred = _starred(fine, found, most, weight) if edits == 2 and not every else None
+        left = side("indexed", "a", "p")
+        near = (left.join(starred[1], "k", "left_anti") if starred else left).join(side("probes", "b", "q"), "k").where(f"a != b and bit_count(p ^ q) <= {2 * edits}")
+        pairs = pairs.unionByName(near.select(*pair))
+        pairs = (pairs.unionByName(starred[0]) if starred else pairs).distinct()
     both = pairs.join(found.select(F.col("h1").alias("a"), F.col("said").alias("ta")), "a").join(found.select(F.col("h1").alias("b"), F.col("said").alias("tb")), "b")
     return stored(both.mapInArrow(_verify(edits, min_chars), "a long, b long, distance int"), "line-links")
 
@@ -293,7 +425,7 @@ def _clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def repeated_lines(docs: DataFrame, edits: int = 2, min_chars: int = 20) -> DataFrame:
     """doc_id and seen, the numbers of the lines that repeat an earlier one; docs has no null doc_id."""
     seen = stored(docs.mapInArrow(_lines, "doc_id long, line int, chars int, h1 long, h2 int"), "lines")
-    links = near_lines(docs, edits, min_chars)
+    links = near_lines(docs, edits, min_chars, every=False)
     near = components(links.select(F.col("a").alias("u"), F.col("b").alias("v")))
     place = F.struct("doc_id", "line")
     first = seen.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(near, F.col("h1") == near.node, "left")

@@ -342,12 +342,15 @@ def _starred(fine: DataFrame, found: DataFrame, most: int, weight: int) -> tuple
     """Links (a, b) that join the lines of crowded keys without pairing them, and those keys (k); None if there are none.
 
     In each pattern a line meets only the least line that it is linked with, so links are as many as
-    patterns at most. A key is taken if its lines are more than weight times the patterns of one."""
-    members = fine.select("h1", F.posexplode(F.concat("indexed", "probes")).alias("slot", "k")).where((F.col("k") != 0) & F.col("slot").isin(_PATTERN_SLOTS))
-    busy = stored(members.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > most), "busy-gaps")
+    patterns at most. A key is taken if more than `most` lines are indexed under it, and if its lines are
+    more than weight times the patterns of one; other keys make few pairs for each line that probes them."""
+    own = fine.select("h1", F.posexplode("indexed").alias("slot", "k")).where("k != 0")
+    busy = stored(own.groupBy("k").agg(F.count("*").alias("n")).where(F.col("n") > most), "busy-gaps").select("k")
     if busy.isEmpty():
         return None
-    spread = stored(members.join(busy.select("k"), "k").join(found, "h1").mapInArrow(_spread, "k long, h1 long, slot int, left string, right string"), "gaps")
+    probes = F.array(*(F.struct(F.lit(n).alias("slot"), F.col("probes")[n - len(_GAPS)].alias("k")) for n in _PATTERN_SLOTS if n >= len(_GAPS)))
+    members = own.unionByName(fine.select("h1", F.inline(F.filter(probes, lambda x: x["k"] != 0))))
+    spread = stored(members.join(busy, "k").join(found, "h1").mapInArrow(_spread, "k long, h1 long, slot int, left string, right string"), "gaps")
     ends = [f(g).alias(f"{c}_{name}") for c in ("left", "right") for f, g, name in ((F.min, c, "min"), (F.max, c, "max"), (F.min, F.reverse(c), "rmin"), (F.max, F.reverse(c), "rmax"), (F.min, F.char_length(c), "least"), (F.max, F.char_length(c), "most"))]
     touching = F.min(F.col("slot").isin([n for n, (_, i, j, _) in enumerate(_SLOTS) if j == i + 1])).alias("touching")
     keys = spread.groupBy("k").agg(F.count("*").alias("n"), touching, *ends)

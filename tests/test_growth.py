@@ -1,13 +1,17 @@
 """Work that grows no faster than the input: the cut, boxes of one shape, lists, densities."""
 
+import math
+
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wallscan.operators import planes
+from wallscan.operators import densities, neighbours, planes
 from wallscan.plans.fixtures import START, STEP, Fixtures
 
 SF = "/root/testdata/sf0.001"
 
+
 @pytest.mark.parametrize("gaps", [False, True])
 def test_corners_of_cells_as_joined(spark, gaps):
     f = Fixtures(spark, SF)
@@ -26,3 +30,39 @@ def test_faces_narrower_than_a_step_meet_no_plane(spark):
     every = planes.segments_of(tri.crossJoin(laid))
     assert hit.exceptAll(every).isEmpty() and every.exceptAll(hit).isEmpty()
     assert sent <= 1.05 * hit.count() + 2
+
+
+def _sheet(spark, n, seed):
+    """Places on a curved sheet, half of them in a small part of it."""
+    wide = F.when(F.col("id") % 2 == 0, F.lit(1.0)).otherwise(F.lit(0.02))
+    t = spark.range(n).select("id", (F.rand(seed) * wide).alias("t"), (F.rand(seed + 1) * 60 * wide).alias("z"))
+    return neighbours.checkpointed(t.select("id", (20 * F.cos("t")).alias("x"), (20 * F.sin("t")).alias("y"), "z"))
+
+
+def test_densities_by_polynomials(spark):
+    """Certified and plain densities of many samples at many targets: true within their bounds, and no target lists the boxes it meets."""
+    samples, asked, h = _sheet(spark, 60_000, 1), _sheet(spark, 20_000, 3), 2.0
+    sure, plain = neighbours.certified_kde(samples, asked, h), neighbours.kde(samples, asked, h)
+    assert "collect_list" not in sure._jdf.queryExecution().toString()
+    got, close = {r.id: r for r in sure.collect()}, {r.id: r.density for r in plain.collect()}
+    assert len(got) == len(close) == 20_000
+    at, peak = np.array(samples.select(*"xyz").collect()), 1 / ((2 * math.pi) ** 1.5 * h**3)
+    for t in asked.where("id % 400 < 2").collect():
+        true = float(np.exp(-((at - np.array(t[1:])) ** 2).sum(1) / (2 * h * h)).mean()) * peak
+        assert abs(got[t.id].density - true) <= got[t.id].error <= 1e-3 * peak
+        assert abs(close[t.id] - true) <= 1e-13 * peak
+
+
+def test_order_of_polynomials_is_proven():
+    """The bound of what Chebyshev points leave out holds for pairs of cells, and shrinks with their number."""
+    rng = np.random.default_rng(5)
+    for q in (3, 5, 7, 10):
+        held = densities._Held(q, 0, 9.0)
+        places = rng.random((50, 3))
+        held.add((1, 0, -1), [50], [True], [places.tobytes()])
+        held.settle()
+        at = rng.random((200, 3))
+        total, n, error = held.density((0, 0, 0), at)
+        true = densities._direct(at, places + np.array([1, 0, -1]))
+        assert n == 50 and np.abs(total - true).max() <= error and error == 50 * densities._error(q)
+    assert densities.order(1e-3) == 7 and densities.order(0.0) == 0

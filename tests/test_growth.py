@@ -1,6 +1,7 @@
 """Work that grows no faster than the input: the cut, boxes of one shape, lists, densities."""
 
 import math
+import re
 
 import numpy as np
 import pytest
@@ -66,3 +67,13 @@ def test_order_of_polynomials_is_proven():
         true = densities._direct(at, places + np.array([1, 0, -1]))
         assert n == 50 and np.abs(total - true).max() <= error and error == 50 * densities._error(q)
     assert densities.order(1e-3) == 7 and densities.order(0.0) == 0
+
+
+def test_long_boxes_of_one_shape_meet_few(spark):
+    """Boxes a thousand times as high as wide, side by side: a box meets few others in its cells, not all of its row."""
+    boxes = spark.range(20_000).select("id", *(F.expr(e).alias(c) for c, e in (("x_lo", "id * 0.001D"), ("y_lo", "0.1D"), ("x_hi", "id * 0.001D + 0.00105D"), ("y_hi", "1.1D"))))
+    pairs = neighbours.bbox_overlap(boxes, boxes)
+    assert pairs.count() == 20_000 + 2 * 19_999
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    unit = min(float(x) for x in re.findall(r"x_lo#\d+L? / ([0-9.E-]+)\)", plan))
+    assert unit < 0.002  # the width of its cells follows that of the boxes

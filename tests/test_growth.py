@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from wallscan.operators import densities, neighbours, planes
+from wallscan.operators import chains, densities, neighbours, planes, profiles
 from wallscan.plans.fixtures import START, STEP, Fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -77,3 +77,15 @@ def test_long_boxes_of_one_shape_meet_few(spark):
     plan = pairs._jdf.queryExecution().optimizedPlan().toString()
     unit = min(float(x) for x in re.findall(r"x_lo#\d+L? / ([0-9.E-]+)\)", plan))
     assert unit < 0.002  # the width of its cells follows that of the boxes
+
+
+def test_components_across_pieces(spark, monkeypatch):
+    """Slices in pieces of a few segments are joined as if whole; whole ones leave nothing to contract."""
+    seen = []
+    monkeypatch.setattr(chains, "least_labels", lambda edges: (seen.append(edges.where("a != b").count()), neighbours.least_labels(edges))[1])
+    segments = neighbours.checkpointed(Fixtures(spark, SF).segments(gaps=True).where("k % 40 = 0"))
+    want = sorted(map(tuple, profiles.components(segments).collect()))
+    assert sorted(map(tuple, chains.long_components(segments).collect())) == want
+    monkeypatch.setattr(chains, "PIECE", 3)
+    assert sorted(map(tuple, chains.long_components(segments).collect())) == want
+    assert seen[0] < len(want) / 10 and seen[1] > seen[0]

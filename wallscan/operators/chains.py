@@ -1,4 +1,4 @@
-"""Components and orders of slices of any length: joins and aggregates only, no task holds a slice.
+"""Components and orders of slices of any length: no task holds a slice.
 
 `profiles.components` and `profiles.order_path` walk a slice in one task, which is quickest while slices are short.
 The functions here give the same rows for slices that no task could hold.
@@ -6,25 +6,45 @@ The functions here give the same rows for slices that no task could hold.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from wallscan.operators.neighbours import checkpointed, least_labels
-from wallscan.operators.profiles import order_path, with_keys
+from wallscan.operators.profiles import _ends, _roots, _slices, order_path, with_keys
 
 _KEY = ("kx", "ky", "kz")
 _PLACE = ("x", "y", "z", "u", "v")
+#: Segments that a task joins at a time.
+PIECE = 1 << 16
 
 
 def long_components(segments: DataFrame) -> DataFrame:
-    """segments with path_id, as `profiles.components` gives it, by star contraction over the nodes of all slices.
-
-    Each round is two aggregates and two joins by node, and rounds grow with the logarithm of the longest way.
-    The ranks of a slice's components are one window over their least nodes only."""
-    of = lambda c: F.struct("k", *(F.col(f"{c}.{d}").alias(d) for d in _KEY))
-    s = with_keys(segments).withColumn("_a", of("a"))
-    labels = least_labels(s.select(F.col("_a").alias("a"), of("b").alias("b")))
-    rooted = s.join(labels.withColumnRenamed("node", "_a"), "_a", "left").withColumn("_root", F.coalesce("label", "_a"))
+    """segments with path_id, as `profiles.components` gives it, by pieces and star contraction of what joins them.
+
+    Segments are dealt by ranges of plane and height, so a long slice goes to many tasks; a task joins at most PIECE
+    neighbouring segments at a time and names the least node of what is connected there. Nodes that lie in several
+    pieces link these names, and only those links go through star contraction, whose rounds grow with the
+    logarithm of the longest way among pieces. The ranks of a slice's components are one window over their least nodes only."""
+    names = [f"_{c}" for c in _KEY]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, table in _slices(batches, ("k",)):
+            for part in (table.slice(at, PIECE) for at in range(0, len(table), PIECE)):
+                a, b = _ends(part)
+                root = _roots(a, b)
+                for i, name in enumerate(names):
+                    part = part.append_column(name, pa.array([root[x][i] for x in a], pa.int64()))
+                yield from part.combine_chunks().to_batches()
+
+    schema = segments.schema.simpleString()[7:-1].replace(":", " ") + "".join(f", {n} long" for n in names)
+    dealt = segments.repartitionByRange("k", "z1").sortWithinPartitions("k", "z1")
+    s = checkpointed(dealt.mapInArrow(run, schema)).withColumn("_piece", F.struct("k", *(F.col(n).alias(d) for n, d in zip(names, _KEY, strict=True))))
+    shared = with_keys(s).select("k", "_piece", F.explode(F.array("a", "b")).alias("node")).groupBy("k", "node").agg(F.min("_piece").alias("a"), F.max("_piece").alias("most"), F.collect_set("_piece").alias("_all")).where("a != most")
+    labels = least_labels(shared.select("a", F.explode("_all").alias("b")))
+    rooted = s.join(labels.withColumnRenamed("node", "_piece"), "_piece", "left").withColumn("_root", F.coalesce("label", "_piece"))
     rank = F.row_number().over(Window.partitionBy("k").orderBy("_root")) - 1
     roots = rooted.select("k", "_root").distinct().withColumn("path_id", rank.cast("int"))
     return rooted.join(roots, ["k", "_root"]).select(*segments.columns, "path_id")
@@ -36,18 +56,24 @@ def list_ranks(arcs: DataFrame, rounds: int = 64) -> DataFrame:
     Pointer doubling: a round joins each arc with the one it points to and takes over that one's pointer, so the
     way that is left halves, and a list of n arcs takes log2(n) rounds. Arcs on a ring without a root have none
     and are left out; they are known by pointing at an arc still when a round settles no other. Raises RuntimeError
-    when `rounds` do not suffice, which 2 ** 64 arcs would need."""
+    when `rounds` do not suffice, which 2 ** 64 arcs would need. Arcs are numbered first, so that a round moves numbers
+    and not what they are known by."""
+    known = checkpointed(arcs.select("id", "up").withColumn("_n", F.monotonically_increasing_id()))
+    arcs = known.join(known.select(F.col("id").alias("up"), F.col("_n").alias("_m")), "up", "left").select(F.col("_n").alias("id"), F.when(F.col("up").isNotNull(), F.coalesce("_m", F.lit(-1).cast("long"))).alias("up"))
+    named = known.select("id", "_n")
+    own, top = named.withColumnRenamed("_n", "_i"), named.select(F.col("id").alias("root"), F.col("_n").alias("_t"))
+    back = lambda ranks: ranks.select(F.col("id").alias("_i"), F.col("root").alias("_t"), "steps").join(own, "_i").join(top, "_t").select("id", "root", "steps")
     now = checkpointed(arcs.select("id", "up", F.when(F.col("up").isNull(), F.col("id")).alias("root"), F.lit(1).cast("long").alias("steps")))
     left = now.where("root is null").count()
     for _ in range(rounds):
         if not left:
-            return now.select("id", "root", "steps")
+            return back(now)
         there = now.select(F.col("id").alias("up"), F.col("up").alias("_up"), F.col("root").alias("_root"), F.col("steps").alias("_steps"))
         moved = now.where("root is null").join(there, "up").select("id", F.col("_up").alias("up"), F.col("_root").alias("root"), (F.col("steps") + F.col("_steps")).alias("steps"))
         now = checkpointed(now.where("root is not null").unionByName(moved))
         before, left = left, now.where("root is null").count()
         if before == left:
-            return now.where("root is not null").select("id", "root", "steps")
+            return back(now.where("root is not null"))
     raise RuntimeError(f"lists did not settle in {rounds} rounds")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wallscan.operators import meshes, neighbours, planes, profiles
 from wallscan.plans.fixtures import START, STEP, Fixtures
 from wallscan.plans.profile_queries import heights
+from wallscan.sources import text
 
 SF = "/root/testdata/sf0.001"
 
@@ -88,3 +89,24 @@ def test_may_meet(spark):
     at = -0.75 + (START + STEP * np.arange(2000)) / 51.25
     met = [bool(((at >= r.lo) & (at <= r.hi)).any()) for r in df.collect()]
     assert all(r.met for r, m in zip(df.collect(), met) if m) and sum(not r.met for r in df.collect()) > 50
+
+
+def test_tiles_without_joins_by_corner(spark, wall, tmp_path):
+    """Tiles come in one shuffle and are read without another; lines of a file keep their numbers, odd ones are left out."""
+    faces = wall.faces().withColumn("tile", F.format_string("%06d", F.expr("face_id div 97")))
+    text.write_obj_tiles(wall.vertices, faces, f"{tmp_path}/tiles")
+    assert len(list((tmp_path / "tiles").rglob("*.obj"))) == faces.select("tile").distinct().count() > 10
+    vertices, read = text.read_obj_tiles(spark, f"{tmp_path}/tiles")
+    assert _exchanges(vertices) == _exchanges(read) == 0 and read.count() == faces.count()
+    at = lambda i: vertices.select(F.col("vertex_id").alias(f"v{i}"), *(F.col(d).alias(f"{d}{i}") for d in "xyz"))
+    shapes = read
+    for i in (0, 1, 2):
+        shapes = shapes.join(at(i), f"v{i}")
+    names = [f"{d}{i}" for i in (0, 1, 2) for d in "xyz"]
+    assert _same(shapes.select(names), wall.tri().select(names))
+    (tmp_path / "odd").mkdir()
+    (tmp_path / "odd" / "a.obj").write_text("# v 9 9 9\nvn 0 0 1\n  v 1 2 3 \r\nv 4 5 6\n\nf 1/1 2/2 1/3\n\tv 7 7 7\nv")
+    (tmp_path / "odd" / "b.obj").write_text("v 1 1 1\nf 1 1 1\n")
+    vertices, read = text.read_obj_tiles(spark, f"{tmp_path}/odd")
+    assert sorted(map(tuple, vertices.select("vertex_id", *"xyz").collect())) == [(0, 1, 2, 3), (1, 4, 5, 6), (2, 1, 1, 1)]
+    assert sorted(map(tuple, read.select("face_id", "v0", "v1", "v2").collect())) == [(0, 0, 1, 0), (1, 2, 2, 2)]

@@ -5,6 +5,9 @@ from collections import deque
 from pyspark.sql import functions as F
 
 from wallscan.operators import neighbours
+from wallscan.plans.fixtures import Fixtures
+
+SF = "/root/testdata/sf0.001"
 
 
 def _hops_by_walks(links, targets, most):
@@ -46,3 +49,14 @@ def test_hops_meet_halfway(spark, monkeypatch):
         assert len(got) == len(set(got)) and set(got) == _hops_by_walks([(a, b) for a, b in links if a < b], set(targets), most)
         if most == 10:
             assert max(written) == written[0] == edges.count()  # twice as many links and five times as many ways before
+
+
+def test_places_aggregated_once(spark):
+    """Rows of lineitem are moved before they are aggregated, not after each task has made a group of nearly every row."""
+    f = Fixtures(spark, SF)
+    plan = f._wall()._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("partial_avg") < plan.index("Exchange hashpartitioning(i")
+    rows = f.lineitem.crossJoin(f.grid).groupBy((F.col("l_partkey") % F.col("ni")).alias("i"), (F.col("l_orderkey") % F.col("nj")).alias("j"))
+    want = rows.agg((50 + F.avg("l_quantity") * 0.05).alias("r"))
+    got = f._wall().select("i", "j", "r")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() > 100

@@ -2,10 +2,12 @@
 
 from collections import deque
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from wallscan.operators import neighbours
 from wallscan.plans.fixtures import Fixtures
+from wallscan.sources import tiles
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +62,20 @@ def test_places_aggregated_once(spark):
     want = rows.agg((50 + F.avg("l_quantity") * 0.05).alias("r"))
     got = f._wall().select("i", "j", "r")
     assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() > 100
+
+
+def test_ranges_of_tiles_are_many_tasks(spark, tmp_path):
+    """Ranges of small tiles are read by as many tasks as a shuffle has, and columns of headers come along; odd tiles are written as they are."""
+    rows = [(t, node, None if node == "a" else "a", 10 * t + i, t + 0.1, None if i == 2 else float(i), -1e300 if i == 3 else 0.3) for t in range(60) for node in ("a", "b") for i in range(1 + t % 5)]
+    points = spark.createDataFrame(rows, "tile int, node string, parent string, point_id long, x double, y double, z double")
+    tiles.write_3mx_tiles(points, f"{tmp_path}/scene")
+    heads = tiles.read_3mx_headers(spark, f"{tmp_path}/scene").withColumn("tile", F.regexp_extract("path", r"tile-(\d+)", 1).cast("int"))
+    read = tiles.ranged_tile_points(heads, 24)
+    assert read.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbers = [float(np.float32(t + 0.1)) for t in range(60)]
+    want = {(t, node, i, numbers[t], y, float("-inf") if z < 0 else float(np.float32(z))) for (t, node, _, p, _, y, z) in rows for i in [p - 10 * t]}
+    got = [(r.tile, r.node, r.i, r.x, r.y, r.z) for r in read.collect()]
+    assert len(got) == len(rows) and set(got) == want
+    plain = tiles.tile_points(tiles.read_3mx_tiles(spark, f"{tmp_path}/scene"))
+    same = lambda df: sorted(repr(tuple(r)) for r in df.select("path", "node", F.col("i").cast("int"), *"xyz").collect())
+    assert same(read) == same(plain)

@@ -79,3 +79,17 @@ def test_ranges_of_tiles_are_many_tasks(spark, tmp_path):
     plain = tiles.tile_points(tiles.read_3mx_tiles(spark, f"{tmp_path}/scene"))
     same = lambda df: sorted(repr(tuple(r)) for r in df.select("path", "node", F.col("i").cast("int"), *"xyz").collect())
     assert same(read) == same(plain)
+
+
+def test_a_leaf_gives_a_point_no_more_than_k(spark):
+    """Targets are listed after the k nearest of a leaf are taken and moved, so no task sorts all targets that points meet; ties go by id."""
+    places = spark.range(900).select("id", (F.col("id") % 30 * 1.0).alias("x"), F.expr("id div 30 * 1.0D").alias("y"))
+    got = neighbours.nearest(places, places, 6, "xy")
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert plan.index("Generate inline(_t") < plan.index("Exchange hashpartitioning(_a")
+    at = np.array(places.orderBy("id").select("x", "y").collect())
+    d2 = ((at[:, None] - at[None]) ** 2).sum(2)
+    want = {(i, int(t), r + 1) for i in range(900) for r, t in enumerate(np.lexsort((np.arange(900), d2[i]))[:6])}
+    rows = got.collect()
+    assert {(r.id, r.target, r.rank) for r in rows} == want and len(rows) == len(want)
+    assert all(r.distance == d2[r.id, r.target] ** 0.5 for r in rows)

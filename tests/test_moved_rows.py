@@ -4,7 +4,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from wallscan.operators import clusters, neighbours
+from wallscan.operators import clusters, meshes, neighbours
 from wallscan.plans.fixtures import Fixtures
 
 SF = "/root/testdata/sf0.001"
@@ -52,3 +52,13 @@ def test_cells_are_moved_to_the_rows_of_their_faces(spark):
     rows = wall.faces(True).select("face_id", F.lit(0.5).alias("height"))
     raised = wall.tri_of(rows, gaps=True)
     assert not _broadcast(raised) and raised.count() == rows.count() > 1000
+
+
+def test_heights_of_faces_are_moved(spark):
+    """Prisms and voxels of faces whose heights fill a small file, as two columns of kept cells do."""
+    wall = Fixtures(spark, SF)
+    heights = wall.faces().select("face_id", (F.col("face_id") % 7 * 0.25).alias("height"))
+    solid = meshes.prisms(wall.tri(), heights)
+    assert not _broadcast(solid) and not _broadcast(meshes.voxelise(wall.tri(), heights, wall.grid_meta(0.2), 0.2))
+    parts = solid.groupBy("face_id").agg(F.count("*").alias("n"), F.countDistinct("part").alias("parts"))
+    assert parts.where("n = 8 and parts = 8").count() == parts.count() == wall.faces().count() > 1000
